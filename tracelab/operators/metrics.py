@@ -1,0 +1,307 @@
+"""Trace metrics over a VARIANT column: a registry of column builders, one scan, a row per trace and metric.
+
+Metrics never see fault labels (`drop_labels`), never coerce types, and give one of the statuses ok, skipped and error.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from copy import deepcopy
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import variants as V
+
+DEFAULTS = {
+    "metrics": {
+        "retrieval": {"k": 5, "precision_high": 0.8},
+        "chunking": {"integrity_intact": 0.8},
+        "context": {"noise_low": 0.2, "noise_moderate": 0.5},
+        "generation": {"relevance_relevant": 0.5, "sentence_support_threshold": 0.5, "faithfulness_supported": 0.8, "faithfulness_partial": 0.5},
+    }
+}
+RESULT = "struct<score:double,label:string,status:string,warning:string,error:string,evidence:string>"
+Builder = Callable[[Column, dict], Column]
+
+
+class Registry:
+    """Metrics by name in the order of registration."""
+
+    def __init__(self):
+        self.metrics: dict[str, tuple[str, Builder]] = {}
+
+    def register(self, name: str, stage: str, builder: Builder) -> None:
+        if not name or not stage:
+            raise ValueError("a metric needs a name and a stage")
+        if name in self.metrics:
+            raise ValueError(f"metric {name} is registered already")
+        self.metrics[name] = (stage, builder)
+
+    def get(self, name: str) -> tuple[str, Builder]:
+        return self.metrics[name]
+
+    def names(self) -> list[str]:
+        return list(self.metrics)
+
+
+def result(score=None, label="unknown", status="ok", warning=None, error=None, evidence=None) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    values = [lit(score).cast("double"), lit(label), lit(status), lit(warning).cast("string"), lit(error).cast("string"), lit(evidence).cast("string")]
+    return F.struct(*[x.alias(n) for x, n in zip(values, ("score", "label", "status", "warning", "error", "evidence"), strict=True)]).cast(RESULT)
+
+
+def skipped(warning: str) -> Column:
+    return result(status="skipped", warning=warning)
+
+
+def failed(code: str) -> Column:
+    return result(status="error", error=code)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out a single time."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def graded(score: Column, *steps: tuple[float, str], least: str) -> Column:
+    """The label of the first step that the score reaches."""
+    label = F.lit(least)
+    for at, name in reversed(steps):
+        label = F.when(score >= at if at > 0 else score > 0, name).otherwise(label)
+    return label
+
+
+def gold_ids(v: Column) -> Column:
+    """Distinct chunk ids of the gold evidence; items and ids of other types don't count."""
+    items = F.filter(F.coalesce(V.items(v, "$.gold_evidence"), F.array().cast("array<variant>")), V.is_object)
+    return F.array_distinct(F.flatten(F.transform(items, lambda x: V.strings(x, "$.covering_chunk_ids"))))
+
+
+def selected_ids(v: Column) -> Column:
+    return F.array_distinct(V.strings(v, "$.context_construction.selected_chunk_ids"))
+
+
+def _retrieval(v: Column, config: dict, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """Checks in their order: k, gold, retrieval, list. of(gold, retrieved ids, matches) makes the result."""
+    k = config.get("k", 5)
+    if isinstance(k, bool) or not isinstance(k, int) or k <= 0:
+        return failed("invalid_config")
+    chunks = V.items(v, "$.retrieval.retrieved_chunks")
+    ranked = F.slice(F.filter(chunks, V.is_object), 1, k)
+    ids = F.filter(F.transform(ranked, lambda c: V.string(c, "$.chunk_id")), lambda x: x.isNotNull())
+    pair = F.struct(gold_ids(v).alias("gold"), ids.alias("ids"))
+    usable = lambda p: of(p["gold"], p["ids"], F.filter(p["ids"], lambda x: F.array_contains(p["gold"], x)))
+    bad = ~V.is_object(V.node(v, "$.retrieval")) | chunks.isNull()
+    return once(pair, lambda p: F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).when(bad, failed("invalid_field_type")).otherwise(usable(p)))
+
+
+def hit(v: Column, config: dict) -> Column:
+    def of(gold, ids, matches):
+        found = F.size(matches) > 0
+        return result(found.cast("double"), F.when(found, "hit").otherwise("miss"), evidence=F.to_json(F.struct(ids.alias("retrieved_chunk_ids"), matches.alias("matched_chunk_ids"))))
+
+    return _retrieval(v, config, of)
+
+
+def recall(v: Column, config: dict) -> Column:
+    def of(gold, ids, matches):
+        score = F.size(F.array_distinct(matches)) / F.size(gold)
+        return result(score, graded(score, (1.0, "complete"), (0, "partial"), least="miss"), evidence=F.to_json(F.struct(F.size(gold).alias("gold_count"), matches.alias("matched_chunk_ids"))))
+
+    return _retrieval(v, config, of)
+
+
+def precision(v: Column, config: dict) -> Column:
+    high = float(config.get("precision_high", 0.8))
+
+    def of(gold, ids, matches):
+        score = F.size(matches) / F.size(ids)
+        good = result(score, graded(score, (high, "high"), (0, "partial"), least="none"), evidence=F.to_json(F.struct(F.size(ids).alias("retrieved_count"), F.size(matches).alias("matched_count"))))
+        return F.when(F.size(ids) == 0, failed("empty_retrieval")).otherwise(good)
+
+    return _retrieval(v, config, of)
+
+
+def mrr(v: Column, config: dict) -> Column:
+    def of(gold, ids, matches):
+        first = F.when(F.size(matches) > 0, F.array_position(ids, F.get(matches, F.lit(0))))
+        score = F.coalesce(1.0 / first, F.lit(0.0))
+        return result(score, F.when(first.isNotNull(), "ranked").otherwise("miss"), evidence=F.to_json(F.struct(first.alias("first_matching_rank"))))
+
+    return _retrieval(v, config, of)
+
+
+def preservation(v: Column, config: dict) -> Column:
+    items = V.items(v, "$.gold_evidence")
+    chunks = F.coalesce(V.items(v, "$.chunks"), F.array().cast("array<variant>"))
+    known = F.filter(F.transform(F.filter(chunks, V.is_object), lambda c: V.string(c, "$.chunk_id")), lambda x: x.isNotNull())
+
+    def kept(item: Column, ids: Column) -> Column:
+        covering = V.node(item, "$.covering_chunk_ids")
+        # a string is read as its characters, and an empty string as nothing
+        letters = F.when(V.is_string(covering), F.filter(F.split(V.string(item, "$.covering_chunk_ids"), ""), lambda x: x != ""))
+        valid = F.coalesce(letters, V.strings(item, "$.covering_chunk_ids"))
+        exists = (F.size(valid) > 0) & ((F.size(ids) == 0) | F.arrays_overlap(valid, ids))
+        flag = F.coalesce((V.kind(V.node(item, "$.is_preserved")) == "BOOLEAN") & F.try_variant_get(item, "$.is_preserved", "boolean"), F.lit(False))
+        return V.is_object(item) & flag & F.coalesce(exists, F.lit(False))
+
+    # values that can't be iterated: numbers other than 0 and true
+    raw = lambda x: F.try_variant_get(x, "$.covering_chunk_ids", "double")
+    wrong = lambda x: V.is_object(x) & V.kind(V.node(x, "$.covering_chunk_ids")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)") & (raw(x) != 0)
+    share = once(known, lambda ids: F.size(F.filter(items, lambda x: kept(x, ids))) / F.size(items))
+    good = once(share, lambda s: result(s, graded(s, (1.0, "complete"), (0, "partial"), least="lost")))
+    return F.when(items.isNull() | (F.size(items) == 0), skipped("no_gold_evidence")).when(F.exists(items, wrong), failed("metric_execution_error")).otherwise(good)
+
+
+def integrity(v: Column, config: dict) -> Column:
+    intact = float(config.get("integrity_intact", 0.8))
+    retrieved = V.items(v, "$.retrieval.retrieved_chunks")
+    chunks = F.coalesce(retrieved, V.items(v, "$.chunks"))
+
+    def defects(c: Column, i: Column, ids: Column) -> Column:
+        text, own = V.string(c, "$.text"), V.string(c, "$.chunk_id")
+        start, end = V.integer(c, "$.start_char"), V.integer(c, "$.end_char")
+        names = F.array(
+            F.when(T.blank(text), "empty_text").when(text.rlike(T.TRAILING_MARK), "truncated"),
+            F.when(F.coalesce(V.string(c, "$.document_id"), F.lit("")) == "", "missing_document_id"),
+            F.when((start < 0) | (end < start), "invalid_offsets"),
+            F.when(own.isNull(), "missing_chunk_id").when(F.array_position(ids, own) <= i, "duplicate_chunk_id"),
+        )
+        return F.when(V.is_object(c), F.array_compact(names)).otherwise(F.array(F.lit("invalid_chunk_type")))
+
+    ids = F.transform(chunks, lambda c: F.when(V.is_object(c), V.string(c, "$.chunk_id")))
+    found = once(ids, lambda own: F.transform(chunks, lambda c, i: defects(c, i, own)))
+    source = F.when(retrieved.isNotNull(), "retrieved_chunks").otherwise("chunks")
+
+    def of(f: Column) -> Column:
+        score = 1.0 - F.size(F.filter(f, lambda x: F.size(x) > 0)) / F.size(f)
+        return result(score, graded(score, (intact, "intact"), (0, "degraded"), least="broken"), evidence=F.to_json(F.struct(source.alias("checked_source"), f.alias("defects"))))
+
+    return F.when(chunks.isNull(), failed("invalid_field_type")).when(F.size(chunks) == 0, skipped("no_chunks")).otherwise(once(found, of))
+
+
+def coverage(v: Column, config: dict) -> Column:
+    def of(p: Column) -> Column:
+        score = F.size(F.array_intersect(p["gold"], p["own"])) / F.size(p["gold"])
+        return F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).otherwise(result(score, graded(score, (1.0, "complete"), (0, "partial"), least="missing")))
+
+    return once(F.struct(gold_ids(v).alias("gold"), selected_ids(v).alias("own")), of)
+
+
+def noise(v: Column, config: dict) -> Column:
+    low, moderate = float(config.get("noise_low", 0.2)), float(config.get("noise_moderate", 0.5))
+
+    def of(p: Column) -> Column:
+        score = F.size(F.array_except(p["own"], p["gold"])) / F.size(p["own"])
+        label = F.when(score <= low, "low_noise").when(score <= moderate, "moderate_noise").otherwise("high_noise")
+        return F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).when(F.size(p["own"]) == 0, skipped("no_selected_chunks")).otherwise(result(score, label))
+
+    return once(F.struct(gold_ids(v).alias("gold"), selected_ids(v).alias("own")), of)
+
+
+def truncation(v: Column, config: dict) -> Column:
+    context = V.node(v, "$.context_construction")
+    flag = F.when(V.kind(V.node(context, "$.truncated")) == "BOOLEAN", F.try_variant_get(context, "$.truncated", "boolean"))
+    explicit = result(F.when(flag, 0.0).otherwise(1.0), F.when(flag, "truncated").otherwise("not_truncated"), evidence="explicit_flag")
+    marked = result(0.0, "truncated", evidence="text_marker")
+    return (
+        F.when(~V.is_object(context), failed("invalid_field_type"))
+        .when(flag.isNotNull(), explicit)
+        .when(V.string(context, "$.final_context").rlike(T.TRAILING_MARK), marked)
+        .otherwise(skipped("insufficient_truncation_metadata"))
+    )
+
+
+def relevance(v: Column, config: dict) -> Column:
+    least = float(config.get("relevance_relevant", 0.5))
+    query, answer, language = V.string(v, "$.query"), V.string(v, "$.generation.final_answer"), V.string(v, "$.language")
+
+    def of(p: Column) -> Column:
+        score = F.size(F.array_intersect(p["q"], p["a"])) / F.size(p["q"])
+        good = result(score, graded(score, (least, "relevant"), (0, "weakly_relevant"), least="unrelated"))
+        return F.when(F.size(p["q"]) == 0, skipped("no_valid_query_tokens")).otherwise(good)
+
+    pair = F.struct(F.array_distinct(T.metric_tokens(query, language)).alias("q"), F.array_distinct(T.metric_tokens(answer, language)).alias("a"))
+    return F.when(T.blank(query) | T.blank(answer), skipped("empty_query_or_answer")).otherwise(once(pair, of))
+
+
+def faithfulness(v: Column, config: dict) -> Column:
+    support = float(config.get("sentence_support_threshold", 0.5))
+    high, part = float(config.get("faithfulness_supported", 0.8)), float(config.get("faithfulness_partial", 0.5))
+    context, answer, language = V.string(v, "$.context_construction.final_context"), V.string(v, "$.generation.final_answer"), V.string(v, "$.language")
+
+    def supported(sentence: Column, have: Column) -> Column:
+        return once(F.array_distinct(T.metric_tokens(sentence, language)), lambda own: (F.size(own) > 0) & (F.size(F.array_intersect(own, have)) / F.size(own) >= support))
+
+    def of(p: Column) -> Column:
+        score = F.size(F.filter(p["s"], lambda x: F.coalesce(supported(x, p["c"]), F.lit(False)))) / F.size(p["s"])
+        good = once(score, lambda s: result(s, F.when(s >= high, "supported").when(s >= part, "partially_supported").otherwise("unsupported")))
+        return F.when(F.size(p["s"]) == 0, skipped("no_answer_sentences")).otherwise(good)
+
+    pair = F.struct(F.array_distinct(T.metric_tokens(context, language)).alias("c"), T.sentences(answer).alias("s"))
+    return F.when(T.blank(context) | T.blank(answer), skipped("empty_context_or_answer")).otherwise(once(pair, of))
+
+
+def default_registry() -> Registry:
+    own = Registry()
+    for name, stage, builder in [
+        ("retrieval.hit_at_k", "retrieval", hit),
+        ("retrieval.recall_at_k", "retrieval", recall),
+        ("retrieval.precision_at_k", "retrieval", precision),
+        ("retrieval.mrr", "retrieval", mrr),
+        ("chunking.gold_evidence_preservation", "chunking", preservation),
+        ("chunking.chunk_integrity", "chunking", integrity),
+        ("context.evidence_coverage", "context", coverage),
+        ("context.noise_ratio", "context", noise),
+        ("context.context_truncation", "context", truncation),
+        ("generation.answer_relevance", "generation", relevance),
+        ("generation.faithfulness", "generation", faithfulness),
+    ]:
+        own.register(name, stage, builder)
+    return own
+
+
+def merged(base: dict, override: dict) -> dict:
+    """base with override's values; objects are merged, everything else is replaced."""
+    out = deepcopy(base)
+    for key, value in override.items():
+        out[key] = merged(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
+
+def drop_labels(traces: DataFrame) -> DataFrame:
+    """Traces without fault labels, wherever they stand as columns."""
+    return traces.drop("injected_fault", "_is_healthy")
+
+
+def score(traces: DataFrame, config: dict | None = None, registry: Registry | None = None) -> DataFrame:
+    """A row per trace and metric of a table with columns line (long) and trace (VARIANT, null for a malformed line).
+
+    Malformed lines and values that aren't objects give an error row per metric under the id line-<n>. No shuffle.
+    """
+    config, registry = merged(DEFAULTS, config or {}), registry or default_registry()
+    good = V.is_object(F.col("trace"))
+    rows = []
+    for name, (stage, builder) in registry.metrics.items():
+        own = builder(F.col("trace"), config["metrics"].get(stage, {}))
+        own = F.when(good, own).otherwise(failed("invalid_jsonl_record"))
+        rows.append(F.struct(F.lit(name).alias("metric_name"), F.lit(stage).alias("stage"), own.alias("r")))
+    trace_id = V.string(F.col("trace"), "$.trace_id")
+    named = F.when(F.col("stage") == "retrieval", F.when(F.col("trace_id") != "", F.col("trace_id"))).otherwise(F.col("trace_id"))
+    out = traces.select("line", F.when(good, F.coalesce(trace_id, F.lit("unknown"))).otherwise(F.format_string("line-%d", "line")).alias("trace_id"), F.explode(F.array(*rows)).alias("m"))
+    out = out.select("line", "trace_id", "m.metric_name", "m.stage", "m.r.*")
+    return out.withColumn("trace_id", F.coalesce(named, F.lit("unknown")))
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """How many traces, results, skipped and failed metrics."""
+    n = lambda c: F.count_if(c)
+    return results.agg(F.count_distinct("line").alias("input_traces"), F.count(F.lit(1)).alias("results"), n(F.col("status") == "skipped").alias("skipped_metrics"), n(F.col("status") == "error").alias("errors"))
+
+
+def checked(results: DataFrame) -> DataFrame:
+    """Results as they are; a row that breaks an invariant fails the query."""
+    good = F.col("status").isin("ok", "skipped", "error") & (F.col("score").isNull() | F.col("score").between(0, 1))
+    return results.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("invalid metric result: "), F.to_json(F.struct("*")))).cast("boolean")))
