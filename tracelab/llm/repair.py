@@ -30,8 +30,10 @@ SHARD_IDS = 1_000_000
 ROUNDS, PAIRS, LEAST = 5, 3000, 6
 #: Symbols have 16 bits.
 SYMBOLS = 1 << 16
+#: Texts encoded together: what is met for the first time is encoded once for all of them.
+STEP = 2000
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +156,22 @@ class Cuts(dict):
         return n
 
 
+class Store:
+    """Starts, lengths and ids of cuts in arrays that grow by doubling, so that a batch copies only what it adds."""
+
+    def __init__(self):
+        self.starts, self.lengths, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+
+    def after(self, used: int, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The arrays with new cuts written after the first `used` ones."""
+        for name, at, new in (("starts", used, starts), ("lengths", used, lengths), ("flat", int(starts[0]) if len(starts) else 0, ids)):
+            if at + len(new) > len(own := getattr(self, name)):
+                own = np.concatenate([own, np.zeros(at + len(new), own.dtype)])
+                setattr(self, name, own)
+            own[at : at + len(new)] = new
+        return self.starts, self.lengths, self.flat
+
+
 class Encoder:
     """Ids of whole texts under a byte-level BPE file of the tokenizers library.
 
@@ -180,7 +198,8 @@ class Encoder:
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
         self.known = Cuts()
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: Where kept cuts end in the store: what a batch adds beyond that is overwritten by the next.
+        self.store, self.used, self.held, self.odd = Store(), 0, 0, np.zeros(0, np.int64)
 
     def ids(self, cut: str) -> list[int]:
         if "<|" in cut or not (cut.isascii() or max(cut) < "\u0250"):
@@ -206,7 +225,7 @@ class Encoder:
         index = [np.fromiter(map(known.__getitem__, ("\x00" + t).split(" ")), np.int64) for t in texts]
         new = list(itertools.islice(reversed(known), len(known) - before))[::-1]
         odd = np.array([i for i, w in enumerate(new, before) if w[:1] != "\x00" and self.joined.match(w)], np.int64)
-        self.odd = np.r_[self.odd, odd] if before else odd
+        self.odd = np.r_[self.odd, odd]
         got = [self.ids(w[1:] if w[:1] == "\x00" else " " + w) for w in new]
         if len(self.odd):
             for k, t in enumerate(texts):
@@ -215,9 +234,9 @@ class Encoder:
                     got.append(self.own.encode(t, add_special_tokens=False).ids)
         n = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum()))
-        starts, lengths, flat = np.r_[self.starts, len(self.flat) + np.cumsum(n) - n], np.r_[self.lengths, n], np.r_[self.flat, ids]
+        starts, lengths, flat = self.store.after(self.used, self.held + np.cumsum(n) - n, n, ids)
         if len(known) <= KEPT_WORDS and len(got) == len(new):
-            self.starts, self.lengths, self.flat = starts, lengths, flat
+            self.used, self.held = self.used + len(n), self.held + len(ids)
         else:
             for w in new:
                 del known[w]
@@ -259,10 +278,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, first: int, end_id:
         for batch in batches:
             arrow = batch.column(0).type
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                n, flat = own(texts[i : i + 500])
+            for i in range(0, len(texts), STEP):
+                n, flat = own(texts[i : i + STEP])
                 ends = np.cumsum(n)
-                names += keys[i : i + 500]
+                names += keys[i : i + STEP]
                 lengths.append(n + 1)
                 ids.append(np.insert(flat, ends, end_id))
                 held += int(ends[-1]) + len(n)
