@@ -40,6 +40,13 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: word frequencies of a slice's texts are all that is held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def keep_rows(docs: DataFrame, text_col: str, accept: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """The rows of docs, with all their columns, whose whole text the accepting function takes (a null text counts as empty).
 
@@ -50,7 +57,7 @@ def keep_rows(docs: DataFrame, text_col: str, accept: Callable[[], Callable[[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = accept()
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(good([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, keep_rows, ngram_ids
+from .common import WordTable, crc_mod, keep_rows, ngram_ids, small
 
 SIZES, BUCKETS = (1, 2, 3), 1 << 15
 #: The fitting sample: about so many documents of each language, of the most frequent languages.
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = predictor(model)
-        for batch in batches:
+        for batch in small(batches):
             langs, scores = own(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 

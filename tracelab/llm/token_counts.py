@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable
+from .common import WordTable, small
 
 #: Words whose piece counts a worker keeps.
 KEPT_WORDS = 400_000
@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_counter(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             freqs = [Counter(words_of(t)) for t in texts]
             known = pieces.of(set().union(*freqs))

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, keep_rows, ngram_ids
+from .common import WordTable, crc_mod, keep_rows, ngram_ids, small
 
 #: Character n-grams of a word, buckets of their embeddings, dimensions.
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 18, 8
 #: An n-gram is learnt if it stands in so many documents of the sample; others have no embedding. Small samples take less.
 LEAST_DOCS = 12
 #: At most so many labelled documents of each class are learnt from (the bound of the fitting sample).
-PER_CLASS = 2000
+PER_CLASS = 1200
 STEPS, BATCH, START = 160, 100, 100.0
 #: Step sizes and weight decays of the embeddings, the linear layer and its bias.
 RATES, DECAYS = (0.003, 0.5, 0.05), (0.1, 0.0, 0.0)
@@ -83,6 +83,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     ids, sizes, per_word = slots[ids[kept]], np.maximum(per_word, 1), np.bincount(np.repeat(np.arange(len(numbers)), per_word)[kept], minlength=len(numbers))
     begins = np.cumsum(per_word) - per_word
     target = np.eye(2)[np.array(labels)]
+    weight = (len(labels) / 2 / np.bincount(labels, minlength=2))[np.array(labels)]  # both classes weigh the same
     table, weights, bias = (rng.random((len(learnt), DIM)) - 0.5) / DIM / 100, rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     # the first dimension starts at the n-gram's log odds of the classes, less 2.5 standard errors
     of_class, yes, no = np.bincount(labels, minlength=2), toxic[learnt] + 0.5, (spread - toxic)[learnt] + 0.5
@@ -105,7 +106,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
             pooled = columns(doc, vectors[where] * share[:, None], len(batch))
             logits = pooled @ weights + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
-            g = (p / p.sum(1, keepdims=True) - target[batch]) / len(batch)
+            g = (p / p.sum(1, keepdims=True) - target[batch]) * weight[batch, None] / len(batch)
             to_words = columns(where, (g @ weights.T)[doc] * share[:, None], len(words)) / sizes[words][:, None]
             grads = [columns(sub, to_words[sub_of], len(table)), pooled.T @ g, g.sum(0)]
             step += 1
@@ -161,7 +162,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(model)
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own(batch.column(1).to_pylist()))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
