@@ -10,7 +10,7 @@ from tracelab.llm import langid, mixing, packing, simhash, toxicity
 from tracelab.llm.common import shared_path, table
 
 #: A document whose language is less likely than this is rejected.
-LEAST_LANGUAGE = 0.5
+LEAST_LANGUAGE = 0.35
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
