@@ -169,10 +169,43 @@ def test_links_of_near_fingerprints(spark, spread):
 
 def test_keep_one(spark, docs):
     kept = simhash.keep_one(docs).select("doc_id", "text").collect()
-    found = simhash.near_duplicates(docs, 5).collect()
+    found = simhash.near_duplicates(docs, 5, least=0.8).collect()
     assert len(kept) == len({r.component_id for r in found}) and {r.doc_id for r in kept} == {r.component_id for r in found}
 
 
+@pytest.mark.parametrize("small", [32, 3])
+def test_similar_texts(spark, monkeypatch, small):
+    """Edited copies, some in large buckets, against all pairs."""
+    rng = np.random.default_rng(small)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(40):
+        base = rng.choice(words, rng.integers(4, 160)).tolist()
+        texts.append(base)
+        for _ in range(rng.integers(0, 6)):
+            own = list(texts[-1] if rng.random() < 0.4 else base)
+            for at in rng.integers(0, len(own), rng.integers(1, 4)):
+                own[at] = "changed"
+            texts.append(own + rng.choice(words, rng.integers(0, 8)).tolist())
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) or {tuple(t.split())} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    monkeypatch.setattr(simhash, "SMALL", small)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, 5, least=0.8).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) < len(texts)
+
+
 def test_packing(docs):
     got = packing.pack(docs, shard_pieces=7).collect()
     assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").encode().split()) + 1 for r in rows())

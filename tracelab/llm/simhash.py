@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: Most differing bits of a link; the fingerprint's segments. Chains of k segments may differ in k * DISTANCE // SEGMENTS bits.
 DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
 #: Buckets up to this size compare all their pairs, larger ones go by leaders.
 SMALL = 32
+#: Least share of common shingles of similar texts, and the most bits in which their fingerprints differ: at 0.8 they differ in
+#: 10 bits with a standard deviation of 3, unrelated texts in 32.
+LEAST, WIDE = 0.8, 24
+#: Of large buckets of similar texts, members that all others are compared with first.
+LEADERS = 4
+#: Frequent shingles come last in the order of shingles. They are looked for in one text of HOT_SAMPLE; a shingle is frequent
+#: if HOT_TEXTS of these have it, and at most MOST_HOT (8 bytes each) are known. The links don't depend on these.
+HOT_SAMPLE, HOT_TEXTS, MOST_HOT = 32, 6, 200_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = np.arange(8, dtype=np.int64) * 256
@@ -38,6 +47,13 @@ def fingerprint_of(text: str, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes)).tobytes(), "big")
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct word shingles (fewer words: the whole sequence; none: an empty set)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    own = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in own), np.uint64, len(own)))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     """Columns id and fp (the fingerprint as a signed 64-bit number) of every row; a null text counts as empty."""
 
@@ -174,9 +190,156 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that stand in many different texts (columns digest, text)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 200):
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
+
+    some = texts.where(F.pmod("digest", F.lit(HOT_SAMPLE)) == 0).dropDuplicates(["digest"]).select("text")
+    hot = some.mapInArrow(spread, "key long").groupBy("key").count().where(F.col("count") >= HOT_TEXTS)
+    return np.sort(np.array([r.key for r in hot.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
+
+
+def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Per different text (columns digest, text): digest, fp, n (its shingles), and a row for each key of its head.
+
+    Shingles are ordered by hash, frequent ones last. Two texts that share `least` of their shingles share one of the first
+    n - ceil(least * n) + 1 of either: those are the head. This holds for any order that is the same for all texts.
+    """
+    hot = frequent_shingles(texts, shingle)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 500):
+            fps, sizes, keys = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = shingle_set(text, shingle)
+                late = np.isin(own, hot, assume_unique=True) if len(hot) else np.zeros(len(own), bool)
+                keys.append(np.r_[own[~late], own[late]][: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64))
+                fps.append(fingerprint_of(text, shingle))
+                sizes.append(len(own))
+            n = [len(k) for k in keys]
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32))]
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))], ["digest", "fp", "n", "key"])
+
+    return texts.dropDuplicates(["digest"]).mapInArrow(compute, "digest long, fp long, n int, key long")
+
+
+def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs to verify in all buckets (runs of equal keys, sorted by size and digest).
+
+    Pairs differ in fingerprint, by WIDE bits at most, and their sizes allow the similarity. Without roots, buckets over SMALL
+    compare their first members by fingerprint with all others; with roots, only those buckets are looked at, and all pairs
+    of members of different components are compared.
+    """
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[begins, len(keys)])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        x = fps[a] ^ fps[b]
+        ok = (x != 0) & (np.bitwise_count(x) <= WIDE) & (np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        if roots is not None:
+            ok &= roots[a] != roots[b]
+        left.append(a[ok])
+        right.append(b[ok])
+
+    for begin, count in zip(begins[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
+        run = np.arange(begin, begin + count)
+        if roots is None:
+            for a in run[np.argsort(fps[run], kind="stable")[:LEADERS]]:
+                add(np.full(count, a), run)
+        elif (roots[run] != roots[begin]).any():
+            for i in range(count - 1):
+                rest = run[i + 1 :]
+                # sizes ascend: those beyond the bound can't be similar
+                add(np.full(m := int(np.searchsorted(sizes[rest], sizes[run[i]] / least + 1e-9, "right")), run[i]), rest[:m])
+    if roots is None:
+        at = np.flatnonzero(np.repeat((counts > 1) & (counts <= SMALL), counts))
+        for lag in range(1, SMALL):
+            if not len(at := at[at + lag < len(keys)]) or not len(at := at[keys[at + lag] == keys[at]]):
+                break
+            add(at, at + lag)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates(rows: DataFrame, least: float) -> DataFrame:
+    """Columns a, b (digests), u, v (fingerprints) of the pairs to verify; rows have root where components are known."""
+    known = "root" in rows.columns
+    columns = ["key", "n", "digest", "fp", *(["root"] if known else [])]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: pa.Table) -> pa.RecordBatch:
+            keys, sizes, digests, fps, *root = (c.to_numpy() for c in held.columns)
+            a, b = similar_runs(keys, fps.view(np.uint64), sizes, root[0] if root else None, least)
+            order = digests[a] < digests[b]
+            a, b = np.where(order, a, b), np.where(order, b, a)
+            return pa.table({"a": digests[a], "b": digests[b], "u": fps[a], "v": fps[b]}).group_by(["a", "b", "u", "v"]).aggregate([]).combine_chunks()
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows:
+                keys = held.column(0).to_numpy()
+                done = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+                if done:
+                    yield from pairs(held.slice(0, done)).to_batches()
+                    held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from pairs(held).to_batches()
+
+    placed = rows.select(*columns).repartition("key").sortWithinPartitions("key", "n", "digest")
+    return placed.mapInArrow(find, "a long, b long, u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Columns u > v: the pairs whose texts share `least` of their distinct shingles."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = shingle_set(s, shingle), shingle_set(t, shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    pairs = written(pairs, "similar-candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    own = texts.join(asked, "digest", "left_semi").dropDuplicates(["digest"])
+    of = lambda side: own.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b").select("u", "v", "text_a", "text_b").mapInArrow(check, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def similar_links(docs: DataFrame, near: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
+    """Columns u > v: near (such links already) and the links between fingerprints of texts that share `least` of their
+    distinct shingles, as far as they join what isn't joined yet.
+
+    64 bits can't be searched at the distance of such texts, so candidates share a shingle of their heads. A bucket of
+    heads over SMALL first compares a few leaders; what is then still apart is compared pair by pair.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("digest"), text.alias("text"))
+    rows = written(heads(texts, shingle, least), "similar-heads")
+    near = written(near.unionByName(verified(candidates(rows, least), texts, shingle, least)).distinct(), "similar-links")
+    large = written(rows.groupBy("key").count().where(F.col("count") > SMALL).select("key"), "similar-large")
+    if large.isEmpty():
+        return near
+    roots = components(near)
+    again = rows.join(large, "key", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    return near.unionByName(verified(candidates(again, least), texts, shingle, least)).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """Per row: id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable over links.
 
+    Fingerprints link at DISTANCE or fewer differing bits. With `least`, those of texts that share this part of all their
+    distinct shingles link as well.
+
     Rows with equal fingerprints are grouped first and only distinct fingerprints are compared, so copies never meet in
     pairs; which fingerprints link is exact. Null and empty texts have fingerprint zero and link like any other. Repeated
     rows stay rows. Rows with a null id take part, but the component's id is the smallest id that isn't null (null if all
@@ -184,7 +347,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     """
     own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     groups = own.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = components(links(groups.select("fp")))
+    edges = links(groups.select("fp"))
+    linked = components(edges if least is None else similar_links(docs, edges, shingle, least, text_col))
     placed = groups.join(linked, groups["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = written(placed.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "components")
@@ -192,13 +356,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return own.join(labels, own["fp"] == labels["of"]).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component, the row with the smallest id stays, with all its columns.
+def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST) -> DataFrame:
+    """docs without near-duplicates: of each component (see near_duplicates), the row with the smallest id stays, with all
+    its columns.
 
     Rows that share that id (repeated rows, or a component without ids) are told apart by their text, of which the smallest
     stays, and exact repeats count once.
     """
-    found = near_duplicates(docs, shingle, id_col, text_col)
+    found = near_duplicates(docs, shingle, id_col, text_col, least)
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
     kept = written(kept, "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
