@@ -51,6 +51,20 @@ def test_token_output_round_trip(docs):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+@pytest.mark.parametrize("kept", [1_000_000, 50])
+def test_encoder_against_library(monkeypatch, kept):
+    """Random texts of awkward pieces, with cuts kept and not."""
+    monkeypatch.setattr(repair, "KEPT_WORDS", kept)
+    monkeypatch.setattr(repair, "TOGETHER", 7)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own, rng = Tokenizer.from_file(path), repair.Encoder(path), np.random.default_rng(3)
+    bits = [" ", " ", " ", "the", "wörd", "'s", "12", ".", "\n", "\n\n", "\t", "<|endoftext|>", "<|", "\u00a0", "\u0120x", "日本", "👍🏽", "\x00", "\r\n", "…", "\u2003", "A"]
+    for _ in range(6):
+        texts = ["".join(rng.choice(bits, rng.integers(0, 25)).tolist()) for _ in range(200)]
+        n, ids = own(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_shard_random_access():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 50, 400)

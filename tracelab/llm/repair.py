@@ -32,8 +32,10 @@ ROUNDS, PAIRS, LEAST = 5, 3000, 6
 SYMBOLS = 1 << 16
 #: Texts encoded together: what is met for the first time is encoded once for all of them.
 STEP = 2000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+#: Cuts whose ids a worker keeps.
+KEPT_WORDS = 1_000_000
+#: New cuts that the library encodes in one text.
+TOGETHER = 2000
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,46 +179,51 @@ class Encoder:
 
     A byte-level tokenizer starts a new pre-token at every space that stands before another character and isn't part of a
     run of white space. Texts are cut there; each distinct cut is encoded once per worker, up to KEPT_WORDS cuts are kept.
-    A new cut is split by the tokenizer's own pattern and its pieces go through the library's BPE model; a cut with special
-    strings or characters beyond the Latin blocks goes through the whole library. So does a text with a space before white
-    space or at its end.
+    New cuts are joined by spaces into texts for the library: no pre-token spans two of them, and the first id of each is
+    the only one that begins with a space. Cuts with special strings and heads of texts are encoded one by one, and so is a
+    whole text with a space before white space or at its end.
     """
 
     #: A cut (without its space) that can't be told apart from its neighbours.
     joined = re.compile(r"\s|$")
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.pieces, self.tokenize, self.by_piece = regex.compile(PATTERN).findall, self.own.model.tokenize, {}
-        # byte-level models spell a byte as itself where it prints, the others as characters from U+0100
-        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
+        vocabulary = self.own.get_vocab()
+        #: By id: whether it begins with a space, which byte-level models spell as U+0120.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
         self.known = Cuts()
         #: Where kept cuts end in the store: what a batch adds beyond that is overwritten by the next.
         self.store, self.used, self.held, self.odd = Store(), 0, 0, np.zeros(0, np.int64)
 
-    def ids(self, cut: str) -> list[int]:
-        if "<|" in cut or not (cut.isascii() or max(cut) < "\u0250"):
-            return self.own.encode(cut, add_special_tokens=False).ids
-        out = []
-        for piece in self.pieces(cut):
-            got = self.by_piece.get(piece)
-            if got is None:
-                if piece.isascii() and piece[1:].isalpha():
-                    spelt = piece.replace(" ", "\u0120").replace("\n", "\u010a")
-                else:
-                    spelt = piece.encode().decode("latin-1").translate(self.spelling)
-                got = [t.id for t in self.tokenize(spelt)]
-                if len(self.by_piece) < KEPT_WORDS:
-                    self.by_piece[piece] = got
-            out += got
-        return out
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encoded(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each cut, and all ids."""
+        n, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        alone = [i for i, w in enumerate(cuts) if w[:1] == "\x00" or "<|" in w or self.joined.match(w)]
+        begin = 0
+        for end in [*alone, len(cuts)]:
+            for i in range(begin, end, TOGETHER):
+                part = cuts[i : min(i + TOGETHER, end)]
+                got = self.ids(" " + " ".join(part))
+                counts = np.diff(np.r_[np.flatnonzero(self.spaced[got]), len(got)])
+                if len(counts) != len(part):
+                    raise ValueError("the tokenizer doesn't begin a token at each space")
+                n.append(counts)
+                ids.append(got)
+            if end < len(cuts):
+                w = cuts[end]
+                ids.append(self.ids(w[1:] if w[:1] == "\x00" else " " + w))
+                n.append(np.array([len(ids[-1])]))
+            begin = end + 1
+        return np.concatenate(n), np.concatenate(ids)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each text, and all ids."""
@@ -226,16 +233,16 @@ class Encoder:
         new = list(itertools.islice(reversed(known), len(known) - before))[::-1]
         odd = np.array([i for i, w in enumerate(new, before) if w[:1] != "\x00" and self.joined.match(w)], np.int64)
         self.odd = np.r_[self.odd, odd]
-        got = [self.ids(w[1:] if w[:1] == "\x00" else " " + w) for w in new]
+        n, ids = self.encoded(new)
+        whole = []
         if len(self.odd):
             for k, t in enumerate(texts):
                 if np.isin(index[k], self.odd).any():
-                    index[k] = np.array([before + len(got)])
-                    got.append(self.own.encode(t, add_special_tokens=False).ids)
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum()))
+                    index[k] = np.array([before + len(new) + len(whole)])
+                    whole.append(self.ids(t))
+            n, ids = np.r_[n, [len(x) for x in whole]].astype(np.int64), np.concatenate([ids, *whole])
         starts, lengths, flat = self.store.after(self.used, self.held + np.cumsum(n) - n, n, ids)
-        if len(known) <= KEPT_WORDS and len(got) == len(new):
+        if len(known) <= KEPT_WORDS and not whole:
             self.used, self.held = self.used + len(n), self.held + len(ids)
         else:
             for w in new:
