@@ -204,7 +204,8 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Per different text (columns digest, text): digest, fp, n (its shingles), and a row for each key of its head.
+    """Per different text (columns digest, text): digest, fp, n (its shingles), and a row for each key of its head with
+    rest, the number of the text's shingles from that key on.
 
     Shingles are ordered by hash, frequent ones last. Two texts that share `least` of their shingles share one of the first
     n - ceil(least * n) + 1 of either: those are the head. This holds for any order that is the same for all texts.
@@ -213,50 +214,59 @@ def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 500):
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, rests = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, shingle)
                 late = np.isin(own, hot, assume_unique=True) if len(hot) else np.zeros(len(own), bool)
                 keys.append(np.r_[own[~late], own[late]][: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64))
+                rests.append(len(own) - np.arange(len(keys[-1]), dtype=np.int32))
                 fps.append(fingerprint_of(text, shingle))
                 sizes.append(len(own))
             n = [len(k) for k in keys]
             take = pa.array(np.repeat(np.arange(len(n)), n))
             columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32))]
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))], ["digest", "fp", "n", "key"])
+            flat = [pa.array(np.concatenate([*rests, np.zeros(0, np.int32)])), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))]
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns), *flat], ["digest", "fp", "n", "rest", "key"])
 
-    return texts.dropDuplicates(["digest"]).mapInArrow(compute, "digest long, fp long, n int, key long")
+    return texts.dropDuplicates(["digest"]).mapInArrow(compute, "digest long, fp long, n int, rest int, key long")
 
 
-def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, rests: np.ndarray, roots: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs to verify in all buckets (runs of equal keys, sorted by size and digest).
 
-    Pairs differ in fingerprint, by WIDE bits at most, and their sizes allow the similarity. Without roots, buckets over SMALL
-    compare their first members by fingerprint with all others; with roots, only those buckets are looked at, and all pairs
-    of members of different components are compared.
+    Pairs differ in fingerprint, by WIDE bits at most. Texts of n and m shingles that are similar share
+    least / (1 + least) * (n + m) of them, and at the first key that they share, all of these are still to come in both: so
+    a pair is taken only where the rests of both are as large. That loses no pair, since every pair is looked at under each
+    key it shares. Without roots, buckets over SMALL compare a few leaders with all others, those first that have most of
+    their shingles still to come; with roots, only those buckets are looked at, and all pairs of members of different
+    components are compared.
     """
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[begins, len(keys)])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # the largest partner that the rest of a text allows
+    bound = (1 + least) / least * rests - sizes + 1e-6
 
     def add(a: np.ndarray, b: np.ndarray) -> None:
-        x = fps[a] ^ fps[b]
-        ok = (x != 0) & (np.bitwise_count(x) <= WIDE) & (np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        ok = (sizes[b] <= bound[a]) & (sizes[a] <= bound[b])
         if roots is not None:
             ok &= roots[a] != roots[b]
+        a, b = a[ok], b[ok]
+        x = fps[a] ^ fps[b]
+        ok = (x != 0) & (np.bitwise_count(x) <= WIDE)
         left.append(a[ok])
         right.append(b[ok])
 
     for begin, count in zip(begins[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
         run = np.arange(begin, begin + count)
         if roots is None:
-            for a in run[np.argsort(fps[run], kind="stable")[:LEADERS]]:
+            for a in run[np.lexsort((fps[run], -rests[run] / np.maximum(sizes[run], 1)))[:LEADERS]]:
                 add(np.full(count, a), run)
         elif (roots[run] != roots[begin]).any():
-            for i in range(count - 1):
-                rest = run[i + 1 :]
-                # sizes ascend: those beyond the bound can't be similar
-                add(np.full(m := int(np.searchsorted(sizes[rest], sizes[run[i]] / least + 1e-9, "right")), run[i]), rest[:m])
+            # sizes ascend: a text looks for partners from its own place up to its bound
+            upto = np.searchsorted(sizes[run], bound[run], "right")
+            for i in np.flatnonzero(upto > np.arange(1, count + 1)).tolist():
+                add(np.full(upto[i] - i - 1, run[i]), run[i + 1 : upto[i]])
     if roots is None:
         at = np.flatnonzero(np.repeat((counts > 1) & (counts <= SMALL), counts))
         for lag in range(1, SMALL):
@@ -269,12 +279,12 @@ def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, roots: np
 def candidates(rows: DataFrame, least: float) -> DataFrame:
     """Columns a, b (digests), u, v (fingerprints) of the pairs to verify; rows have root where components are known."""
     known = "root" in rows.columns
-    columns = ["key", "n", "digest", "fp", *(["root"] if known else [])]
+    columns = ["key", "n", "digest", "fp", "rest", *(["root"] if known else [])]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(held: pa.Table) -> pa.RecordBatch:
-            keys, sizes, digests, fps, *root = (c.to_numpy() for c in held.columns)
-            a, b = similar_runs(keys, fps.view(np.uint64), sizes, root[0] if root else None, least)
+            keys, sizes, digests, fps, rests, *root = (c.to_numpy() for c in held.columns)
+            a, b = similar_runs(keys, fps.view(np.uint64), sizes, rests, root[0] if root else None, least)
             order = digests[a] < digests[b]
             a, b = np.where(order, a, b), np.where(order, b, a)
             return pa.table({"a": digests[a], "b": digests[b], "u": fps[a], "v": fps[b]}).group_by(["a", "b", "u", "v"]).aggregate([]).combine_chunks()
