@@ -30,6 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has so many rows at most (some 16 MB); beyond that the
+    join is a shuffle, with the same result."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the value's text modulo mod (null stays null)."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import sized, small, written
 
 #: Most differing bits of a link; the fingerprint's segments. Chains of k segments may differ in k * DISTANCE // SEGMENTS bits.
 DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
@@ -277,17 +277,33 @@ def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, rests: np
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """Columns a, b (digests), u, v (fingerprints) of the pairs to verify; rows have root where components are known."""
+    """A row for each pair to verify: a, b (digests), u, v (fingerprints); rows have root where components are known.
+
+    Where they aren't, the members of buckets over SMALL are returned as well, for a later look: a (digest), u (fingerprint),
+    key, n, rest; b and v are null. So the heads are shuffled once.
+    """
     known = "root" in rows.columns
     columns = ["key", "n", "digest", "fp", "rest", *(["root"] if known else [])]
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "u", "v", "key")] + [("n", pa.int32()), ("rest", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(held: pa.Table) -> pa.RecordBatch:
+        def shaped(**own: np.ndarray) -> list[pa.RecordBatch]:
+            length = len(own["a"])
+            return pa.table([pa.array(own[f.name]) if f.name in own else pa.nulls(length, f.type) for f in schema], schema).to_batches()
+
+        def pairs(held: pa.Table) -> Iterator[pa.RecordBatch]:
             keys, sizes, digests, fps, rests, *root = (c.to_numpy() for c in held.columns)
             a, b = similar_runs(keys, fps.view(np.uint64), sizes, rests, root[0] if root else None, least)
             order = digests[a] < digests[b]
             a, b = np.where(order, a, b), np.where(order, b, a)
-            return pa.table({"a": digests[a], "b": digests[b], "u": fps[a], "v": fps[b]}).group_by(["a", "b", "u", "v"]).aggregate([]).combine_chunks()
+            # a pair that meets under many keys is told once
+            _, once = np.unique(np.stack([digests[a], digests[b]]), axis=1, return_index=True)
+            a, b = a[once], b[once]
+            yield from shaped(a=digests[a], b=digests[b], u=fps[a], v=fps[b])
+            if not known:
+                counts = np.diff(np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)])
+                big = np.repeat(counts > SMALL, counts)
+                yield from shaped(a=digests[big], u=fps[big], key=keys[big], n=sizes[big], rest=rests[big])
 
         held = None
         for batch in batches:
@@ -296,13 +312,13 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
                 keys = held.column(0).to_numpy()
                 done = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
                 if done:
-                    yield from pairs(held.slice(0, done)).to_batches()
+                    yield from pairs(held.slice(0, done))
                     held = held.slice(done)
         if held is not None and held.num_rows:
-            yield from pairs(held).to_batches()
+            yield from pairs(held)
 
     placed = rows.select(*columns).repartition("key").sortWithinPartitions("key", "n", "digest")
-    return placed.mapInArrow(find, "a long, b long, u long, v long").distinct()
+    return placed.mapInArrow(find, "a long, b long, u long, v long, key long, n int, rest int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -317,9 +333,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    pairs = written(pairs, "similar-candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    own = texts.join(asked, "digest", "left_semi").dropDuplicates(["digest"])
+    pairs = written(pairs.where("b is not null").select("a", "b", "u", "v").distinct(), "similar-candidates")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "similar-asked")
+    # few texts have a candidate: the others aren't moved while the list of these is short
+    own = texts.join(sized(asked), "digest", "left_semi").dropDuplicates(["digest"])
     of = lambda side: own.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}"))
     found = pairs.join(of("a"), "a").join(of("b"), "b").select("u", "v", "text_a", "text_b").mapInArrow(check, "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -334,13 +351,12 @@ def similar_links(docs: DataFrame, near: DataFrame, shingle: int, least: float,
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("digest"), text.alias("text"))
-    rows = written(heads(texts, shingle, least), "similar-heads")
-    near = written(near.unionByName(verified(candidates(rows, least), texts, shingle, least)).distinct(), "similar-links")
-    large = written(rows.groupBy("key").count().where(F.col("count") > SMALL).select("key"), "similar-large")
+    found = written(candidates(heads(texts, shingle, least), least), "similar-first")
+    near = written(near.unionByName(verified(found, texts, shingle, least)).distinct(), "similar-links")
+    large = found.where("b is null").select("key", "n", F.col("a").alias("digest"), F.col("u").alias("fp"), "rest")
     if large.isEmpty():
         return near
-    roots = components(near)
-    again = rows.join(large, "key", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    again = large.join(components(near), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     return near.unionByName(verified(candidates(again, least), texts, shingle, least)).distinct()
 
 
@@ -374,11 +390,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
     stays, and exact repeats count once.
     """
     found = near_duplicates(docs, shingle, id_col, text_col, least)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
-    kept = written(kept, "kept")
+    # ids of which no row is its component's least, or several are; one row of all others stays where it is read
+    kept = F.count_if(F.col(id_col).eqNullSafe(F.col("component_id")))
+    other = written(found.groupBy(F.col(id_col).alias("other")).agg(kept.alias("n")).where("n <> 1"), "not-kept-once")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")))
+    rows = rows.join(sized(other), F.col("id").eqNullSafe(F.col("other")), "left")
     again = rows.where("n > 1")
     first = again.groupBy(F.col("id").alias("of")).agg(F.min("text").alias("first"))
     again = again.join(first, F.col("id").eqNullSafe(F.col("of")) & (F.col("text") == F.col("first"))).dropDuplicates(["id"])
-    return rows.where("n = 1").select("row.*").unionByName(again.select("row.*"))
+    return rows.where("n is null").select("row.*").unionByName(again.select("row.*"))
