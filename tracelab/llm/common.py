@@ -46,7 +46,7 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices: word frequencies of a slice's texts are all that is held at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -76,7 +76,7 @@ class WordTable:
     worker (frequent words are met early); later words are computed once per batch. Memory is bounded by `keep`.
     """
 
-    def __init__(self, compute: Callable[[Sequence[str]], np.ndarray], keep: int = 300_000):
+    def __init__(self, compute: Callable[[Sequence[str]], np.ndarray], keep: int = 150_000):
         self.compute, self.keep, self.rows = compute, keep, {}
 
     def of(self, words: set[str]) -> dict:

@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_counter(tokenizer)
-        for batch in small(batches):
+        for batch in small(batches, 1000):
             texts = batch.column(1).to_pylist()
             freqs = [Counter(words_of(t)) for t in texts]
             known = pieces.of(set().union(*freqs))
