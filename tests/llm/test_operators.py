@@ -220,6 +220,22 @@ def test_similar_texts(spark, monkeypatch, small):
     assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) < len(texts)
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_similar_texts_with_repeats(spark, monkeypatch, small):
+    """Texts of the same distinct shingles, or nearly, whose fingerprints are far apart since one repeats a phrase."""
+    phrase = "again and again we say "
+    texts = []
+    for k in range(12):
+        base = " ".join(f"t{k}w{i}" for i in range(60)) + " "
+        texts += [base + phrase * 2, base + phrase * 120]
+    far = [k for k in range(0, len(texts), 2) if (simhash.fingerprint_of(texts[k], 5) ^ simhash.fingerprint_of(texts[k + 1], 5)).bit_count() > 24]
+    assert far
+    monkeypatch.setattr(simhash, "SMALL", small)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, 5, least=0.8).collect()}
+    assert all(got[k] == got[k + 1] for k in far)
+
+
 def test_packing(docs):
     got = packing.pack(docs, shard_pieces=7).collect()
     assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").encode().split()) + 1 for r in rows())

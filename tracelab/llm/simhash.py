@@ -17,9 +17,8 @@ from .common import sized, small, written
 DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
 #: Buckets up to this size compare all their pairs, larger ones go by leaders.
 SMALL = 32
-#: Least share of common shingles of similar texts, and the most bits in which their fingerprints differ: at 0.8 they differ in
-#: 10 bits with a standard deviation of 3, unrelated texts in 32.
-LEAST, WIDE = 0.8, 24
+#: Least share of common shingles of similar texts.
+LEAST = 0.8
 #: Of large buckets of similar texts, members that all others are compared with first.
 LEADERS = 4
 #: Frequent shingles come last in the order of shingles. They are looked for in one text of HOT_SAMPLE; a shingle is frequent
@@ -234,7 +233,8 @@ def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, rests: np.ndarray, roots: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs to verify in all buckets (runs of equal keys, sorted by size and digest).
 
-    Pairs differ in fingerprint, by WIDE bits at most. Texts of n and m shingles that are similar share
+    Pairs differ in fingerprint, in any number of bits: fingerprints weigh repeated shingles, so those of similar texts can
+    be far apart. Texts of n and m shingles that are similar share
     least / (1 + least) * (n + m) of them, and at the first key that they share, all of these are still to come in both: so
     a pair is taken only where the rests of both are as large. That loses no pair, since every pair is looked at under each
     key it shares. Without roots, buckets over SMALL compare a few leaders with all others, those first that have most of
@@ -252,8 +252,7 @@ def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, rests: np
         if roots is not None:
             ok &= roots[a] != roots[b]
         a, b = a[ok], b[ok]
-        x = fps[a] ^ fps[b]
-        ok = (x != 0) & (np.bitwise_count(x) <= WIDE)
+        ok = fps[a] != fps[b]
         left.append(a[ok])
         right.append(b[ok])
 
