@@ -187,6 +187,16 @@ def test_keep_one(spark, docs):
     assert len(kept) == len({r.component_id for r in found}) and {r.doc_id for r in kept} == {r.component_id for r in found}
 
 
+def test_keep_one_of_each_component(spark):
+    """Components without ids, and with ids that other components have as well."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    own = [(None, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["c"]), (None, text["c"] + " end"), (7, text["d"]), (7, text["e"]), (7, text["e"]), (None, text["e"] + " end"), (8, text["e"] + " end"), (9, text["f"])]
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(own, "doc_id long, text string")).collect()]
+    one = [r for r in kept if (r[1] or "").startswith("c")]
+    assert len(one) == 1 and one[0] in own
+    assert Counter(r for r in kept if r not in one) == Counter([(None, text["a"]), (None, text["b"]), (7, text["d"]), (7, text["e"]), (9, text["f"])])
+
+
 @pytest.mark.parametrize("small", [32, 3])
 def test_similar_texts(spark, monkeypatch, small):
     """Edited copies, some in large buckets, against all pairs."""

@@ -359,6 +359,19 @@ def similar_links(docs: DataFrame, near: DataFrame, shingle: int, least: float,
     return near.unionByName(verified(candidates(again, least), texts, shingle, least)).distinct()
 
 
+def _labelled(docs: DataFrame, shingle: int, id_col: str, text_col: str, least: float | None) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs: id, digest (of the text), fp. Per different fingerprint: of, root, component_id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest")).alias("key"), text.alias("text"))
+    own = written(fingerprints(keyed, "key", "text", shingle).select("id.id", "id.digest", "fp"), "fingerprints")
+    groups = own.groupBy("fp").agg(F.min("id").alias("least"))
+    edges = links(groups.select("fp"))
+    linked = components(edges if least is None else similar_links(docs, edges, shingle, least, text_col))
+    placed = groups.join(linked, groups["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own, written(placed.join(smallest, "root").select(F.col("fp").alias("of"), "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """Per row: id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable over links.
 
@@ -370,13 +383,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     rows stay rows. Rows with a null id take part, but the component's id is the smallest id that isn't null (null if all
     are). An empty table gives an empty result. Other columns are not carried.
     """
-    own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    groups = own.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = links(groups.select("fp"))
-    linked = components(edges if least is None else similar_links(docs, edges, shingle, least, text_col))
-    placed = groups.join(linked, groups["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = written(placed.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "components")
+    own, labels = _labelled(docs, shingle, id_col, text_col, least)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(labels, own["fp"] == labels["of"]).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
@@ -385,16 +392,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
     """docs without near-duplicates: of each component (see near_duplicates), the row with the smallest id stays, with all
     its columns.
 
-    Rows that share that id (repeated rows, or a component without ids) are told apart by their text, of which the smallest
-    stays, and exact repeats count once.
+    Components are told apart by their root, so those without ids, or with ids that others have as well, keep a row each. A
+    row without an id stays only where no row of its component has one. Rows of a component that share that id are told apart
+    by the 64-bit hash of their text, of which the smallest stays, and exact repeats count once.
     """
-    found = near_duplicates(docs, shingle, id_col, text_col, least)
-    # ids of which no row is its component's least, or several are; one row of all others stays where it is read
-    kept = F.count_if(F.col(id_col).eqNullSafe(F.col("component_id")))
-    other = written(found.groupBy(F.col(id_col).alias("other")).agg(kept.alias("n")).where("n <> 1"), "not-kept-once")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(sized(other), F.col("id").eqNullSafe(F.col("other")), "left")
-    again = rows.where("n > 1")
-    first = again.groupBy(F.col("id").alias("of")).agg(F.min("text").alias("first"))
-    again = again.join(first, F.col("id").eqNullSafe(F.col("of")) & (F.col("text") == F.col("first"))).dropDuplicates(["id"])
-    return rows.where("n is null").select("row.*").unionByName(again.select("row.*"))
+    own, labels = _labelled(docs, shingle, id_col, text_col, least)
+    # rows of one id and text are in one component
+    groups = own.groupBy("id", "digest").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.join(labels, groups["fp"] == labels["of"]).select("id", "digest", "root", "n"), "texts-of-ids")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    stays = (F.col("best.digest") == F.col("digest")) & F.col("best.id").eqNullSafe(F.col("id"))
+    # one row of all others stays where it is read
+    other = groups.join(best, "root").select(F.col("id").alias("of"), F.col("digest").alias("by"), stays.alias("stays"), "n")
+    other = written(other.where("n > 1 or not stays").drop("n"), "not-kept-once")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"))
+    rows = rows.join(sized(other), (F.col("digest") == F.col("by")) & F.col("id").eqNullSafe(F.col("of")), "left")
+    again = rows.where("stays").dropDuplicates(["id", "digest"])
+    return rows.where("stays is null").select("row.*").unionByName(again.select("row.*"))
