@@ -23,7 +23,7 @@ def samples(docs: DataFrame) -> DataFrame:
         F.format_string("doc_%d", "doc_id").alias("document_id"),
         F.format_string("doc_%d", F.col("doc_id") + 1).alias("neighbour"),
         F.col("lang").alias("language"),
-        F.substring(F.col("s")[0], 1, 400).alias("question"),
+        F.col("s")[0].alias("question"),
         "gold_text",
         F.col("gold_text").alias("reference_answer"),
     )
