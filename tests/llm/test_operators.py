@@ -362,6 +362,16 @@ def test_language_held_out(spark, docs):
     assert langid.reject(docs).columns == docs.columns
 
 
+def test_many_languages(spark):
+    """More languages than 64, each with its own letters."""
+    rng = np.random.default_rng(5)
+    own = [(14 * k + i, " ".join("".join(chr(0x4E00 + 20 * k + c) for c in rng.integers(0, 20, 4)) for _ in range(40)), f"l{k:02}") for k in range(70) for i in range(14)]
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()}
+    right = Counter(lang for i, _, lang in own if got[i] == lang)
+    assert len(right) == 70 and sum(right.values()) > 0.97 * len(own)
+    assert langid.fit(["aa bb", *["cc dd"] * 9], ["x", *["y"] * 9], seed=0).languages == ["x", "y"]
+
+
 def test_empty_tables(empty):
     path = public_tokenizers.path
     assert repair.token_output(empty, path("byte_bpe_50k.json")).count() == 0

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import WordTable, crc_mod, keep_rows, ngram_ids, small
 
 SIZES, BUCKETS = (1, 2, 3), 1 << 15
-#: The fitting sample: about so many documents of each language, of the most frequent languages.
-PER_LANGUAGE, LANGUAGES = 600, 64
+#: The fitting sample: about so many documents of each language; with many languages fewer of each, so that the sample has
+#: about so many documents, but never fewer than FEWEST of a language that has as many.
+PER_LANGUAGE, SAMPLE, FEWEST = 600, 38_400, 30
 #: Follow-the-regularised-leader: step, its smoothing, L1 and L2 penalties; passes, documents of a step.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 PASSES, BATCH = 3, 16
@@ -72,10 +73,15 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model | None:
     docs = [features(t) for t in texts]
     df = np.bincount(np.concatenate([d[0] for d in docs]), minlength=BUCKETS)
     idf = np.log((1 + len(docs)) / (1 + df)) + 1
-    target = np.eye(len(languages))[[languages.index(x) for x in langs]]
+    number = {x: k for k, x in enumerate(languages)}
+    code = np.array([number[x] for x in langs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs))
     held, learnt = order[: len(order) // HELD], order[len(order) // HELD :]
+    # a language whose documents are all held out gives one back
+    lost = np.flatnonzero(~np.isin(code[held], code[learnt]))
+    lost = lost[np.unique(code[held][lost], return_index=True)[1]]
+    held, learnt = np.delete(held, lost), np.r_[learnt, held[lost]]
     shape = (BUCKETS + 1, len(languages))  # the last row is the bias, always 1
     z, n = np.zeros(shape), np.zeros(shape)
 
@@ -95,7 +101,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model | None:
             w = leader(rows)
             logits = x @ w
             p = np.exp(logits - logits.max(1, keepdims=True))
-            g = x.T @ (p / p.sum(1, keepdims=True) - target[batch])
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(batch)), code[batch]] -= 1
+            g = x.T @ p
             sigma = (np.sqrt(n[rows] + g * g) - np.sqrt(n[rows])) / ALPHA
             z[rows] += g - sigma * w
             n[rows] += g * g
@@ -106,21 +114,24 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model | None:
         losses = {}
         for t in np.geomspace(0.05, 20, 80):
             model.temperature = float(t)
-            losses[float(t)] = -np.log(np.maximum((model.probabilities(sums) * target[held]).sum(1), 1e-12)).mean()
+            losses[float(t)] = -np.log(np.maximum(model.probabilities(sums)[np.arange(len(held)), code[held]], 1e-12)).mean()
         model.temperature = min(losses, key=losses.get)
     return model
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """The fitting sample: of each of the LANGUAGES most frequent languages, the documents whose ids hash below the share
-    that leaves about PER_LANGUAGE. Learnable: crc32 of the id's text modulo 5 is not 0, text and language not null."""
+    """The fitting sample: of each language, the documents whose ids hash below the share that leaves about PER_LANGUAGE,
+    or fewer where there are many languages. Learnable: crc32 of the id's text modulo 5 is not 0, text and language not null."""
     usable = docs.where((crc_mod(F.col(id_col), 5) != 0) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     if not counts:
         return [], []
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))]), F.col(lang_col))
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.where(place < share).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("id"), "id").limit(2 * PER_LANGUAGE * len(counts)).collect()
+    per = min(PER_LANGUAGE, max(FEWEST, SAMPLE // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per / r["count"])) for r in counts], "of string, share double")
+    usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = usable.join(F.broadcast(shares), F.col("lang") == F.col("of"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = usable.where(place < F.col("share")).select("id", "text", "lang").orderBy(F.xxhash64("id"), "id").limit(2 * per * len(counts)).collect()
     rows.sort(key=lambda r: str(r.id))
     return [r.text for r in rows], [r.lang for r in rows]
 
