@@ -164,7 +164,7 @@ def h1_healthy(spark, sf):
 
 def f_fault_injection(spark, sf):
     built = stored(traces.read(spark, sf), "traces")
-    own = [faults.inject(built, f, 5, "any").select("original_trace_id", "injected_fault", "injection_method", "expected_diagnosis") for f in faults.INJECTORS]
+    own = [faults.inject(built, f, language="any").select("original_trace_id", "injected_fault", "injection_method", "expected_diagnosis") for f in faults.INJECTORS]
     out = own[0]
     for x in own[1:]:
         out = out.unionByName(x)
@@ -172,7 +172,7 @@ def f_fault_injection(spark, sf):
 
 
 def a_controlled_failures(spark, sf):
-    return traces.controlled_failures(traces.read(spark, sf), count=10, rounds=200)
+    return traces.controlled_failures(traces.read(spark, sf))
 
 
 def _deltas(spark, sf):
