@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,22 @@ def sized(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def fitted(sample: DataFrame, fit: Callable[[Iterable[tuple]], Any]) -> Any:
+    """What `fit` makes of the rows of a bounded sample (tuples, in the order of the columns), in one task of an executor.
+
+    Rows are sorted by Spark and streamed, so `fit` holds only what it keeps of them; the model's bytes alone come to the
+    driver. A lost executor costs another run of the task, with the same rows in the same order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in small(batches, 64) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    # an empty table may have no partition at all
+    row = sample.repartition(1).sortWithinPartitions(*sample.columns).mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit(())
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the value's text modulo mod (null stays null)."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, keep_rows, ngram_ids, small
+from .common import WordTable, crc_mod, fitted, keep_rows, ngram_ids, small
 
 SIZES, BUCKETS = (1, 2, 3), 1 << 15
 #: The fitting sample: about so many documents of each language; with many languages fewer of each, so that the sample has
@@ -56,21 +56,27 @@ class Model:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A text's n-gram buckets and their shares of its n-grams."""
+    """A text's n-gram buckets and their shares of its n-grams, in 6 bytes for each."""
     words = Counter(letters(w) for w in text.split())
     words.pop("", None)
     ids, owner = ngram_ids(list(words), SIZES, BUCKETS, whole=False)
     counts = np.bincount(ids, np.fromiter(words.values(), float, len(words))[owner], minlength=BUCKETS)
     own = np.flatnonzero(counts)
-    return own, counts[own] / max(1.0, counts.sum())
+    return own.astype(np.uint16), (counts[own] / max(1.0, counts.sum())).astype(np.float32)
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model | None:
-    """Trains on all but a part of the sample and calibrates the temperature on that part. None without a language."""
+def fit(rows: Iterable[tuple[str, str]], seed: int = 3) -> Model | None:
+    """Trains on all but a part of the sample (text and language) and calibrates the temperature on that part.
+
+    A text is turned into its features as it comes, so no more than one text is held. None without a language.
+    """
+    docs, langs = [], []
+    for text, lang in rows:
+        docs.append(features(text))
+        langs.append(lang)
     languages = sorted(set(langs))
     if not languages:
         return None
-    docs = [features(t) for t in texts]
     df = np.bincount(np.concatenate([d[0] for d in docs]), minlength=BUCKETS)
     idf = np.log((1 + len(docs)) / (1 + df)) + 1
     number = {x: k for k, x in enumerate(languages)}
@@ -119,21 +125,24 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model | None:
     return model
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """The fitting sample: of each language, the documents whose ids hash below the share that leaves about PER_LANGUAGE,
-    or fewer where there are many languages. Learnable: crc32 of the id's text modulo 5 is not 0, text and language not null."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The fitting sample, columns id, text and lang: of each language, the documents whose ids hash below the share that
+    leaves about PER_LANGUAGE, or fewer where there are many languages; twice that many at most, the lowest first.
+
+    Learnable: crc32 of the id's text modulo 5 is not 0, text and language not null."""
     usable = docs.where((crc_mod(F.col(id_col), 5) != 0) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
-    if not counts:
-        return [], []
-    per = min(PER_LANGUAGE, max(FEWEST, SAMPLE // len(counts)))
+    per = min(PER_LANGUAGE, max(FEWEST, SAMPLE // max(1, len(counts))))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per / r["count"])) for r in counts], "of string, share double")
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    usable = usable.join(F.broadcast(shares), F.col("lang") == F.col("of"))
+    usable = usable.join(F.broadcast(shares), F.col("lang") == F.col("of"))  # one row for each language
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.where(place < F.col("share")).select("id", "text", "lang").orderBy(F.xxhash64("id"), "id").limit(2 * per * len(counts)).collect()
-    rows.sort(key=lambda r: str(r.id))
-    return [r.text for r in rows], [r.lang for r in rows]
+    return usable.where(place < F.col("share")).select("id", "text", "lang").orderBy(F.xxhash64("id"), "id", "text").limit(2 * per * len(counts))
+
+
+def model_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
+    """The model of the sample, fitted by an executor."""
+    return fitted(sample(docs, id_col, text_col, lang_col), lambda rows: fit((text, lang) for _, text, lang in rows))
 
 
 def predictor(model: Model | None) -> Callable[[list[str]], tuple[list[str], np.ndarray]]:
@@ -179,12 +188,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fits on the sample and predicts the language of every document."""
-    return predict(docs, fit(*sample(docs, id_col, text_col, lang_col)), id_col, text_col)
+    return predict(docs, model_of(docs, id_col, text_col, lang_col), id_col, text_col)
 
 
 def reject(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows that are `und` or whose language is less likely than `least`, all columns kept."""
-    model = fit(*sample(docs, id_col, text_col, lang_col))
+    model = model_of(docs, id_col, text_col, lang_col)
 
     def accept() -> Callable[[list[str]], np.ndarray]:
         own = predictor(model)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, keep_rows, ngram_ids, small
+from .common import WordTable, crc_mod, fitted, keep_rows, ngram_ids, small
 
 #: Character n-grams of a word, buckets of their embeddings, dimensions.
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 18, 8
@@ -51,19 +51,23 @@ class Model:
         return np.stack([part * real, real], axis=1)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
-    """Trains embeddings and softmax jointly by Adam on the cross-entropy of mini-batches of documents."""
+def fit(rows: Iterable[tuple[str, int]], seed: int = 5) -> Model:
+    """Trains embeddings and softmax jointly by Adam on the cross-entropy of mini-batches of documents (text and label).
+
+    A text is turned into the frequencies of its words as it comes, so no more than one text is held.
+    """
     rng = np.random.default_rng(seed)
-    if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS, np.int32), np.zeros((1, DIM)), np.zeros(DIM), 0.0 if not labels else (6.0 if labels[0] else -6.0))
     numbers: dict[str, int] = {}
-    docs = []
-    for text in texts:
+    docs, labels = [], []
+    for text, label in rows:
+        labels.append(label)
         freq: Counter = Counter()
         for w, n in Counter(text.split()).items():
             if plain := normal(w):
                 freq[numbers.setdefault(plain, len(numbers))] += n
         docs.append((np.fromiter(freq.keys(), np.int64, len(freq)), np.fromiter(freq.values(), float, len(freq))))
+    if len(set(labels)) < 2:
+        return Model(np.zeros(BUCKETS, np.int32), np.zeros((1, DIM)), np.zeros(DIM), 0.0 if not labels else (6.0 if labels[0] else -6.0))
     ids, owner = ngram_ids(list(numbers), SIZES, BUCKETS, whole=True)
     order = np.argsort(owner, kind="stable")
     ids, per_word = ids[order], np.bincount(owner, minlength=len(numbers))
@@ -117,19 +121,22 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return Model(slots, np.r_[table, np.zeros((1, DIM))], weights[:, 1] - weights[:, 0], float(bias[1] - bias[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """The fitting sample: of each class, the PER_CLASS learnable documents whose ids hash lowest.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The fitting sample, columns id, text and toxic: of each class, the PER_CLASS learnable documents whose ids hash lowest.
 
-    Learnable: crc32 of the id's text modulo 3 is not 1, and the label isn't null. Of repeated labels the higher counts.
+    Learnable: crc32 of the id's text modulo 3 is not 1, and neither label nor text is null. Of repeated labels the higher
+    counts, of repeated ids the smallest text.
     """
-    usable = labels.where((crc_mod(F.col(id_col), 3) != 1) & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
-    chosen: dict = {}
-    for c in (0, 1):
-        chosen.update((r.id, c) for r in usable.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS).collect())
-    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.where("text is not null").dropDuplicates(["id"]).collect() if chosen else []
-    rows.sort(key=lambda r: str(r.id))
-    return [r.text for r in rows], [chosen[r.id] for r in rows]
+    usable = labels.where((crc_mod(F.col(id_col), 3) != 1) & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
+    lowest = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("of"), "of").limit(PER_CLASS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(lowest(0).union(lowest(1))), F.col("id") == F.col("of"))  # 2 * PER_CLASS ids
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model:
+    """The model of the labelled sample, fitted by an executor."""
+    return fitted(labelled(docs, labels, id_col, text_col), lambda rows: fit((text, label) for _, text, label in rows))
 
 
 def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
@@ -173,12 +180,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fits on the labelled sample and scores all documents; without labels of both classes the score is constant."""
-    return score(docs, fit(*labelled(docs, labels, id_col, text_col)), threshold, id_col, text_col)
+    return score(docs, model_of(docs, labels, id_col, text_col), threshold, id_col, text_col)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic, all columns kept. The model is fitted as in toxicity()."""
-    model = fit(*labelled(docs, labels, id_col, text_col))
+    model = model_of(docs, labels, id_col, text_col)
 
     def accept() -> Callable[[list[str]], np.ndarray]:
         own = scorer(model)
