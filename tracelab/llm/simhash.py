@@ -21,6 +21,8 @@ SMALL = 32
 LEAST = 0.8
 #: Of large buckets of similar texts, members that all others are compared with first.
 LEADERS = 4
+#: Partners of a text that are compared with it in one task.
+RUN = 128
 #: Frequent shingles come last in the order of shingles. They are looked for in one text of HOT_SAMPLE; a shingle is frequent
 #: if HOT_TEXTS of these have it, and at most MOST_HOT (8 bytes each) are known. The links don't depend on these.
 HOT_SAMPLE, HOT_TEXTS, MOST_HOT = 32, 6, 200_000
@@ -190,20 +192,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted hashes of shingles that stand in many different texts (columns digest, text)."""
+    """Sorted hashes of shingles that stand in many different texts (columns digest, more, text)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 200):
             sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
 
-    some = texts.where(F.pmod("digest", F.lit(HOT_SAMPLE)) == 0).dropDuplicates(["digest"]).select("text")
+    some = texts.where(F.pmod("digest", F.lit(HOT_SAMPLE)) == 0).dropDuplicates(["digest", "more"]).select("text")
     hot = some.mapInArrow(spread, "key long").groupBy("key").count().where(F.col("count") >= HOT_TEXTS)
     return np.sort(np.array([r.key for r in hot.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
 
 def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Per different text (columns digest, text): digest, fp, n (its shingles), and a row for each key of its head with
+    """Per different text (columns digest, more, text): digest, fp, n (its shingles), and a row for each key of its head with
     rest, the number of the text's shingles from that key on.
 
     Shingles are ordered by hash, frequent ones last. Two texts that share `least` of their shingles share one of the first
@@ -227,7 +229,7 @@ def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
             flat = [pa.array(np.concatenate([*rests, np.zeros(0, np.int32)])), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))]
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns), *flat], ["digest", "fp", "n", "rest", "key"])
 
-    return texts.dropDuplicates(["digest"]).mapInArrow(compute, "digest long, fp long, n int, rest int, key long")
+    return texts.dropDuplicates(["digest", "more"]).select("digest", "text").mapInArrow(compute, "digest long, fp long, n int, rest int, key long")
 
 
 def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, rests: np.ndarray, roots: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -320,11 +322,68 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
     return placed.mapInArrow(find, "a long, b long, u long, v long, key long, n int, rest int")
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether each of 2 ** k ranges of hashes holds an odd number of the set's, as bits; about two to four ranges a hash."""
+    k = max(6, int(np.ceil(np.log2(max(1, 2 * len(own))))))
+    return np.packbits(np.bincount((own >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint8) & 1).tobytes()
+
+
+def odd_differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The number of ranges in which each pair's parities differ: never more than the hashes that one of both sets has alone,
+    since each of these turns one parity. Of different numbers of ranges the finer ones are joined in twos."""
+    out, sizes = np.zeros(len(a), np.int64), np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+        both = []
+        for values, size in ((a, la), (b, lb)):
+            x = np.frombuffer(b"".join(values[i] for i in at.tolist()), np.uint8).reshape(-1, size)
+            while x.shape[1] > min(la, lb):
+                bits = np.unpackbits(x, axis=1).reshape(len(x), -1, 2)
+                x = np.packbits(bits[:, :, 0] ^ bits[:, :, 1], axis=1)
+            both.append(x)
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(1)
+    return out
+
+
+def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b, u, v) with the values (columns digest, value) of both sides, value_a and value_b.
+
+    A digest with many partners is sent to several tasks, RUN partners each, so a hot text's pairs don't meet in one.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").count()
+    asked = written(asked.select("digest", F.ceil(F.col("count") / RUN).cast("int").alias("runs")), "similar-asked")
+    # few texts have a candidate: the others aren't moved while the list of these is short
+    listed = sized(asked)
+    own = values.join(listed, "digest").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
+    for side, other in (("a", "b"), ("b", "a")):
+        of = own.select(F.col("digest").alias(side), F.col("run").alias("at"), F.col("value").alias(f"value_{side}"))
+        placed = pairs.join(listed.withColumnRenamed("digest", side), side).withColumn("at", F.pmod(F.xxhash64(other), F.col("runs")).cast("int")).drop("runs")
+        pairs = placed.join(of, [side, "at"]).drop("at")
+    return pairs
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Columns u > v: the pairs whose texts share `least` of their distinct shingles."""
+    """Columns u > v: the pairs whose texts share `least` of their distinct shingles.
+
+    Sets of n and m shingles that are that similar differ in (n + m) * (1 - least) / (1 + least) of them at most. Pairs whose
+    parities differ in more are told apart by these (a few bits a shingle); the texts decide on the others.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 500):
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            values = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(values, ["n", "odd"])], ["digest", "value"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2000):
+            (n, a), (m, b) = (batch.column(k).flatten() for k in (4, 5))
+            most = (n.to_numpy() + m.to_numpy()) * (1 - least) / (1 + least) + 1e-6
+            near = odd_differences(a.to_pylist(), b.to_pylist()) <= most
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 200):
             good = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = shingle_set(s, shingle), shingle_set(t, shingle)
@@ -333,11 +392,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     pairs = written(pairs.where("b is not null").select("a", "b", "u", "v").distinct(), "similar-candidates")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "similar-asked")
-    # few texts have a candidate: the others aren't moved while the list of these is short
-    own = texts.join(sized(asked), "digest", "left_semi").dropDuplicates(["digest"])
-    of = lambda side: own.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}"))
-    found = pairs.join(of("a"), "a").join(of("b"), "b").select("u", "v", "text_a", "text_b").mapInArrow(check, "u long, v long")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "similar-sketched")
+    own = texts.join(sized(asked), "digest", "left_semi").dropDuplicates(["digest", "more"]).select("digest", "text")
+    sketches = written(own.mapInArrow(sketched, "digest long, value struct<n:int,odd:binary>"), "similar-parities")
+    columns = ["a", "b", "u", "v"]
+    pairs = beside(pairs, sketches).select(*columns, "value_a", "value_b").mapInArrow(likely, ", ".join(f"{c} long" for c in columns))
+    pairs = written(pairs.distinct(), "similar-likely")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "similar-read")
+    own = texts.join(sized(asked), "digest", "left_semi").dropDuplicates(["digest", "more"]).select("digest", F.col("text").alias("value"))
+    found = beside(pairs, own).select("u", "v", "value_a", "value_b").mapInArrow(check, "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -345,11 +408,11 @@ def similar_links(docs: DataFrame, near: DataFrame, shingle: int, least: float,
     """Columns u > v: near (such links already) and the links between fingerprints of texts that share `least` of their
     distinct shingles, as far as they join what isn't joined yet.
 
-    64 bits can't be searched at the distance of such texts, so candidates share a shingle of their heads. A bucket of
+    Texts are told apart by 64 bits of XXH64 and 32 of CRC. 64 bits can't be searched at the distance of such texts, so candidates share a shingle of their heads. A bucket of
     heads over SMALL first compares a few leaders; what is then still apart is compared pair by pair.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("digest"), text.alias("text"))
+    texts = docs.select(F.xxhash64(text).alias("digest"), F.crc32(text.cast("binary")).alias("more"), text.alias("text"))
     found = written(candidates(heads(texts, shingle, least), least), "similar-first")
     near = written(near.unionByName(verified(found, texts, shingle, least)).distinct(), "similar-links")
     large = found.where("b is null").select("key", "n", F.col("a").alias("digest"), F.col("u").alias("fp"), "rest")
