@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed stream of docs: a document stands in it as often as it is used, with the columns of documents."""
-    return mixing.mixed_documents(docs, max_repeats=2.0)
+    return mixing.mixed_documents(docs, max_repeats=1.05)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
