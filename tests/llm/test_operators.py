@@ -60,20 +60,51 @@ def test_encoder_against_library(monkeypatch, kept):
     library, own, rng = Tokenizer.from_file(path), repair.Encoder(path), np.random.default_rng(3)
     bits = [" ", " ", " ", "the", "wörd", "'s", "12", ".", "\n", "\n\n", "\t", "<|endoftext|>", "<|", "\u00a0", "\u0120x", "日本", "👍🏽", "\x00", "\r\n", "…", "\u2003", "A"]
     for _ in range(6):
-        texts = ["".join(rng.choice(bits, rng.integers(0, 25)).tolist()) for _ in range(200)]
+        texts = ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 25))) for _ in range(200)]
+        assert any(" \x00" in t for t in texts)
         n, ids = own(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_shard_random_access():
+def test_encoder_with_other_tokenizers():
+    """One that drops spaces can't be cut at them: every text is encoded whole."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), repair.Encoder(path)
+    texts = ["a \x00b", "Some words here, 12 of them", "", " x ", "some words here"]
+    n, ids = own(texts)
+    assert own.whole and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("first", [50_257, 40, 100_000])
+def test_shard_random_access(first):
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 50, 400)
+    lengths[7] = 3000
     ids = rng.choice(40, lengths.sum(), p=np.arange(40, 0, -1) / 820).astype(np.uint32)
-    image = repair.pack_shard(ids, lengths, 50_257)
+    image = repair.pack_shard(ids, lengths, first)
     back, tokens = repair.unpack_shard(image)
-    assert (back == ids).all() and len(repair.parts(image)[0]) > 0
+    left, right, rule_lengths, _, _, symbols, _ = repair.parts(image)
+    assert (back == ids).all() and len(left) > 0
+    # what rules cost is less than what they save
+    size = symbols.itemsize
+    assert size * (len(symbols) + 2 * len(left)) + 4 * len(left) < 0.85 * size * len(ids)
     for k in (0, 7, 399):
-        assert (repair.unpack_document(image, k) == ids[tokens[k] : tokens[k + 1]]).all()
+        own = ids[tokens[k] : tokens[k + 1]]
+        assert (repair.unpack_document(image, k) == own).all()
+        for start, stop in [(0, 1), (len(own) // 2, len(own) // 2 + 9), (len(own) - 1, None), (5, 5), (0, 10**6), (-3, None)]:
+            assert (repair.unpack_document(image, k, start, stop) == own[start:stop]).all()
+
+
+def test_grammar_is_finished(monkeypatch):
+    """No pair that pays for a rule is left, also where more pairs tie than a round takes."""
+    monkeypatch.setattr(repair, "PAIRS", 50)
+    own = np.random.default_rng(1).permutation(2000)
+    ids = np.concatenate([np.r_[own, 0]] * 9).astype(np.uint32)
+    ends = np.zeros(len(ids), bool)
+    ends[2000::2001] = True
+    left, right, lengths, s, ends = repair.repair(ids, ends, 50_257)
+    counts = Counter((a, b) for a, b, e in zip(s[:-1].tolist(), s[1:].tolist(), ends[:-1].tolist(), strict=True) if not e)
+    assert max(counts.values(), default=0) < repair.LEAST and len(s) < 200 and lengths.max() > 100
 
 
 def test_token_counts(docs):
@@ -246,6 +277,20 @@ def test_similar_texts_with_repeats(spark, monkeypatch, small):
     assert all(got[k] == got[k + 1] for k in far)
 
 
+def test_parities_never_tell_similar_sets_apart():
+    """The parities differ in no more places than the sets, of any sizes; sets that are far apart are told so."""
+    rng = np.random.default_rng(6)
+    pairs = []
+    for n in (0, 1, 5, 40, 400, 3000):
+        for share in (0.0, 0.02, 0.1, 0.5, 1.0):
+            x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            pairs.append((x, np.unique(np.r_[x[rng.random(len(x)) >= share], rng.integers(0, 2**64, int(share * n * 1.3), np.uint64)])))
+    told = simhash.odd_differences([simhash.parities(x) for x, _ in pairs], [simhash.parities(y) for _, y in pairs])
+    for (x, y), n in zip(pairs, told.tolist(), strict=True):
+        alone = len(np.setxor1d(x, y))
+        assert n <= alone and (alone < 200 or n > 0.3 * alone)
+
+
 def test_packing(docs):
     got = packing.pack(docs, shard_pieces=7).collect()
     assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").encode().split()) + 1 for r in rows())
@@ -295,38 +340,94 @@ def test_mixing(spark, docs):
         assert end - stream[-1].n_tokens < total * want[s] <= end + 1e-3
         full = [r.doc_id for r in stream if r.repeat == 0]
         assert len(set(full)) == len(full)
-    flat = mixing.mix(documents, target_entropy=3.2, max_repeats=None).collect()
-    w = {r.source: r.weight for r in flat}
-    assert -sum(x * np.log(x) for x in w.values()) == pytest.approx(min(np.log(len(tokens)), 3.2), abs=0.15)
     odd = mixing.mix(docs, max_repeats=2.0).collect()
     assert {r.source for r in odd} == {"a", "b", None}
+
+
+@pytest.mark.parametrize("target", [0.3, 1.1, 1.31, 1.38])
+def test_mixing_to_an_entropy(spark, target):
+    """Exponents below and above 1 against a plain bisection; sources of 1000, 500, 250 and 250 tokens have 1.21 nats at 1."""
+    sizes = {"a": 1000, "b": 500, "c": 250, None: 250}
+    own = [(i, "w " * (n // 10 - 1), s) for s, n in sizes.items() for i in range(10)]
+    low, high = 0.0, 64.0
+
+    def weights(a):
+        p = {s: (n / 1000) ** a for s, n in sizes.items()}
+        return {s: x / sum(p.values()) for s, x in p.items()}
+
+    entropy = lambda w: -sum(x * np.log(x) for x in w.values() if x)
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if entropy(weights(mid)) <= target else (mid, high)
+    got = mixing.mix(spark.createDataFrame(own, "doc_id long, text string, source string"), target_entropy=target, max_repeats=None).collect()
+    found = {r.source: r.weight for r in got}
+    assert entropy(found) == pytest.approx(target, abs=1e-6)
+    assert found == pytest.approx(weights(high), abs=1e-6) and (high > 1) == (target < 1.2)
+
+
+def test_mixing_out_of_reach(spark):
+    frame = spark.createDataFrame([(0, "a b", "x"), (1, "a b", "y"), (2, "a b c d e", "z")], "doc_id long, text string, source string")
+    for how in ({"target_entropy": 1.2}, {"target_entropy": -0.1}, {"max_repeats": 1.5, "budget": 1000}):
+        with pytest.raises(ValueError):
+            mixing.mix(frame, **{"max_repeats": None} | how)
+
+
+def test_mixed_documents(spark, docs):
+    """Rows that share id and text, in several tasks, divide their uses evenly; nothing else is used more or less."""
+    same = [(5, "one two three", "a")] * 40 + [(None, "four five", "b")] * 30 + [(None, "six", "b")] * 7 + [(i, f"word {i}", "c") for i in range(6, 20)]
+    frame = spark.createDataFrame(same, "doc_id long, text string, source string").repartition(5)
+    uses = Counter((r.doc_id, r.n_tokens) for r in mixing.mix(frame, max_repeats=1.4).collect())
+    got = Counter((r.doc_id, len(r.text.split()) + 1) for r in mixing.mixed_documents(frame, max_repeats=1.4).collect())
+    assert uses == got and {v for k, v in uses.items() if k[0] == 5}.isdisjoint({40})
     used = mixing.mixed_documents(docs, max_repeats=2.0)
-    assert used.columns == docs.columns and used.count() == len(odd)
+    assert used.columns == docs.columns and used.count() == mixing.mix(docs, max_repeats=2.0).count()
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block", [4096, 64])
+def test_neighbours(spark, monkeypatch, block):
+    """Against all pairs: equal vectors, repeated ids, another dimension, and rows that take no part."""
+    monkeypatch.setattr(ivfpq, "BLOCK", block)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16))
     x[100:300] = x[100]
-    data = [(i, v.tolist()) for i, v in enumerate(x)]
-    data += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [1.0, None] * 8), (None, [1.0] * 16), (1080, [1.0, 2.0]), (20, (x[20] + 9).tolist())]
-    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    data = [(i, v.tolist(), "a", 1.5) for i, v in enumerate(x)]
+    data += [(20, (x[20] + 9).tolist(), "b", 0.0), (40, x[40].tolist(), "c", 0.0), *[(3000 + i, [float(i), 2.0], "d", 0.0) for i in range(30)]]
+    odd = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [1.0, None] * 8), (None, [1.0] * 16), (1080, [])]
+    frame = spark.createDataFrame([*data, *[(*r, "e", None) for r in odd]], "vec_id long, embedding array<double>, id string, score double")
     got = defaultdict(list)
     for r in ivfpq.search(frame).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 600, 20))
-    x[20] = min(x[20].tolist(), (x[20] + 9).tolist())
+        got[r.query_id, r.query_row].append((r.rank, r.vec_id, r.score))
+    assert Counter(q for q, _ in got) == Counter(r[0] for r in data if r[0] % 20 == 0)
+    want = defaultdict(list)
+    for k, (i, v, *_) in enumerate(data):
+        if i % 20 == 0:
+            others = [(-float(np.dot(v, w)), j) for m, (j, w, *_) in enumerate(data) if m != k and len(w) == len(v)]
+            want[i].append(sorted(others)[:20])
     hits = 0
-    for q, found in got.items():
-        scores = x @ x[q]
-        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:20]
+    for (q, _), found in got.items():
         found.sort()
         assert [r for r, *_ in found] == list(range(1, 21))
         assert found == sorted(found, key=lambda f: (-round(f[2], 9), f[1]))
-        hits += len({i for _, i, _ in found} & {i for _, i in best})
+        hits += max(len({i for _, i, _ in found} & {i for _, i in best}) for best in want[q])
     assert hits >= 0.9 * 20 * len(got)
     alone = ivfpq.search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 0.0])], "vec_id long, embedding array<float>")).collect()
-    assert [tuple(r) for r in alone] == [(0, 1, 1, 2.0)]
+    assert [tuple(r)[:4] for r in alone] == [(0, 1, 1, 2.0)]
+
+
+def test_neighbours_recall(spark):
+    """Recall over whole tables, with the parameters of the query."""
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    data = sorted((r.vec_id, r.embedding) for r in vectors.select("vec_id", "embedding").collect())
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data], np.float64)
+    got = defaultdict(set)
+    for r in ivfpq.search(vectors).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[k]
+        scores[k] = -np.inf
+        hits += len(got[int(ids[k])] & set(ids[np.argsort(-scores, kind="stable")[:20]].tolist()))
+    assert hits >= 0.93 * 20 * (ids % 20 == 0).sum() and all(len(v) == 20 for v in got.values())
 
 
 def test_toxicity_held_out(spark):
@@ -369,7 +470,7 @@ def test_many_languages(spark):
     got = {r.doc_id: r.lang_pred for r in langid.language_id(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()}
     right = Counter(lang for i, _, lang in own if got[i] == lang)
     assert len(right) == 70 and sum(right.values()) > 0.97 * len(own)
-    assert langid.fit(["aa bb", *["cc dd"] * 9], ["x", *["y"] * 9], seed=0).languages == ["x", "y"]
+    assert langid.fit([("aa bb", "x"), *[("cc dd", "y")] * 9], seed=0).languages == ["x", "y"]
 
 
 def test_empty_tables(empty):

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import fitted, written
 
-#: Vectors that centroids and codebooks are fitted on (those whose ids hash lowest), and rounds of k-means.
-SAMPLE, ROUNDS = 8192, 8
-#: Coarse centroids, parts of a vector, centroids of a part.
-CELLS, PARTS, CODES = 32, 16, 256
+#: Vectors of a dimension that centroids and codebooks are fitted on (those that hash lowest), and rounds of k-means.
+SAMPLE, ROUNDS = 16_384, 8
+#: Coarse centroids are the root of the number of vectors, within these bounds; parts of a vector, centroids of a part.
+CELLS, PARTS, CODES = (16, 1024), 16, 256
 #: Probed cells are as many as find this share of the sample's own true neighbours.
 TARGET = 0.97
-#: Candidates that a block reranks exactly for a query; rows of a block of a cell, and of a block of a cell's queries.
-RERANK, BLOCK = 60, 4096
+#: Candidates that a block reranks exactly for a query, rows of a block, and queries that are compared with it together.
+RERANK, BLOCK, ASKED = 60, 4096, 256
+FOUND = "query_id long, query_row long, vec_id long, score double"
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -57,114 +57,188 @@ class Index:
         codes = np.stack([nearest(part, book) for part, book in zip(np.array_split(residual, len(self.books), axis=1), self.books, strict=True)], axis=1)
         return cell, codes.astype(np.uint8)
 
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """The cells that each query probes."""
+        near = q @ self.cells.T
+        return np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes]
+
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Asymmetric tables: for each part, the inner products of the queries' parts with the part's codebook."""
         return [part @ book.T for part, book in zip(np.array_split(q, len(self.books), axis=1), self.books, strict=True)]
 
 
-def fit(sample: np.ndarray, top: int = 20, seed: int = 11) -> Index:
+def fit(rows: Iterable[tuple[list[float]]], cells: int, top: int = 20, seed: int = 11) -> Index:
     """Centroids and codebooks of a sample; probes by the sample's own neighbours, found exactly."""
     rng = np.random.default_rng(seed)
-    cells = kmeans(sample, CELLS, rng)
-    cell = nearest(sample, cells)
-    residual = sample - cells[cell]
+    sample = np.array([v for (v,) in rows], np.float64)
+    coarse = kmeans(sample, cells, rng)
+    cell = nearest(sample, coarse)
+    residual = sample - coarse[cell]
     books = [kmeans(part, CODES, rng) for part in np.array_split(residual, min(PARTS, sample.shape[1]), axis=1)]
     asked = rng.choice(len(sample), min(400, len(sample)), replace=False)
     scores = sample[asked] @ sample.T
     scores[np.arange(len(asked)), asked] = -np.inf
     k = min(top, len(sample) - 1)
     if k < 1:
-        return Index(cells, books, len(cells))
+        return Index(coarse, books, len(coarse))
     found = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(sample[asked] @ cells.T), axis=1), axis=1)
+    place = np.argsort(np.argsort(-(sample[asked] @ coarse.T), axis=1), axis=1)
     places = np.take_along_axis(place, cell[found], axis=1).ravel()
     probes = int(np.quantile(places, TARGET, method="higher")) + 1
-    return Index(cells, books, min(probes, len(cells)))
+    return Index(coarse, books, min(probes, len(coarse)))
+
+
+class Block:
+    """The stored vectors of a block, sorted by cell and id: equal ones count as one candidate."""
+
+    def __init__(self, index: Index, rows: pa.Table):
+        self.index = index
+        cells, self.rows, self.ids = (rows.column(c).to_numpy() for c in ("cell", "row", "id"))
+        raw = rows.column("v").to_pylist()
+        _, first, of = np.unique(np.array(raw, dtype=np.dtype((np.void, len(raw[0])))), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        self.members = np.argsort(np.argsort(order)[of], kind="stable")
+        self.sizes = np.bincount(of)[order]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        first = first[order]
+        self.vectors = np.frombuffer(b"".join(raw[i] for i in first.tolist()), np.float64).reshape(len(first), -1)
+        codes = rows.column("codes").to_pylist()
+        self.codes = np.frombuffer(b"".join(codes[i] for i in first.tolist()), np.uint8).reshape(len(first), -1)
+        cells = cells[first]
+        begins = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]).tolist()
+        self.runs = list(zip(cells[begins].tolist(), begins, [*begins[1:], len(cells)], strict=True))
+
+    def candidates(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the vectors of its probed cells that are nearest by the tables, and their exact inner products (-inf
+        where there are fewer)."""
+        index, count = self.index, len(self.vectors)
+        probed = np.zeros((len(q), len(index.cells)), bool)
+        np.put_along_axis(probed, index.probed(q), True, axis=1)
+        tables, near = index.tables(q), np.full((len(q), count), -np.inf)
+        for cell, a, b in self.runs:
+            asked = np.flatnonzero(probed[:, cell])
+            if len(asked):
+                own = np.repeat((q[asked] @ index.cells[cell])[:, None], b - a, axis=1)
+                for m, table in enumerate(tables):
+                    own += table[asked][:, self.codes[a:b, m]]
+                near[asked, a:b] = own
+        keep = min(RERANK, count)
+        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+        exact = (q[:, None, :] * self.vectors[best]).sum(2)
+        exact[np.take_along_axis(near, best, axis=1) == -np.inf] = -np.inf
+        return best, exact
+
+    def answer(self, asked: pa.RecordBatch, top: int) -> pa.RecordBatch:
+        """The block's `top` nearest of each query."""
+        q = np.frombuffer(b"".join(asked.column("v").to_pylist()), np.float64).reshape(asked.num_rows, -1)
+        best, exact = self.candidates(q)
+        queries, found, scores = [], [], []
+        for k, row in enumerate(asked.column("row").to_pylist()):
+            pairs = []
+            for i in np.argsort(-exact[k], kind="stable")[: top + 1].tolist():
+                if exact[k, i] == -np.inf:
+                    break
+                c = best[k, i]
+                members = self.members[self.begins[c] : self.begins[c] + min(self.sizes[c], top + 1)]
+                pairs += [(-exact[k, i], self.ids[j], j) for j in members.tolist() if self.rows[j] != row]
+            pairs = sorted(pairs)[:top]
+            queries += [k] * len(pairs)
+            found += [j for *_, j in pairs]
+            scores += [-s for s, *_ in pairs]
+        own = asked.select(["id", "row"]).take(pa.array(queries, pa.int64()))
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(self.ids[found]), pa.array(scores, pa.float64())], ["query_id", "query_row", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by `every`: its `top` nearest other rows by inner product.
 
-    Result: query_id, rank (from 1), vec_id and score (the inner product of the original vectors in double precision), nearest
-    first, ties to the smaller id. Every vector is in the index and can be found; how many cells a query probes follows
-    from the sample. A cell is stored in blocks of about BLOCK rows and its queries in blocks as well, so a cell that holds
-    a third of all vectors is many tasks of bounded size. In a block, equal vectors count as one candidate, which then stands
-    for its smallest ids.
-
-    Null vectors, vectors with null or non-finite components, zero vectors, null ids, and vectors whose dimension isn't the
-    most frequent one take no part. Of repeated ids the smallest vector counts. With fewer candidates than `top` all
-    that the probed cells hold are returned. An empty table gives an empty result. Other columns are not carried.
+    Result: query_id, rank (from 1), vec_id, score (the inner product of the original vectors in double precision), nearest
+    first, ties to the smaller id, and query_row, a number of the asking row. Every vector is in the index and can be found;
+    how many cells a query probes follows from the sample. Cells are stored in blocks of about BLOCK rows: small cells share
+    a block, one that holds a third of all vectors has many. A stored vector moves once; a query moves once to each block
+    that has a cell that it probes, and queries stream past the block, so a task holds one block and one batch. In a block,
+    equal vectors count as one candidate, which then stands for its smallest ids.
+
+    Null vectors, vectors with null or non-finite components, zero and empty vectors and null ids take no part. Rows of one
+    id are rows of their own, as queries (told apart by query_row) and as candidates. A vector is compared with those of its
+    dimension, which have an index of their own. With fewer candidates than `top`, all that the probed cells hold are
+    returned. An empty table gives an empty result. Other columns are not carried.
     """
     values = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & values.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(values, lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes["d"]
-    rows = rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    index = fit(np.array([r.v for r in sorted(picked)], np.float64), top)
+    found = vectors.sparkSession.createDataFrame([], FOUND)
+    for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # one row for each dimension
+        found = found.unionByName(neighbours(rows.where(F.size("v") == r["d"]), r["d"], r["count"], top, every))
+    rank = F.row_number().over(Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score", "query_row")
+
+
+def neighbours(rows: DataFrame, dim: int, count: int, top: int, every: int) -> DataFrame:
+    """Columns of FOUND: the nearest of each query in each block; rows (id, v) have `count` vectors of dimension dim."""
+    sample = rows.orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).select("v")
+    cells = min(CELLS[1], max(CELLS[0], 2 ** round(np.log2(count) / 2)))
+    index = fitted(sample, lambda own: fit(own, cells, top))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
+                x = np.asarray(batch.column(2).flatten()).reshape(-1, dim)
                 cell, codes = index.encode(x)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "cell", "codes", "v"]
-                )
+                own = [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["row", "id", "cell", "codes", "v"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
-                cells = np.argsort(-(q @ index.cells.T), axis=1, kind="stable")[:, : index.probes].astype(np.int32)
-                take = pa.array(np.repeat(np.arange(len(q)), index.probes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(cells.ravel()), batch.column(1).take(take)], ["id", "cell", "v"])
-
-    stored = written(rows.mapInArrow(encode, "id long, cell int, codes binary, v binary"), "ivf-index")
-    asked = stored.where(F.col("id") % every == 0).select("id", "v").mapInArrow(probe, "id long, cell int, v binary")
-    counts = [0] * len(index.cells)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "v")
+    stored = written(numbered.mapInArrow(encode, "row long, id long, cell int, codes binary, v binary"), "ivf-index")
+    sizes = np.zeros(len(index.cells), np.int64)
     for r in stored.groupBy("cell").count().collect():  # one row for each cell
-        counts[r["cell"]] = r["count"]
-    n_asked = stored.where(F.col("id") % every == 0).count()
-    blocks = F.element_at(F.lit([max(1, -(-n // BLOCK)) for n in counts]), F.col("cell") + 1)
-    asked_blocks = max(1, -(-n_asked // BLOCK))
-    left = stored.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
-    right = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(asked_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
-
-    def compare(key: tuple, have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if have.empty or want.empty:
-            return empty
-        have = have.sort_values("id", kind="stable")
-        ids, raw = have["id"].to_numpy(np.int64), have["v"].to_numpy()
-        copies: dict[bytes, list[int]] = {}
-        for i, v in enumerate(raw):
-            copies.setdefault(v, []).append(i)
-        firsts = np.fromiter((c[0] for c in copies.values()), np.int64, len(copies))
-        stacks = list(copies.values())
-        x = np.frombuffer(b"".join(raw[firsts]), np.float64).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(have["codes"].to_numpy()[firsts]), np.uint8).reshape(len(firsts), -1)
-        keep = min(RERANK, len(firsts))
-        parts = []
-        for at in range(0, len(want), 512):
-            some = want.iloc[at : at + 512]
-            q = np.frombuffer(b"".join(some["v"]), np.float64).reshape(-1, dim)
-            near = np.repeat((q @ index.cells[int(key[0])])[:, None], len(firsts), axis=1)
-            for m, table in enumerate(index.tables(q)):
-                near += table[:, codes[:, m]]
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-            exact = np.einsum("qd,qkd->qk", q, x[best])
-            for query, candidates, scores in zip(some["id"], best, exact, strict=True):
-                order = np.argsort(-scores, kind="stable")[: top + 1]
-                pairs = [(-scores[k], int(ids[i])) for k in order for i in stacks[candidates[k]][: top + 1] if ids[i] != query]
-                parts += [(query, i, -s) for s, i in sorted(pairs)[:top]]
-        return pd.DataFrame(parts, columns=["query_id", "vec_id", "score"]) if parts else empty
-
-    found = left.groupBy("cell", "block", "part").cogroup(right.groupBy("cell", "block", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        sizes[r["cell"]] = r["count"]
+    # large cells have blocks of their own, small ones fill blocks in turn
+    blocks = np.maximum(1, -(-sizes // BLOCK))
+    first, at, held = np.zeros(len(sizes), np.int64), -1, BLOCK
+    for c, n in enumerate(sizes.tolist()):
+        if n > BLOCK or held + n > BLOCK:
+            first[c], held = at + 1, n if n <= BLOCK else BLOCK
+            at += int(blocks[c])
+        else:
+            first[c], held = at, held + n
 
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ASKED):
+                some = batch.slice(i, ASKED)
+                q = np.frombuffer(b"".join(some.column(2).to_pylist()), np.float64).reshape(-1, dim)
+                own = [np.unique(gathered(first[c], blocks[c])) for c in index.probed(q)]
+                take = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(c.take(take) for c in some.columns)], ["block", "row", "id", "v"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for batch in batches:
+            at, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (asks[1:] != asks[:-1])][: len(at)]).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                if at[a] != now:
+                    now, held, block = at[a], [], None
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                elif held:
+                    block = block or Block(index, pa.Table.from_batches(held))
+                    for i in range(a, b, ASKED):
+                        yield block.answer(batch.slice(i, min(ASKED, b - i)), top)
+
+    array = lambda xs: F.lit([int(x) for x in xs])
+    of = lambda xs: F.element_at(array(xs), F.col("cell") + 1).cast("long")
+    left = stored.withColumn("block", of(first) + F.pmod(F.xxhash64("row"), of(blocks))).withColumn("asks", F.lit(0))
+    right = stored.where(F.col("id") % every == 0).select("row", "id", "v").mapInArrow(probe, "block long, row long, id long, v binary")
+    right = right.withColumns({"asks": F.lit(1), "cell": F.lit(-1), "codes": F.lit(None).cast("binary")})
+    columns = ["block", "asks", "cell", "id", "row", "codes", "v"]
+    both = left.select(columns).unionByName(right.select(columns)).repartition("block").sortWithinPartitions("block", "asks", "cell", "id", "row")
+    return both.mapInArrow(compare, FOUND)
+
+
+def gathered(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges of n numbers from each first, one after another."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1])

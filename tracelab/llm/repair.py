@@ -1,9 +1,10 @@
-"""Token-ID output: shards of ids under Re-Pair grammars, with random access to documents.
+"""Token-ID output: shards of ids under Re-Pair grammars, with random access to documents and within them.
 
-A shard image is, little-endian: the four bytes RPG1; unsigned 32-bit numbers of documents, rules, symbols, tokens and the
-first nonterminal; then unsigned 32-bit arrays: left and right sides of the rules (unsigned 16-bit), expansion lengths of
-the rules, each document's first symbol (and the end), each document's first token (and the end); then the symbols
-(unsigned 16-bit). No rule crosses the end of a document, so a document is a slice of the symbols.
+A shard image is, little-endian: the four bytes RPG2; unsigned 32-bit numbers of documents, rules, symbols, tokens and the
+first nonterminal; then left and right sides of the rules; unsigned 32-bit expansion lengths of the rules, each document's
+first symbol (and the end), each document's first token (and the end); then the symbols. Sides and symbols have 16 bits, or
+32 where the vocabulary leaves fewer than FREE nonterminals of 16 bits. No rule crosses the end of a document, so a document
+is a slice of the symbols; the lengths tell which symbol holds a token without expanding those before it.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 
-MAGIC, HEAD = b"RPG1", struct.Struct("<5I")
+MAGIC, HEAD = b"RPG2", struct.Struct("<5I")
 #: A shard is closed at this many ids.
 SHARD_IDS = 1_000_000
-#: Rounds of replacement in a shard, most pairs replaced in a round, fewest occurrences of a pair that is replaced.
-ROUNDS, PAIRS, LEAST = 5, 3000, 6
-#: Symbols have 16 bits.
-SYMBOLS = 1 << 16
+#: Most pairs replaced in a round, and fewest occurrences of a pair that pays for its rule: a rule takes 8 bytes, an
+#: occurrence saves 2.
+PAIRS, LEAST = 3000, 5
+#: Fewest free 16-bit nonterminals; larger vocabularies have symbols of 32 bits.
+FREE = 4096
 #: Texts encoded together: what is met for the first time is encoded once for all of them.
 STEP = 2000
 #: Cuts whose ids a worker keeps.
@@ -38,65 +40,83 @@ KEPT_WORDS = 1_000_000
 TOGETHER = 2000
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Left and right sides of the rules, the remaining symbols, and their document-end marks.
+def width(first: int) -> tuple[str, int]:
+    """The type of symbols above a vocabulary of `first` ids, and how many symbols it can tell apart."""
+    return ("<u2", 1 << 16) if first <= (1 << 16) - FREE else ("<u4", 1 << 32)
 
-    Each round counts all adjacent pairs within documents, takes the most frequent ones and replaces their occurrences by
-    nonterminals, from left to right where occurrences overlap. Rounds end when they save less than one symbol in a hundred.
+
+def counted(s: np.ndarray, ends: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different adjacent pairs within documents, where each begins in the list of places, how often it occurs, and that
+    list: the places of all pairs, ascending for each."""
+    at = np.flatnonzero(~ends[:-1])
+    if narrow:  # pair and place fit into one number
+        placed = np.sort(s[at].astype(np.uint64) << np.uint64(48) | s[at + 1].astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
+        pairs, at = placed >> np.uint64(32), (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    else:
+        pairs = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1].astype(np.uint64)
+        order = np.argsort(pairs, kind="stable")
+        pairs, at = pairs[order], at[order]
+    begins = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)])
+    return pairs[begins], begins, np.diff(np.r_[begins, len(pairs)]), at
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right sides of the rules, their expansion lengths, the remaining symbols, and their document-end marks.
+
+    Each round counts all adjacent pairs within documents, takes the PAIRS most frequent ones (ties in order of the pair) and
+    replaces their occurrences by nonterminals, from left to right where occurrences overlap. A pair that overlaps leave with
+    fewer than LEAST occurrences gets no rule. Rounds go on until no pair pays for a rule, or no symbol is free.
     """
+    kind, symbols = width(first)
     s, ends = ids.astype(np.uint32), ends.copy()
-    left, right, rules = [], [], first
-    for _ in range(ROUNDS):
-        if len(s) < 2 or rules >= SYMBOLS:
-            break
-        key = (s[:-1] << np.uint32(16)) | s[1:]
-        at = np.flatnonzero(~ends[:-1]).astype(np.uint64)
-        placed = np.sort((key[at].astype(np.uint64) << np.uint64(32)) | at)
-        pairs = (placed >> np.uint64(32)).astype(np.uint32)
-        begins = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        n = np.diff(np.r_[begins, len(pairs)])
-        # the least count at which no more than `top` pairs are replaced
-        above = np.cumsum(np.bincount(np.minimum(n, 100_000))[::-1])[::-1]
-        top = min(PAIRS, SYMBOLS - rules)
-        chosen = n >= max(LEAST, int(np.argmax(np.r_[above, 0] <= top)))
-        if not chosen.any():
+    left, right, lengths, rules = [], [], np.ones(first, np.int64), first
+    while len(s) > 1 and rules < symbols:
+        pairs, begins, n, at = counted(s, ends, symbols == 1 << 16)
+        chosen = np.flatnonzero(n >= LEAST)
+        chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[: min(PAIRS, symbols - rules)]])
+        if not len(chosen):
             break
-        symbol_at = np.full(len(s), -1, np.int32)
-        taken = np.repeat(chosen, n)
-        symbol_at[placed[taken] & np.uint64(0xFFFFFFFF)] = np.repeat(np.arange(chosen.sum()), n[chosen])
-        at = np.flatnonzero(symbol_at >= 0)
-        where, chosen = symbol_at[at], pairs[begins[chosen]]
+        n = n[chosen]
+        flat = np.repeat(begins[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair_at = np.full(len(s), -1, np.int32)
+        pair_at[at[flat]] = np.repeat(np.arange(len(chosen)), n)
+        at = np.flatnonzero(pair_at >= 0)
         starts = np.r_[True, np.diff(at) > 1]
         place = np.arange(len(at)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
-        at, where = at[place % 2 == 0], where[place % 2 == 0]
-        left.append(chosen >> np.uint32(16))
-        right.append(chosen & np.uint32(0xFFFF))
-        s[at] = where.astype(np.uint32) + np.uint32(rules)
+        at = at[place % 2 == 0]
+        which = pair_at[at]
+        used = np.bincount(which, minlength=len(chosen)) >= LEAST
+        if not used.any():
+            break
+        at, which = at[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
+        shift = np.uint64(16 if symbols == 1 << 16 else 32)
+        pairs = pairs[chosen[used]]
+        sides = (pairs >> shift).astype(np.int64), (pairs & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+        left.append(sides[0])
+        right.append(sides[1])
+        lengths = np.r_[lengths, lengths[sides[0]] + lengths[sides[1]]]
+        s[at] = which.astype(np.uint32) + np.uint32(rules)
         ends[at] = ends[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        rules += len(chosen)
-        saved = len(at) / len(s)
+        rules += len(pairs)
         s, ends = s[keep], ends[keep]
-        if saved < 0.01:
-            break
-    join = lambda x: np.concatenate(x).astype("<u2") if x else np.zeros(0, "<u2")
-    return join(left), join(right), s.astype("<u2"), ends
+    join = lambda x: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    return join(left), join(right), lengths[first:], s.astype(kind), ends
 
 
-def expansions(left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expansions(left: np.ndarray, right: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every symbol, terminals included: the place of its expansion in one flat array, its length, and that array."""
-    flat, owner = np.arange(first, first + len(left), dtype=np.int64), np.arange(len(left))
+    flat = np.arange(first, first + len(left), dtype=np.int64)
     while (rule := flat >= first).any():
         times = 1 + rule
         starts = np.cumsum(times) - times
         grown = np.repeat(flat, times)
         grown[starts[rule]] = left[flat[rule] - first]
         grown[starts[rule] + 1] = right[flat[rule] - first]
-        flat, owner = grown, np.repeat(owner, times)
-    lengths = np.bincount(owner, minlength=len(left)).astype(np.int64)
-    starts = first + np.cumsum(lengths) - lengths
-    return np.r_[np.arange(first), starts], np.r_[np.ones(first, np.int64), lengths], np.r_[np.arange(first), flat].astype("<u4")
+        flat = grown
+    lengths = lengths.astype(np.int64)
+    return np.r_[np.arange(first), first + np.cumsum(lengths) - lengths], np.r_[np.ones(first, np.int64), lengths], np.r_[np.arange(first), flat].astype("<u4")
 
 
 def gather(index: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -110,8 +130,7 @@ def pack_shard(ids: np.ndarray, lengths: np.ndarray, first: int) -> bytes:
     """The image of a shard of documents with the given numbers of ids (each at least 1)."""
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum(lengths) - 1] = True
-    left, right, symbols, ends = repair(ids, ends, first)
-    rule_lengths = expansions(left, right, first)[1][first:]
+    left, right, rule_lengths, symbols, ends = repair(ids, ends, first)
     doc_symbols = np.r_[0, np.flatnonzero(ends) + 1]
     doc_tokens = np.r_[0, np.cumsum(lengths)]
     head = MAGIC + HEAD.pack(len(lengths), len(left), len(symbols), len(ids), first)
@@ -123,37 +142,51 @@ def parts(image: bytes) -> tuple[np.ndarray, ...]:
     if image[:4] != MAGIC:
         raise ValueError("not a shard image")
     docs, rules, symbols, _, first = HEAD.unpack_from(image, 4)
-    at, out = 4 + HEAD.size, []
-    for n, kind in ((rules, "<u2"), (rules, "<u2"), (rules, "<u4"), (docs + 1, "<u4"), (docs + 1, "<u4"), (symbols, "<u2")):
-        out.append(np.frombuffer(image, kind, n, at))
+    at, out, kind = 4 + HEAD.size, [], width(first)[0]
+    for n, of in ((rules, kind), (rules, kind), (rules, "<u4"), (docs + 1, "<u4"), (docs + 1, "<u4"), (symbols, kind)):
+        out.append(np.frombuffer(image, of, n, at))
         at += out[-1].nbytes
     return *out, first
 
 
 def unpack_shard(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a shard and each document's first token (and the end)."""
-    left, right, _, _, doc_tokens, symbols, first = parts(image)
-    starts, lengths, flat = expansions(left, right, first)
+    left, right, rule_lengths, _, doc_tokens, symbols, first = parts(image)
+    starts, lengths, flat = expansions(left, right, rule_lengths, first)
     return gather(symbols, starts, lengths, flat), doc_tokens
 
 
-def unpack_document(image: bytes, k: int) -> np.ndarray:
-    """The ids of the k-th document of a shard, without expanding the others."""
-    left, right, _, doc_symbols, _, symbols, first = parts(image)
-    out, stack = [], symbols[doc_symbols[k] : doc_symbols[k + 1]][::-1].tolist()
+def unpack_document(image: bytes, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids of the k-th document of a shard, or those from `start` up to `stop`, without expanding anything else.
+
+    The stored lengths tell which symbols, and which sides of their rules, lie outside the range: those are passed over.
+    """
+    left, right, rule_lengths, doc_symbols, doc_tokens, symbols, first = parts(image)
+    own = symbols[doc_symbols[k] : doc_symbols[k + 1]].astype(np.int64)
+    size = int(doc_tokens[k + 1]) - int(doc_tokens[k])
+    start, stop, _ = slice(start, stop).indices(size)
+    lengths = np.ones(len(own), np.int64)
+    lengths[own >= first] = rule_lengths[own[own >= first] - first]
+    before = np.cumsum(lengths) - lengths
+    held = slice(max(0, int(np.searchsorted(before, start, "right")) - 1), int(np.searchsorted(before, stop, "left")))
+    out, stack = [], list(zip(own[held].tolist(), before[held].tolist(), lengths[held].tolist(), strict=True))[::-1]
     while stack:
-        s = stack.pop()
+        s, at, n = stack.pop()
+        if at + n <= start or at >= stop:
+            continue
         if s < first:
             out.append(s)
         else:
-            stack += [int(right[s - first]), int(left[s - first])]
+            a, b = int(left[s - first]), int(right[s - first])
+            of_a = int(rule_lengths[a - first]) if a >= first else 1
+            stack += [(b, at + of_a, n - of_a), (a, at, of_a)]
     return np.array(out, "<u4")
 
 
 class Cuts(dict):
-    """Numbers of cuts in the order in which they were first met."""
+    """Numbers of cuts in the order in which they were first met. The head of a text, which no space precedes, is a tuple."""
 
-    def __missing__(self, cut: str) -> int:
+    def __missing__(self, cut: str | tuple[str]) -> int:
         self[cut] = n = len(self)
         return n
 
@@ -181,7 +214,8 @@ class Encoder:
     run of white space. Texts are cut there; each distinct cut is encoded once per worker, up to KEPT_WORDS cuts are kept.
     New cuts are joined by spaces into texts for the library: no pre-token spans two of them, and the first id of each is
     the only one that begins with a space. Cuts with special strings and heads of texts are encoded one by one, and so is a
-    whole text with a space before white space or at its end.
+    whole text with a space before white space or at its end. A tokenizer that doesn't begin a token at each such space
+    encodes every text whole.
     """
 
     #: A cut (without its space) that can't be told apart from its neighbours.
@@ -197,6 +231,7 @@ class Encoder:
         #: By id: whether it begins with a space, which byte-level models spell as U+0120.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
+        self.first, self.whole = len(self.spaced), False
         self.known = Cuts()
         #: Where kept cuts end in the store: what a batch adds beyond that is overwritten by the next.
         self.store, self.used, self.held, self.odd = Store(), 0, 0, np.zeros(0, np.int64)
@@ -204,10 +239,10 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encoded(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids of each cut, and all ids."""
+    def encoded(self, cuts: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of ids of each cut, and all ids. None if these can't be told apart."""
         n, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        alone = [i for i, w in enumerate(cuts) if w[:1] == "\x00" or "<|" in w or self.joined.match(w)]
+        alone = [i for i, w in enumerate(cuts) if isinstance(w, tuple) or "<|" in w or self.joined.match(w)]
         begin = 0
         for end in [*alone, len(cuts)]:
             for i in range(begin, end, TOGETHER):
@@ -215,25 +250,35 @@ class Encoder:
                 got = self.ids(" " + " ".join(part))
                 counts = np.diff(np.r_[np.flatnonzero(self.spaced[got]), len(got)])
                 if len(counts) != len(part):
-                    raise ValueError("the tokenizer doesn't begin a token at each space")
+                    return None
                 n.append(counts)
                 ids.append(got)
             if end < len(cuts):
                 w = cuts[end]
-                ids.append(self.ids(w[1:] if w[:1] == "\x00" else " " + w))
+                ids.append(self.ids(w[0] if isinstance(w, tuple) else " " + w))
                 n.append(np.array([len(ids[-1])]))
             begin = end + 1
         return np.concatenate(n), np.concatenate(ids)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each text, and all ids."""
+        if self.whole:
+            ids = [self.ids(t) for t in texts]
+            return np.array([len(x) for x in ids], np.int64), np.concatenate([np.zeros(0, np.uint32), *ids])
         known, before = self.known, len(self.known)
-        # \x00 marks a text's head, which no space precedes
-        index = [np.fromiter(map(known.__getitem__, ("\x00" + t).split(" ")), np.int64) for t in texts]
+        index = []
+        for t in texts:
+            cuts = t.split(" ")
+            cuts[0] = (cuts[0],)
+            index.append(np.fromiter(map(known.__getitem__, cuts), np.int64, len(cuts)))
         new = list(itertools.islice(reversed(known), len(known) - before))[::-1]
-        odd = np.array([i for i, w in enumerate(new, before) if w[:1] != "\x00" and self.joined.match(w)], np.int64)
+        odd = np.array([i for i, w in enumerate(new, before) if isinstance(w, str) and self.joined.match(w)], np.int64)
         self.odd = np.r_[self.odd, odd]
-        n, ids = self.encoded(new)
+        got = self.encoded(new)
+        if got is None:
+            self.whole = True
+            return self(texts)
+        n, ids = got
         whole = []
         if len(self.odd):
             for k, t in enumerate(texts):
@@ -258,7 +303,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, first: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all texts, end_id after each, to shards in ascending order of ids, and returns their table.
 
     The table at `path` has a row for each shard: part and seq (their order is the order of documents), part_start (ids of
@@ -266,12 +311,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, first: int, end_id:
     leaves no half shard. Texts move once, into ranges of ids; a task holds one batch and one open shard.
 
     A null text counts as empty and gives end_id only. Null ids come first; repeated ids stay beside each other, ordered by
-    text. Other columns are not carried.
+    text. Nonterminals begin after the tokenizer's last id, or after end_id. Other columns are not carried.
     """
     kind = docs.schema[id_col].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
+        first = max(own.first, end_id + 1)
         names, lengths, ids, held, seq, before = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
@@ -324,7 +370,7 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumnRenamed("id", id_col)
 
 
-def token_output(docs: DataFrame, tokenizer: str, first: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all texts' ids to shards in the shared folder and reads every document back from them."""
     path = shared_path(docs.sparkSession, "token-shards")
-    return read_documents(write_shards(docs, path, tokenizer, first, id_col=id_col, text_col=text_col), id_col)
+    return read_documents(write_shards(docs, path, tokenizer, end_id, id_col, text_col), id_col)
