@@ -9,13 +9,29 @@ WORD = r"[\p{L}\p{N}_]+"
 METRIC_WORD = r"[\p{L}\p{N}_\x{0400}-\x{04ff}]+"
 #: Words that metrics leave out, by language.
 STOP_WORDS = {
-    "en": "a an and are as at be by can for from how i in is it my of on the to with you your".split(),
-    "ru": "а без в вы для и из как к ли мой на не о по с у что это я".split(),
+    "en": ["a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "how", "i", "in", "is", "it", "my", "of", "on", "the", "to", "with", "you", "your"],
+    "ru": ["а", "без", "в", "вы", "для", "и", "из", "как", "к", "ли", "мой", "на", "не", "о", "по", "с", "у", "что", "это", "я"],
 }
-#: What the text checks look for.
+#: Patterns that the text checks look for.
 API_ERRORS = ["api_quota_exceeded", "rate_limit", "quota", "api key", "authentication", "permission denied", "access denied", "forbidden", "429", "503", "timeout"]
-REFUSALS = "safety|refusal|policy|violation|content policy|cannot answer|not appropriate|harmful|offensive|unsafe|sensitive|inappropriate|not allowed|prohibited|restrict"
-CUT_SHORT = r"\.\.\.$|\[TRUNCATED\]|…$|\[...\]$"
+REFUSALS = [
+    "safety",
+    "refusal",
+    "policy",
+    "violation",
+    "content policy",
+    "cannot answer",
+    "not appropriate",
+    "harmful",
+    "offensive",
+    "unsafe",
+    "sensitive",
+    "inappropriate",
+    "not allowed",
+    "prohibited",
+    "restrict",
+]
+CUT_SHORT = [r"\.\.\.$", r"\[TRUNCATED\]", r"…$", r"\[...\]$"]
 TRAILING_MARK = r"(?iU)(?:\.\.\.|…|\[TRUNCATED\]|\[\.\.\.\])\s*$"
 
 
@@ -64,7 +80,7 @@ def readable(text: Column) -> Column:
 
 
 def cut_short(text: Column) -> Column:
-    return F.coalesce(text.rlike(CUT_SHORT), F.lit(False))
+    return F.coalesce(text.rlike("|".join(CUT_SHORT)), F.lit(False))
 
 
 def api_error(text: Column) -> Column:
@@ -72,4 +88,4 @@ def api_error(text: Column) -> Column:
 
 
 def refusal(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike(REFUSALS), F.lit(False))
+    return F.coalesce(F.lower(text).rlike("|".join(REFUSALS)), F.lit(False))

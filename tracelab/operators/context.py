@@ -56,7 +56,13 @@ def gold_in_context(gold_ids: Column, selected_ids: Column) -> Column:
 
 
 def rebuild(selected_ids: Column, chunks: Column) -> Column:
-    """The context text of chosen ids; an id without a chunk is shown by its name and source `unknown`."""
-    by_id = F.map_from_entries(F.transform(F.array_distinct(F.transform(chunks, lambda c: c["chunk_id"])), lambda i: F.struct(i, F.filter(chunks, lambda c: c["chunk_id"] == i)[0])))
-    show = lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] (source: "), F.coalesce(by_id[x]["document_id"], F.lit("unknown")), F.lit(")\n"), F.coalesce(by_id[x]["text"], F.concat(F.lit("Chunk "), x)))
-    return F.array_join(F.transform(selected_ids, show), "\n\n")
+    """The context text of chosen ids. An id without a chunk is shown by its name and source `unknown`; of equal ids the last
+    chunk counts; a chunk without a text is left out, its number isn't used again."""
+
+    def piece(x: Column, i: Column) -> Column:
+        head = lambda source: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] (source: "), source, F.lit(")\n"))
+        of = lambda c: F.when(c["text"] != "", F.concat(head(F.coalesce(c["document_id"], F.lit("None"))), c["text"]))
+        own = F.filter(chunks, lambda c: c["chunk_id"] == x)
+        return F.when(F.coalesce(F.size(own), F.lit(0)) <= 0, F.concat(head(F.lit("unknown")), F.lit("Chunk "), x)).otherwise(of(F.element_at(own, -1)))
+
+    return F.array_join(F.transform(selected_ids, piece), "\n\n")

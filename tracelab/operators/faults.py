@@ -22,7 +22,7 @@ FAULTS = {
     "unsupported_answer": ("Replace answer with unsupported information", "generation", "Faithfulness decreases"),
     "contradictory_answer": ("Generate answer that contradicts context", "generation", "Faithfulness decreases, contradiction detected"),
 }
-#: Questions and answers that faults put in.
+#: Questions, answers, the text and the signs that faults put in.
 OUT_OF_SCOPE = [
     "What is the weather like today?",
     "Can you recommend a good restaurant?",
@@ -59,13 +59,21 @@ CONTRADICTORY = [
     "The context clearly refutes this claim.",
     "This is contradicted by the provided information.",
 ]
+DISTRACTOR = "This is irrelevant information that does not help answer the question. It is just random text inserted as a distractor."
 GARBAGE = "!@#$%^&*()_+[]{}|;:',.<>?/"
 SEED = 42
 
 
-def draw(name: str, n: Column | int, seed: int = SEED) -> Column:
-    """A number below n that depends on the trace, the purpose and the seed alone: reproducible in any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("trace_id")), F.lit(n) if isinstance(n, int) else n).cast("int")
+def drawn(*parts: Column | str) -> Column:
+    """A number of 32 bits that depends on the seed and the parts alone: the first 8 digits of the MD5 of all, joined by bars.
+    So a draw is the same in any partitioning, and any engine can work it out."""
+    own = [p if isinstance(p, Column) else F.lit(p) for p in (str(SEED), *parts)]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *own).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def draw(name: str, n: Column | int) -> Column:
+    """A number below n for a purpose, of each trace its own."""
+    return F.pmod(drawn(name, F.col("trace_id")), F.lit(n) if isinstance(n, int) else n).cast("int")
 
 
 def pick(name: str, values: list[str]) -> Column:
@@ -93,17 +101,23 @@ def _with(df: DataFrame, chunks: Column | None = None, ids: Column | None = None
         made = made.withField("selected_chunk_ids", ids)
     if context is not None:
         made = made.withField("final_context", context)
-    return df.withColumns(new | {"context_construction": made})
+    new["context_construction"] = made
+    # new names first: inside lambdas a name that is replaced beside would mean the new column
+    return df.withColumns({f"_new_{k}": v for k, v in new.items()}).withColumns({k: F.col(f"_new_{k}") for k in new}).drop(*(f"_new_{k}" for k in new))
 
 
 def missing_evidence(df: DataFrame) -> DataFrame:
-    """Retrieved chunks of gold documents go, from the selection too; the context is built anew."""
-    gold = F.transform("gold_evidence", lambda g: g["document_id"])
-    left = F.filter(_chunks, lambda c: ~F.coalesce(F.array_contains(gold, c["document_id"]), F.lit(False)))
-    gone = F.transform(F.filter(_chunks, lambda c: F.array_contains(gold, c["document_id"])), lambda c: c["chunk_id"])
-    ids = F.array_except(_ids, gone)
-    method = F.when(F.size(gone) > 0, F.concat(F.lit("removed chunks: "), F.size(gone).cast("string"))).otherwise("no_gold_chunks_retrieved")
-    return _with(df.withColumn("injection_method", method), left, ids, rebuild(ids, left))
+    """Retrieved chunks of gold documents go, from the selection too; the context is built anew. A trace without gold
+    documents, or without chunks of them, stays as it is."""
+    gold = F.filter(F.transform("gold_evidence", lambda g: g["document_id"]), lambda d: d.isNotNull())
+    is_gold = lambda c: F.coalesce(F.array_contains(gold, c["document_id"]), F.lit(False))
+    left = F.filter(_chunks, lambda c: ~is_gold(c))
+    gone = F.filter(_chunks, is_gold)
+    ids = F.filter(_ids, lambda x: ~F.coalesce(F.array_contains(F.transform(gone, lambda c: c["chunk_id"]), x), F.lit(False)))
+    found = F.coalesce(F.size(gone) > 0, F.lit(False))
+    method = F.when(F.coalesce(F.size(gold), F.lit(0)) <= 0, "no_gold_evidence_found").when(~found, "no_chunks_with_gold_evidence").otherwise(F.format_string("removed %d chunks with gold evidence", F.size(gone)))
+    context = F.col("context_construction.final_context")
+    return _with(df.withColumn("injection_method", method), F.when(found, left).otherwise(F.col(_chunks)), F.when(found, ids).otherwise(F.col(_ids)), F.when(found, rebuild(ids, left)).otherwise(context))
 
 
 def chunk_truncation(df: DataFrame) -> DataFrame:
@@ -118,7 +132,12 @@ def chunk_truncation(df: DataFrame) -> DataFrame:
     cut = F.least(F.greatest(middle, *marks), F.length(text) - 10)
     fits = F.coalesce((n > 0) & (F.length(text) >= 50), F.lit(False))
     new = F.transform(_chunks, lambda c, i: F.when(i == at, c.withField("text", F.concat(F.substring(c["text"], F.lit(1), cut), F.lit(" [TRUNCATED]")))).otherwise(c))
-    method = F.when(n == 0, "no_chunks_to_truncate").when(fits, F.concat(F.lit("truncated chunk at position "), cut.cast("string"))).otherwise("chunk_too_short_to_truncate")
+    method = (
+        F.when(F.coalesce(n, F.lit(0)) <= 0, "no_chunks_to_truncate")
+        .when(F.coalesce(text, F.lit("")) == "", "invalid_chunk")
+        .when(fits, F.concat(F.lit("truncated chunk at position "), cut.cast("string")))
+        .otherwise("chunk_too_short_to_truncate")
+    )
     return _with(df.withColumn("injection_method", method), F.when(fits, new).otherwise(F.col(_chunks)))
 
 
@@ -127,41 +146,52 @@ def chunk_merge(df: DataFrame) -> DataFrame:
     n = F.size(_chunks)
     a = draw("first", F.greatest(n, F.lit(1)))
     b = F.pmod(a + 1 + draw("second", F.greatest(n - 1, F.lit(1))), F.greatest(n, F.lit(1)))
-    other = F.get(F.col(_chunks), b)["text"]
-    joined = F.transform(_chunks, lambda c, i: F.when(i == a, c.withField("text", F.concat(c["text"], F.lit(" [MERGED] "), other))).otherwise(c))
-    new = F.filter(joined, lambda c, i: i != b)
-    return _with(df.withColumn("injection_method", F.when(n > 1, "merged two chunks").otherwise("not_enough_chunks")), F.when(n > 1, new).otherwise(F.col(_chunks)))
+    one, other = F.get(F.col(_chunks), a), F.get(F.col(_chunks), b)
+    joined = F.transform(_chunks, lambda c, i: F.when(i == a, c.withField("text", F.concat(c["text"], F.lit(" [MERGED] "), other["text"]))).otherwise(c))
+    fits = F.coalesce((n > 1) & (one["text"] != "") & (other["text"] != ""), F.lit(False))
+    name = lambda c: F.coalesce(c["document_id"], F.lit("None"))
+    method = F.when(fits, F.concat(F.lit("merged chunks from docs "), name(one), F.lit(" and "), name(other))).when(n > 1, "empty_chunk_text").otherwise("not_enough_chunks")
+    return _with(df.withColumn("injection_method", method), F.when(fits, F.filter(joined, lambda c, i: i != b)).otherwise(F.col(_chunks)))
 
 
-def _partners(df: DataFrame) -> DataFrame:
-    """df with `other`, a chunk of another trace: traces are dealt into groups by hash and take the next one's first chunk.
+def distractor_context(df: DataFrame) -> DataFrame:
+    """A chunk that doesn't help is appended; the context is built before the chunk is known, so it shows only its id."""
+    name = F.format_string("distractor_%d", 1000 + draw("distractor", 9000))
+    source = F.format_string("distractor_doc_%d", 1000 + draw("distractor source", 9000))
+    kind = df.schema["retrieval"].dataType["retrieved_chunks"].dataType.elementType
+    values = {"chunk_id": name, "document_id": source, "rank": F.coalesce(F.size(_chunks), F.lit(0)) + 1, "score": F.lit(0.5), "text": F.lit(DISTRACTOR)}
+    added = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    ids = F.array_append(_ids, name)
+    none = F.col("context_construction").isNull()
+    method = F.when(none, "no_context_to_modify").otherwise("added distractor chunk")
+    chunks = F.when(none, F.col(_chunks)).otherwise(F.array_append(F.coalesce(_chunks, F.array().cast(df.schema["retrieval"].dataType["retrieved_chunks"].dataType)), added))
+    return _with(df.withColumn("injection_method", method), chunks, ids, rebuild(ids, F.col(_chunks)))
+
+
+def irrelevant_document(df: DataFrame) -> DataFrame:
+    """One retrieved chunk becomes one of another trace's, its score 0.1; the id selected at that place is replaced as well.
 
-    Neighbours in order of hash within groups of about 1000 traces; a group's last trace takes its first one's.
+    Traces are dealt into groups by hash; within a group each takes from the next in order of hash, the last from the first.
     """
     groups = F.lit(max(1, df.count() // 1000))
-    rows = df.withColumn("_h", F.xxhash64(F.lit(SEED), F.lit("partner"), "trace_id")).withColumn("_g", F.pmod("_h", groups))
+    rows = df.withColumn("_h", drawn("partner", F.col("trace_id"))).withColumn("_g", F.pmod("_h", groups))
     w = Window.partitionBy("_g").orderBy("_h", "trace_id")
-    first = F.get(F.col(_chunks), F.lit(0))
+    own = F.struct(F.col("trace_id").alias("trace_id"), F.get(F.col(_chunks), draw("own chunk", F.greatest(F.size(_chunks), F.lit(1)))).alias("chunk"))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("other", F.coalesce(F.lead(first).over(w), F.first(first).over(whole))).drop("_h", "_g")
-
-
-def distractor_context(df: DataFrame) -> DataFrame:
-    """Another trace's chunk is appended; the context is built before the chunk is known, so it shows only its id."""
-    rows = _partners(df)
-    ids = F.array_append(_ids, F.col("other.chunk_id"))
-    added = F.col("other").withField("rank", F.size(_chunks) + 1).withField("score", F.lit(0.5))
-    out = _with(rows.withColumn("injection_method", F.lit("added distractor chunk")), F.array_append(_chunks, added), ids, rebuild(ids, F.col(_chunks)))
-    return out.drop("other")
-
-
-def irrelevant_document(df: DataFrame) -> DataFrame:
-    """One retrieved chunk becomes another trace's, its score 0.1; the id selected at that place is replaced as well."""
-    rows = _partners(df)
+    rows = rows.withColumn("other", F.coalesce(F.lead(own).over(w), F.first(own).over(whole))).drop("_h", "_g")
     at = draw("replace", F.greatest(F.size(_chunks), F.lit(1)))
-    new = F.transform(_chunks, lambda c, i: F.when(i == at, F.col("other").withField("rank", c["rank"]).withField("score", F.lit(0.1))).otherwise(c))
-    ids = F.transform(_ids, lambda x, i: F.when(i == at, F.col("other.chunk_id")).otherwise(x))
-    return _with(rows.withColumn("injection_method", F.lit("replaced chunk with another sample's")), new, ids, rebuild(ids, new)).drop("other")
+    no_other, n = F.col("other.trace_id") == F.col("trace_id"), F.coalesce(F.size(_chunks), F.lit(0))
+    fits = F.coalesce(~no_other & F.col("other.chunk").isNotNull() & (n > 0), F.lit(False))
+    method = (
+        F.when(no_other, "no_other_traces_with_chunks")
+        .when(F.col("other.chunk").isNull(), "other_trace_no_chunks")
+        .when(~fits, "no_chunks_to_replace")
+        .otherwise(F.concat(F.lit("replaced chunk at position "), at.cast("string"), F.lit(" with chunk from "), F.col("other.trace_id")))
+    )
+    new = F.transform(_chunks, lambda c, i: F.when(i == at, F.col("other.chunk").withField("rank", c["rank"]).withField("score", F.lit(0.1))).otherwise(c))
+    ids = F.transform(_ids, lambda x, i: F.when(i == at, F.col("other.chunk.chunk_id")).otherwise(x))
+    context = F.when(fits & (at < F.size(_ids)), rebuild(ids, new)).otherwise(F.col("context_construction.final_context"))
+    return _with(rows.withColumn("injection_method", method), F.when(fits, new).otherwise(F.col(_chunks)), F.when(fits, ids).otherwise(F.col(_ids)), context).drop("other")
 
 
 def _query(df: DataFrame, new: Column, method: Column) -> DataFrame:
@@ -174,9 +204,9 @@ def corrupted_query(df: DataFrame) -> DataFrame:
     signs are put in."""
     q, way = F.col("query"), draw("way", 3)
     words = F.filter(F.split(q, r"(?U)\s+"), lambda x: x != "")
-    keyed = F.array_sort(F.transform(words, lambda x, i: F.struct(F.xxhash64(F.lit(SEED), "trace_id", i).alias("k"), x.alias("x"))))
+    keyed = F.array_sort(F.transform(words, lambda x, i: F.struct(drawn("word", F.col("trace_id"), i.cast("string")).alias("k"), i.alias("i"), x.alias("x"))))
     shorter = lambda share: F.concat(F.substring(q, F.lit(1), F.floor(F.length(q) * share).cast("int")), F.lit("..."))
-    signs = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substring(F.lit(GARBAGE), (F.pmod(F.xxhash64("trace_id", i), F.lit(len(GARBAGE))) + 1).cast("int"), F.lit(1))), "")
+    signs = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substring(F.lit(GARBAGE), (F.pmod(drawn("sign", F.col("trace_id"), i.cast("string")), F.lit(len(GARBAGE))) + 1).cast("int"), F.lit(1))), "")
     at = draw("place", F.length(q) + 1)
     mixed = F.concat(F.substring(q, F.lit(1), at), signs, F.substring(q, at + 1, F.length(q)))
     shuffled = F.when(F.size(words) > 2, F.array_join(F.transform(keyed, lambda s: s["x"]), " ")).otherwise(shorter(0.3))
@@ -218,8 +248,7 @@ def inject(traces: DataFrame, fault: str, count: int = 20, language: str = "en")
         raise ValueError(f"unknown fault: {fault}")
     pool = traces.where(F.col("injected_fault").isNull())
     pool = pool if language == "any" else pool.where(F.col("language") == language)
-    drawn = pool.orderBy(F.xxhash64(F.lit(SEED), F.lit(fault), "trace_id"), "trace_id").limit(count)
-    made = INJECTORS[fault](drawn)
+    made = INJECTORS[fault](pool.orderBy(drawn("trace", fault, F.col("trace_id")), "trace_id").limit(count))
     description, diagnosis, change = FAULTS[fault]
     inner = [c for c in made.columns if c not in ("injected_fault", "_is_healthy", "injection_method")]
     return made.select(

@@ -1,13 +1,16 @@
-"""Trace metrics over a VARIANT column: a registry of column builders, one scan, a row per trace and metric.
+"""Trace metrics: a registry of column builders over one typed reading of a trace, a row per trace and metric.
 
 Metrics never see fault labels (`drop_labels`), never coerce types, and give one of the statuses ok, skipped and error.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from copy import deepcopy
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,102 @@ DEFAULTS = {
         "generation": {"relevance_relevant": 0.5, "sentence_support_threshold": 0.5, "faithfulness_supported": 0.8, "faithfulness_partial": 0.5},
     }
 }
-RESULT = "struct<score:double,label:string,status:string,warning:string,error:string,evidence:string>"
+ERROR = "struct<code:string,message:string,details:string>"
+#: What a metric gives: evidence, config, model and the error's details are JSON objects.
+RESULT = f"struct<score:double,label:string,status:string,evidence:string,config:string,model:string,warnings:array<string>,error:{ERROR}>"
+CHUNK = "struct<object:boolean,chunk_id:string,document_id:string,text:string,start:bigint,end:bigint>"
+GOLD = "struct<object:boolean,listed:array<string>,covering:array<string>,preserved:boolean,wrong:string>"
+#: What metrics read of a trace. Strings and flags are null where the trace has another type; lists are null where it has none.
+#: ranked: the chunk id (null: no string) of each retrieved chunk that is an object; checked: the retrieved chunks, or else
+#: the chunks; known: the string ids of the chunks; selected: the string ids of the selection; raw: the trace as VARIANT.
+VIEW = (
+    "struct<trace_id:string,language:string,query:string,answer:string,context_object:boolean,final_context:string,truncated:boolean,selected:array<string>,"
+    f"retrieval_object:boolean,ranked:array<string>,from_retrieval:boolean,checked:array<{CHUNK}>,known:array<string>,gold:array<{GOLD}>,raw:variant>"
+)
 Builder = Callable[[Column, dict], Column]
+STRINGS = "array<string>"
+
+
+def _struct(kind: str, values: dict[str, Column]) -> Column:
+    return F.struct(*[v.alias(k) for k, v in values.items()]).cast(kind)
+
+
+def of_variant(v: Column) -> Column:
+    """VIEW of a trace in a VARIANT column, each node read once by its tested type."""
+    whole = lambda x, path: F.when(V.kind(V.node(x, path)) == "BOOLEAN", F.try_variant_get(x, path, "boolean").cast("bigint")).otherwise(V.integer(x, path))
+
+    def chunk(c: Column) -> Column:
+        return _struct(CHUNK, {"object": V.is_object(c), "chunk_id": V.string(c, "$.chunk_id"), "document_id": V.string(c, "$.document_id"), "text": V.string(c, "$.text"), "start": whole(c, "$.start_char"), "end": whole(c, "$.end_char")})
+
+    def gold(x: Column) -> Column:
+        ids = V.node(x, "$.covering_chunk_ids")
+        letters = F.when(V.is_string(ids), F.filter(F.split(V.string(x, "$.covering_chunk_ids"), ""), lambda s: s != ""))
+        keys = F.map_keys(F.try_variant_get(ids, "$", "map<string,variant>"))
+        listed = F.when(V.is_list(ids), V.strings(x, "$.covering_chunk_ids"))
+        kind, value = V.kind(ids), F.try_variant_get(ids, "$", "double")
+        wrong = F.when(kind == "BOOLEAN", F.when(F.try_variant_get(ids, "$", "boolean"), "bool")).when(value != 0, F.when(kind == "BIGINT", "int").when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float"))
+        flag = F.when(V.kind(V.node(x, "$.is_preserved")) == "BOOLEAN", F.try_variant_get(x, "$.is_preserved", "boolean"))
+        none = F.array().cast(STRINGS)
+        return _struct(GOLD, {"object": V.is_object(x), "listed": F.coalesce(listed, none), "covering": F.coalesce(listed, letters, keys, none), "preserved": F.coalesce(flag, F.lit(False)), "wrong": wrong})
+
+    context, retrieved, chunks = V.node(v, "$.context_construction"), V.items(v, "$.retrieval.retrieved_chunks"), V.items(v, "$.chunks")
+    id_of = lambda c: V.string(c, "$.chunk_id")
+    return _struct(
+        VIEW,
+        {
+            "trace_id": V.string(v, "$.trace_id"),
+            "language": V.string(v, "$.language"),
+            "query": V.string(v, "$.query"),
+            "answer": V.string(v, "$.generation.final_answer"),
+            "context_object": V.is_object(context),
+            "final_context": V.string(context, "$.final_context"),
+            "truncated": F.when(V.kind(V.node(context, "$.truncated")) == "BOOLEAN", F.try_variant_get(context, "$.truncated", "boolean")),
+            "selected": V.strings(v, "$.context_construction.selected_chunk_ids"),
+            "retrieval_object": V.is_object(V.node(v, "$.retrieval")),
+            "ranked": F.transform(F.filter(retrieved, V.is_object), id_of),
+            "from_retrieval": retrieved.isNotNull(),
+            "checked": F.transform(F.coalesce(retrieved, chunks), chunk),
+            "known": F.filter(F.transform(F.filter(chunks, V.is_object), id_of), lambda x: x.isNotNull()),
+            "gold": F.transform(V.items(v, "$.gold_evidence"), gold),
+            "raw": v,
+        },
+    )
+
+
+def of_columns(traces: DataFrame) -> Column:
+    """VIEW of typed traces (columns as in plans.traces), read as their JSON would be: nulls are nulls."""
+    retrieved = F.col("retrieval.retrieved_chunks")
+    inner = [f for f in traces.schema["retrieval"].dataType["retrieved_chunks"].dataType.elementType.names]
+    at = lambda c, n: c[n].cast("bigint") if n in inner else F.lit(None).cast("bigint")
+    none = F.array().cast(STRINGS)
+    ids = lambda g: F.filter(F.coalesce(g["covering_chunk_ids"], none), lambda x: x.isNotNull())
+
+    def chunk(start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda c: _struct(CHUNK, {"object": c.isNotNull(), "chunk_id": c["chunk_id"], "document_id": c["document_id"], "text": c["text"], "start": start(c), "end": end(c)})
+
+    found = F.transform(retrieved, chunk(lambda c: at(c, "start_char"), lambda c: at(c, "end_char")))
+    own = F.transform("chunks", chunk(lambda c: c["start_char"].cast("bigint"), lambda c: c["end_char"].cast("bigint")))
+    gold = lambda g: _struct(GOLD, {"object": g.isNotNull(), "listed": ids(g), "covering": ids(g), "preserved": F.coalesce(g["is_preserved"], F.lit(False)), "wrong": F.lit(None)})
+    return _struct(
+        VIEW,
+        {
+            "trace_id": F.col("trace_id"),
+            "language": F.col("language"),
+            "query": F.col("query"),
+            "answer": F.col("generation.final_answer"),
+            "context_object": F.col("context_construction").isNotNull(),
+            "final_context": F.col("context_construction.final_context"),
+            "truncated": F.col("context_construction.truncated"),
+            "selected": F.filter(F.coalesce("context_construction.selected_chunk_ids", none), lambda x: x.isNotNull()),
+            "retrieval_object": F.col("retrieval").isNotNull(),
+            "ranked": F.transform(F.filter(retrieved, lambda c: c.isNotNull()), lambda c: c["chunk_id"]),
+            "from_retrieval": retrieved.isNotNull(),
+            "checked": F.coalesce(found, own),
+            "known": F.filter(F.transform("chunks", lambda c: c["chunk_id"]), lambda x: x.isNotNull()),
+            "gold": F.transform("gold_evidence", gold),
+            "raw": F.lit(None),
+        },
+    )
 
 
 class Registry:
@@ -33,31 +130,101 @@ class Registry:
         self.metrics: dict[str, tuple[str, Builder]] = {}
 
     def register(self, name: str, stage: str, builder: Builder) -> None:
-        if not name or not stage:
-            raise ValueError("a metric needs a name and a stage")
+        """builder(view, config of the stage) gives the RESULT column of a VIEW column."""
+        if not isinstance(name, str) or not name:
+            raise ValueError("metric must define a non-empty name")
+        if not isinstance(stage, str) or not stage:
+            raise ValueError("metric must define a non-empty stage")
         if name in self.metrics:
-            raise ValueError(f"metric {name} is registered already")
+            raise ValueError(f"metric {name!r} is already registered")
         self.metrics[name] = (stage, builder)
 
+    def register_function(self, name: str, stage: str, function: Callable[[dict, dict], dict]) -> None:
+        """A Python function from a trace and its stage's config (both dicts, its own copies) to fields of RESULT: score,
+        label, status, evidence, config, model, warnings, error. Any exception that it raises becomes an error row. It reads
+        traces from VARIANT, in Arrow batches."""
+        self.register(name, stage, lambda view, config: _python(function, config)(F.to_json(view["raw"])))
+
     def get(self, name: str) -> tuple[str, Builder]:
+        if name not in self.metrics:
+            raise KeyError(f"unknown metric: {name}")
         return self.metrics[name]
 
     def names(self) -> list[str]:
         return list(self.metrics)
 
 
-def result(score=None, label="unknown", status="ok", warning=None, error=None, evidence=None) -> Column:
+def _python(function: Callable[[dict, dict], dict], config: dict) -> Callable[[Column], Column]:
+    kinds = {"score": "double", "label": "string", "status": "string", "evidence": "string", "config": "string", "model": "string", "warnings": STRINGS, "code": "string", "message": "string", "details": "string"}
+
+    def one(text: str | None) -> dict[str, Any]:
+        if text is None:
+            return dict.fromkeys(kinds)
+        try:
+            own = {"label": "unknown", "status": "ok", "evidence": {}, "config": {}, "warnings": [], "error": None, "model": None, "score": None} | function(json.loads(text), deepcopy(config))
+        except Exception as e:  # noqa: BLE001  a metric that fails is an error row
+            own = {"score": None, "label": "unknown", "status": "error", "evidence": {}, "config": {}, "model": None, "warnings": [], "error": {"code": "metric_execution_error", "message": str(e), "details": {"exception_type": type(e).__name__}}}
+        error = own.pop("error") or {"code": None, "message": None, "details": None}
+        own |= {"code": error["code"], "message": error["message"], "details": error["details"]}
+        return own | {k: json.dumps(own[k], ensure_ascii=False, sort_keys=True) for k in ("evidence", "config", "model", "details") if own[k] is not None}
+
+    @F.pandas_udf(", ".join(f"{k} {v}" for k, v in kinds.items()))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=list(kinds))
+
+    def result_of(text: Column) -> Column:
+        r = run(text)
+        error = F.when(r["code"].isNotNull(), F.struct(*[r[n].alias(n) for n in ("code", "message", "details")]))
+        return _struct(RESULT, {n: r[n] for n in ("score", "label", "status", "evidence", "config", "model", "warnings")} | {"error": error})
+
+    return result_of
+
+
+def as_json(**values: Any) -> Column:
+    """A JSON object of columns and plain values, nulls kept."""
+    own = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()]
+    return F.to_json(F.struct(*own), {"ignoreNullFields": "false"}) if own else F.lit("{}")
+
+
+def result(score=None, label="unknown", status="ok", evidence=None, config=None, warnings: list[str] | None = None, error: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    values = [lit(score).cast("double"), lit(label), lit(status), lit(warning).cast("string"), lit(error).cast("string"), lit(evidence).cast("string")]
-    return F.struct(*[x.alias(n) for x, n in zip(values, ("score", "label", "status", "warning", "error", "evidence"), strict=True)]).cast(RESULT)
+    return _struct(
+        RESULT,
+        {
+            "score": lit(score).cast("double"),
+            "label": lit(label),
+            "status": lit(status),
+            "evidence": lit("{}" if evidence is None else evidence),
+            "config": lit("{}" if config is None else config),
+            "model": F.lit(None).cast("string"),
+            "warnings": F.lit(warnings) if warnings else F.array().cast(STRINGS),
+            "error": F.lit(None).cast(ERROR) if error is None else error,
+        },
+    )
+
+
+def skipped(warning: str, config: Column | None = None) -> Column:
+    return result(status="skipped", warnings=[warning], config=config)
 
 
-def skipped(warning: str) -> Column:
-    return result(status="skipped", warning=warning)
+def safe_error(code: str, message: str | Column, **details: Any) -> Column:
+    return _struct(ERROR, {"code": F.lit(code), "message": message if isinstance(message, Column) else F.lit(message), "details": as_json(**details)})
 
 
-def failed(code: str) -> Column:
-    return result(status="error", error=code)
+def failed(code: str, message: str | Column, config: Column | None = None, **details: Any) -> Column:
+    return result(status="error", config=config, error=safe_error(code, message, **details))
+
+
+def execution_error(message: str | Column, kind: str) -> Column:
+    return failed("metric_execution_error", message, exception_type=kind)
+
+
+def with_numbers(config: dict, names: dict[str, float], then: Callable[..., Column]) -> Column:
+    """then(a number for each name); a setting that is no number gives an error where the metric would need it."""
+    try:
+        return then(*[float(config.get(n, default)) for n, default in names.items()])
+    except (TypeError, ValueError) as e:
+        return execution_error(str(e), type(e).__name__)
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -73,175 +240,187 @@ def graded(score: Column, *steps: tuple[float, str], least: str) -> Column:
     return label
 
 
-def gold_ids(v: Column) -> Column:
-    """Distinct chunk ids of the gold evidence; items and ids of other types don't count."""
-    items = F.filter(F.coalesce(V.items(v, "$.gold_evidence"), F.array().cast("array<variant>")), V.is_object)
-    return F.array_distinct(F.flatten(F.transform(items, lambda x: V.strings(x, "$.covering_chunk_ids"))))
+def gold_ids(t: Column) -> Column:
+    """Distinct chunk ids of the gold evidence, sorted; items and ids of other types don't count."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(F.coalesce(t["gold"], F.array().cast(f"array<{GOLD}>")), lambda g: g["object"]), lambda g: g["listed"]))))
+
 
+def selected_ids(t: Column) -> Column:
+    return F.array_sort(F.array_distinct(t["selected"]))
 
-def selected_ids(v: Column) -> Column:
-    return F.array_distinct(V.strings(v, "$.context_construction.selected_chunk_ids"))
 
+RULE = {"implementation": "rule_v1"}
 
-def _retrieval(v: Column, config: dict, of: Callable[[Column, Column, Column], Column]) -> Column:
-    """Checks in their order: k, gold, retrieval, list. of(gold, retrieved ids, matches) makes the result."""
+
+def _retrieval(t: Column, config: dict, of: Callable[[Column, Column, Column, Any], Column]) -> Column:
+    """Checks in their order: k, gold, retrieval, list. of(gold, retrieved ids, matches, k) makes the result."""
     k = config.get("k", 5)
-    if isinstance(k, bool) or not isinstance(k, int) or k <= 0:
-        return failed("invalid_config")
-    chunks = V.items(v, "$.retrieval.retrieved_chunks")
-    ranked = F.slice(F.filter(chunks, V.is_object), 1, k)
-    ids = F.filter(F.transform(ranked, lambda c: V.string(c, "$.chunk_id")), lambda x: x.isNotNull())
-    pair = F.struct(gold_ids(v).alias("gold"), ids.alias("ids"))
-    usable = lambda p: of(p["gold"], p["ids"], F.filter(p["ids"], lambda x: F.array_contains(p["gold"], x)))
-    bad = ~V.is_object(V.node(v, "$.retrieval")) | chunks.isNull()
-    return once(pair, lambda p: F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).when(bad, failed("invalid_field_type")).otherwise(usable(p)))
-
-
-def hit(v: Column, config: dict) -> Column:
-    def of(gold, ids, matches):
+    if not isinstance(k, int) or k <= 0:
+        return failed("invalid_config", "k must be a positive integer", config=as_json(k=5), k=json.dumps(k) if isinstance(k, (list, dict)) else k)
+    own = as_json(k=k)
+    ids = F.filter(F.slice(t["ranked"], 1, int(k)), lambda x: x.isNotNull())
+    pair = F.struct(gold_ids(t).alias("gold"), ids.alias("ids"))
+    usable = lambda p: of(p["gold"], p["ids"], F.filter(p["ids"], lambda x: F.array_contains(p["gold"], x)), k)
+    no_object = failed("invalid_field_type", "retrieval must be an object", own, field="retrieval")
+    no_list = failed("invalid_field_type", "retrieved_chunks must be a list", own, field="retrieval.retrieved_chunks")
+    return once(pair, lambda p: F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence", own)).when(~t["retrieval_object"], no_object).when(~t["from_retrieval"], no_list).otherwise(usable(p)))
+
+
+def hit(t: Column, config: dict) -> Column:
+    def of(gold, ids, matches, k):
         found = F.size(matches) > 0
-        return result(found.cast("double"), F.when(found, "hit").otherwise("miss"), evidence=F.to_json(F.struct(ids.alias("retrieved_chunk_ids"), matches.alias("matched_chunk_ids"))))
-
-    return _retrieval(v, config, of)
+        return result(found.cast("double"), F.when(found, "hit").otherwise("miss"), evidence=as_json(gold_chunk_ids=gold, retrieved_chunk_ids=ids, matched_chunk_ids=matches), config=as_json(k=k, **RULE))
 
+    return _retrieval(t, config, of)
 
-def recall(v: Column, config: dict) -> Column:
-    def of(gold, ids, matches):
-        score = F.size(F.array_distinct(matches)) / F.size(gold)
-        return result(score, graded(score, (1.0, "complete"), (0, "partial"), least="miss"), evidence=F.to_json(F.struct(F.size(gold).alias("gold_count"), matches.alias("matched_chunk_ids"))))
 
-    return _retrieval(v, config, of)
+def recall(t: Column, config: dict) -> Column:
+    def of(gold, ids, matches, k):
+        n = F.size(F.array_distinct(matches))
+        evidence = as_json(gold_count=F.size(gold), matched_count=n, retrieved_chunk_ids=ids, matched_chunk_ids=matches)
+        return result(n / F.size(gold), graded(n / F.size(gold), (1.0, "complete"), (0, "partial"), least="miss"), evidence=evidence, config=as_json(k=k, **RULE))
 
+    return _retrieval(t, config, of)
 
-def precision(v: Column, config: dict) -> Column:
-    high = float(config.get("precision_high", 0.8))
 
-    def of(gold, ids, matches):
-        score = F.size(matches) / F.size(ids)
-        good = result(score, graded(score, (high, "high"), (0, "partial"), least="none"), evidence=F.to_json(F.struct(F.size(ids).alias("retrieved_count"), F.size(matches).alias("matched_count"))))
-        return F.when(F.size(ids) == 0, failed("empty_retrieval")).otherwise(good)
+def precision(t: Column, config: dict) -> Column:
+    def of(gold, ids, matches, k):
+        score = F.size(matches) / F.nullif(F.size(ids), F.lit(0))
+        evidence = as_json(retrieved_count=F.size(ids), matched_count=F.size(matches), matched_chunk_ids=matches)
+        good = with_numbers(config, {"precision_high": 0.8}, lambda high: result(score, graded(score, (high, "high"), (0, "partial"), least="none"), evidence=evidence, config=as_json(k=k, threshold=high, **RULE)))
+        return F.when(F.size(ids) == 0, failed("empty_retrieval", "retrieved_chunks is empty", as_json(k=k))).otherwise(good)
 
-    return _retrieval(v, config, of)
+    return _retrieval(t, config, of)
 
 
-def mrr(v: Column, config: dict) -> Column:
-    def of(gold, ids, matches):
+def mrr(t: Column, config: dict) -> Column:
+    def of(gold, ids, matches, k):
         first = F.when(F.size(matches) > 0, F.array_position(ids, F.get(matches, F.lit(0))))
-        score = F.coalesce(1.0 / first, F.lit(0.0))
-        return result(score, F.when(first.isNotNull(), "ranked").otherwise("miss"), evidence=F.to_json(F.struct(first.alias("first_matching_rank"))))
-
-    return _retrieval(v, config, of)
-
-
-def preservation(v: Column, config: dict) -> Column:
-    items = V.items(v, "$.gold_evidence")
-    chunks = F.coalesce(V.items(v, "$.chunks"), F.array().cast("array<variant>"))
-    known = F.filter(F.transform(F.filter(chunks, V.is_object), lambda c: V.string(c, "$.chunk_id")), lambda x: x.isNotNull())
-
-    def kept(item: Column, ids: Column) -> Column:
-        covering = V.node(item, "$.covering_chunk_ids")
-        # a string is read as its characters, and an empty string as nothing
-        letters = F.when(V.is_string(covering), F.filter(F.split(V.string(item, "$.covering_chunk_ids"), ""), lambda x: x != ""))
-        valid = F.coalesce(letters, V.strings(item, "$.covering_chunk_ids"))
-        exists = (F.size(valid) > 0) & ((F.size(ids) == 0) | F.arrays_overlap(valid, ids))
-        flag = F.coalesce((V.kind(V.node(item, "$.is_preserved")) == "BOOLEAN") & F.try_variant_get(item, "$.is_preserved", "boolean"), F.lit(False))
-        return V.is_object(item) & flag & F.coalesce(exists, F.lit(False))
-
-    # values that can't be iterated: numbers other than 0 and true
-    raw = lambda x: F.try_variant_get(x, "$.covering_chunk_ids", "double")
-    wrong = lambda x: V.is_object(x) & V.kind(V.node(x, "$.covering_chunk_ids")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)") & (raw(x) != 0)
-    share = once(known, lambda ids: F.size(F.filter(items, lambda x: kept(x, ids))) / F.size(items))
-    good = once(share, lambda s: result(s, graded(s, (1.0, "complete"), (0, "partial"), least="lost")))
-    return F.when(items.isNull() | (F.size(items) == 0), skipped("no_gold_evidence")).when(F.exists(items, wrong), failed("metric_execution_error")).otherwise(good)
-
-
-def integrity(v: Column, config: dict) -> Column:
-    intact = float(config.get("integrity_intact", 0.8))
-    retrieved = V.items(v, "$.retrieval.retrieved_chunks")
-    chunks = F.coalesce(retrieved, V.items(v, "$.chunks"))
-
-    def defects(c: Column, i: Column, ids: Column) -> Column:
-        text, own = V.string(c, "$.text"), V.string(c, "$.chunk_id")
-        start, end = V.integer(c, "$.start_char"), V.integer(c, "$.end_char")
+        evidence = as_json(first_matching_rank=first, first_matching_chunk_id=F.get(matches, F.lit(0)))
+        return result(F.coalesce(1.0 / first, F.lit(0.0)), F.when(first.isNotNull(), "ranked").otherwise("miss"), evidence=evidence, config=as_json(k=k, **RULE))
+
+    return _retrieval(t, config, of)
+
+
+def preservation(t: Column, config: dict) -> Column:
+    gold, known = t["gold"], F.coalesce(t["known"], F.array().cast(STRINGS))
+    kept = lambda g: g["object"] & g["preserved"] & (F.size(g["covering"]) > 0) & ((F.size(known) == 0) | F.arrays_overlap(g["covering"], known))
+
+    def of(flags: Column) -> Column:
+        n, total = F.size(F.filter(flags, lambda x: x)), F.size(flags)
+        ids = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(gold, lambda g, i: F.when(F.element_at(flags, i + 1), g["covering"])), lambda x: x.isNotNull()))))
+        lost = F.filter(F.transform(flags, lambda x, i: F.when(~x, i)), lambda x: x.isNotNull())
+        evidence = as_json(total_count=total, preserved_count=n, preserved_chunk_ids=ids, lost_evidence_indexes=lost)
+        return result(n / total, graded(n / total, (1.0, "complete"), (0, "partial"), least="lost"), evidence=evidence, config=as_json(**RULE))
+
+    # a number or true can't be iterated
+    wrong = F.get(F.filter(F.transform(F.filter(gold, lambda g: g["object"]), lambda g: g["wrong"]), lambda x: x.isNotNull()), F.lit(0))
+    good = once(F.transform(gold, lambda g: F.coalesce(kept(g), F.lit(False))), of)
+    return F.when(gold.isNull() | (F.size(gold) == 0), skipped("no_gold_evidence")).when(wrong.isNotNull(), execution_error(F.concat(F.lit("'"), wrong, F.lit("' object is not iterable")), "TypeError")).otherwise(good)
+
+
+def integrity(t: Column, config: dict) -> Column:
+    chunks = t["checked"]
+
+    def types(c: Column, i: Column, ids: Column) -> Column:
+        own = c["chunk_id"]
         names = F.array(
-            F.when(T.blank(text), "empty_text").when(text.rlike(T.TRAILING_MARK), "truncated"),
-            F.when(F.coalesce(V.string(c, "$.document_id"), F.lit("")) == "", "missing_document_id"),
-            F.when((start < 0) | (end < start), "invalid_offsets"),
+            F.when(T.blank(c["text"]), "empty_text").when(c["text"].rlike(T.TRAILING_MARK), "truncated"),
+            F.when(F.coalesce(c["document_id"], F.lit("")) == "", "missing_document_id"),
+            F.when((c["end"].isNotNull() & (c["start"] < 0)) | (c["end"] < c["start"]), "invalid_offsets"),
             F.when(own.isNull(), "missing_chunk_id").when(F.array_position(ids, own) <= i, "duplicate_chunk_id"),
         )
-        return F.when(V.is_object(c), F.array_compact(names)).otherwise(F.array(F.lit("invalid_chunk_type")))
+        return F.when(c["object"], F.array_compact(names)).otherwise(F.array(F.lit("invalid_chunk_type")))
 
-    ids = F.transform(chunks, lambda c: F.when(V.is_object(c), V.string(c, "$.chunk_id")))
-    found = once(ids, lambda own: F.transform(chunks, lambda c, i: defects(c, i, own)))
-    source = F.when(retrieved.isNotNull(), "retrieved_chunks").otherwise("chunks")
+    found = once(F.transform(chunks, lambda c: F.when(c["object"], c["chunk_id"])), lambda ids: F.transform(chunks, lambda c, i: F.struct(c["chunk_id"].alias("chunk_id"), i.alias("index"), types(c, i, ids).alias("types"))))
 
-    def of(f: Column) -> Column:
-        score = 1.0 - F.size(F.filter(f, lambda x: F.size(x) > 0)) / F.size(f)
-        return result(score, graded(score, (intact, "intact"), (0, "degraded"), least="broken"), evidence=F.to_json(F.struct(source.alias("checked_source"), f.alias("defects"))))
+    def of(every: Column) -> Column:
+        defects = F.filter(every, lambda d: F.size(d["types"]) > 0)
+        score = 1.0 - F.size(defects) / F.size(every)
+        evidence = as_json(checked_source=F.when(t["from_retrieval"], "retrieved_chunks").otherwise("chunks"), checked_chunk_count=F.size(every), defective_chunk_count=F.size(defects), defects=defects)
+        return with_numbers(config, {"integrity_intact": 0.8}, lambda intact: result(score, graded(score, (intact, "intact"), (0, "degraded"), least="broken"), evidence=evidence, config=as_json(threshold=intact, **RULE)))
 
-    return F.when(chunks.isNull(), failed("invalid_field_type")).when(F.size(chunks) == 0, skipped("no_chunks")).otherwise(once(found, of))
+    return F.when(chunks.isNull(), failed("invalid_field_type", "chunks must be a list", field="chunks")).when(F.size(chunks) == 0, skipped("no_chunks")).otherwise(once(found, of))
 
 
-def coverage(v: Column, config: dict) -> Column:
-    def of(p: Column) -> Column:
-        score = F.size(F.array_intersect(p["gold"], p["own"])) / F.size(p["gold"])
-        return F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).otherwise(result(score, graded(score, (1.0, "complete"), (0, "partial"), least="missing")))
+def _sets(t: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """of(gold ids, selected ids), skipped without gold."""
+    pair = F.struct(gold_ids(t).alias("gold"), selected_ids(t).alias("own"))
+    return once(pair, lambda p: F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).otherwise(of(p["gold"], p["own"])))
 
-    return once(F.struct(gold_ids(v).alias("gold"), selected_ids(v).alias("own")), of)
 
+def coverage(t: Column, config: dict) -> Column:
+    def of(gold: Column, own: Column) -> Column:
+        matched = F.array_intersect(gold, own)
+        score = F.size(matched) / F.nullif(F.size(gold), F.lit(0))
+        evidence = as_json(gold_chunk_ids=gold, selected_chunk_ids=own, matched_chunk_ids=matched)
+        return result(score, graded(score, (1.0, "complete"), (0, "partial"), least="missing"), evidence=evidence, config=as_json(**RULE))
 
-def noise(v: Column, config: dict) -> Column:
-    low, moderate = float(config.get("noise_low", 0.2)), float(config.get("noise_moderate", 0.5))
+    return _sets(t, of)
 
-    def of(p: Column) -> Column:
-        score = F.size(F.array_except(p["own"], p["gold"])) / F.size(p["own"])
-        label = F.when(score <= low, "low_noise").when(score <= moderate, "moderate_noise").otherwise("high_noise")
-        return F.when(F.size(p["gold"]) == 0, skipped("no_gold_evidence")).when(F.size(p["own"]) == 0, skipped("no_selected_chunks")).otherwise(result(score, label))
 
-    return once(F.struct(gold_ids(v).alias("gold"), selected_ids(v).alias("own")), of)
+def noise(t: Column, config: dict) -> Column:
+    def of(gold: Column, own: Column) -> Column:
+        other = F.array_except(own, gold)
+        score = F.size(other) / F.nullif(F.size(own), F.lit(0))
+        evidence = as_json(selected_chunk_count=F.size(own), noise_chunk_count=F.size(other), noise_chunk_ids=other)
+
+        def good(low: float, moderate: float) -> Column:
+            label = F.when(score <= low, "low_noise").when(score <= moderate, "moderate_noise").otherwise("high_noise")
+            return result(score, label, evidence=evidence, config=as_json(low_threshold=low, moderate_threshold=moderate, **RULE))
+
+        return F.when(F.size(own) == 0, skipped("no_selected_chunks")).otherwise(with_numbers(config, {"noise_low": 0.2, "noise_moderate": 0.5}, good))
 
+    return _sets(t, of)
 
-def truncation(v: Column, config: dict) -> Column:
-    context = V.node(v, "$.context_construction")
-    flag = F.when(V.kind(V.node(context, "$.truncated")) == "BOOLEAN", F.try_variant_get(context, "$.truncated", "boolean"))
-    explicit = result(F.when(flag, 0.0).otherwise(1.0), F.when(flag, "truncated").otherwise("not_truncated"), evidence="explicit_flag")
-    marked = result(0.0, "truncated", evidence="text_marker")
+
+def truncation(t: Column, config: dict) -> Column:
+    own, flag = as_json(**RULE), t["truncated"]
+    explicit = result(F.when(flag, 0.0).otherwise(1.0), F.when(flag, "truncated").otherwise("not_truncated"), evidence=as_json(source="explicit_flag", truncated=flag), config=own)
+    marked = result(0.0, "truncated", evidence=as_json(source="text_marker", truncated=True), config=own)
     return (
-        F.when(~V.is_object(context), failed("invalid_field_type"))
+        F.when(~t["context_object"], failed("invalid_field_type", "context_construction must be an object", field="context_construction"))
         .when(flag.isNotNull(), explicit)
-        .when(V.string(context, "$.final_context").rlike(T.TRAILING_MARK), marked)
-        .otherwise(skipped("insufficient_truncation_metadata"))
+        .when(t["final_context"].rlike(T.TRAILING_MARK), marked)
+        .otherwise(skipped("insufficient_truncation_metadata", own))
     )
 
 
-def relevance(v: Column, config: dict) -> Column:
-    least = float(config.get("relevance_relevant", 0.5))
-    query, answer, language = V.string(v, "$.query"), V.string(v, "$.generation.final_answer"), V.string(v, "$.language")
+def relevance(t: Column, config: dict) -> Column:
+    query, answer, language = t["query"], t["answer"], t["language"]
 
     def of(p: Column) -> Column:
-        score = F.size(F.array_intersect(p["q"], p["a"])) / F.size(p["q"])
-        good = result(score, graded(score, (least, "relevant"), (0, "weakly_relevant"), least="unrelated"))
+        shared = F.array_intersect(p["q"], p["a"])
+        score = F.size(shared) / F.nullif(F.size(p["q"]), F.lit(0))
+        evidence = as_json(query_tokens=p["q"], answer_tokens=p["a"], shared_tokens=shared)
+        good = with_numbers(config, {"relevance_relevant": 0.5}, lambda least: result(score, graded(score, (least, "relevant"), (0, "weakly_relevant"), least="unrelated"), evidence=evidence, config=as_json(threshold=least, **RULE)))
         return F.when(F.size(p["q"]) == 0, skipped("no_valid_query_tokens")).otherwise(good)
 
-    pair = F.struct(F.array_distinct(T.metric_tokens(query, language)).alias("q"), F.array_distinct(T.metric_tokens(answer, language)).alias("a"))
-    return F.when(T.blank(query) | T.blank(answer), skipped("empty_query_or_answer")).otherwise(once(pair, of))
+    tokens = lambda x: F.array_sort(F.array_distinct(T.metric_tokens(x, language)))
+    return F.when(T.blank(query) | T.blank(answer), skipped("empty_query_or_answer")).otherwise(once(F.struct(tokens(query).alias("q"), tokens(answer).alias("a")), of))
 
 
-def faithfulness(v: Column, config: dict) -> Column:
-    support = float(config.get("sentence_support_threshold", 0.5))
-    high, part = float(config.get("faithfulness_supported", 0.8)), float(config.get("faithfulness_partial", 0.5))
-    context, answer, language = V.string(v, "$.context_construction.final_context"), V.string(v, "$.generation.final_answer"), V.string(v, "$.language")
+def faithfulness(t: Column, config: dict) -> Column:
+    context, answer, language = t["final_context"], t["answer"], t["language"]
+    tokens = lambda x: F.array_distinct(T.metric_tokens(x, language))
 
-    def supported(sentence: Column, have: Column) -> Column:
-        return once(F.array_distinct(T.metric_tokens(sentence, language)), lambda own: (F.size(own) > 0) & (F.size(F.array_intersect(own, have)) / F.size(own) >= support))
+    def of(support: float, high: float, part: float) -> Column:
+        def told(sentence: Column, have: Column) -> Column:
+            share = lambda own: F.coalesce(F.size(F.array_intersect(own, have)) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0))
+            judged = lambda own: once(share(own), lambda s: F.struct(sentence.alias("sentence"), s.alias("support_score"), ((F.size(own) > 0) & (s >= support)).alias("supported")))
+            return once(tokens(sentence), judged)
 
-    def of(p: Column) -> Column:
-        score = F.size(F.filter(p["s"], lambda x: F.coalesce(supported(x, p["c"]), F.lit(False)))) / F.size(p["s"])
-        good = once(score, lambda s: result(s, F.when(s >= high, "supported").when(s >= part, "partially_supported").otherwise("unsupported")))
-        return F.when(F.size(p["s"]) == 0, skipped("no_answer_sentences")).otherwise(good)
+        def good(told: Column) -> Column:
+            n, total = F.size(F.filter(told, lambda x: x["supported"])), F.size(told)
+            score = n / F.nullif(total, F.lit(0))
+            label = F.when(score >= high, "supported").when(score >= part, "partially_supported").otherwise("unsupported")
+            own = as_json(sentence_support_threshold=support, supported_threshold=high, partial_threshold=part, method="lexical_support", **RULE)
+            return F.when(total == 0, skipped("no_answer_sentences")).otherwise(result(score, label, evidence=as_json(sentence_count=total, supported_sentence_count=n, sentences=told), config=own))
 
-    pair = F.struct(F.array_distinct(T.metric_tokens(context, language)).alias("c"), T.sentences(answer).alias("s"))
-    return F.when(T.blank(context) | T.blank(answer), skipped("empty_context_or_answer")).otherwise(once(pair, of))
+        return once(tokens(context), lambda have: once(F.transform(T.sentences(answer), lambda s: told(s, have)), good))
+
+    usable = with_numbers(config, {"sentence_support_threshold": 0.5, "faithfulness_supported": 0.8, "faithfulness_partial": 0.5}, of)
+    return F.when(T.blank(context) | T.blank(answer), skipped("empty_context_or_answer")).otherwise(usable)
 
 
 def default_registry() -> Registry:
@@ -277,22 +456,44 @@ def drop_labels(traces: DataFrame) -> DataFrame:
 
 
 def score(traces: DataFrame, config: dict | None = None, registry: Registry | None = None) -> DataFrame:
-    """A row per trace and metric of a table with columns line (long) and trace (VARIANT, null for a malformed line).
+    """A row per trace and metric, with all fields of a metric result and line.
 
-    Malformed lines and values that aren't objects give an error row per metric under the id line-<n>. No shuffle.
+    traces: line (long) and trace (VARIANT, null for a malformed line; message, if there, says what is wrong with it, and
+    number is the line's place in its file), or line and the columns of typed traces. Malformed lines and values that aren't objects give an error row per metric under the
+    id line-<n>. An exception of a metric, while its column is built or in a Python function, is an error row as well.
+    runtime_ms is 0: the metrics of a trace are one expression. No shuffle.
     """
     config, registry = merged(DEFAULTS, config or {}), registry or default_registry()
-    good = V.is_object(F.col("trace"))
+    variant = "trace" in traces.columns
+    good = F.coalesce(V.is_object(F.col("trace")), F.lit(False)) if variant else F.lit(True)
+    view = F.when(good, of_variant(F.col("trace"))) if variant else of_columns(drop_labels(traces))
+    message = F.col("message") if "message" in traces.columns else F.lit("trace must be a JSON object")
+    number = F.col("number") if "number" in traces.columns else F.col("line")
+    read = traces.select("line", number.alias("number"), good.alias("good"), message.alias("message"), view.alias("t"))
     rows = []
     for name, (stage, builder) in registry.metrics.items():
-        own = builder(F.col("trace"), config["metrics"].get(stage, {}))
-        own = F.when(good, own).otherwise(failed("invalid_jsonl_record"))
-        rows.append(F.struct(F.lit(name).alias("metric_name"), F.lit(stage).alias("stage"), own.alias("r")))
-    trace_id = V.string(F.col("trace"), "$.trace_id")
-    named = F.when(F.col("stage") == "retrieval", F.when(F.col("trace_id") != "", F.col("trace_id"))).otherwise(F.col("trace_id"))
-    out = traces.select("line", F.when(good, F.coalesce(trace_id, F.lit("unknown"))).otherwise(F.format_string("line-%d", "line")).alias("trace_id"), F.explode(F.array(*rows)).alias("m"))
-    out = out.select("line", "trace_id", "m.metric_name", "m.stage", "m.r.*")
-    return out.withColumn("trace_id", F.coalesce(named, F.lit("unknown")))
+        try:
+            own = builder(F.col("t"), deepcopy(config["metrics"].get(stage, {})))
+        except Exception as e:  # noqa: BLE001  a metric that fails is an error row
+            own = execution_error(str(e), type(e).__name__)
+        bad = failed("invalid_jsonl_record", F.col("message"), line_number=F.col("number"))
+        rows.append(F.struct(F.lit(name).alias("metric_name"), F.lit(stage).alias("stage"), F.when(F.col("good"), own).otherwise(bad).alias("r")))
+    named = F.when(F.col("good"), F.coalesce("t.trace_id", F.lit("unknown"))).otherwise(F.format_string("line-%d", "number"))
+    out = read.select("line", named.alias("trace_id"), F.explode(F.array(*rows)).alias("m")).select("line", "trace_id", "m.metric_name", "m.stage", "m.r.*")
+    # the retrieval metrics have no empty id
+    own_id = F.when((F.col("stage") == "retrieval") & (F.col("trace_id") == "") & (F.col("error.code").isNull() | (F.col("error.code") != "metric_execution_error")), "unknown").otherwise(F.col("trace_id"))
+    return out.withColumn("trace_id", own_id).withColumn("runtime_ms", F.lit(0.0))
+
+
+FIELDS = ["trace_id", "metric_name", "stage", "score", "label", "status", "evidence", "config", "model", "warnings", "error", "runtime_ms"]
+
+
+def as_lines(results: DataFrame) -> DataFrame:
+    """Results as JSON lines (column value): keys sorted at every level, objects as objects, nulls kept."""
+    nested = lambda c: F.parse_json(c)
+    error = F.when(F.col("error").isNotNull(), F.struct(F.col("error.code").alias("code"), nested(F.col("error.details")).alias("details"), F.col("error.message").alias("message")))
+    rows = results.withColumns({"evidence": nested(F.col("evidence")), "config": nested(F.col("config")), "model": nested(F.col("model")), "error": error})
+    return rows.select(F.to_json(F.struct(*sorted(FIELDS)), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def counters(results: DataFrame) -> DataFrame:
@@ -304,4 +505,5 @@ def counters(results: DataFrame) -> DataFrame:
 def checked(results: DataFrame) -> DataFrame:
     """Results as they are; a row that breaks an invariant fails the query."""
     good = F.col("status").isin("ok", "skipped", "error") & (F.col("score").isNull() | F.col("score").between(0, 1))
+    good = good & (F.col("runtime_ms") >= 0) if "runtime_ms" in results.columns else good
     return results.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("invalid metric result: "), F.to_json(F.struct("*")))).cast("boolean")))

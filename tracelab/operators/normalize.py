@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,16 +11,50 @@ from pyspark.sql.window import Window
 from ..functions import variants as V
 
 
-def flatten_answer(v: Column, depth: int = 6) -> Column:
-    """The distinct leaves of a nested answer that aren't empty, in order, joined by ' | '. Nested to `depth` lists."""
+def leaves(v: str | None) -> list[str]:
+    """The leaves of a nested answer in a JSON text, in order; values that aren't strings as Python shows them."""
+    out, stack = [], [json.loads(v)] if v is not None else []
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack += x[::-1]
+        else:
+            out.append(x if isinstance(x, str) else str(x))
+    return out
+
+
+def flatten_answer(v: Column, depth: int = 3) -> Column:
+    """The distinct leaves of a nested answer that aren't empty, in order, joined by ' | '.
+
+    Answers nested to `depth` lists are read by expressions; an Arrow function reads the whole of deeper ones.
+    """
+    none = F.array().cast("array<string>")
 
-    def leaves(x: Column, left: int) -> Column:
+    def of(x: Column, left: int) -> Column:
+        inner = F.try_variant_get(x, "$", "array<variant>")
         leaf = F.array(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
-        if not left:
-            return leaf
-        return F.when(V.is_list(x), F.flatten(F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: leaves(y, left - 1)))).otherwise(leaf)
+        return F.when(V.is_list(x), F.flatten(F.transform(inner, lambda y: of(y, left - 1))) if left else none).otherwise(leaf)
 
-    return F.array_join(F.array_distinct(F.filter(leaves(v, depth), lambda s: s != "")), " | ")
+    def deep(x: Column, left: int) -> Column:
+        inner = F.try_variant_get(x, "$", "array<variant>")
+        return F.exists(inner, V.is_list) if not left else F.exists(inner, lambda y: deep(y, left - 1))
+
+    whole = F.pandas_udf(lambda texts: texts.map(leaves), "array<string>")
+    beyond = F.coalesce(deep(v, depth - 1), F.lit(False))
+    own = F.when(beyond, whole(F.when(beyond, F.to_json(v)))).otherwise(of(v, depth))
+    return F.array_join(F.array_distinct(F.filter(own, lambda s: s != "")), " | ")
+
+
+def numbered(rows: DataFrame, by: str, size: int = 100_000) -> DataFrame:
+    """rows with number, their place in order of a numeric column, from 1.
+
+    Rows are numbered within ranges of the column's values, and the ranges' counts are added up.
+    """
+    keyed = rows.withColumn("_range", F.floor(F.col(by) / size))
+    counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_range").alias("_of"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    placed = keyed.withColumn("number", F.row_number().over(Window.partitionBy("_range").orderBy(by))).join(before, F.col("_range").eqNullSafe(F.col("_of")))
+    return placed.withColumn("number", F.col("number") + F.col("_before")).drop("_range", "_of", "_before")
 
 
 def english(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,13 +100,12 @@ def russian(records: DataFrame) -> DataFrame:
     """Samples of single-context records (line, record): ids count the lines that aren't blank, bad ones included. Gold is
     located as the first occurrence of the record's text in its context, offsets are null where there is none."""
     r = F.col("record")
-    number = F.row_number().over(Window.orderBy("line"))
     sample = F.format_string("ru__retrieval_dataset__%06d", F.col("number"))
     text, context = V.string(r, "$.text"), V.string(r, "$.context")
     start = F.nullif(F.instr(context, text), F.lit(0)) - 1
     doc = F.concat(F.col("sample_id"), F.lit("__doc_000"))
     gold = F.struct(doc.alias("document_id"), F.lit(None).cast("int").alias("sentence_index"), text.alias("gold_text"), start.alias("char_start"), (start + F.length(text)).alias("char_end"))
-    rows = records.withColumn("number", number).withColumn("sample_id", sample).where(V.is_object(r))
+    rows = numbered(records, "line").withColumn("sample_id", sample).where(V.is_object(r))
     return rows.select(
         "sample_id",
         F.lit("retrieval_ru").alias("source_dataset"),

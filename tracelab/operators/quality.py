@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import variants as V
+from .metrics import once
 
 #: Fields that a trace must have, and tags by severity.
 REQUIRED = ["trace_id", "source_record_id", "pipeline_id", "language", "query", "reference_answer", "gold_evidence", "retrieval", "context_construction", "generation"]
@@ -32,9 +33,9 @@ def _text_tags(value: Column, least: int, empty: str, short: str, rest: Column)
 
 def gold_status(v: Column) -> Column:
     """Distinct gold chunk ids, how many of them were selected, and whether any and all were."""
-    from .metrics import gold_ids, once, selected_ids
-
-    pair = F.struct(gold_ids(v).alias("g"), selected_ids(v).alias("s"))
+    evidence = F.filter(F.coalesce(V.items(v, "$.gold_evidence"), F.array().cast("array<variant>")), V.is_object)
+    gold = F.array_distinct(F.flatten(F.transform(evidence, lambda x: V.strings(x, "$.covering_chunk_ids"))))
+    pair = F.struct(gold.alias("g"), F.array_distinct(V.strings(v, "$.context_construction.selected_chunk_ids")).alias("s"))
     count = lambda p: F.struct(F.size(p["g"]).alias("n_gold_chunks"), F.size(F.array_intersect(p["g"], p["s"])).alias("n_present_chunks"))
     return once(once(pair, count), lambda n: F.struct(n["n_gold_chunks"].alias("n_gold_chunks"), n["n_present_chunks"].alias("n_present_chunks"), (n["n_present_chunks"] > 0).alias("any"), ((n["n_gold_chunks"] > 0) & (n["n_present_chunks"] == n["n_gold_chunks"])).alias("all")))
 

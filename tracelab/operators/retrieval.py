@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import words
+from ..sources.storage import stored
 
 #: Fixed values of the Okapi variant: saturation, length weight, and the share of the mean IDF that negative ones get.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,20 +21,29 @@ def bm25(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     queries: sample_id, question. chunks: sample_id, ordinal, chunk_id, text. Statistics are those of the sample's pool;
     empty chunks count in its size, and pools without a token give nothing. Query tokens count as often as they occur. Scores
     may be negative and aren't filtered. Equal scores (to nine digits) keep the chunks' order. All work is keyed by sample:
-    pools never meet each other.
+    pools never meet each other. Texts are tokenised once; per chunk only the terms that its sample asks for are counted.
     """
-    own = chunks.select("sample_id", "ordinal", "chunk_id", words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    pool = own.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).where("avgdl > 0")
-    tf = own.select("sample_id", "ordinal", "dl", F.explode("w").alias("term")).groupBy("sample_id", "term", "ordinal", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("df")).join(pool, "sample_id")
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = F.avg("raw").over(Window.partitionBy("sample_id"))
-    idf = df.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).select("sample_id", "term", "idf", "avgdl")
+    own = stored(chunks.select("sample_id", "ordinal", "chunk_id", words(F.col("text")).alias("w")), "bm25-tokens")
+    pool = own.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")).where("avgdl > 0")
+    df = own.select("sample_id", F.explode(F.array_distinct("w")).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = stored(df.join(pool, "sample_id").select("sample_id", "term", raw.alias("raw"), "avgdl"), "bm25-terms")
+    mean = df.groupBy("sample_id").agg(F.avg("raw").alias("mean"))
     asked = queries.select("sample_id", F.explode(words(F.col("question"))).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(asked, ["sample_id", "term"]).join(idf, ["sample_id", "term"]).groupBy("sample_id", "ordinal").agg(F.sum(F.col("times") * F.col("idf") * share).alias("s"))
-    every = own.select("sample_id", "ordinal", "chunk_id").join(pool.select("sample_id"), "sample_id").join(queries.select("sample_id"), "sample_id")
-    return _ranked(every.join(scores, ["sample_id", "ordinal"], "left").withColumn("score", F.coalesce("s", F.lit(0.0))).drop("s"), top)
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    # a row for each sample: its asked terms that the pool has
+    terms = asked.join(df, ["sample_id", "term"]).join(mean, "sample_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("times") * idf).alias("weight")))).alias("terms"))
+    every = own.join(pool.select("sample_id", "avgdl"), "sample_id").join(queries.select("sample_id"), "sample_id").join(terms, "sample_id", "left")
+    dl, none = F.size("w"), F.array().cast("array<struct<term:string,weight:double>>")
+    hits = F.filter("w", lambda x: F.array_contains(F.transform("terms", lambda t: t["term"]), x))
+
+    def part(hits: Column, t: Column) -> Column:
+        tf = F.size(F.filter(hits, lambda x: x == t["term"]))
+        return t["weight"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+    total = F.aggregate(F.coalesce("terms", none), F.lit(0.0), lambda a, t: a + part(F.col("hits"), t))
+    scored = every.withColumn("hits", hits).select("sample_id", "ordinal", "chunk_id", total.alias("score"))
+    return _ranked(scored, top)
 
 
 def dense(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:

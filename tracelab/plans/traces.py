@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, generation, retrieval
+from ..operators import chunking, context, generation, metrics, retrieval
 from ..sources.storage import stored
 
 PIPELINE = "documents_bm25_v1"
@@ -33,9 +33,9 @@ def build(docs: DataFrame, top: int = 5, budget: int = 3000, run_id: str = "run"
     """Full traces: chunks, located gold, BM25 top chunks, context, a dry-run answer. Joined by sample and document only."""
     own = samples(docs)
     texts = docs.select(F.format_string("doc_%d", "doc_id").alias("document_id"), "text").where("document_id is not null and text is not null")
-    chunks = chunking.chunk_documents(texts)
+    chunks = stored(chunking.chunk_documents(texts), "chunks")
     pools = own.select("sample_id", F.explode(F.array("document_id", "neighbour")).alias("document_id"))
-    pool = pools.join(chunks, "document_id").withColumn("ordinal", F.struct(F.col("document_id") != F.regexp_replace("sample_id", "sample_", "doc_"), "chunk_index"))
+    pool = stored(pools.join(chunks, "document_id"), "pools").withColumn("ordinal", F.struct(F.col("document_id") != F.regexp_replace("sample_id", "sample_", "doc_"), "chunk_index"))
     gold = own.select("sample_id", F.lit(0).alias("ordinal"), "document_id", "gold_text", F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"))
     covered = chunking.cover(chunking.locate(gold, texts), chunks)
     evidence = covered.groupBy("sample_id").agg(
@@ -55,32 +55,44 @@ def build(docs: DataFrame, top: int = 5, budget: int = 3000, run_id: str = "run"
 
 
 def as_variant(traces: DataFrame) -> DataFrame:
-    """Traces as line and VARIANT, without fault labels: what metrics and quality checks read."""
+    """Traces as line and VARIANT, without fault labels: what quality checks read."""
     own = [c for c in traces.columns if c not in ("injected_fault", "_is_healthy")]
-    return traces.select(F.monotonically_increasing_id().alias("line"), F.parse_json(F.to_json(F.struct(*own))).alias("trace"))
+    whole = F.to_json(F.struct(*own), {"ignoreNullFields": "false"})
+    return traces.select(F.monotonically_increasing_id().alias("line"), F.parse_json(whole).alias("trace"))
 
 
-def controlled_failures(traces: DataFrame, count: int = 20, language: str = "any", retriever: str = "bm25", rounds: int = 2000) -> DataFrame:
-    """The orchestrated analysis: healthy traces, every fault injected, both scored, paired and summarised."""
+def scored(traces: DataFrame) -> DataFrame:
+    """Metric results of typed traces, which are read as they are: no JSON between."""
+    return metrics.score(traces.withColumn("line", F.monotonically_increasing_id()))
+
+
+def paired(traces: DataFrame, count: int = 20, language: str = "any") -> tuple[DataFrame, DataFrame]:
+    """Healthy traces, every fault injected, both sides scored and paired: deltas, and ids without a partner."""
     from functools import reduce
 
-    from ..operators import faults, metrics, stats
+    from ..operators import faults, stats
 
     good = stored(faults.healthy(traces), "healthy")
     wrapped = reduce(DataFrame.unionByName, [faulty_lines(faults.inject(good, f, count, language)) for f in faults.INJECTORS])
     wrapped = stored(wrapped, "faulty").withColumn("trace", F.parse_json("trace"))
     ids = wrapped.select("original_trace_id").distinct()
-    healthy = stored(metrics.score(as_variant(good.join(ids, F.col("trace_id") == F.col("original_trace_id"), "left_semi"))), "healthy-scores")
-    scored = stored(metrics.score(wrapped.select(F.col("n").alias("line"), "trace")), "faulty-scores")
-    labelled = scored.join(wrapped.select(F.col("n").alias("line"), "original_trace_id", "fault_type"), "line")
-    deltas, _ = stats.pair(healthy, labelled)
-    return stats.summarise(deltas, retriever, rounds)
+    healthy = stored(scored(good.join(ids, F.col("trace_id") == F.col("original_trace_id"), "left_semi")), "healthy-scores")
+    faulty = stored(metrics.score(wrapped.select(F.col("n").alias("line"), "trace")), "faulty-scores")
+    labelled = faulty.join(wrapped.select(F.col("n").alias("line"), "original_trace_id", "fault_type"), "line")
+    return stats.pair(healthy, labelled)
+
+
+def controlled_failures(traces: DataFrame, count: int = 20, language: str = "any", retriever: str = "bm25", rounds: int = 2000) -> DataFrame:
+    """The orchestrated analysis: pairs of healthy and faulty traces, summarised."""
+    from ..operators import stats
+
+    return stats.summarise(paired(traces, count, language)[0], retriever, rounds)
 
 
 def faulty_lines(wrappers: DataFrame) -> DataFrame:
     """n, original_trace_id, fault_type and the faulty trace as JSON."""
     number = F.xxhash64("injected_fault", "original_trace_id")
-    return wrappers.select(number.alias("n"), "original_trace_id", F.col("injected_fault").alias("fault_type"), F.to_json("trace").alias("trace"))
+    return wrappers.select(number.alias("n"), "original_trace_id", F.col("injected_fault").alias("fault_type"), F.to_json("trace", {"ignoreNullFields": "false"}).alias("trace"))
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,38 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session (one machine) uses its warehouse; on a cluster
+    a folder must be named, since executors don't see each other's disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    _OWN.append(f"{shared_folder(spark)}/traces/{name}-{uuid.uuid4().hex}")
+    return _OWN[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (unset: the warehouse), read again: work that is used several times
-    is done once, and a lost executor costs none of it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{base.rstrip('/')}/traces/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, read again: work that is used several times is done once, and a lost
+    executor costs none of it."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that this process has stored; results that read them can't be read again."""
+    while _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_OWN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
