@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -19,8 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder in spark.checkpoint.dir; where that is unset, under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """A fresh path under the shared folder in spark.checkpoint.dir. Where that is unset, a local session (one machine) uses
+    its warehouse; on a cluster a folder must be named, since executors don't see each other's disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return f"{base.rstrip('/')}/tracelab/{name}-{uuid.uuid4().hex}"
 
 
@@ -91,22 +98,33 @@ class WordTable:
     """Rows of numbers by word, computed once per distinct word of a worker and kept up to `keep` words.
 
     `compute` maps a list of words to an array with a row for each. The first `keep` words met stay for the life of the
-    worker (frequent words are met early); later words are computed once per batch. Memory is bounded by `keep`.
+    worker (frequent words are met early); later words are computed once per call. A word's row is a place in one array, so
+    memory is bounded by `keep` words and as many rows.
     """
 
-    def __init__(self, compute: Callable[[Sequence[str]], np.ndarray], keep: int = 150_000):
-        self.compute, self.keep, self.rows = compute, keep, {}
-
-    def of(self, words: set[str]) -> dict:
-        """A row (tuple or number) for each of words."""
-        new = [w for w in words if w not in self.rows]
-        if not new:
-            return self.rows
-        got = dict(zip(new, self.compute(new).tolist(), strict=True))
-        if len(self.rows) + len(new) <= self.keep:
-            self.rows.update(got)
-            return self.rows
-        return {w: self.rows[w] if w in self.rows else got[w] for w in words}
+    def __init__(self, compute: Callable[[Sequence[str]], np.ndarray], width: int, keep: int = 150_000):
+        self.compute, self.keep, self.places, self.rows = compute, keep, {}, np.zeros((1024, width))
+
+    def sums(self, freqs: Sequence[Counter]) -> np.ndarray:
+        """A row for each document: the sum of its words' rows times their frequencies."""
+        places, held = self.places, len(self.places)
+        new = [w for w in set().union(*freqs) if w not in places]
+        if new:
+            if held + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((held + len(new), self.rows.shape[1]))])
+            self.rows[held : held + len(new)] = np.reshape(self.compute(new), (len(new), -1))
+            places.update(zip(new, range(held, held + len(new)), strict=True))
+        sizes = np.fromiter(map(len, freqs), np.int64, len(freqs))
+        at = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(freqs)), np.int64, sizes.sum())
+        times = np.fromiter(itertools.chain.from_iterable(f.values() for f in freqs), float, len(at))
+        out = np.zeros((len(freqs), self.rows.shape[1]))
+        if len(at):
+            some = sizes > 0
+            out[some] = np.add.reduceat(self.rows[at] * times[:, None], (np.cumsum(sizes) - sizes)[some])
+        if len(places) > self.keep:
+            for w in new:
+                del places[w]
+        return out
 
 
 def ngram_ids(words: Sequence[str], sizes: Sequence[int], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,10 +57,15 @@ class Index:
         codes = np.stack([nearest(part, book) for part, book in zip(np.array_split(residual, len(self.books), axis=1), self.books, strict=True)], axis=1)
         return cell, codes.astype(np.uint8)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """The cells that each query probes."""
-        near = q @ self.cells.T
-        return np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes]
+    def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Which cells each query probes: the nearest `probes`, and more until they hold `least` vectors (sizes: of the cells)."""
+        order = np.argsort(-(q @ self.cells.T), axis=1, kind="stable")
+        enough = np.cumsum(sizes[order], axis=1) - sizes[order] >= least
+        taken = ~enough
+        taken[:, : self.probes] = True
+        mask = np.zeros_like(taken)
+        np.put_along_axis(mask, order, taken, axis=1)
+        return mask
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Asymmetric tables: for each part, the inner products of the queries' parts with the part's codebook."""
@@ -91,8 +96,8 @@ def fit(rows: Iterable[tuple[list[float]]], cells: int, top: int = 20, seed: int
 class Block:
     """The stored vectors of a block, sorted by cell and id: equal ones count as one candidate."""
 
-    def __init__(self, index: Index, rows: pa.Table):
-        self.index = index
+    def __init__(self, index: Index, rows: pa.Table, probed: Callable[[np.ndarray], np.ndarray]):
+        self.index, self.probed = index, probed
         cells, self.rows, self.ids = (rows.column(c).to_numpy() for c in ("cell", "row", "id"))
         raw = rows.column("v").to_pylist()
         _, first, of = np.unique(np.array(raw, dtype=np.dtype((np.void, len(raw[0])))), return_index=True, return_inverse=True)
@@ -112,8 +117,7 @@ class Block:
         """Per query the vectors of its probed cells that are nearest by the tables, and their exact inner products (-inf
         where there are fewer)."""
         index, count = self.index, len(self.vectors)
-        probed = np.zeros((len(q), len(index.cells)), bool)
-        np.put_along_axis(probed, index.probed(q), True, axis=1)
+        probed = self.probed(q)
         tables, near = index.tables(q), np.full((len(q), count), -np.inf)
         for cell, a, b in self.runs:
             asked = np.flatnonzero(probed[:, cell])
@@ -161,8 +165,7 @@ def search(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "ve
 
     Null vectors, vectors with null or non-finite components, zero and empty vectors and null ids take no part. Rows of one
     id are rows of their own, as queries (told apart by query_row) and as candidates. A vector is compared with those of its
-    dimension, which have an index of their own. With fewer candidates than `top`, all that the probed cells hold are
-    returned. An empty table gives an empty result. Other columns are not carried.
+    dimension, which have an index of their own. With fewer candidates than `top`, all of them are returned. An empty table gives an empty result. Other columns are not carried.
     """
     values = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -204,12 +207,15 @@ def neighbours(rows: DataFrame, dim: int, count: int, top: int, every: int) -> D
         else:
             first[c], held = at, held + n
 
+    def probed(q: np.ndarray) -> np.ndarray:
+        return index.probed(q, sizes, 2 * top)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, ASKED):
                 some = batch.slice(i, ASKED)
                 q = np.frombuffer(b"".join(some.column(2).to_pylist()), np.float64).reshape(-1, dim)
-                own = [np.unique(gathered(first[c], blocks[c])) for c in index.probed(q)]
+                own = [np.unique(gathered(first[c], blocks[c])) for c in probed(q)]
                 take = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in own]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(c.take(take) for c in some.columns)], ["block", "row", "id", "v"])
 
@@ -224,7 +230,7 @@ def neighbours(rows: DataFrame, dim: int, count: int, top: int, every: int) -> D
                 if not asks[a]:
                     held.append(batch.slice(a, b - a))
                 elif held:
-                    block = block or Block(index, pa.Table.from_batches(held))
+                    block = block or Block(index, pa.Table.from_batches(held), probed)
                     for i in range(a, b, ASKED):
                         yield block.answer(batch.slice(i, min(ASKED, b - i)), top)
 

@@ -147,17 +147,12 @@ def model_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mode
 
 def predictor(model: Model | None) -> Callable[[list[str]], tuple[list[str], np.ndarray]]:
     """A function from whole texts to languages and scores; it keeps its words' sums between calls."""
-    known = WordTable(model.word_sums) if model else None
+    known = WordTable(model.word_sums, len(model.languages) + 1) if model else None
 
     def of(texts: list[str]) -> tuple[list[str], np.ndarray]:
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
         if model and texts:
-            freqs = [Counter(t.split()) for t in texts]
-            rows = known.of(set().union(*freqs))
-            sums = np.zeros((len(texts), len(model.languages) + 1))
-            for k, f in enumerate(freqs):
-                if f:
-                    sums[k] = np.fromiter(f.values(), float, len(f)) @ np.array([rows[w] for w in f])
+            sums = known.sums([Counter(t.split()) for t in texts])
             p = model.probabilities(sums)
             for k in np.flatnonzero(sums[:, -1] > 0):
                 langs[k], scores[k] = model.languages[p[k].argmax()], p[k].max()

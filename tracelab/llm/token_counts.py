@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 from collections import Counter
 from collections.abc import Iterator
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ def piece_counter(path: str) -> WordTable:
             counts[i : i + 2000] = np.bincount(at, minlength=len(words[i : i + 2000]))
         return counts
 
-    return WordTable(compute, KEPT_WORDS)
+    return WordTable(compute, 1, KEPT_WORDS)
 
 
 def words_of(text: str) -> list[str]:
@@ -61,10 +60,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         pieces = piece_counter(tokenizer)
         for batch in small(batches, 1000):
             texts = batch.column(1).to_pylist()
-            freqs = [Counter(words_of(t)) for t in texts]
-            known = pieces.of(set().union(*freqs))
-            tokens = [sum(map(mul, f.values(), map(known.__getitem__, f))) for f in freqs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            tokens = pieces.sums([Counter(words_of(t)) for t in texts])[:, 0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens)], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -141,20 +141,12 @@ def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
 def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
     """A function from whole texts to probabilities of label 1; it keeps its words' parts between calls."""
-    known = WordTable(model.word_logits)
+    known = WordTable(model.word_logits, 2)
 
     def of(texts: list[str]) -> np.ndarray:
-        freqs = [Counter(t.split()) for t in texts]
-        rows = known.of(set().union(*freqs))
-        logits = []
-        for f in freqs:
-            total = words = 0.0
-            for w, n in f.items():
-                part, real = rows[w]
-                total += n * part
-                words += n * real
-            logits.append(model.bias + (total / words if words else 0.0))
-        return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -500, 500)))
+        sums = known.sums([Counter(t.split()) for t in texts])
+        logits = model.bias + sums[:, 0] / np.maximum(sums[:, 1], 1)
+        return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
     return of
 
