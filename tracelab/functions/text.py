@@ -32,7 +32,10 @@ REFUSALS = [
     "restrict",
 ]
 CUT_SHORT = [r"\.\.\.$", r"\[TRUNCATED\]", r"…$", r"\[...\]$"]
-TRAILING_MARK = r"(?iU)(?:\.\.\.|…|\[TRUNCATED\]|\[\.\.\.\])\s*$"
+TRAILING_MARK = r"(?i)(?:\.\.\.|…|\[TRUNCATED\]|\[\.\.\.\])$"
+#: White space as Python has it, as characters and as ranges of a character class.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -50,32 +53,44 @@ def metric_tokens(text: Column, language: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Stripped sentences that aren't empty: text is split after . ! ? and white space, and at line ends."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+|[\r\n]+")
+    parts = F.split(F.coalesce(text, F.lit("")), rf"(?<=[.!?])[{SPACE}]+|[\r\n]+")
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def distinct_tokens(text: Column, language: Column) -> Column:
+    """The different metric_tokens() of a text."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(METRIC_WORD), F.lit(0))
+    kept = {code: F.array_except(found, F.lit(stop)) for code, stop in STOP_WORDS.items()}
+    return F.when(language == "en", kept["en"]).when(language == "ru", kept["ru"]).otherwise(F.array_distinct(found))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def normal_form(text: Column) -> Column:
     """Lower case, stripped, white space collapsed: the key of equal contents."""
-    return F.regexp_replace(F.lower(strip(F.coalesce(text, F.lit("")))), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]+", " "))
 
 
 def blank(text: Column) -> Column:
     """Whether a text is null or has nothing but white space."""
-    return F.coalesce(strip(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(f"[^{SPACE}]"), F.lit(False))
+
+
+def ends_marked(text: Column) -> Column:
+    """Whether a text ends with a mark of truncation, white space aside."""
+    return F.right(F.rtrim(text, F.lit(SPACES)), F.lit(11)).rlike(TRAILING_MARK)
 
 
 def word_count(text: Column) -> Column:
     """The fallback token counter: runs of non-space characters, one at least."""
-    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+")))
+    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")))
 
 
 def readable(text: Column) -> Column:
     """Whether over 0.7 of the characters are word characters, white space or plain punctuation."""
-    kept = F.length(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s.,!?;:'\"()\-\x{0400}-\x{04ff}]", ""))
+    kept = F.length(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}_{SPACE}.,!?;:'\"()\-\x{{0400}}-\x{{04ff}}]", ""))
     return F.coalesce(kept / F.nullif(F.length(text), F.lit(0)) > 0.7, F.lit(False))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 SENTENCE_END = re.compile(r"""[.!?。！？…]+["')\]]*\s+|\n+""")
 WORD = re.compile(r"\S+\s*")
@@ -54,37 +56,49 @@ def windows(tokens: list[int], size: int, overlap: int) -> list[tuple[int, int]]
     return out
 
 
-def chunk_text(document_id: str, text: str, size: int = 400, overlap: int = 80, count: Callable[[str], int] = fallback_counter) -> list[dict]:
-    """The chunks of a text: as many atoms as fit into size (one at least), each next chunk reaching back over the fewest
-    last atoms that have overlap tokens, but always beginning later than the one before."""
+def chunk_text(document_id: str, text: str, size: int = 400, overlap: int = 80, count: Callable[[str], int] = fallback_counter) -> list[tuple]:
+    """The chunks of a text (fields in the order of CHUNK): as many atoms as fit into size (one at least), each next chunk
+    reaching back over the fewest last atoms that have overlap tokens, but always beginning later than the one before."""
     own, out = atoms(text or "", size, count), []
     for k, (i, j) in enumerate(windows([n for *_, n in own], size, overlap)):
         start, end = own[i][0], own[j - 1][1]
         body = text[start:end]
-        out.append(
-            {"chunk_id": f"{document_id}__chunk_{k:03d}", "document_id": document_id, "text": body, "chunk_index": k, "start_char": start, "end_char": end, "token_count": count(body)}
-        )
+        out.append((f"{document_id}__chunk_{k:03d}", document_id, body, k, start, end, count(body)))
     return out
 
 
-def chunk_documents(docs: DataFrame, size: int = 400, overlap: int = 80, counter: Callable[[], Callable[[str], int]] | None = None, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
-    """A row per chunk of each document (columns of CHUNK). Offsets count code points, half open from 0; empty and null
-    texts have no chunks. The token counter is any Python function, so documents stream through Arrow batches; nothing is
-    shuffled and a chunk is a slice of its text."""
+def with_chunks(docs: DataFrame, size: int = 400, overlap: int = 80, counter: Callable[[], Callable[[str], int]] | None = None, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+    """docs with a column chunks, the array of each document's chunks (fields of CHUNK). Offsets count code points, half open
+    from 0; empty and null texts have no chunks. The token counter is any Python function, so documents stream through Arrow
+    batches; nothing is shuffled and a chunk is a slice of its text. counter() is called once a task."""
     if overlap >= size:
         raise ValueError("overlap must be less than size")
-    names = ["chunk_id", "document_id", "text", "chunk_index", "start_char", "end_char", "token_count"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = {"chunk_id": pa.string(), "document_id": pa.string(), "text": pa.string(), "chunk_index": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "token_count": pa.int32()}
+    at, names = [docs.columns.index(c) for c in (id_col, text_col)], [*docs.columns, "chunks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter() if counter else fallback_counter
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows = [c for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for c in chunk_text(d, t or "", size, overlap, count)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                lists = [chunk_text(d, t or "", size, overlap, count) for d, t in zip(*(part.column(k).to_pylist() for k in at), strict=True)]
+                columns = zip(*itertools.chain.from_iterable(lists), strict=True) if any(lists) else [()] * len(kinds)
+                values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in lists])], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, values)], names)
+
+    schema = StructType([*docs.schema.fields, StructField("chunks", ArrayType(_parse(CHUNK)))])
+    return docs.mapInArrow(run, schema)
+
+
+def _parse(kind: str) -> StructType:
+    return StructType.fromDDL(kind[len("struct<") : -1].replace(":", " "))
 
-    return docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("text")).mapInArrow(run, CHUNK[len("struct<") : -1].replace(":", " "))
+
+def chunk_documents(docs: DataFrame, size: int = 400, overlap: int = 80, counter: Callable[[], Callable[[str], int]] | None = None, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+    """A row per chunk of each document (columns of CHUNK), as with_chunks() has them."""
+    own = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("text"))
+    return with_chunks(own, size, overlap, counter).select(F.explode("chunks").alias("c")).select("c.*")
 
 
 def locate(gold: DataFrame, docs: DataFrame) -> DataFrame:
@@ -110,3 +124,10 @@ def cover(gold: DataFrame, chunks: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_index", "chunk_id")))).alias("c"), F.max(holds).alias("is_preserved")
     )
     return found.withColumn("covering_chunk_ids", F.col("c.chunk_id")).withColumn("locate_ok", F.col("gold_start").isNotNull()).drop("c")
+
+
+def covering(chunks: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """For gold in the row of its document's chunks: ids of the chunks that it overlaps, and whether one holds all of it."""
+    over = F.filter(chunks, lambda c: (c["start_char"] < end) & (start < c["end_char"]))
+    holds = F.exists(chunks, lambda c: (c["start_char"] <= start) & (end <= c["end_char"]))
+    return F.coalesce(F.transform(over, lambda c: c["chunk_id"]), F.array().cast("array<string>")), F.coalesce(holds, F.lit(False))

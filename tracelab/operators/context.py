@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ CHUNKS = "array<struct<chunk_id:string,document_id:string,rank:int,text:string>>
 STATE = "struct<seen:array<string>,parts:array<string>,selected:array<string>,dropped:array<string>,repeated:array<string>,tokens:bigint>"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out a single time."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def build(chunks: Column, budget: int = 3000, deduplicate: bool = True, keep_rank_order: bool = True, count=word_count) -> Column:
     """A struct of selected, dropped and deduplicated ids, token count, truncated and final_context.
 
@@ -20,24 +27,28 @@ def build(chunks: Column, budget: int = 3000, deduplicate: bool = True, keep_ran
     """
     needed = lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), c["rank"].cast("int").alias("rank"), c["text"].alias("text"))
     own = F.transform(F.transform(chunks, needed).cast(CHUNKS), lambda c, i: F.struct(F.coalesce(c["rank"].cast("double"), F.lit(1e9)).alias("r"), i.alias("i"), c.alias("c")))
-    ordered = F.transform(F.array_sort(own) if keep_rank_order else own, lambda x: x["c"])
+    ordered = F.transform(F.array_sort(own) if keep_rank_order else own, lambda x: F.struct(x["c"]["chunk_id"].alias("chunk_id"), x["c"]["document_id"].alias("document_id"), F.coalesce(x["c"]["text"], F.lit("")).alias("text"), normal_form(x["c"]["text"]).alias("key")))
     start = F.from_json(F.lit('{"seen":[],"parts":[],"selected":[],"dropped":[],"repeated":[],"tokens":0}'), STATE)
 
     def step(s: Column, c: Column) -> Column:
-        key, text = normal_form(c["text"]), F.coalesce(c["text"], F.lit(""))
-        piece = F.concat(F.lit("["), (F.size(s["selected"]) + 1).cast("string"), F.lit("] (source: "), F.coalesce(c["document_id"], F.lit("?")), F.lit(")\n"), text)
-        again = F.lit(deduplicate) & F.array_contains(s["seen"], key)
-        over = (s["tokens"] + count(piece) > budget) & (F.size(s["selected"]) > 0)
-
         def state(**new: Column) -> Column:
             return F.struct(*[new.get(n, s[n]).alias(n) for n in ("seen", "parts", "selected", "dropped", "repeated", "tokens")]).cast(STATE)
 
-        seen = F.array_append(s["seen"], key)
-        taken = state(seen=seen, parts=F.array_append(s["parts"], piece), selected=F.array_append(s["selected"], c["chunk_id"]), tokens=s["tokens"] + count(piece))
-        return F.when(again, state(repeated=F.array_append(s["repeated"], c["chunk_id"]))).when(over, state(seen=seen, dropped=F.array_append(s["dropped"], c["chunk_id"]))).otherwise(taken)
+        def costed(p: Column) -> Column:
+            over = (s["tokens"] + p["cost"] > budget) & (F.size(s["selected"]) > 0)
+            seen = F.array_append(s["seen"], c["key"])
+            taken = state(seen=seen, parts=F.array_append(s["parts"], p["piece"]), selected=F.array_append(s["selected"], c["chunk_id"]), tokens=s["tokens"] + p["cost"])
+            return F.when(over, state(seen=seen, dropped=F.array_append(s["dropped"], c["chunk_id"]))).otherwise(taken)
+
+        piece = F.concat(F.lit("["), (F.size(s["selected"]) + 1).cast("string"), F.lit("] (source: "), F.coalesce(c["document_id"], F.lit("?")), F.lit(")\n"), c["text"])
+        told = once(piece, lambda x: F.struct(x.alias("piece"), count(x).cast("bigint").alias("cost")))
+        again = F.lit(deduplicate) & F.array_contains(s["seen"], c["key"])
+        return F.when(again, state(repeated=F.array_append(s["repeated"], c["chunk_id"]))).otherwise(once(told, costed))
 
     def finish(s: Column) -> Column:
-        text = F.array_join(s["parts"], "\n\n")
+        return once(F.array_join(s["parts"], "\n\n"), lambda text: finished(s, text))
+
+    def finished(s: Column, text: Column) -> Column:
         return F.struct(
             s["selected"].alias("selected_chunk_ids"),
             s["dropped"].alias("dropped_chunk_ids"),

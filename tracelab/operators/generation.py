@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,29 +35,34 @@ def dry_run() -> Column:
     return F.struct(*[v.alias(k) for k, v in values.items()])
 
 
-def generate(samples: DataFrame, client: Callable[[], Callable[[str], dict]], retries: int = 3) -> DataFrame:
+def generate(samples: DataFrame, client: Callable[[], Callable[[str], dict]], retries: int = 3, wait: float = 1.0) -> DataFrame:
     """samples (sample_id, final_prompt) with the answers of a client, a row each.
 
     client() is called once a task and gives a function from a prompt to the fields of GENERATION. A call that raises is
-    tried again; in the end it gives an error row, never an exception. Runs where the data are, in Arrow batches.
+    tried again after `wait` seconds, then twice as many and so on; in the end it gives an error row, never an exception.
+    Runs where the data are, in Arrow batches.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {n: {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[k] for n, k in (x.split() for x in GENERATION.split(", "))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = client()
-        names = [x.split()[0] for x in GENERATION.split(", ")]
+
+        def answer(text: str) -> dict:
+            for attempt in range(retries):
+                try:
+                    return {"status": "success", "error": None, **ask(text)}
+                except Exception as e:  # noqa: BLE001  any failure of a backend is an error row
+                    error = str(e)
+                    if attempt < retries - 1 and wait:
+                        time.sleep(wait * 2**attempt)
+            return {"status": "error", "error": error}
+
         for batch in batches:
-            rows = []
-            for text in batch["final_prompt"]:
-                for attempt in range(retries):
-                    try:
-                        rows.append({"status": "success", "error": None, **ask(text)})
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of a backend is an error row
-                        if attempt == retries - 1:
-                            rows.append({"status": "error", "error": str(e)})
-            yield pd.concat([batch[["sample_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    return samples.select("sample_id", "final_prompt").mapInPandas(run, f"sample_id string, {GENERATION}")
+            rows = [answer(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.get(n) for r in rows], k) for n, k in kinds.items())], ["sample_id", *kinds])
+
+    return samples.select("sample_id", "final_prompt").mapInArrow(run, f"sample_id string, {GENERATION}")
 
 
 BACKENDS = {"dry-run": lambda: lambda text: {"final_answer": DRY_ANSWER, "model_name": "dry-run", "temperature": 0.0, "latency_ms": 0}}

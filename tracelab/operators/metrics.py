@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import variants as V
+from .context import once
 
 DEFAULTS = {
     "metrics": {
@@ -227,11 +228,6 @@ def with_numbers(config: dict, names: dict[str, float], then: Callable[..., Colu
         return execution_error(str(e), type(e).__name__)
 
 
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value worked out a single time."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def graded(score: Column, *steps: tuple[float, str], least: str) -> Column:
     """The label of the first step that the score reaches."""
     label = F.lit(least)
@@ -242,11 +238,11 @@ def graded(score: Column, *steps: tuple[float, str], least: str) -> Column:
 
 def gold_ids(t: Column) -> Column:
     """Distinct chunk ids of the gold evidence, sorted; items and ids of other types don't count."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(F.coalesce(t["gold"], F.array().cast(f"array<{GOLD}>")), lambda g: g["object"]), lambda g: g["listed"]))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.filter(F.coalesce(t["gold"], F.array().cast(f"array<{GOLD}>")), lambda g: g["object"]), lambda g: g["listed"]))))
 
 
 def selected_ids(t: Column) -> Column:
-    return F.array_sort(F.array_distinct(t["selected"]))
+    return F.sort_array(F.array_distinct(t["selected"]))
 
 
 RULE = {"implementation": "rule_v1"}
@@ -308,7 +304,7 @@ def preservation(t: Column, config: dict) -> Column:
 
     def of(flags: Column) -> Column:
         n, total = F.size(F.filter(flags, lambda x: x)), F.size(flags)
-        ids = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(gold, lambda g, i: F.when(F.element_at(flags, i + 1), g["covering"])), lambda x: x.isNotNull()))))
+        ids = F.sort_array(F.array_distinct(F.flatten(F.filter(F.transform(gold, lambda g, i: F.when(F.element_at(flags, i + 1), g["covering"])), lambda x: x.isNotNull()))))
         lost = F.filter(F.transform(flags, lambda x, i: F.when(~x, i)), lambda x: x.isNotNull())
         evidence = as_json(total_count=total, preserved_count=n, preserved_chunk_ids=ids, lost_evidence_indexes=lost)
         return result(n / total, graded(n / total, (1.0, "complete"), (0, "partial"), least="lost"), evidence=evidence, config=as_json(**RULE))
@@ -325,7 +321,7 @@ def integrity(t: Column, config: dict) -> Column:
     def types(c: Column, i: Column, ids: Column) -> Column:
         own = c["chunk_id"]
         names = F.array(
-            F.when(T.blank(c["text"]), "empty_text").when(c["text"].rlike(T.TRAILING_MARK), "truncated"),
+            F.when(T.blank(c["text"]), "empty_text").when(T.ends_marked(c["text"]), "truncated"),
             F.when(F.coalesce(c["document_id"], F.lit("")) == "", "missing_document_id"),
             F.when((c["end"].isNotNull() & (c["start"] < 0)) | (c["end"] < c["start"]), "invalid_offsets"),
             F.when(own.isNull(), "missing_chunk_id").when(F.array_position(ids, own) <= i, "duplicate_chunk_id"),
@@ -381,7 +377,7 @@ def truncation(t: Column, config: dict) -> Column:
     return (
         F.when(~t["context_object"], failed("invalid_field_type", "context_construction must be an object", field="context_construction"))
         .when(flag.isNotNull(), explicit)
-        .when(t["final_context"].rlike(T.TRAILING_MARK), marked)
+        .when(T.ends_marked(t["final_context"]), marked)
         .otherwise(skipped("insufficient_truncation_metadata", own))
     )
 
@@ -396,13 +392,13 @@ def relevance(t: Column, config: dict) -> Column:
         good = with_numbers(config, {"relevance_relevant": 0.5}, lambda least: result(score, graded(score, (least, "relevant"), (0, "weakly_relevant"), least="unrelated"), evidence=evidence, config=as_json(threshold=least, **RULE)))
         return F.when(F.size(p["q"]) == 0, skipped("no_valid_query_tokens")).otherwise(good)
 
-    tokens = lambda x: F.array_sort(F.array_distinct(T.metric_tokens(x, language)))
+    tokens = lambda x: F.sort_array(T.distinct_tokens(x, language))
     return F.when(T.blank(query) | T.blank(answer), skipped("empty_query_or_answer")).otherwise(once(F.struct(tokens(query).alias("q"), tokens(answer).alias("a")), of))
 
 
 def faithfulness(t: Column, config: dict) -> Column:
     context, answer, language = t["final_context"], t["answer"], t["language"]
-    tokens = lambda x: F.array_distinct(T.metric_tokens(x, language))
+    tokens = lambda x: T.distinct_tokens(x, language)
 
     def of(support: float, high: float, part: float) -> Column:
         def told(sentence: Column, have: Column) -> Column:

@@ -1,7 +1,9 @@
-"""Data quality of traces: ordered tags per trace, severity, duplicates and the report."""
+"""Data quality of traces: ordered tags per trace with issues and warnings, severity, duplicates and the report."""
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,106 +21,237 @@ MOST_QUERY = 500
 #: Retrieved chunks that are looked at one by one.
 INSPECTED = 10
 
+ITEM = "struct<kind:string,has_document:boolean,gold_text:string,has_ids:boolean,lost:boolean>"
+PIECE = "struct<kind:string,text:string>"
+#: What the checks read of a trace. Kinds are Python's names of types; NoneType where there is nothing, and an empty value's
+#: kind ends with a question mark.
+VIEW = (
+    "struct<trace_id:string,pipeline_id:string,language:string,source_record_id:string,missing:array<string>,query:string,reference:string,gold_kind:string,"
+    f"gold:array<{ITEM}>,retrieval_kind:string,chunks_kind:string,chunks:array<{PIECE}>,context_kind:string,context:string,generation_kind:string,"
+    "answer:string,status:string,error:string,prompt:string,gold_ids:array<string>,selected:array<string>>"
+)
+#: What a rule that applies says: its tag, the issue that it sets (or adds to, if more), and its warning.
+RULE = "struct<tag:string,key:string,messages:array<string>,more:boolean,warning:string>"
 NONE = "array<string>"
 
 
-def _some(*tags: Column) -> Column:
-    return F.array_compact(F.array(*tags))
+def _struct(kind: str, values: dict[str, Column]) -> Column:
+    return F.struct(*[v.alias(k) for k, v in values.items()]).cast(kind)
 
 
-def _text_tags(value: Column, least: int, empty: str, short: str, rest: Column) -> Column:
-    """The tag of a text that is empty, short, or as rest says."""
-    return F.when(T.blank(value), empty).when(F.length(value) < least, short).otherwise(rest)
+def kind_of(v: Column) -> Column:
+    """Python's name of a node's type, with a question mark if the value is empty or zero."""
+    items, fields, kind = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>"), F.schema_of_variant(v)
+    empty = lambda name, is_empty: F.when(is_empty, f"{name}?").otherwise(name)
+    number = F.try_variant_get(v, "$", "double") == 0
+    return (
+        F.when(v.isNull() | F.is_variant_null(v), "NoneType")
+        .when(fields.isNotNull(), empty("dict", F.size(fields) == 0))
+        .when(items.isNotNull(), empty("list", F.size(items) == 0))
+        .when(kind == "STRING", empty("str", F.try_variant_get(v, "$", "string") == ""))
+        .when(kind == "BOOLEAN", empty("bool", ~F.try_variant_get(v, "$", "boolean")))
+        .when(kind == "BIGINT", empty("int", number))
+        .otherwise(empty("float", number))
+    )
 
 
-def gold_status(v: Column) -> Column:
-    """Distinct gold chunk ids, how many of them were selected, and whether any and all were."""
-    evidence = F.filter(F.coalesce(V.items(v, "$.gold_evidence"), F.array().cast("array<variant>")), V.is_object)
-    gold = F.array_distinct(F.flatten(F.transform(evidence, lambda x: V.strings(x, "$.covering_chunk_ids"))))
-    pair = F.struct(gold.alias("g"), F.array_distinct(V.strings(v, "$.context_construction.selected_chunk_ids")).alias("s"))
-    count = lambda p: F.struct(F.size(p["g"]).alias("n_gold_chunks"), F.size(F.array_intersect(p["g"], p["s"])).alias("n_present_chunks"))
-    return once(once(pair, count), lambda n: F.struct(n["n_gold_chunks"].alias("n_gold_chunks"), n["n_present_chunks"].alias("n_present_chunks"), (n["n_present_chunks"] > 0).alias("any"), ((n["n_gold_chunks"] > 0) & (n["n_present_chunks"] == n["n_gold_chunks"])).alias("all")))
+def of_variant(v: Column) -> Column:
+    """VIEW of a trace in a VARIANT column."""
+    node, text = lambda name: V.node(v, f"$.{name}"), lambda name: V.string(v, f"$.{name}")
+    absent = lambda x: x.isNull() | F.is_variant_null(x)
+    shown = lambda x, path: F.coalesce(V.string(x, path), F.when(F.is_variant_null(V.node(x, path)), "None").otherwise(""))
+    evidence, chunks, generation = V.items(v, "$.gold_evidence"), V.items(v, "$.retrieval.retrieved_chunks"), node("generation")
 
+    def item(x: Column) -> Column:
+        ids, flag = V.node(x, "$.covering_chunk_ids"), V.node(x, "$.is_preserved")
+        lost = (F.schema_of_variant(flag) == "BOOLEAN") & ~F.try_variant_get(x, "$.is_preserved", "boolean")
+        return _struct(ITEM, {"kind": kind_of(x), "has_document": V.node(x, "$.document_id").isNotNull(), "gold_text": V.string(x, "$.gold_text"), "has_ids": ~kind_of(ids).rlike(r"NoneType|\?"), "lost": F.coalesce(lost, F.lit(False))})
 
-def tags(v: Column) -> Column:
-    """All quality tags of a trace in the order of the rule groups; tags of items repeat."""
+    objects = F.filter(F.coalesce(evidence, F.array().cast("array<variant>")), V.is_object)
+    return _struct(
+        VIEW,
+        {
+            "trace_id": text("trace_id"),
+            "pipeline_id": text("pipeline_id"),
+            "language": shown(v, "$.language"),
+            "source_record_id": text("source_record_id"),
+            "missing": F.array_compact(F.array(*[F.when(absent(node(n)), n) for n in REQUIRED])),
+            "query": text("query"),
+            "reference": text("reference_answer"),
+            "gold_kind": kind_of(node("gold_evidence")),
+            "gold": F.transform(evidence, item),
+            "retrieval_kind": kind_of(node("retrieval")),
+            "chunks_kind": kind_of(V.node(v, "$.retrieval.retrieved_chunks")),
+            "chunks": F.transform(chunks, lambda x: _struct(PIECE, {"kind": kind_of(x), "text": V.string(x, "$.text")})),
+            "context_kind": kind_of(node("context_construction")),
+            "context": text("context_construction.final_context"),
+            "generation_kind": kind_of(generation),
+            "answer": V.string(generation, "$.final_answer"),
+            "status": shown(generation, "$.status"),
+            "error": V.string(generation, "$.error"),
+            "prompt": V.string(generation, "$.final_prompt"),
+            "gold_ids": F.array_distinct(F.flatten(F.transform(objects, lambda x: V.strings(x, "$.covering_chunk_ids")))),
+            "selected": F.array_distinct(V.strings(v, "$.context_construction.selected_chunk_ids")),
+        },
+    )
+
+
+def of_columns(traces: DataFrame) -> Column:
+    """VIEW of typed traces (columns as in plans.traces)."""
     empty = F.array().cast(NONE)
-    absent = lambda name: V.kind(V.node(v, f"$.{name}")).isin("", "VOID")
-    query, reference = V.string(v, "$.query"), V.string(v, "$.reference_answer")
-    first = _some(
-        F.when(F.exists(F.array(*[absent(n) for n in REQUIRED]), lambda x: x), "missing_fields"),
-        _text_tags(query, LEAST["query"], "empty_query", "query_too_short", F.when(F.length(query) > MOST_QUERY, "query_too_long").when(~T.readable(query), "unreadable_query")),
-        _text_tags(reference, LEAST["answer"], "empty_reference_answer", "answer_too_short", F.when(~T.readable(reference), "unreadable_answer")),
+    present = lambda c, name: F.when(F.col(c).isNull(), "NoneType").otherwise(name)
+    listed = lambda c: F.when(F.col(c).isNull(), "NoneType").when(F.size(c) == 0, "list?").otherwise("list")
+    ids = lambda g: F.filter(F.coalesce(g["covering_chunk_ids"], empty), lambda x: x.isNotNull())
+    name = lambda x: F.when(x.isNull(), "NoneType").otherwise("dict")
+    item = lambda g: _struct(ITEM, {"kind": name(g), "has_document": F.lit(True), "gold_text": g["gold_text"], "has_ids": F.size(F.coalesce(g["covering_chunk_ids"], empty)) > 0, "lost": F.coalesce(~g["is_preserved"], F.lit(False))})
+    chunks = "retrieval.retrieved_chunks"
+    return _struct(
+        VIEW,
+        {
+            "trace_id": F.col("trace_id"),
+            "pipeline_id": F.col("pipeline_id"),
+            "language": F.coalesce("language", F.lit("None")),
+            "source_record_id": F.col("source_record_id"),
+            "missing": F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in REQUIRED])),
+            "query": F.col("query"),
+            "reference": F.col("reference_answer"),
+            "gold_kind": listed("gold_evidence"),
+            "gold": F.transform("gold_evidence", item),
+            "retrieval_kind": present("retrieval", "dict"),
+            "chunks_kind": listed(chunks),
+            "chunks": F.transform(chunks, lambda c: _struct(PIECE, {"kind": name(c), "text": c["text"]})),
+            "context_kind": present("context_construction", "dict"),
+            "context": F.col("context_construction.final_context"),
+            "generation_kind": present("generation", "dict"),
+            "answer": F.col("generation.final_answer"),
+            "status": F.coalesce("generation.status", F.lit("None")),
+            "error": F.col("generation.error"),
+            "prompt": F.col("generation.final_prompt"),
+            "gold_ids": F.array_distinct(F.flatten(F.transform("gold_evidence", ids))),
+            "selected": F.array_distinct(F.filter(F.coalesce("context_construction.selected_chunk_ids", empty), lambda x: x.isNotNull())),
+        },
+    )
+
+
+def rule(tag: str | Column, key: str | Column | None = None, message: str | Column | None = None, warning: str | Column | None = None, more: bool = False) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    messages = F.lit(None) if message is None else message if isinstance(message, Column) and more is None else F.array(lit(message))
+    return _struct(RULE, {"tag": lit(tag), "key": lit(key), "messages": messages, "more": F.lit(bool(more)), "warning": lit(warning)})
+
+
+def _text_rules(value: Column, least: int, key: str | Column, empty: Column, short: str, rest: Column) -> Column:
+    """The rule of a text that is empty, short, or as rest says."""
+    too_short = rule(short, key, F.format_string(f"length %d < {least}", F.length(value)))
+    return F.when(T.blank(value), empty).when(F.length(value) < least, too_short).otherwise(rest)
+
+
+def rules(q: Column) -> Column:
+    """The rules that apply to a trace (VIEW), in the order of the rule groups; rules of items repeat."""
+    some = lambda *own: F.array_compact(F.array(*own))
+    none = F.array().cast(f"array<{RULE}>")
+    falsy = lambda kind: kind.rlike(r"NoneType|\?")
+    bare = lambda kind: F.replace(kind, F.lit("?"), F.lit(""))
+    place = lambda name, i: F.format_string(f"{name}[%d]", i)
+    query, reference, context, answer, error = q["query"], q["reference"], q["context"], q["answer"], q["error"]
+    listed = F.array_join(q["missing"], ", ")
+    long = F.when(F.length(query) > MOST_QUERY, rule("query_too_long", "query", F.format_string(f"length %d > {MOST_QUERY}", F.length(query))))
+    first = some(
+        F.when(F.size(q["missing"]) > 0, _struct(RULE, {"tag": F.lit("missing_fields"), "key": F.lit("missing_fields"), "messages": q["missing"], "more": F.lit(False), "warning": F.concat(F.lit("Missing fields: "), listed)})),
+        _text_rules(query, LEAST["query"], "query", rule("empty_query", "query", "empty or whitespace-only", "Query is empty"), "query_too_short", long.when(~T.readable(query), rule("unreadable_query", "query", "contains non-readable characters"))),
+        _text_rules(reference, LEAST["answer"], "reference_answer", rule("empty_reference_answer", "reference_answer", "empty or whitespace-only", "Reference answer is empty"), "answer_too_short", F.when(~T.readable(reference), rule("unreadable_answer", "reference_answer", "contains non-readable characters"))),
     )
-    gold = V.items(v, "$.gold_evidence")
-
-    def evidence(x: Column) -> Column:
-        own = _some(
-            F.when(V.kind(V.node(x, "$.document_id")) == "", "evidence_missing_document_id"),
-            F.when(T.blank(V.string(x, "$.gold_text")), "evidence_empty_gold_text"),
-            F.when(F.coalesce(F.size(V.items(x, "$.covering_chunk_ids")), F.lit(0)) == 0, "gold_evidence_no_chunk_ids"),
-            F.when((V.kind(V.node(x, "$.is_preserved")) == "BOOLEAN") & ~F.try_variant_get(x, "$.is_preserved", "boolean"), "gold_evidence_lost_in_chunking"),
+
+    def evidence(x: Column, i: Column) -> Column:
+        key = place("gold_evidence", i)
+        own = some(
+            F.when(~x["has_document"], rule("evidence_missing_document_id", key, "missing document_id")),
+            F.when(T.blank(x["gold_text"]), rule("evidence_empty_gold_text", key, "empty gold_text")),
+            F.when(~x["has_ids"], rule("gold_evidence_no_chunk_ids", key, "missing covering_chunk_ids")),
+            F.when(x["lost"], rule("gold_evidence_lost_in_chunking", key, "gold evidence not preserved in chunks", F.format_string("Gold evidence %d lost in chunking", i))),
         )
-        return F.when(V.is_object(x), own).otherwise(F.array(F.lit("gold_evidence_invalid_item")))
+        return F.when(x["kind"].startswith("dict"), own).otherwise(F.array(rule("gold_evidence_invalid_item", key, F.concat(F.lit("not a dict, got "), bare(x["kind"])))))
 
-    nothing = absent("gold_evidence") | (F.size(gold) == 0) | (V.string(v, "$.gold_evidence") == "")
-    of_gold = F.when(nothing, F.array(F.lit("no_gold_evidence"))).when(gold.isNull(), F.array(F.lit("gold_evidence_not_list"))).otherwise(F.flatten(F.transform(gold, evidence)))
-    retrieval, chunks = V.node(v, "$.retrieval"), V.items(v, "$.retrieval.retrieved_chunks")
+    of_gold = (
+        F.when(falsy(q["gold_kind"]), F.array(rule("no_gold_evidence", "gold_evidence", "empty list", "No gold evidence provided")))
+        .when(q["gold_kind"] != "list", F.array(rule("gold_evidence_not_list", "gold_evidence", F.concat(F.lit("expected list, got "), q["gold_kind"]))))
+        .otherwise(F.flatten(F.transform(q["gold"], evidence)))
+    )
 
-    def chunk(x: Column) -> Column:
-        text = V.string(x, "$.text")
-        return F.when(~V.is_object(x), "chunk_not_dict").otherwise(_text_tags(text, LEAST["chunk"], "empty_retrieved_chunk", "chunk_too_short", F.when(T.cut_short(text), "chunk_truncated")))
+    def chunk(x: Column, i: Column) -> Column:
+        key = place("retrieved_chunks", i)
+        cut = F.when(T.cut_short(x["text"]), rule("chunk_truncated", key, "appears truncated", F.format_string("Chunk %d appears truncated", i)))
+        own = _text_rules(x["text"], LEAST["chunk"], key, rule("empty_retrieved_chunk", key, "empty text"), "chunk_too_short", cut)
+        return F.when(x["kind"].startswith("dict"), own).otherwise(rule("chunk_not_dict", key, F.concat(F.lit("not a dict, got "), bare(x["kind"]))))
 
-    texts = F.transform(F.filter(chunks, V.is_object), lambda x: F.coalesce(V.string(x, "$.text"), F.lit("")))
-    listed = F.concat(F.array_compact(F.transform(F.slice(chunks, 1, INSPECTED), chunk)), F.when(F.size(F.array_distinct(texts)) < F.size(texts), F.array(F.lit("duplicate_retrieved_chunks"))).otherwise(empty))
-    no_chunks = V.kind(V.node(retrieval, "$.retrieved_chunks")).isin("", "VOID") | (F.size(chunks) == 0)
+    texts = F.transform(F.filter(q["chunks"], lambda x: x["kind"].startswith("dict")), lambda x: F.coalesce(x["text"], F.lit("")))
+    again = once(texts, lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), F.array(rule("duplicate_retrieved_chunks", "retrieval", "duplicate chunk texts found", "Duplicate retrieved chunks found"))).otherwise(none))
     of_retrieval = (
-        F.when(absent("retrieval") | (V.kind(retrieval) == "OBJECT<>"), F.array(F.lit("no_retrieval_data")))
-        .when(no_chunks, F.array(F.lit("no_retrieved_chunks")))
-        .when(chunks.isNull(), F.array(F.lit("retrieved_chunks_not_list")))
-        .otherwise(listed)
+        F.when(falsy(q["retrieval_kind"]), F.array(rule("no_retrieval_data", "retrieval", "empty or missing", "No retrieval data")))
+        .when(falsy(q["chunks_kind"]), F.array(rule("no_retrieved_chunks", "retrieval", "retrieved_chunks is empty", "No retrieved chunks")))
+        .when(q["chunks_kind"] != "list", F.array(rule("retrieved_chunks_not_list", "retrieval", F.concat(F.lit("expected list, got "), q["chunks_kind"]))))
+        .otherwise(F.concat(F.array_compact(F.transform(F.slice(q["chunks"], 1, INSPECTED), chunk)), again))
     )
-    context = V.node(v, "$.context_construction")
-    final = V.string(context, "$.final_context")
-    status = gold_status(v)
-    in_context = _some(
-        _text_tags(final, LEAST["context"], "empty_final_context", "context_too_short", F.when(T.cut_short(final), "context_truncated")),
-        F.when(status["n_gold_chunks"] > 0, F.when(~status["any"], "gold_evidence_not_in_context").when(~status["all"], "gold_evidence_partial_in_context")),
+    n, held = F.size(q["gold_ids"]), F.size(F.array_intersect(q["gold_ids"], q["selected"]))
+    part = F.format_string("%d/%d", held, n)
+    in_context = some(
+        _text_rules(context, LEAST["context"], "context_construction", rule("empty_final_context", "context_construction", "final_context is empty", "Final context is empty"), "context_too_short", F.when(T.cut_short(context), rule("context_truncated", "context_construction", "context appears truncated", "Context appears truncated"))),
+        F.when((n > 0) & (held == 0), rule("gold_evidence_not_in_context", "context_construction", F.format_string("no gold evidence chunks in context (gold chunks: %d)", n), "Gold evidence chunks not found in context")).when(
+            held < n, rule("gold_evidence_partial_in_context", "context_construction", F.concat(F.lit("partial gold evidence: "), part, F.lit(" chunks in context")), F.concat(F.lit("Partial gold evidence: "), part))
+        ),
     )
-    blank_object = lambda x: V.kind(x).isin("", "VOID", "OBJECT<>", "ARRAY<VOID>")
-    of_context = F.when(blank_object(context), empty).when(~V.is_object(context), F.array(F.lit("context_not_dict"))).otherwise(in_context)
-    generation = V.node(v, "$.generation")
-    answer, state, error, prompt = (V.string(generation, f"$.{n}") for n in ("final_answer", "status", "error", "final_prompt"))
+    of_context = F.when(falsy(q["context_kind"]), none).when(q["context_kind"] != "dict", F.array(rule("context_not_dict", "context_construction", F.concat(F.lit("expected dict, got "), q["context_kind"])))).otherwise(in_context)
+    status = q["status"]
     failure = (
-        F.when(T.api_error(error), "api_quota_exceeded")
-        .when(T.refusal(error), "generation_refused_content_policy")
-        .when(F.lower(error).contains("token") & F.lower(error).contains("max"), "hit_max_tokens_limit")
+        F.when(T.api_error(error), rule("api_quota_exceeded", warning="API quota exceeded"))
+        .when(T.refusal(error), rule("generation_refused_content_policy", warning="Generation refused due to content policy"))
+        .when(F.lower(error).contains("token") & F.lower(error).contains("max"), rule("hit_max_tokens_limit", warning="Hit max tokens limit"))
     )
-    state_text = F.coalesce(state, F.when(V.kind(V.node(generation, "$.status")) == "VOID", "None").otherwise(""))
-    refused = T.refusal(prompt) | T.refusal(error) | F.coalesce(F.lower(state).rlike("refused|blocked"), F.lit(False))
-    of_generation = F.concat(
-        F.when(state_text != "success", _some(F.concat(F.lit("generation_status_"), state_text), F.when(F.coalesce(error, F.lit("")) != "", failure))).otherwise(empty),
-        F.when(T.blank(answer), _some(F.lit("empty_generated_answer"), F.when(refused, "generation_refused_content_policy"))).otherwise(
-            _some(F.when(F.length(answer) < LEAST["answer"], "answer_too_short").when(T.cut_short(answer), "answer_truncated"), F.when(T.refusal(answer), "possible_safety_refusal"))
-        ),
+    said = F.coalesce(error, F.lit("")) != ""
+    told = F.when(said, F.array(F.concat(F.lit("status: "), status), F.concat(F.lit("error: "), error))).otherwise(F.array(F.concat(F.lit("status: "), status)))
+    stated = _struct(RULE, {"tag": F.concat(F.lit("generation_status_"), status), "key": F.lit("generation"), "messages": told, "more": F.lit(False), "warning": F.lit(None)})
+    refused = T.refusal(q["prompt"]) | T.refusal(error) | F.coalesce(F.lower(status).rlike("refused|blocked"), F.lit(False))
+    silent = some(
+        rule("empty_generated_answer", "generation", "final_answer is empty", "Generated answer is empty"),
+        F.when(refused, rule("generation_refused_content_policy", "generation", "likely safety refusal (empty answer + safety indicators)", "Empty answer likely due to content policy refusal", more=True)),
     )
-    of_generation = F.when(blank_object(generation), empty).when(~V.is_object(generation), F.array(F.lit("generation_not_dict"))).otherwise(of_generation)
-    language = F.coalesce(V.string(v, "$.language"), F.when(V.kind(V.node(v, "$.language")) == "VOID", "None").otherwise(""))
-    last = _some(
-        F.when(F.coalesce(V.string(v, "$.pipeline_id"), F.lit("")) == "", "missing_pipeline_id"),
-        F.when(language != "en", F.concat(F.lit("unsupported_language_"), language)),
-        F.when(F.coalesce(V.string(v, "$.source_record_id"), F.lit("")) == "", "missing_source_record_id"),
+    answered = some(
+        F.when(F.length(answer) < LEAST["answer"], rule("answer_too_short", "generation", F.format_string(f"length %d < {LEAST['answer']}", F.length(answer)))).when(T.cut_short(answer), rule("answer_truncated", "generation", "answer appears truncated", "Answer appears truncated")),
+        F.when(T.refusal(answer), rule("possible_safety_refusal", "generation", "possible safety refusal in answer", "Possible safety refusal in answer")),
+    )
+    of_generation = F.concat(F.when(status != "success", some(stated, F.when(said, failure))).otherwise(none), F.when(T.blank(answer), silent).otherwise(answered))
+    of_generation = F.when(falsy(q["generation_kind"]), none).when(q["generation_kind"] != "dict", F.array(rule("generation_not_dict", "generation", F.concat(F.lit("expected dict, got "), q["generation_kind"])))).otherwise(of_generation)
+    language = q["language"]
+    last = some(
+        F.when(F.coalesce(q["pipeline_id"], F.lit("")) == "", rule("missing_pipeline_id", "pipeline_id", "empty or missing", "Missing pipeline_id")),
+        F.when(language != "en", rule(F.concat(F.lit("unsupported_language_"), language), "language", F.concat(F.lit("language '"), language, F.lit("' not supported (only 'en' allowed)")), F.concat(F.lit("Unsupported language: "), language))),
+        F.when(F.coalesce(q["source_record_id"], F.lit("")) == "", rule("missing_source_record_id", "source_record_id", "empty or missing")),
     )
     return F.concat(first, of_gold, of_retrieval, of_context, of_generation, last)
 
 
+def issues(own: Column) -> Column:
+    """The messages of each key: a rule replaces those that earlier rules of its key set, or adds to them."""
+    keys = F.array_distinct(F.filter(F.transform(own, lambda r: r["key"]), lambda k: k.isNotNull()))
+    told = lambda k: F.aggregate(F.filter(own, lambda r: r["key"] == k), F.array().cast(NONE), lambda a, r: F.when(r["more"], F.concat(a, r["messages"])).otherwise(r["messages"]))
+    return F.map_from_arrays(keys, F.transform(keys, told))
+
+
 def check(traces: DataFrame) -> DataFrame:
-    """A row per trace (columns line, trace): trace_id, pipeline_id, quality_tags, severity, usable, has_issues and gold counts.
+    """A row per trace: line, trace_id, pipeline_id, quality_tags, severity, usable, has_issues, gold counts, warnings and
+    issues (messages by key). traces: line and trace (VARIANT), or line and the columns of typed traces.
 
     The second and later rows of a trace_id get the tag duplicate_trace_id; it changes neither severity nor usable.
     """
-    v = F.col("trace")
-    rows = traces.select("line", F.coalesce(V.string(v, "$.trace_id"), F.lit("unknown")).alias("trace_id"), V.string(v, "$.pipeline_id").alias("pipeline_id"), tags(v).alias("quality_tags"), gold_status(v).alias("g"))
+    view = of_variant(F.col("trace")) if "trace" in traces.columns else of_columns(traces)
+    own = traces.select("line", view.alias("q")).select("line", "q", rules(F.col("q")).alias("rules"))
+    n, held = F.size("q.gold_ids"), F.size(F.array_intersect("q.gold_ids", "q.selected"))
+    tags = F.transform("rules", lambda r: r["tag"])
+    made = F.struct(
+        F.coalesce("q.trace_id", F.lit("unknown")).alias("trace_id"), F.col("q.pipeline_id").alias("pipeline_id"), tags.alias("quality_tags"), F.filter(F.transform("rules", lambda r: r["warning"]), lambda w: w.isNotNull()).alias("warnings"),
+        issues(F.col("rules")).alias("issues"), n.alias("n_gold_chunks"), held.alias("n_present_chunks"), (held > 0).alias("gold_present_any"), ((n > 0) & (held == n)).alias("gold_present_all"),
+    )
+    # exploded, so that what is worked out once isn't worked out again where its result is filtered
+    rows = own.select("line", F.explode(F.array(made)).alias("m")).select("line", "m.*")
     has = lambda names: F.arrays_overlap("quality_tags", F.lit(names))
     rows = rows.withColumns(
         {
@@ -127,10 +260,17 @@ def check(traces: DataFrame) -> DataFrame:
             "has_issues": F.size("quality_tags") > 0,
         }
     )
-    first = rows.groupBy(F.col("trace_id").alias("id")).agg(F.min("line").alias("first"))
-    rows = rows.join(first, F.col("trace_id") == F.col("id"))
-    again = F.when(F.col("line") > F.col("first"), F.array_append("quality_tags", F.lit("duplicate_trace_id"))).otherwise(F.col("quality_tags"))
-    return rows.withColumn("quality_tags", again).select("line", "trace_id", "pipeline_id", "quality_tags", "severity", "usable", "has_issues", "g.n_gold_chunks", "g.n_present_chunks", F.col("g.any").alias("gold_present_any"), F.col("g.all").alias("gold_present_all"))
+    firsts = traces.select(F.coalesce(V.string(F.col("trace"), "$.trace_id") if "trace" in traces.columns else F.col("trace_id"), F.lit("unknown")).alias("id"), "line").groupBy("id").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("times"))
+    rows = rows.join(firsts.where("times > 1").drop("times"), F.col("trace_id") == F.col("id"), "left")
+    again, name = F.col("line") > F.col("first"), "duplicate_trace_id"
+    rows = rows.withColumns(
+        {
+            "quality_tags": F.when(again, F.array_append("quality_tags", F.lit(name))).otherwise(F.col("quality_tags")),
+            "warnings": F.when(again, F.array_append("warnings", F.concat(F.lit("Duplicate trace_id: "), F.col("trace_id")))).otherwise(F.col("warnings")),
+            "issues": F.when(again, F.map_concat(F.map_filter("issues", lambda k, _: k != "trace_id"), F.create_map(F.lit("trace_id"), F.array(F.lit("duplicate trace_id found"))))).otherwise(F.col("issues")),
+        }
+    )
+    return rows.select("line", "trace_id", "pipeline_id", "quality_tags", "severity", "usable", "has_issues", "n_gold_chunks", "n_present_chunks", "gold_present_any", "gold_present_all", "warnings", "issues")
 
 
 def tag_counts(checked: DataFrame) -> DataFrame:
@@ -148,10 +288,33 @@ def top_tags(checked: DataFrame, top: int = 5) -> DataFrame:
 
 
 def examples(checked: DataFrame, each: int = 3) -> DataFrame:
-    """The first trace ids of each tag, by line."""
-    rows = checked.select("line", "trace_id", F.explode(F.array_distinct("quality_tags")).alias("tag"))
+    """The first traces of each tag, by line. Each line's tags count once."""
+    rows = checked.select("line", "trace_id", "issues", "severity", F.explode(F.array_distinct("quality_tags")).alias("tag"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy("line"))).where(F.col("place") <= each)
 
 
 def problems(checked: DataFrame) -> DataFrame:
     return checked.where("has_issues")
+
+
+def report(checked: DataFrame) -> dict[str, Any]:
+    """The report of a run: counts, severities, tags, gold statistics, figures by pipeline, and three examples for each of ten
+    tags (the most frequent). Only aggregates are collected: a row for each severity, tag, pipeline and example."""
+    share = lambda a, b: a / b if b else 0
+    of = checked.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("usable").alias("u"), F.count_if("gold_present_any").alias("some"), F.count_if("gold_present_all").alias("every"), F.count_if(~F.col("gold_present_any") & (F.col("n_gold_chunks") > 0)).alias("none")).collect()
+    total, usable, some, every, none = (sum(r[k] for r in of) for k in ("n", "u", "some", "every", "none"))
+    tags = {r.tag: r.n for r in tag_counts(checked).orderBy(F.desc("n"), "tag").collect()}
+    pipelines: dict[str, dict] = {}
+    for r in checked.groupBy(F.coalesce("pipeline_id", F.lit("unknown")).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if("usable").alias("u")).collect():
+        pipelines[r.id] = {"total": r.n, "usable": r.u, "usable_ratio": share(r.u, r.n), "top_issues": {}}
+    for r in top_tags(checked).orderBy("place").collect():
+        pipelines[r.pipeline_id or "unknown"]["top_issues"][r.tag] = r.n
+    shown = list(tags)[:10]
+    found: dict[str, list] = {t: [] for t in shown}
+    for r in examples(checked).where(F.col("tag").isin(shown)).orderBy("tag", "place").collect() if shown else []:
+        found[r.tag].append({"trace_id": r.trace_id, "issues": r.issues, "severity": r.severity})
+    gold = {"gold_present_any": some, "gold_present_any_ratio": share(some, total), "gold_present_all": every, "gold_present_all_ratio": share(every, total), "gold_none": none, "gold_none_ratio": share(none, total)}
+    return {
+        "total_traces": total, "usable_traces": usable, "problematic_traces": total - usable, "usable_ratio": share(usable, total), "severity_distribution": {r.severity: r.n for r in of}, "tag_distribution": tags,
+        "gold_statistics": gold, "by_pipeline": pipelines, "example_problems": found,
+    }

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import itertools
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import words
-from ..sources.storage import stored
 
 #: Fixed values of the Okapi variant: saturation, length weight, and the share of the mean IDF that negative ones get.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: What words() takes as a word, for Python.
+_WORD = re.compile(r"\w+")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
@@ -21,29 +29,71 @@ def bm25(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     queries: sample_id, question. chunks: sample_id, ordinal, chunk_id, text. Statistics are those of the sample's pool;
     empty chunks count in its size, and pools without a token give nothing. Query tokens count as often as they occur. Scores
     may be negative and aren't filtered. Equal scores (to nine digits) keep the chunks' order. All work is keyed by sample:
-    pools never meet each other. Texts are tokenised once; per chunk only the terms that its sample asks for are counted.
+    pools never meet each other. Per chunk only the terms that its sample asks for are counted.
     """
-    own = stored(chunks.select("sample_id", "ordinal", "chunk_id", words(F.col("text")).alias("w")), "bm25-tokens")
+    own = chunks.select("sample_id", "ordinal", "chunk_id", words(F.col("text")).alias("w"))
     pool = own.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")).where("avgdl > 0")
     df = own.select("sample_id", F.explode(F.array_distinct("w")).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = stored(df.join(pool, "sample_id").select("sample_id", "term", raw.alias("raw"), "avgdl"), "bm25-terms")
-    mean = df.groupBy("sample_id").agg(F.avg("raw").alias("mean"))
     asked = queries.select("sample_id", F.explode(words(F.col("question"))).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    # a row for each sample: its asked terms that the pool has
-    terms = asked.join(df, ["sample_id", "term"]).join(mean, "sample_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("times") * idf).alias("weight")))).alias("terms"))
-    every = own.join(pool.select("sample_id", "avgdl"), "sample_id").join(queries.select("sample_id"), "sample_id").join(terms, "sample_id", "left")
-    dl, none = F.size("w"), F.array().cast("array<struct<term:string,weight:double>>")
-    hits = F.filter("w", lambda x: F.array_contains(F.transform("terms", lambda t: t["term"]), x))
-
-    def part(hits: Column, t: Column) -> Column:
-        tf = F.size(F.filter(hits, lambda x: x == t["term"]))
-        return t["weight"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-
-    total = F.aggregate(F.coalesce("terms", none), F.lit(0.0), lambda a, t: a + part(F.col("hits"), t))
-    scored = every.withColumn("hits", hits).select("sample_id", "ordinal", "chunk_id", total.alias("score"))
-    return _ranked(scored, top)
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    known = df.join(pool, "sample_id").join(asked, ["sample_id", "term"], "left").withColumn("raw", raw)
+    # a row for each sample: the mean over its vocabulary, and those of its terms that are asked for
+    found = F.collect_list(F.when(F.col("times").isNotNull(), F.struct("term", "times", "raw")))
+    terms = known.groupBy("sample_id").agg(F.avg("raw").alias("mean"), F.first("avgdl").alias("avgdl"), F.array_sort(found).alias("found"))
+    weight = lambda t: t["times"] * F.when(t["raw"] < 0, EPSILON * F.col("mean")).otherwise(t["raw"])
+    terms = terms.select("sample_id", "avgdl", F.transform("found", lambda t: F.struct(t["term"].alias("term"), weight(t).alias("weight"))).alias("terms"), F.transform("found", lambda t: t["term"]).alias("names"))
+    every = own.join(terms, "sample_id").join(queries.select("sample_id"), "sample_id")
+    every = every.select("sample_id", "ordinal", "chunk_id", "terms", "avgdl", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains("names", x)).alias("hits"))
+
+    def part(t: Column) -> Column:
+        # two uses of hits: with a single one, Spark would work hits out anew for each term
+        tf = F.size("hits") - F.size(F.array_remove("hits", t["term"]))
+        return t["weight"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    return _ranked(every.select("sample_id", "ordinal", "chunk_id", F.aggregate("terms", F.lit(0.0), lambda a, t: a + part(t)).alias("score")), top)
+
+
+def _okapi(question: str, texts: list[str], top: int) -> list[tuple[int, int, float]]:
+    """Rank, place and score of the best texts of a pool."""
+    chunks = [_WORD.findall((t or "").lower()) for t in texts]
+    total, n = sum(map(len, chunks)), len(chunks)
+    if not total:
+        return []
+    df = Counter(itertools.chain.from_iterable(map(set, chunks)))
+    raw = lambda d: math.log(n - d + 0.5) - math.log(d + 0.5)
+    mean = sum(raw(d) * times for d, times in Counter(df.values()).items()) / len(df)
+    weights = {t: times * (raw(df[t]) if raw(df[t]) >= 0 else EPSILON * mean) for t, times in Counter(_WORD.findall((question or "").lower())).items() if t in df}
+    scores = []
+    for w in chunks:
+        found = Counter(filter(weights.__contains__, w))
+        flat = K1 * (1 - B + B * len(w) * n / total)
+        scores.append(sum(weights[t] * tf * (K1 + 1) / (tf + flat) for t, tf in found.items()))
+    order = sorted(range(n), key=lambda i: (-round(scores[i], 9), i))[:top]
+    return [(k, i, scores[i]) for k, i in enumerate(order, 1)]
+
+
+def with_bm25(rows: DataFrame, question_col: str, pool_col: str, top: int = 5) -> DataFrame:
+    """rows with a column ranked: bm25() for pools that are arrays in their samples' rows (structs with a text, in order), as
+    an array of rank, at (the chunk's place in the pool, from 0) and score. Rows stream through Arrow batches and nothing is
+    shuffled. A pool that is too large for a row goes by bm25()."""
+    names = [*rows.columns, "ranked"]
+    at = [rows.columns.index(c) for c in (question_col, pool_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                pools = part.column(at[1])
+                texts = pools.flatten().field("text").to_pylist()
+                ends = np.cumsum([len(x) if x.is_valid else 0 for x in pools]).tolist()
+                found = [_okapi(q, texts[a:b], top) for q, a, b in zip(part.column(at[0]).to_pylist(), [0, *ends], ends, strict=False)]
+                columns = zip(*itertools.chain.from_iterable(found), strict=True) if any(found) else [()] * 3
+                values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["rank", "at", "score"])
+                counts = pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(counts, values)], names)
+
+    ranked = ArrayType(StructType.fromDDL("rank int, at int, score double"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("ranked", ranked)]))
 
 
 def dense(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:

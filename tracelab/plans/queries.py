@@ -176,13 +176,19 @@ def g2_generate(spark, sf):
 
 
 def _quality(spark, sf):
-    return quality.check(traces.as_variant(traces.read(spark, sf)))
+    return quality.check(traces.read(spark, sf).withColumn("line", F.monotonically_increasing_id()))
 
 
 def q_quality(spark, sf):
     return _quality(spark, sf).select("trace_id", F.array_join("quality_tags", ",").alias("tags"), "severity", "usable", "has_issues", "n_gold_chunks", "n_present_chunks", "gold_present_any", "gold_present_all")
 
 
+def q_variant_quality(spark, sf):
+    """The same checks over the traces as JSON, with the warnings."""
+    own = quality.check(traces.as_variant(traces.read(spark, sf)))
+    return own.select("trace_id", F.array_join("quality_tags", ",").alias("tags"), F.array_join("warnings", " | ").alias("warnings"))
+
+
 def q5_tag_counts(spark, sf):
     return quality.tag_counts(_quality(spark, sf))
 
@@ -487,6 +493,10 @@ SQL |= {
     "g_traces": _R + O.TRACES + " select trace_id, 'sample_' || sample as source_record_id, lang as language, md5(" + O.PROMPT + ") as prompt, 'success' as status from traces",
     "g2_generate": "select conv_id || '-' || turn as sample_id, '" + generation.DRY_ANSWER + "' as final_answer, 'success' as status, null::varchar as error from conversations where role = 'user'",
     "q_quality": _QUALITY + " select trace_id, array_to_string(tags, ',') as tags, severity, severity <> 'high' as usable, len(tags) > 0 as has_issues, len(" + _GOLD_SQL + ")::int as n_gold_chunks, " + _PRESENT + "::int as n_present_chunks, " + _PRESENT + " > 0 as gold_present_any, len(gold) > 0 and " + _PRESENT + " = len(" + _GOLD_SQL + ") as gold_present_all from graded",
+    "q_variant_quality": _QUALITY + ", w as (select *, list_filter(list_transform(tags, lambda t: case t when 'missing_fields' then 'Missing fields: language' when 'gold_evidence_lost_in_chunking' then 'Gold evidence 0 lost in chunking' when 'no_retrieved_chunks' then 'No retrieved chunks'"
+    " when 'duplicate_retrieved_chunks' then 'Duplicate retrieved chunks found' when 'empty_final_context' then 'Final context is empty' when 'context_truncated' then 'Context appears truncated' when 'gold_evidence_not_in_context' then 'Gold evidence chunks not found in context'"
+    " when 'gold_evidence_partial_in_context' then 'Partial gold evidence: ' || " + _PRESENT + " || '/' || len(" + _GOLD_SQL + ") when 'answer_truncated' then 'Answer appears truncated' when 'possible_safety_refusal' then 'Possible safety refusal in answer'"
+    " else case when starts_with(t, 'unsupported_language_') then 'Unsupported language: ' || coalesce(lang, 'None') else '' end end), lambda x: x <> '') as w from graded) select trace_id, array_to_string(tags, ',') as tags, array_to_string(w, ' | ') as warnings from w",
     "q5_tag_counts": _QUALITY + " select tag, count(*) as n from (select unnest(tags) as tag from graded) q group by 1",
     "q5_severities": _QUALITY + " select severity, count(*) as n, count(*) filter (severity <> 'high') as usable, count(*) filter (" + _PRESENT + " > 0) as gold_any, count(*) filter (len(gold) > 0 and " + _PRESENT + " = len(" + _GOLD_SQL + ")) as gold_all from graded group by 1",
     "q5_top_tags": _QUALITY + ", c as (select tag, count(*) as n from (select unnest(tags) as tag from graded) q group by 1) select 'documents_bm25_v1' as pipeline_id, tag, n, row_number() over (order by n desc, tag)::int as place from c qualify place <= 5",
@@ -525,7 +535,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         s1_s2_lines, s3_metric_scan, n1_n4_english, n5_n6_russian, t1_metric_tokens, r1_words, t2_sentences, t3_normal_form, t4_text_checks, c1_c6_chunks, c7_gold_locate, c8_gold_cover,
         r2_bm25, r3_dense, r6_retrieval_eval, r7_run_summary, x_context, x3_token_budget, x5_gold_in_context, g_traces, g2_generate,
-        m0_counters, m0e_extractors, m1_m4_retrieval_metrics, m10_m11_generation_metrics, m5_m9_trace_metrics, m_variant_metrics, q_quality, q5_tag_counts, q5_severities, q5_top_tags, q6_problems,
+        m0_counters, m0e_extractors, m1_m4_retrieval_metrics, m10_m11_generation_metrics, m5_m9_trace_metrics, m_variant_metrics, q_quality, q_variant_quality, q5_tag_counts, q5_severities, q5_top_tags, q6_problems,
         h1_healthy, f_fault_injection, a_controlled_failures, a3_deltas, a17_summary, a11_a12_core, a4_group_summary, a9_rank_biserial, a13_compare_runs, a14_label_accuracy,
         a15_human_agreement, a15_agreement_summary, a15_agreement_by_class, a16_stratified, d1_unquoted, d2_diagnoses, d3_rates, d4_confusion, d5_review_queue, d6_natural_pairs, d6_transitions, d7_difference,
     ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,44 +13,46 @@ PIPELINE = "documents_bm25_v1"
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """sample_id, document_id, neighbour, language, question (first sentence), gold_text (middle sentence), reference_answer.
-
-    The neighbour is the document with the next id, if there is one."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    """A row per document with sentences: doc_id, sample_id, document_id, language, question (first sentence), gold_text (middle
+    sentence), reference_answer, its chunks and the gold evidence located in them."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.format_string("doc_%d", "doc_id").alias("document_id"), "lang", "text")
+    rows = chunking.with_chunks(rows).withColumn("s", T.sentences(F.col("text"))).where(F.size("s") > 0)
     rows = rows.withColumn("gold_text", F.col("s")[F.floor(F.size("s") / 2).cast("int")])
+    rows = rows.withColumn("char_start", F.nullif(F.instr(F.col("text"), F.col("gold_text")), F.lit(0)) - 1).withColumn("char_end", F.col("char_start") + F.length("gold_text"))
+    ids, preserved = chunking.covering(F.col("chunks"), F.col("char_start"), F.col("char_end"))
+    evidence = {"document_id": F.col("document_id"), "sentence_index": F.lit(None).cast("int"), "gold_text": F.col("gold_text"), "char_start": F.col("char_start"), "char_end": F.col("char_end"), "covering_chunk_ids": ids, "is_preserved": preserved, "locate_ok": F.col("char_start").isNotNull()}
     return rows.select(
+        "doc_id",
         F.format_string("sample_%d", "doc_id").alias("sample_id"),
-        F.format_string("doc_%d", "doc_id").alias("document_id"),
-        F.format_string("doc_%d", F.col("doc_id") + 1).alias("neighbour"),
         F.col("lang").alias("language"),
         F.col("s")[0].alias("question"),
-        "gold_text",
         F.col("gold_text").alias("reference_answer"),
+        F.array(F.struct(*[v.alias(k) for k, v in evidence.items()])).alias("gold_evidence"),
+        "chunks",
     )
 
 
 def build(docs: DataFrame, top: int = 5, budget: int = 3000, run_id: str = "run") -> DataFrame:
-    """Full traces: chunks, located gold, BM25 top chunks, context, a dry-run answer. Joined by sample and document only."""
-    own = samples(docs)
-    texts = docs.select(F.format_string("doc_%d", "doc_id").alias("document_id"), "text").where("document_id is not null and text is not null")
-    chunks = stored(chunking.chunk_documents(texts), "chunks")
-    pools = own.select("sample_id", F.explode(F.array("document_id", "neighbour")).alias("document_id"))
-    pool = stored(pools.join(chunks, "document_id"), "pools").withColumn("ordinal", F.struct(F.col("document_id") != F.regexp_replace("sample_id", "sample_", "doc_"), "chunk_index"))
-    gold = own.select("sample_id", F.lit(0).alias("ordinal"), "document_id", "gold_text", F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"))
-    covered = chunking.cover(chunking.locate(gold, texts), chunks)
-    evidence = covered.groupBy("sample_id").agg(
-        F.collect_list(F.struct("document_id", F.lit(None).cast("int").alias("sentence_index"), "gold_text", F.col("gold_start").alias("char_start"), F.col("gold_end").alias("char_end"), "covering_chunk_ids", "is_preserved", "locate_ok")).alias("gold_evidence")
-    )
-    fields = F.struct("chunk_id", "document_id", "text", "chunk_index", "start_char", "end_char", "token_count")
-    held = pool.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", fields.alias("c")))), lambda x: x["c"]).alias("chunks"))
-    ranked = retrieval.bm25(own.select("sample_id", "question"), pool.select("sample_id", "ordinal", "chunk_id", "text"), top)
-    found = ranked.join(pool.select("sample_id", "chunk_id", "document_id", "text"), ["sample_id", "chunk_id"])
-    listed = found.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", "score", "text"))).alias("r"))
-    listed = listed.select("sample_id", F.transform("r", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), c["rank"].alias("rank"), c["score"].alias("score"), c["text"].alias("text"))).alias("found"))
-    rows = own.join(evidence, "sample_id", "left").join(held, "sample_id", "left").join(listed, "sample_id", "left")
-    rows = rows.withColumn("retrieval", F.struct(F.lit("bm25").alias("method"), F.lit(top).alias("top_k"), F.coalesce("found", F.array().cast("array<struct<chunk_id:string,document_id:string,rank:int,score:double,text:string>>")).alias("retrieved_chunks")))
+    """Full traces: chunks, located gold, BM25 top chunks, context, a dry-run answer.
+
+    Everything of a document is worked out in its row and stored; then the document with the next id, if there is one, lends
+    its chunks to the pool. That join is the only shuffle: a pool is an array, the chunks of two documents.
+    """
+    own = stored(samples(docs), "samples")
+    lent = own.where(F.size("chunks") > 0).select((F.col("doc_id") - 1).alias("doc_id"), F.col("chunks").alias("lent"))
+    rows = own.join(lent, "doc_id", "left")
+    none = F.array().cast(f"array<{chunking.CHUNK}>")
+    rows = rows.withColumn("pool", F.concat("chunks", F.coalesce("lent", none))).drop("chunks", "lent", "doc_id")
+    rows = retrieval.with_bm25(rows, "question", "pool", top)
+
+    def shown(r: Column) -> Column:
+        c = F.get(F.col("pool"), r["at"])
+        return F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), r["rank"].alias("rank"), r["score"].alias("score"), c["text"].alias("text"))
+
+    rows = rows.withColumn("chunks", F.when(F.size("pool") > 0, F.col("pool")))
+    rows = rows.withColumn("retrieval", F.struct(F.lit("bm25").alias("method"), F.lit(top).alias("top_k"), F.transform("ranked", shown).alias("retrieved_chunks")))
     rows = rows.withColumn("context_construction", context.build(F.col("retrieval.retrieved_chunks"), budget))
-    rows = rows.withColumn("generation", generation.dry_run().withField("final_answer", F.col("gold_text")))
+    rows = rows.withColumn("generation", generation.dry_run().withField("final_answer", F.col("reference_answer")))
     return generation.assemble(rows.withColumn("metadata", F.lit("{}")), PIPELINE, run_id)
 
 
