@@ -29,7 +29,7 @@ MAGIC, HEAD = b"RPG2", struct.Struct("<5I")
 SHARD_IDS = 1_000_000
 #: Most pairs replaced in a round, and fewest occurrences of a pair that pays for its rule: a rule takes 8 bytes, an
 #: occurrence saves 2.
-PAIRS, LEAST = 3000, 5
+PAIRS, LEAST = 8000, 5
 #: Fewest free 16-bit nonterminals; larger vocabularies have symbols of 32 bits.
 FREE = 4096
 #: Texts encoded together: what is met for the first time is encoded once for all of them.
@@ -37,7 +37,7 @@ STEP = 2000
 #: Cuts whose ids a worker keeps.
 KEPT_WORDS = 1_000_000
 #: New cuts that the library encodes in one text.
-TOGETHER = 2000
+TOGETHER = 200
 
 
 def width(first: int) -> tuple[str, int]:
@@ -48,11 +48,14 @@ def width(first: int) -> tuple[str, int]:
 def counted(s: np.ndarray, ends: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different adjacent pairs within documents, where each begins in the list of places, how often it occurs, and that
     list: the places of all pairs, ascending for each."""
-    at = np.flatnonzero(~ends[:-1])
     if narrow:  # pair and place fit into one number
-        placed = np.sort(s[at].astype(np.uint64) << np.uint64(48) | s[at + 1].astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
-        pairs, at = placed >> np.uint64(32), (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        placed = np.arange(len(s) - 1, dtype=np.uint64)
+        placed |= ((s[:-1] << np.uint32(16)) | s[1:]).astype(np.uint64) << np.uint64(32)
+        placed = placed[~ends[:-1]]
+        placed.sort()
+        pairs, at = (placed >> np.uint64(32)).astype(np.uint32), (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
     else:
+        at = np.flatnonzero(~ends[:-1])
         pairs = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1].astype(np.uint64)
         order = np.argsort(pairs, kind="stable")
         pairs, at = pairs[order], at[order]
@@ -90,7 +93,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
             break
         at, which = at[used[which]], (np.cumsum(used) - 1)[which[used[which]]]
         shift = np.uint64(16 if symbols == 1 << 16 else 32)
-        pairs = pairs[chosen[used]]
+        pairs = pairs[chosen[used]].astype(np.uint64)
         sides = (pairs >> shift).astype(np.int64), (pairs & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
         left.append(sides[0])
         right.append(sides[1])
