@@ -1,5 +1,6 @@
 """The operators against brute force, laws and round trips, on small tables with every awkward row."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,6 +143,16 @@ def test_merkle_matches_sql(spark, docs):
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
 
 
+def test_next_in_small_ranges(spark, docs, monkeypatch):
+    """Ranges of a few rows, with null, repeated and text ids, against a sorted list."""
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 5)
+    same = [(None, f"none {i}") for i in range(40)] + [(7, f"seven {i % 9}") for i in range(60)] + [(i, f"own {i}") for i in range(50)]
+    for frame in (docs.select("doc_id", "text"), spark.createDataFrame(same, "doc_id long, text string").repartition(4), spark.createDataFrame([(None if i is None else f"k{i}", t) for i, t in same], "doc_id string, text string")):
+        own = sorted(((r.doc_id is not None, r.doc_id or type(r.doc_id or 0)(), hashlib.md5((r.text or "").encode()).hexdigest(), r.text or "") for r in frame.collect()), key=lambda r: r[:3])
+        want = Counter((a[3], b[3]) for a, b in zip(own, [*own[1:], own[0]], strict=True))
+        assert Counter((r.text, r.next_text) for r in merkle.with_next(frame, "doc_id", "text").collect()) == want
+
+
 def test_merkle_locates_edits(spark):
     text = "".join(f"Sentence number {i} says {i * i}.\n" for i in range(200))
     both = spark.createDataFrame([(text, text.replace("number 150 says", "number 150 said"))], "a string, b string")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: A paragraph leaf: a line, or the sentences of a line, in pieces of 120 code points at most. The leaves of a text cover it.
 LEAF = r"[^.!?\n]{0,120}+[.!?\n]+[ ]*|[^.!?\n]{1,120}"
 #: Rows of a range of neighbouring documents, and the most ranges (their bounds are literals of the plan).
 RANGE_ROWS, MOST_RANGES = 1024, 20_000
+#: Keys of a range that its bounds are chosen from.
+SAMPLED = 8
 
 
 def fingerprint(text: Column) -> Column:
@@ -17,7 +20,8 @@ def fingerprint(text: Column) -> Column:
 
     A leaf's hash has 12 hexadecimal digits of its MD5. A section ends after a leaf whose hash starts with 0 or 1, so where
     sections end depends on the text there alone and an edit leaves the other sections as they are. The root is the MD5 of the
-    sections' hashes. An empty text has no leaves. Two texts have equal fingerprints if and only if their leaves are equal.
+    sections' hashes. An empty text has no leaves. Equal texts have equal fingerprints; different ones have different
+    fingerprints unless all of their leaves agree in 48 bits.
     """
     hashes = F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda x: F.substring(F.md5(x.cast("binary")), 1, 12))
     ended = F.transform(hashes, lambda h: F.concat(h, F.when(F.substring(h, 1, 1).isin("0", "1"), ";").otherwise(",")))
@@ -44,7 +48,7 @@ def nodes(fp: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of the nodes of two trees given by nodes(): 1 if and only if the roots are equal."""
+    """Dice coefficient of the nodes of two trees given by nodes(): 1 where the roots are equal, and only there."""
     return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
 
@@ -56,41 +60,45 @@ def changed(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns id, text (null: empty) and next_text: the text of the next row in order of id (nulls first), then text; after
-    the last row, that of the first.
+    """Columns id, text (null: empty) and next_text: the text of the next row in order of id (nulls first), then the MD5 of the
+    text; after the last row, that of the first.
 
-    Ids are cut into ranges of about RANGE_ROWS rows at quantiles; each range is one window, and the first rows of a range
-    also go to the range before it as guards. So texts are shuffled once and no task sees more than a few ranges.
+    Rows are cut into ranges of about RANGE_ROWS rows of that order, at bounds from a sample of it; so neither rows without
+    ids nor those of one id meet in one range, unless their texts are equal as well. Each range is one window, and its first
+    row also goes to the range before it as a guard. Texts are shuffled once and no task sees more than a few ranges.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    n = ids.count()
+    rows = rows.withColumn("key", F.struct("id", F.md5(F.col("text").cast("binary")).alias("m")))
+    keys = rows.select("key")
+    n = docs.count()
     ranges = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set((ids.agg(F.percentile_approx("id", cuts, 10 * ranges)).first()[0] if cuts else None) or []))
+    # about SAMPLED keys of each range
+    some = keys.where(F.pmod(F.xxhash64("key.id", "key.m"), F.lit(max(1, n // (SAMPLED * ranges)))) == 0).distinct().orderBy("key").limit(4 * SAMPLED * ranges).collect() if ranges > 1 else []
+    bounds = [some[i * len(some) // ranges].key for i in range(1, ranges)] if len(some) >= ranges else []
+    kind = ArrayType(rows.schema["key"].dataType)
+    array = lambda xs: F.lit(xs).cast(kind) if not xs else F.from_json(F.lit(spark.createDataFrame([(xs,)], StructType([StructField("a", kind)])).select(F.to_json("a").alias("j")).first().j), kind)
     # two levels, so that a row looks at about twice the root of the number of bounds
     step = max(1, int(len(bounds) ** 0.5))
-    array = lambda xs: F.lit(xs) if xs else F.array().cast("array<bigint>")
-    key = F.col("id").cast("long")
-    coarse = F.size(F.filter(array(bounds[step - 1 :: step]), lambda x: x <= key)) * step
-    fine = F.size(F.filter(F.slice(array(bounds), coarse + 1, step), lambda x: x <= key))
-    bucket = F.when(key.isNull(), 0).otherwise(coarse + fine).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    # one id for each range at most
-    firsts = sorted((r.bucket, r.nulls, r.least) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("nulls")).collect())
-    names, before = [b for b, *_ in firsts], {}
-    for i, (b, nulls, least) in enumerate(firsts):
-        before.setdefault(None if nulls else least, []).append(names[i - 1] if i else names[-1])
-    lead_null = before.pop(None, [])
-    guard = F.array().cast("array<int>")
-    if before:
-        values = F.map_from_arrays(F.lit(list(before)), F.lit([v[0] for v in before.values()]))
-        guard = F.when(F.col("id").cast("long").isin(list(before)), F.array(F.element_at(values, F.col("id").cast("long")))).otherwise(guard)
-    if lead_null:
-        guard = F.when(F.col("id").isNull(), F.array(F.lit(lead_null[0]))).otherwise(guard)
-    places = F.concat(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guard"))), F.transform(guard, lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("guard"))))
-    placed = rows.withColumn("place", F.explode(places)).select("id", "text", "place.*")
-    order = Window.partitionBy("bucket").orderBy("guard", F.col("id").asc_nulls_first(), "text")
+    key = F.col("key")
+    bucket = F.lit(0)
+    if bounds:
+        coarse = F.size(F.filter(array(bounds[step - 1 :: step]), lambda x: x <= key)) * step
+        bucket = coarse + F.size(F.filter(F.slice(array(bounds), coarse + 1, step), lambda x: x <= key))
+    rows = rows.withColumn("bucket", bucket.cast("int"))
+    # one key for each range at most
+    firsts = {r.bucket: r.first for r in rows.groupBy("bucket").agg(F.min("key").alias("first")).collect()}
+    names = sorted(firsts)
+    before = dict(zip(names, [names[-1], *names[:-1]], strict=True)) if names else {}
+    places = F.array(F.struct("bucket", F.lit(0).alias("guard")))
+    if names:
+        every = range(max(names) + 1)
+        first = F.element_at(array([firsts.get(i) for i in every]), F.col("bucket") + 1)
+        lent = F.element_at(F.lit([before.get(i, 0) for i in every]), F.col("bucket") + 1)
+        guard = F.when(first.eqNullSafe(key), F.array(F.struct(lent.cast("int").alias("bucket"), F.lit(1).alias("guard"))))
+        places = F.concat(places, F.coalesce(guard, F.array().cast("array<struct<bucket:int,guard:int>>")))
+    placed = rows.withColumn("place", F.explode(places)).select("id", "text", "key", "place.*")
+    order = Window.partitionBy("bucket").orderBy("guard", "key")
     return placed.withColumn("next_text", F.lead("text").over(order)).where("guard = 0").select("id", "text", "next_text")
 
 
@@ -99,7 +107,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The last floor(n_chars / 2) code points of a text are replaced by the first as many (or all) of the next row's text, in
     ascending order of id; the last row takes the first row's. A null text counts as empty; null ids come first; rows with
-    equal ids follow each other in order of text. A table of one row is its own next row. Other columns are not carried.
+    equal ids follow each other in order of their texts' MD5. A table of one row is its own next row. Other columns are not carried.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))

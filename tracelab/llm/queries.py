@@ -49,7 +49,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("row")
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 MERKLE_SQL = r"""
 with ordered as (
     select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n,
-        coalesce(lead(coalesce(text, '')) over (order by doc_id nulls first, coalesce(text, '')),
-                 first_value(coalesce(text, '')) over (order by doc_id nulls first, coalesce(text, ''))) as next
+        coalesce(lead(coalesce(text, '')) over (order by doc_id nulls first, md5(coalesce(text, ''))),
+                 first_value(coalesce(text, '')) over (order by doc_id nulls first, md5(coalesce(text, '')))) as next
     from documents),
 texts as (
     select *, substr(text, 1, n - n // 2) || substr(next, 1, n // 2) as edited from ordered),

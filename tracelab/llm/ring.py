@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from .common import written
 
+#: Rows of an arc that one task ranks.
+ARC_ROWS = 100_000
+
 
 def ring_points(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted positions of all virtual nodes on the ring of signed 64-bit hashes, and the shard of each."""
@@ -62,7 +65,8 @@ def shard(docs: DataFrame, shards: int = 24, vnodes: int = 64, slack: float = 0.
     virtual node at or after its hash. Loads are bounded: no shard holds more than (1 + slack) times the mean, and with no
     slack row counts are at most one apart (law `rows`). Keys of a full shard continue clockwise. How the arcs' keys flow
     is worked out from the arcs' counts alone, at most shards * vnodes numbers whatever the input's size; a row then finds its
-    shard and slot by its rank within its arc. Texts are read once and never shuffled.
+    shard and slot by its rank within its arc, which follows the hash; in arcs of over ARC_ROWS rows, such as one repeated id
+    can make, it also follows how the table is split into tasks. Texts are read once and never shuffled.
 
     Null texts have size 8 and checksum 0 (that of an empty text). Repeated rows get slots of their own. Equal texts need
     not share a shard. An empty table gives an empty result. Other columns are not carried.
@@ -77,14 +81,20 @@ def shard(docs: DataFrame, shards: int = 24, vnodes: int = 64, slack: float = 0.
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
     rows = rows.withColumn("h", F.when(F.col("id").isNull(), F.xxhash64("crc", "size")).otherwise(F.xxhash64("id")))
-    rows = written(rows.withColumn("arc", arc_of("h")), "ring")
+    rows = written(rows.withColumn("arc", arc_of("h")).withColumn("uid", F.monotonically_increasing_id()), "ring")
     counts = np.zeros(len(points), np.int64)
     for arc, n in rows.groupBy("arc").count().collect():  # one row for each virtual node at most
         counts[arc] = n
     moves = flow(counts, owners, capacities(int(counts.sum()), shards, slack))
     plan = spark.createDataFrame(moves, "arc int, first long, end long, shard int, base long")
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("h", "id", "crc", "size")) - 1
-    ranked = rows.withColumn("rank", rank.cast("long"))
+    # an arc of many rows is ranked in parts of about ARC_ROWS, whose counts are added up
+    parts = F.ceil(F.element_at(F.lit([int(max(1, n)) for n in counts]), F.col("arc") + 1) / ARC_ROWS)
+    split = rows.withColumn("part", F.pmod(F.xxhash64("uid"), parts))
+    sizes = split.groupBy("arc", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("arc").alias("of_arc"), F.col("part").alias("of_part"), (F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("arc", "part").orderBy("h", "id", "crc", "size", "uid")) - 1
+    ranked = split.withColumn("place", place).join(before, (F.col("arc") == F.col("of_arc")) & (F.col("part") == F.col("of_part")))
+    ranked = ranked.withColumn("rank", (F.col("place") + F.col("before")).cast("long")).drop("of_arc", "of_part")
     plan = F.broadcast(plan.withColumnRenamed("arc", "of"))  # at most 2 * shards * vnodes + shards rows
     return ranked.join(plan, (F.col("arc") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select(
         F.col("id").alias(id_col),
