@@ -484,6 +484,122 @@ def test_many_languages(spark):
     assert langid.fit([("aa bb", "x"), *[("cc dd", "y")] * 9], seed=0).languages == ["x", "y"]
 
 
+def slow_packing(pieces, lengths, overhead):
+    """Best fit by looking at every open bin, its cost by adding up all pieces that wait."""
+    bins, placed = [], []
+    for k, n in enumerate(pieces):
+        open_bins = [b for b, (size, held, _) in enumerate(bins) if size - held >= n]
+        if open_bins:
+            # the least room; of equal rooms the one that came to it last
+            least = min(bins[b][0] - bins[b][1] for b in open_bins)
+            at = max((b for b in open_bins if bins[b][0] - bins[b][1] == least), key=lambda b: bins[b][2])
+        else:
+            best = None
+            for size in lengths:
+                if size >= n:
+                    room, waiting = size - n, sum(p for p in pieces[k + 1 :] if p <= min(size - n, n))
+                    cost = (size + overhead) / (n + min(room, waiting))
+                    if best is None or cost < best[0]:
+                        best = cost, size
+            bins.append([best[1], 0, k])
+            at = len(bins) - 1
+        placed.append((at, bins[at][1]))
+        bins[at] = [bins[at][0], bins[at][1] + n, k]
+    return placed, [min(x for x in lengths if x >= held) for _, held, _ in bins]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_against_all_bins(seed):
+    rng = np.random.default_rng(seed)
+    lengths = (16, 32, 64)
+    pieces = sorted(rng.integers(1, 65 if seed % 2 else 20, 150).tolist(), reverse=True)
+    bins, offsets, sizes = packing.pack_pieces(pieces, lengths, 4)
+    placed, want = slow_packing(pieces, lengths, 4)
+    assert list(zip(bins, offsets, strict=True)) == placed and sizes == want
+
+
+@pytest.mark.parametrize("arc_rows", [100_000, 7])
+def test_ring_against_a_walk(spark, monkeypatch, arc_rows):
+    """Every key walks clockwise from its hash to the first shard with room, the owners' own keys first."""
+    monkeypatch.setattr(ring, "ARC_ROWS", arc_rows)
+    shards, vnodes = 5, 4
+    frame = spark.range(400).selectExpr("id % 90 as doc_id", "'x' as text").repartition(3)
+    got = ring.shard(frame, shards, vnodes).collect()
+    points, owners = ring.ring_points(shards, vnodes)
+    hashes = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    arcs = Counter(int(np.searchsorted(points, hashes[r.doc_id]) % len(points)) for r in got)
+    room, own, left = ring.capacities(400, shards, 0).tolist(), Counter(), {}
+    for a in range(len(points)):
+        s = owners[a]
+        n = min(arcs[a], room[s])
+        own[a, s], room[s], left[a] = n, room[s] - n, arcs[a] - n
+    for a in range(len(points)):
+        at = a
+        while left[a]:
+            at = (at + 1) % len(points)
+            n = min(left[a], room[owners[at]])
+            own[a, owners[at]] += n
+            room[owners[at]] -= n
+            left[a] -= n
+    found = Counter((int(np.searchsorted(points, hashes[r.doc_id]) % len(points)), r.shard) for r in got)
+    assert found == Counter({k: v for k, v in own.items() if v})
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(80)) for s in range(shards))
+
+
+def test_clashing_names(spark):
+    """Columns of labels and documents that share names with each other and with what operators make."""
+    docs = spark.createDataFrame([(i, f"text of {i % 4} ko ri", "s", i, "x", 2.0, 1) for i in range(60)], "doc_id long, text string, source string, toxic int, id string, score double, of int")
+    labels = spark.createDataFrame([(i, i % 4 // 3, "other", 0.0) for i in range(60)], "doc_id long, toxic int, text string, score double")
+    assert toxicity.toxicity(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"] and toxicity.reject(docs, labels).columns == docs.columns
+    assert mixing.mixed_documents(docs).columns == docs.columns and ring.shard(docs).count() == 60 and packing.pack(docs).count() == 60
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages over rows of every awkward kind, against what each may do to its input."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    words = {"en": "the lamp shines over quiet water while boats come home again".split(), "de": "das licht scheint über stilles wasser wenn boote wieder heim kommen".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n)) + f" {rng.integers(10**9)}"
+    rows = [(i, text("de" if i % 3 else "en", 60), "de" if i % 3 else "en", f"s{i % 4}", 0) for i in range(300)]
+    marks = [(i, 1, 0) for i in range(300)]
+    for i in range(300, 360):
+        own = text("en", 60).split()
+        for k in rng.integers(0, 60, 6):
+            own[k] = rng.choice(["grimblot", "vexnard"])
+        rows.append((i, " ".join(own), "en", "s1", 0))
+        marks.append((i, 0, 1))
+    copied = rows[7][1]
+    rows += [(400 + i, copied, "de", "s2", 0) for i in range(40)] + [(450, copied + " end", "de", "s2", 0), (451, copied.replace("wasser", "see", 1), "de", None, 0)]
+    rows += [rows[5], rows[5], (None, rows[9][1], "en", "s1", 0), (None, None, None, None, None), (460, "", "en", "s1", 0), (461, "123 456", "en", "s1", 0), (462, text("en", 30_000), "en", "s1", 0)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "t" / "labels.parquet"))
+    own = str(tmp_path / "t")
+    docs, steps = table(spark, own, "documents"), []
+    for _, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, own)
+        docs.write.parquet(path := str(tmp_path / f"{len(steps)}"))
+        docs = spark.read.parquet(path)
+        steps.append((before, docs))
+    for before, after in steps[:4]:
+        assert after.columns == before.columns
+    ids = [{r.doc_id for r in after.select("doc_id").collect()} for _, after in steps]
+    toxic = set(range(300, 360))
+    assert len(toxic - ids[0]) >= 55 and set(range(300)) <= ids[0]
+    assert {460, 461} & ids[1] == set() and set(range(300)) <= ids[1] and 462 in ids[1]
+    # copies, a longer and a changed copy, repeated rows: one stays
+    assert ids[2] & ({7, 450, 451} | set(range(400, 440))) == {7} and steps[2][1].where("doc_id = 5").count() == 1 and steps[2][1].where("doc_id is null").count() == 0
+    assert set(range(300)) - {7} <= ids[2] | {7}
+    uses, want = Counter(r.doc_id for r in steps[3][1].collect()), Counter(r.doc_id for r in mixing.mix(steps[2][1]).collect())
+    assert uses == want
+    packed = steps[4][1].collect()
+    sizes = {r.doc_id: len((r.text or "").encode().split()) + 1 for r in steps[3][1].collect()}
+    assert sum(r.n_tokens for r in packed) == sum(sizes[i] * n for i, n in uses.items())
+    assert corpus_pipeline.run(spark, own).columns == steps[4][1].columns
+
+
 def test_empty_tables(empty):
     path = public_tokenizers.path
     assert repair.token_output(empty, path("byte_bpe_50k.json")).count() == 0
