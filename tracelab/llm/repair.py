@@ -14,7 +14,7 @@ import itertools
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,9 @@ FREE = 4096
 #: Texts encoded together: what is met for the first time is encoded once for all of them.
 STEP = 2000
 #: Cuts whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_350_000
+#: The most frequent cuts, looked up first, after so many calls.
+FREQUENT, LEARNT = 20_000, 4
 #: New cuts that the library encodes in one text.
 TOGETHER = 200
 
@@ -194,6 +196,18 @@ class Cuts(dict):
         return n
 
 
+class Frequent(dict):
+    """Numbers of the most frequent cuts: a table small enough for a processor's cache. All others are looked up in `known`."""
+
+    def __init__(self, known: Cuts, numbers: Iterable[int] = ()):
+        names = list(known)  # numbers follow the order in which cuts were met
+        super().__init__((names[i], i) for i in numbers)
+        self.known = known
+
+    def __missing__(self, cut: str | tuple[str]) -> int:
+        return self.known[cut]
+
+
 class Store:
     """Starts, lengths and ids of cuts in arrays that grow by doubling, so that a batch copies only what it adds."""
 
@@ -221,8 +235,8 @@ class Encoder:
     encodes every text whole.
     """
 
-    #: A cut (without its space) that can't be told apart from its neighbours.
-    joined = re.compile(r"\s|$")
+    #: A cut (without its space) that can't be told apart from its neighbours, and cuts joined by spaces that hold such a one.
+    joined, doubtful = re.compile(r"\s|$"), re.compile(r"<\||(?:^| )(?:\s|$)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -236,18 +250,25 @@ class Encoder:
         self.spaced[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
         self.first, self.whole = len(self.spaced), False
         self.known = Cuts()
+        self.frequent, self.calls, self.times = Frequent(self.known), 0, np.zeros(0, np.int64)
         #: Where kept cuts end in the store: what a batch adds beyond that is overwritten by the next.
         self.store, self.used, self.held, self.odd = Store(), 0, 0, np.zeros(0, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encoded(self, cuts: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Numbers of ids of each cut, and all ids. None if these can't be told apart."""
-        n, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        alone = [i for i, w in enumerate(cuts) if isinstance(w, tuple) or "<|" in w or self.joined.match(w)]
+    def encoded(self, cuts: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
+        """Numbers of ids of each cut, all ids, and the cuts that can't be told apart in a text. None if none can."""
+        n, ids, odd = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
+        alone = {i for i, w in enumerate(cuts) if type(w) is tuple}
+        for i in range(0, len(cuts), TOGETHER):
+            part = [w if type(w) is str else "x" for w in cuts[i : i + TOGETHER]]
+            if self.doubtful.search(" ".join(part)):
+                strange = [k for k, w in enumerate(part, i) if self.joined.match(w)]
+                odd += strange
+                alone.update(strange, (k for k, w in enumerate(part, i) if "<|" in w))
         begin = 0
-        for end in [*alone, len(cuts)]:
+        for end in [*sorted(alone), len(cuts)]:
             for i in range(begin, end, TOGETHER):
                 part = cuts[i : min(i + TOGETHER, end)]
                 got = self.ids(" " + " ".join(part))
@@ -261,7 +282,7 @@ class Encoder:
                 ids.append(self.ids(w[0] if isinstance(w, tuple) else " " + w))
                 n.append(np.array([len(ids[-1])]))
             begin = end + 1
-        return np.concatenate(n), np.concatenate(ids)
+        return np.concatenate(n), np.concatenate(ids), odd
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each text, and all ids."""
@@ -273,15 +294,19 @@ class Encoder:
         for t in texts:
             cuts = t.split(" ")
             cuts[0] = (cuts[0],)
-            index.append(np.fromiter(map(known.__getitem__, cuts), np.int64, len(cuts)))
+            index.append(np.fromiter(map(self.frequent.__getitem__, cuts), np.int64, len(cuts)))
         new = list(itertools.islice(reversed(known), len(known) - before))[::-1]
-        odd = np.array([i for i, w in enumerate(new, before) if isinstance(w, str) and self.joined.match(w)], np.int64)
-        self.odd = np.r_[self.odd, odd]
         got = self.encoded(new)
         if got is None:
             self.whole = True
             return self(texts)
-        n, ids = got
+        n, ids, odd = got
+        self.odd = np.r_[self.odd, np.array(odd, np.int64) + before]
+        self.calls += 1
+        if self.calls <= LEARNT:
+            met = np.bincount(np.concatenate([np.zeros(0, np.int64), *index]), minlength=len(known))
+            met[: len(self.times)] += self.times
+            self.times = met  # of kept cuts alone from the end of the call on
         whole = []
         if len(self.odd):
             for k, t in enumerate(texts):
@@ -296,6 +321,9 @@ class Encoder:
             for w in new:
                 del known[w]
             self.odd = self.odd[self.odd < before]
+        self.times = self.times[: len(known)]
+        if self.calls == LEARNT:
+            self.frequent = Frequent(known, np.argsort(-self.times, kind="stable")[:FREQUENT].tolist())
         of_text = [int(lengths[i].sum()) for i in index]
         return np.array(of_text, np.int64), gather(np.concatenate(index), starts, lengths, flat)
 
