@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, read through Spark (any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +31,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{base.rstrip('/')}/tracelab/{name}-{uuid.uuid4().hex}"
+    _OWN.append(f"{base.rstrip('/')}/tracelab/{name}-{uuid.uuid4().hex}")
+    return _OWN[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that this process has written; results that read them can't be read again."""
+    while _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_OWN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,10 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast if it has so many rows at most (some 16 MB); beyond that the
-    join is a shuffle, with the same result."""
-    return F.broadcast(keys) if keys.count() <= rows else keys
+def sized(keys: DataFrame, most: int = 32_000_000) -> DataFrame:
+    """A written table, to be broadcast if it has so many bytes at most: 8 for each number and those of its texts. Beyond
+    that the join is a shuffle, with the same result."""
+    texts = [F.sum(F.coalesce(F.octet_length(c), F.lit(0))) for c, kind in keys.dtypes if kind in ("string", "binary")]
+    rows, *lengths = keys.agg(F.count(F.lit(1)), *texts).first()
+    return F.broadcast(keys) if 8 * rows * len(keys.columns) + sum(x or 0 for x in lengths) <= most else keys
 
 
 def fitted(sample: DataFrame, fit: Callable[[Iterable[tuple]], Any]) -> Any:
