@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import words
@@ -98,8 +99,9 @@ def with_bm25(rows: DataFrame, question_col: str, pool_col: str, top: int = 5) -
 
 def dense(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     """The top chunks of each sample's pool by cosine. queries: sample_id, vector. chunks: sample_id, ordinal, chunk_id,
-    vector. Vectors are normalised first; equal scores keep the chunks' order."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
+    vector. Vectors are normalised first (zero vectors stay); equal scores keep the chunks' order."""
+    norm = lambda v: F.nullif(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))), F.lit(0.0))
+    unit = lambda v: F.transform(v, lambda x: F.coalesce(x.cast("double") / norm(v), F.lit(0.0)))
     q = queries.select("sample_id", unit(F.col("vector")).alias("q"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     both = chunks.select("sample_id", "ordinal", "chunk_id", unit(F.col("vector")).alias("v")).join(q, "sample_id")
@@ -120,16 +122,30 @@ def search(method: str, queries: DataFrame, chunks: DataFrame, top: int = 5) ->
     return METHODS[method](queries, chunks, top)
 
 
+_MODELS: dict[Callable, Callable] = {}
+
+
+def _model(encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[list[str]], list[list[float]]]:
+    """What encoder() gives: made once in a worker's life if encoder is a function of a module, else once a task."""
+    module = sys.modules.get(encoder.__module__)
+    if getattr(module, getattr(encoder, "__name__", ""), None) is not encoder:
+        return encoder()
+    if encoder not in _MODELS:
+        _MODELS[encoder] = encoder()
+    return _MODELS[encoder]
+
+
 def encoded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "text") -> DataFrame:
-    """texts with a column vector. encoder() is called once a task and gives a function over lists of texts."""
-    import pandas as pd
+    """texts with a column vector. encoder() gives a function over lists of texts, which a worker keeps (see _model)."""
+    names, at = [*texts.columns, "vector"], texts.columns.index(text_col)
 
-    def run(batches):
-        encode = encoder()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _model(encoder)
         for batch in batches:
-            yield pd.Series([list(map(float, v)) for v in encode(batch.fillna("").tolist())])
+            vectors = encode([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))], names)
 
-    return texts.withColumn("vector", F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("vector", ArrayType(DoubleType()))]))
 
 
 def evaluate(gold: DataFrame, retrieved: DataFrame) -> DataFrame:
