@@ -68,9 +68,14 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 
 
+def _split(text: Column) -> Column:
+    """The runs of other characters than white space. Plain splitting at one sign: patterns of so many signs are slow."""
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+
+
 def normal_form(text: Column) -> Column:
     """Lower case, stripped, white space collapsed: the key of equal contents."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]+", " "))
+    return F.array_join(_split(F.lower(F.coalesce(text, F.lit("")))), " ")
 
 
 def blank(text: Column) -> Column:
@@ -85,7 +90,7 @@ def ends_marked(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """The fallback token counter: runs of non-space characters, one at least."""
-    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")))
+    return F.greatest(F.lit(1), F.size(_split(F.coalesce(text, F.lit("")))))
 
 
 def readable(text: Column) -> Column:
