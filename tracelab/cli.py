@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking, faults, metrics, normalize, quality, stats
+from .operators import chunking, faults, metrics, normalize, quality, retrieval, stats
 from .plans import stages
 from .sources import jsonl
 from .sources.storage import stored
@@ -41,7 +41,7 @@ def chunk(spark, a):
 
 
 def retrieve(spark, a):
-    _stage(spark, a, lambda rows: stages.retrieve(rows, a.method, a.top_k))
+    _stage(spark, a, lambda rows: stages.retrieve(rows, a.method, a.top_k, retrieval.encoder_of(a.model) if a.method == "dense" else None))
     return stages.evaluated(stages.read(spark, a.output, stages.SAMPLE)).first().asDict()
 
 
@@ -94,8 +94,8 @@ def healthy(spark, a):
 def inject(spark, a):
     traces = stored(stages.read(spark, a.input, stages.TRACE).drop("line"), "traces")
     chosen = list(faults.INJECTORS) if a.fault == "all" else [a.fault]
-    for fault in chosen:
-        jsonl.write_jsonl(faults.inject(traces, fault, a.count, a.language), f"{a.output}/{fault}.jsonl")
+    for fault, wrappers in faults.inject_all(traces, chosen, a.count, a.language).items():
+        jsonl.write_jsonl(wrappers, f"{a.output}/{fault}.jsonl")
     return {"faults": chosen}
 
 
@@ -111,7 +111,8 @@ def _analysed(spark, retriever: str, good: str, faulty: str, config: dict) -> Da
     wrapped = stored(_wrappers(spark, faulty), "wrappers")
     last = metrics.score(own, config).groupBy("trace_id", "metric_name").agg(F.max_by(F.struct("status", "score"), "line").alias("r")).select("trace_id", "metric_name", "r.*")
     bad = metrics.score(wrapped.select("line", "trace"), config).join(wrapped.select("line", "original_trace_id", "fault_type"), "line")
-    return stats.summarise(stats.pair(last, bad)[0], retriever)
+    # bounded groups: the intervals that Python's generator draws
+    return stats.summarise(stats.pair(last, bad)[0], retriever, draws="python")
 
 
 def analyze(spark, a):
@@ -175,7 +176,7 @@ def parser() -> argparse.ArgumentParser:
     add("normalize-english", normalize_english, limit)
     add("normalize-russian", normalize_russian, limit)
     add("chunk", chunk, limit, ("--chunk-size", {"type": int, "default": 400}), ("--overlap", {"type": int, "default": 80}), ("--fallback-counter", {"action": "store_true"}))
-    add("retrieve", retrieve, limit, ("--method", {"default": "bm25"}), ("--top-k", {"type": int, "default": 5}))
+    add("retrieve", retrieve, limit, ("--method", {"default": "bm25", "choices": ["bm25", "dense"]}), ("--model", {"default": "paraphrase-multilingual-MiniLM-L12-v2", "help": "encoder of dense retrieval"}), ("--top-k", {"type": int, "default": 5}))
     add("context", build_context, limit, ("--max-tokens", {"type": int, "default": 3000}), ("--no-dedup", {"action": "store_true"}))
     add("generate", generate, limit, ("--pipeline-id", {"required": True}), ("--backend", {"default": "dry-run"}), ("--run-id", {}), ("--resume", {"help": "traces of an earlier run"}))
     add("metrics", run_metrics, config)

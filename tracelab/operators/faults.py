@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import stored
 from .context import rebuild
 
 #: What each fault does, whom a diagnosis should blame, and how metrics should change.
@@ -238,17 +239,37 @@ INJECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def inject(traces: DataFrame, fault: str, count: int = 20, language: str = "en") -> DataFrame:
-    """Wrappers of `count` faulty traces, drawn without replacement from those without a fault in the language (`any`: all).
+def bottom(rows: DataFrame, by: str, order: list[Column | str], count: int) -> DataFrame:
+    """The `count` rows of each `by` that come first in `order`: a bottom-k sample if that begins with a hash. Each task keeps
+    its own first `count` of a group before the shuffle, so as many rows a task and group move, however large the group is."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= count).drop("_place")
 
-    Columns: trace (the faulty trace, without labels), original_trace_id, injected_fault, injection_method and the catalogue's
-    expectations. Labels stand in the wrapper alone.
+
+def sampled(traces: DataFrame, chosen: list[str], count: int, language: str) -> DataFrame:
+    """The traces that each of the chosen faults is put into (column fault): `count` of them each, drawn without replacement
+    from those without a fault in the language (`any`: all), by hash.
+
+    All draws are made in one pass over ids, hashes and a number of the row; those of the drawn rows, `count` for each fault
+    at most, then pick the whole traces in one scan. Traces that share an id are rows of their own.
     """
+    pool = traces.where(F.col("injected_fault").isNull()).withColumn("_row", F.xxhash64("language", "query", "reference_answer"))
+    pool = pool if language == "any" else pool.where(F.col("language") == language)
+    draws = F.explode(F.array(*[F.struct(F.lit(f).alias("fault"), drawn("trace", f, F.col("trace_id")).alias("h")) for f in chosen]))
+    first = bottom(pool.select("trace_id", "_row", draws.alias("d")).select("trace_id", "_row", "d.*"), "fault", ["h", "trace_id", "_row"], count)
+    # a row for each drawn trace: count times the number of faults at most; equal traces are one with their number
+    keys = first.groupBy(F.col("trace_id").alias("_id"), F.col("_row").alias("_of"), "fault").agg(F.count(F.lit(1)).alias("_n"))
+    found = pool.join(F.broadcast(keys), F.col("trace_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")))
+    equal = F.row_number().over(Window.partitionBy("fault", "_id", "_of").orderBy("_of"))
+    # the first condition lets each task keep no more than that of equal traces
+    return found.withColumn("_k", equal).where((F.col("_k") <= count) & (F.col("_k") <= F.col("_n"))).drop("_row", "_id", "_of", "_n", "_k")
+
+
+def wrapped(picked: DataFrame, fault: str) -> DataFrame:
+    """Wrappers of the picked traces (see inject) with a fault put in."""
     if fault not in INJECTORS:
         raise ValueError(f"unknown fault: {fault}")
-    pool = traces.where(F.col("injected_fault").isNull())
-    pool = pool if language == "any" else pool.where(F.col("language") == language)
-    made = INJECTORS[fault](pool.orderBy(drawn("trace", fault, F.col("trace_id")), "trace_id").limit(count))
+    made = INJECTORS[fault](picked)
     description, diagnosis, change = FAULTS[fault]
     inner = [c for c in made.columns if c not in ("injected_fault", "_is_healthy", "injection_method")]
     return made.select(
@@ -260,3 +281,22 @@ def inject(traces: DataFrame, fault: str, count: int = 20, language: str = "en")
         F.lit(diagnosis).alias("expected_diagnosis"),
         F.lit(description).alias("fault_description"),
     )
+
+
+def inject(traces: DataFrame, fault: str, count: int = 20, language: str = "en") -> DataFrame:
+    """Wrappers of `count` faulty traces, drawn without replacement from those without a fault in the language (`any`: all).
+
+    Columns: trace (the faulty trace, without labels), original_trace_id, injected_fault, injection_method and the catalogue's
+    expectations. Labels stand in the wrapper alone.
+    """
+    return inject_all(traces, [fault], count, language)[fault]
+
+
+def inject_all(traces: DataFrame, chosen: list[str] | None = None, count: int = 20, language: str = "en") -> dict[str, DataFrame]:
+    """inject() for several faults (default: all), which draw their traces in one pass. The drawn traces are stored: `count`
+    for each fault at most."""
+    chosen = list(INJECTORS) if chosen is None else chosen
+    if wrong := [f for f in chosen if f not in INJECTORS]:
+        raise ValueError(f"unknown fault: {wrong[0]}")
+    picked = stored(sampled(traces, chosen, count, language), "drawn")
+    return {f: wrapped(picked.where(F.col("fault") == f).drop("fault"), f) for f in chosen}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -9,24 +10,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Prompt templates by version.
+#: Prompt templates by version, with places for the question and the context, and the answer of a dry run.
 PROMPTS = {
-    "grounded_v1": (
-        "You are a question-answering assistant.\nAnswer the question using only the supplied context.\nDo not introduce unsupported facts.\n"
-        "If the context is insufficient, explicitly state that the answer\ncannot be determined from the provided context.\n\nQuestion:\n",
-        "\n\nContext:\n",
-        "\n\nAnswer:",
-    )
+    "grounded_v1": """You are a question-answering assistant.
+
+Answer the question using only the supplied context.
+Do not introduce unsupported facts.
+If the context is insufficient, explicitly state that the answer
+cannot be determined from the provided context.
+
+Question:
+{query}
+
+Context:
+{final_context}
+
+Answer:""",
 }
-DRY_ANSWER = "[dry-run] answer not generated"
+DRY_ANSWER = "[DRY_RUN] 占位答案，未调用真实模型。"
 GENERATION = "final_answer string, model_name string, temperature double, latency_ms int, input_tokens int, output_tokens int, status string, error string"
 
 
 def prompt(query: Column, context: Column, version: str = "grounded_v1") -> Column:
     if version not in PROMPTS:
         raise ValueError(f"unknown prompt version: {version}")
-    head, middle, tail = PROMPTS[version]
-    return F.concat(F.lit(head), F.coalesce(query, F.lit("")), F.lit(middle), F.coalesce(context, F.lit("")), F.lit(tail))
+    values = {"{query}": query, "{final_context}": context}
+    parts = re.split(r"(\{query\}|\{final_context\})", PROMPTS[version])
+    return F.concat(*[F.coalesce(values[p], F.lit("")) if p in values else F.lit(p) for p in parts])
 
 
 def dry_run() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -122,17 +123,40 @@ def search(method: str, queries: DataFrame, chunks: DataFrame, top: int = 5) ->
     return METHODS[method](queries, chunks, top)
 
 
-_MODELS: dict[Callable, Callable] = {}
+def sentence_transformer(name: str) -> Callable[[list[str]], list[list[float]]]:
+    """A model of the sentence-transformers library, which a worker loads where it is installed."""
+    from sentence_transformers import SentenceTransformer
+
+    model = SentenceTransformer(name)
+    return lambda texts: model.encode(texts, normalize_embeddings=True).tolist()
+
+
+ENCODERS: dict[str, Callable[[], Callable[[list[str]], list[list[float]]]]] = {}
+
+
+def register_encoder(name: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> None:
+    """Adds an encoder under a model's name."""
+    ENCODERS[name] = encoder
+
+
+def encoder_of(name: str) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
+    """The encoder that is registered under a name, or else the sentence-transformers model of that name."""
+    return ENCODERS.get(name) or functools.partial(sentence_transformer, name)
+
+
+_MODELS: dict[tuple, Callable] = {}
 
 
 def _model(encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[list[str]], list[list[float]]]:
-    """What encoder() gives: made once in a worker's life if encoder is a function of a module, else once a task."""
-    module = sys.modules.get(encoder.__module__)
-    if getattr(module, getattr(encoder, "__name__", ""), None) is not encoder:
+    """What encoder() gives: made once in a worker's life if encoder is a function of a module, or one with arguments (partial),
+    else once a task."""
+    own = encoder.func if isinstance(encoder, functools.partial) else encoder
+    if getattr(sys.modules.get(own.__module__), getattr(own, "__name__", ""), None) is not own:
         return encoder()
-    if encoder not in _MODELS:
-        _MODELS[encoder] = encoder()
-    return _MODELS[encoder]
+    key = (own, *getattr(encoder, "args", ()))
+    if key not in _MODELS:
+        _MODELS[key] = encoder()
+    return _MODELS[key]
 
 
 def encoded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "text") -> DataFrame:

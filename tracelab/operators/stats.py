@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import statistics
 from functools import reduce
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import stored
+
 #: How each fault should move each metric.
 EXPECTED = {
     "missing_evidence": {
@@ -92,13 +95,44 @@ def bootstrap_interval(deltas: list[float], rounds: int = 2000, seed: int = 42)
     return tuple(np.quantile([statistics.mean(s) for s in samples.tolist()], [0.025, 0.975]).tolist())
 
 
+#: Draws of a hash, and their bits; the chance of a weight (Poisson with mean 1) in units of a draw, added up, until it is below one.
+DRAWS, BITS = 4, 32
+LIMITS = [int(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * 2**BITS) for n in range(13)]
+
+
+def hashed_intervals(deltas: DataFrame, keys: list[str], id_col: str, value: str = "delta", rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """Per group: the 95 percent interval of the mean (ci_95_lower, ci_95_upper) by a bootstrap that needs no group in one task.
+
+    In each round a row counts 0, 1, 2, ... times, as a Poisson number of mean 1 says that is drawn from the MD5 of seed, group, id
+    and round; a round's mean is that of the rows so weighted. Rows are weighted where they are: a task adds up the weights
+    and the weighted values of its rows for each round, those sums are added up (one row a round, group and task), and the
+    interval is read from the rounds' means. A draw depends on nothing but the row, so any partitioning gives the same
+    weights, and partial sums of other runs can be added. A round that draws no row doesn't count; rows of a group that share an
+    id are weighted alike.
+    """
+    step = F.sequence(F.lit(0), F.lit((rounds - 1) // DRAWS))
+    hashed = lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, F.col(id_col).cast("string"), b.cast("string")).cast("binary"))
+    own = deltas.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.posexplode(F.transform(step, hashed)).alias("_b", "_h"))
+    digits = BITS // 4
+    numbers = own.select(*keys, "_v", (F.col("_b") * DRAWS).alias("_r"), *[F.conv(F.substring("_h", d * digits + 1, digits), 16, 10).cast("long").alias(f"_x{d}") for d in range(DRAWS)])
+    # the weight is the number of limits that the draw isn't below
+    weight = lambda d: reduce(lambda a, b: a + b, [(F.col(f"_x{d}") >= n).cast("int") for n in LIMITS])
+    drawn = numbers.select(*keys, "_v", "_r", *[weight(d).alias(f"_w{d}") for d in range(DRAWS)])
+    sums = drawn.groupBy(*keys, "_r").agg(*[F.struct(F.sum(f"_w{d}").alias("n"), F.sum(F.col(f"_w{d}") * F.col("_v")).alias("s")).alias(f"_s{d}") for d in range(DRAWS)])
+    means = sums.select(*keys, F.posexplode(F.array(*[F.col(f"_s{d}") for d in range(DRAWS)])).alias("_d", "_s"), "_r").where((F.col("_r") + F.col("_d") < rounds) & (F.col("_s.n") > 0))
+    ends = F.percentile(F.col("_s.s") / F.col("_s.n"), F.array(F.lit(0.025), F.lit(0.975)))
+    return means.groupBy(*keys).agg(ends.alias("_e")).select(*keys, F.col("_e")[0].alias("ci_95_lower"), F.col("_e")[1].alias("ci_95_upper"))
+
+
 def pair(healthy: DataFrame, faulty: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deltas of fault and metric, and ids without a partner.
 
     healthy: trace_id, metric_name, status, score. faulty: the same with original_trace_id, fault_type and line. An error on
     either side counts before a skip, a skip before a missing score; only rows with state ok have a delta (fault less healthy).
+    Where healthy traces share an id, the result of the last line counts (of the largest score, where there are no lines).
     """
-    h = healthy.select(F.col("trace_id").alias("id"), "metric_name", F.col("status").alias("h_status"), F.col("score").alias("h_score"))
+    last = F.max_by(F.struct("status", "score"), F.struct("line" if "line" in healthy.columns else F.lit(0), "score"))
+    h = healthy.groupBy(F.col("trace_id").alias("id"), "metric_name").agg(last.alias("r")).select("id", "metric_name", F.col("r.status").alias("h_status"), F.col("r.score").alias("h_score"))
     rows = faulty.join(h, (faulty["original_trace_id"] == h["id"]) & (faulty["metric_name"] == h["metric_name"])).drop(h["metric_name"])
     either = lambda s: (F.col("status") == s) | (F.col("h_status") == s)
     state = F.when(either("error"), "error").when(either("skipped") | F.col("score").isNull() | F.col("h_score").isNull(), "skipped").otherwise("ok")
@@ -107,27 +141,49 @@ def pair(healthy: DataFrame, faulty: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("fault_type", "metric_name", "line", "original_trace_id", "state", "h_score", "score", "delta"), lost
 
 
-def rank_biserial(deltas: DataFrame, keys: list[str], value: str = "delta") -> DataFrame:
+def rank_biserial(deltas: DataFrame, keys: list[str], value: str = "delta", ranges: int = 256) -> DataFrame:
     """(W+ - W-) / (W+ + W-) of each group over the ranks of the absolute values that aren't 0; ties share the mean rank; 0
-    for a group without any."""
+    for a group without any.
+
+    Rows are first counted by distinct absolute value, positive and negative ones apart. A value's mean rank follows from how many
+    rows lie below it: in its range of values (the `ranges` ranges of a group lie between its least and its largest, so a group is spread
+    over as many tasks) and in the ranges before.
+    """
     d = F.col(value)
-    nonzero = deltas.where(d != 0)
-    by = Window.partitionBy(*keys).orderBy(F.abs(d))
-    same = Window.partitionBy(*keys, F.abs(d))
-    ranked = nonzero.withColumn("r", F.rank().over(by) + (F.count(F.lit(1)).over(same) - 1) / 2)
-    effect = F.sum(F.when(d > 0, F.col("r")).otherwise(-F.col("r"))) / F.sum("r")
-    found = ranked.groupBy(*keys).agg(effect.alias("rank_biserial_effect"))
+    size = F.abs(d).alias("size")
+    counts = deltas.where(d != 0).groupBy(*keys, size).agg(F.count(F.lit(1)).alias("n"), F.count_if(d > 0).alias("up"))
+    ends = counts.groupBy(*keys).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    rows = _same(counts, ends, keys)
+    width = F.nullif(F.col("most") - F.col("least"), F.lit(0.0))
+    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("size") - F.col("least")) / width * ranges), F.lit(0)).cast("long"))
+    sums = rows.groupBy(*keys, "range").agg(F.sum("n").alias("of_range"))
+    sums = sums.withColumn("before", F.sum("of_range").over(Window.partitionBy(*keys).orderBy("range")) - F.col("of_range")).drop("of_range")
+    below = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("size")) - F.col("n")
+    rank = below + (F.col("n") + 1) / 2
+    found = _same(rows, sums, [*keys, "range"]).withColumn("r", rank).groupBy(*keys).agg((F.sum(F.col("r") * (2 * F.col("up") - F.col("n"))) / F.sum(F.col("r") * F.col("n"))).alias("rank_biserial_effect"))
     every = deltas.where(d.isNotNull()).select(*keys).distinct()
-    return every.join(found, keys, "left").withColumn("rank_biserial_effect", F.coalesce("rank_biserial_effect", F.lit(0.0)))
+    return _same(every, found, keys, "left").withColumn("rank_biserial_effect", F.coalesce("rank_biserial_effect", F.lit(0.0)))
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns that both have, where nulls are equal."""
+    right = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    return left.join(right, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on], how).drop(*(f"_of_{c}" for c in on))
 
 
 def direction_table() -> list[tuple[str, str, str]]:
     return [(f, m, d) for f, by in EXPECTED.items() for m, d in by.items()]
 
 
-def summarise(deltas: DataFrame, retriever: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+def summarise(deltas: DataFrame, retriever: str, rounds: int = 2000, seed: int = 42, draws: str = "hashed") -> DataFrame:
     """The summary row (FIELDS) of each fault and metric. Standard deviations are those of a population; groups without a
-    usable pair keep their row. The bootstrap resamples a group's deltas in input order."""
+    usable pair keep their row.
+
+    draws: `hashed` has the intervals of hashed_intervals(), for groups of any size; `python` resamples a group's deltas, in
+    input order, at places drawn by Python's generator, in one task for each group (for groups of some thousand rows).
+    """
+    if draws not in ("hashed", "python"):
+        raise ValueError(f"unknown draws: {draws}")
     spark = deltas.sparkSession
     keys = ["fault_type", "metric_name"]
     ok = F.col("state") == "ok"
@@ -153,8 +209,11 @@ def summarise(deltas: DataFrame, retriever: str, rounds: int = 2000, seed: int =
         low, high = bootstrap_interval(pdf.sort_values("line")["delta"].tolist(), rounds, seed)
         return pd.DataFrame([(*pdf[keys].iloc[0], low, high)], columns=[*keys, "ci_95_lower", "ci_95_upper"])
 
-    usable = deltas.where(ok).select(*keys, "line", "delta")
-    ci = usable.groupBy(*keys).applyInPandas(interval, "fault_type string, metric_name string, ci_95_lower double, ci_95_upper double")
+    usable = deltas.where(ok)
+    if draws == "python":
+        ci = usable.select(*keys, "line", "delta").groupBy(*keys).applyInPandas(interval, "fault_type string, metric_name string, ci_95_lower double, ci_95_upper double")
+    else:
+        ci = hashed_intervals(usable, keys, "original_trace_id" if "original_trace_id" in deltas.columns else "line", "delta", rounds, seed)
     expected = F.broadcast(spark.createDataFrame(direction_table(), "fault_type string, metric_name string, expected_direction string"))  # 19 fixed rows
     rows = base.join(ci, keys, "left").join(rank_biserial(usable, keys), keys, "left").join(expected, keys, "left")
     want, d = F.coalesce("expected_direction", F.lit("unspecified")), F.col("mean_delta")
@@ -280,9 +339,13 @@ def confusion(rows: DataFrame, expected: str = "expected", got: str = "human", a
 
 
 def stratified(wrappers: DataFrame, n: int, by: str = "injected_fault", key: str = "original_trace_id", seed: int = 42) -> DataFrame:
-    """n rows: n div strata of each stratum (one at least), then others; drawn and ordered by the MD5 of seed, stratum and key."""
+    """n rows: n div strata of each stratum (one at least), then others; drawn and ordered by the MD5 of seed, stratum and key.
+
+    One pass keeps the first 2 n of each stratum, of which a task sends no more; the rest is worked out among those, which are stored.
+    """
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), by, key).cast("binary"))
-    rows = wrappers.withColumn("_h", h).withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_h", key)))
-    each = max(1, n // max(1, wrappers.select(by).distinct().count()))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_h", key))
+    rows = stored(wrappers.withColumn("_h", h).withColumn("_k", place).where(F.col("_k") <= 2 * n), "strata")
+    each = max(1, n // max(1, rows.select(by).distinct().count()))
     rows = rows.orderBy(F.when(F.col("_k") <= each, 0).otherwise(1), "_h", key).limit(n)
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed + 1)), by, key).cast("binary"))).drop("_h", "_k")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from ..functions import text as T
-from ..operators import faults, generation, quality, stats
+from ..operators import faults, quality, stats
 
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 SENTENCES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce({}, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
@@ -172,8 +174,10 @@ def rebuilt(ids: str, names: str, sources: str, texts: str) -> str:
     )
 
 
-_P = generation.PROMPTS["grounded_v1"]
-PROMPT = "'" + _P[0].replace("'", "''") + "' || query || '" + _P[1].replace("'", "''") + "' || context || '" + _P[2] + "'"
+#: The prompt, written out here as well: it must not follow a slip in operators.generation.
+PROMPT = """('You are a question-answering assistant.' || chr(10) || chr(10) || 'Answer the question using only the supplied context.' || chr(10) || 'Do not introduce unsupported facts.' || chr(10)
+    || 'If the context is insufficient, explicitly state that the answer' || chr(10) || 'cannot be determined from the provided context.' || chr(10) || chr(10)
+    || 'Question:' || chr(10) || query || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Answer:')"""
 
 
 def faulty(source: str, count: int = 20) -> str:
@@ -252,3 +256,20 @@ SUMMARY = (
     " round(md / case when sd > 1e-12 then sd end, 6) + 0.0::double as standardized_effect, case when n > 0 then round(coalesce(e, 0), 6) + 0.0::double end as rank_biserial_effect, round(qd, 6) + 0.0::double as quality_mean_delta, skipped as skipped_count, errors as error_count"
     " from base left join effect using (fault_type, metric_name) left join directions using (fault_type, metric_name))"
 )
+
+
+def intervals(rounds: int = 2000) -> str:
+    """CTEs that end in `intervals` (fault_type, metric_name, ci_95_lower, ci_95_upper) of `deltas`: each round weights a delta by a
+    Poisson number of mean 1, drawn from 32 bits of an MD5 (four draws a hash); the limits are the chances of up to 12, added up."""
+    limits, chance, total = [], math.exp(-1), 0.0
+    for k in range(13):
+        total += chance
+        limits.append(int(total * 2**32))
+        chance /= k + 1
+    weight = " + ".join(f"(x >= {n})::int" for n in limits)
+    return f"""
+    hashes as (select fault_type, metric_name, delta, b, md5('42|' || fault_type || '|' || metric_name || '|' || trace_id || '|' || b) as h from deltas, range({-(-rounds // 4)}) blocks(b) where delta is not null),
+    draws as (select fault_type, metric_name, delta, b * 4 + d as round, ('0x' || substr(h, d * 8 + 1, 8))::bigint as x from hashes, range(4) digits(d)),
+    weights as (select fault_type, metric_name, delta, round, {weight} as w from draws where round < {rounds}),
+    means as (select fault_type, metric_name, round, sum(w * delta) / sum(w) as m from weights group by all having sum(w) > 0),
+    intervals as (select fault_type, metric_name, round(quantile_cont(m, 0.025), 6) + 0.0::double as ci_95_lower, round(quantile_cont(m, 0.975), 6) + 0.0::double as ci_95_upper from means group by all)"""

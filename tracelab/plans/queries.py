@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import chunking, context, faults, generation, human, metrics, normalize, quality, retrieval, stats
 from ..sources import jsonl
-from ..sources.storage import fresh_path, stored
+from ..sources.storage import fresh_path
 from . import oracles as O
 from . import traces
 
@@ -128,12 +129,12 @@ def m10_m11_generation_metrics(spark, sf):
 
 
 def m5_m9_trace_metrics(spark, sf):
-    r = traces.scored(traces.read(spark, sf))
+    r = traces.kept_scores(spark, sf).rows
     return r.select("trace_id", "metric_name", "stage", F.round("score", 6).alias("score"), "label", "status", F.array_join("warnings", ",").alias("warnings"), F.col("error.code").alias("error"))
 
 
 def m0_counters(spark, sf):
-    return metrics.counters(traces.scored(traces.read(spark, sf)))
+    return metrics.counters(traces.kept_scores(spark, sf).rows)
 
 
 def m0e_extractors(spark, sf):
@@ -176,7 +177,7 @@ def g2_generate(spark, sf):
 
 
 def _quality(spark, sf):
-    return quality.check(traces.read(spark, sf).withColumn("line", F.monotonically_increasing_id()))
+    return traces.kept_quality(spark, sf).rows
 
 
 def q_quality(spark, sf):
@@ -211,40 +212,43 @@ def h1_healthy(spark, sf):
 
 def f_fault_injection(spark, sf):
     """What each fault makes of the traces that it is put into: the parts that it can change, long ones as digests."""
-    built, out = stored(traces.read(spark, sf), "traces"), None
     digest = lambda c: F.md5(F.col(c).cast("binary"))
     chunks = F.col("trace.retrieval.retrieved_chunks")
-    for fault in faults.INJECTORS:
-        own = faults.inject(built, fault, language="any").select(
+    return reduce(
+        DataFrame.unionByName,
+        [
+            w.select(
             "original_trace_id", "injected_fault", "injection_method", "expected_diagnosis", "expected_metric_change", F.col("trace.query").alias("query"), F.col("trace.generation.final_answer").alias("answer"),
             digest("trace.context_construction.final_context").alias("context"), digest("trace.generation.final_prompt").alias("prompt"), F.array_join("trace.context_construction.selected_chunk_ids", ",").alias("selected"),
             F.array_join(chunks["chunk_id"], ",").alias("retrieved"), F.array_join(chunks["document_id"], ",").alias("sources"), F.md5(F.array_join(chunks["text"], "|").cast("binary")).alias("texts"),
-        )
-        out = out.unionByName(own) if out is not None else own
-    return out
-
-
-def a_controlled_failures(spark, sf):
-    return traces.controlled_failures(traces.read(spark, sf))
+            )
+            for w in faults.inject_all(traces.read(spark, sf), language="any").values()
+        ],
+    )
 
 
 def _rounded(summary: DataFrame) -> DataFrame:
     r = lambda c: (F.round(c, 6) + 0.0).alias(c)
-    sizes = ["healthy_mean", "fault_mean", "mean_delta", "median_delta", "std_delta", "standardized_effect", "rank_biserial_effect", "quality_mean_delta"]
-    return summary.select(*[r(c) if c in sizes else c for c in summary.columns if not c.startswith("ci_95")])
+    sizes = ["healthy_mean", "fault_mean", "mean_delta", "median_delta", "std_delta", "ci_95_lower", "ci_95_upper", "standardized_effect", "rank_biserial_effect", "quality_mean_delta"]
+    return summary.select(*[r(c) if c in sizes else c for c in summary.columns])
+
+
+def a_controlled_failures(spark, sf):
+    """The orchestrated analysis with its bootstrap intervals, whose weights are hashes that SQL can draw as well."""
+    return _rounded(traces.kept_summary(spark, sf).rows)
 
 
 def a17_summary(spark, sf):
     """The orchestrated analysis without its bootstrap intervals, which a_controlled_failures has."""
-    return _rounded(a_controlled_failures(spark, sf))
+    return a_controlled_failures(spark, sf).drop("ci_95_lower", "ci_95_upper")
 
 
 def a11_a12_core(spark, sf):
-    return _rounded(stats.core(stats.all_retrievers({"bm25": a_controlled_failures(spark, sf), "dense": None})))
+    return stats.core(stats.all_retrievers({"bm25": a_controlled_failures(spark, sf), "dense": None})).drop("ci_95_lower", "ci_95_upper")
 
 
 def a3_deltas(spark, sf):
-    return traces.paired(traces.read(spark, sf))[0].select("fault_type", "metric_name", "original_trace_id", "state", F.round("delta", 6).alias("delta"))
+    return traces.kept_deltas(spark, sf).rows.select("fault_type", "metric_name", "original_trace_id", "state", F.round("delta", 6).alias("delta"))
 
 
 def a16_stratified(spark, sf):
@@ -306,7 +310,7 @@ def d1_unquoted(spark, sf):
 
 
 def d2_diagnoses(spark, sf):
-    return human.diagnose(traces.scored(traces.read(spark, sf)))
+    return human.diagnose(traces.kept_scores(spark, sf).rows)
 
 
 def _judged(spark, sf) -> DataFrame:
@@ -491,7 +495,7 @@ SQL |= {
     " select conv_id, array_to_string(selected, ',') as selected, array_to_string(dropped, ',') as dropped, array_to_string(repeated, ',') as repeated, md5(array_to_string(parts, chr(10) || chr(10))) as digest from z",
     "x5_gold_in_context": _R + O.TRACES + " select trace_id, case when len(gold) > 0 then (" + _PRESENT + " > 0)::int end as gold_in_context from traces",
     "g_traces": _R + O.TRACES + " select trace_id, 'sample_' || sample as source_record_id, lang as language, md5(" + O.PROMPT + ") as prompt, 'success' as status from traces",
-    "g2_generate": "select conv_id || '-' || turn as sample_id, '" + generation.DRY_ANSWER + "' as final_answer, 'success' as status, null::varchar as error from conversations where role = 'user'",
+    "g2_generate": "select conv_id || '-' || turn as sample_id, '[DRY_RUN] 占位答案，未调用真实模型。' as final_answer, 'success' as status, null::varchar as error from conversations where role = 'user'",
     "q_quality": _QUALITY + " select trace_id, array_to_string(tags, ',') as tags, severity, severity <> 'high' as usable, len(tags) > 0 as has_issues, len(" + _GOLD_SQL + ")::int as n_gold_chunks, " + _PRESENT + "::int as n_present_chunks, " + _PRESENT + " > 0 as gold_present_any, len(gold) > 0 and " + _PRESENT + " = len(" + _GOLD_SQL + ") as gold_present_all from graded",
     "q_variant_quality": _QUALITY + ", w as (select *, list_filter(list_transform(tags, lambda t: case t when 'missing_fields' then 'Missing fields: language' when 'gold_evidence_lost_in_chunking' then 'Gold evidence 0 lost in chunking' when 'no_retrieved_chunks' then 'No retrieved chunks'"
     " when 'duplicate_retrieved_chunks' then 'Duplicate retrieved chunks found' when 'empty_final_context' then 'Final context is empty' when 'context_truncated' then 'Context appears truncated' when 'gold_evidence_not_in_context' then 'Gold evidence chunks not found in context'"
@@ -505,6 +509,7 @@ SQL |= {
     "f_fault_injection": _R + O.TRACES + ", " + O.faulty("traces") + ", k as (select * from (values " + _FAULT_ROWS + ") t(fault, diagnosis, change)) select trace_id as original_trace_id, fault as injected_fault, method as injection_method, diagnosis as expected_diagnosis, change as expected_metric_change, query, answer, md5(context) as context, md5(prompt) as prompt,"
     " array_to_string(selected, ',') as selected, array_to_string(ids, ',') as retrieved, array_to_string(sources, ',') as sources, md5(array_to_string(texts, '|')) as texts from faulty join k using (fault)",
     "a3_deltas": O.DELTAS + " select fault_type, metric_name, trace_id as original_trace_id, state, round(delta, 6) as delta from deltas",
+    "a_controlled_failures": O.SUMMARY + ", " + O.intervals() + " select s.*, i.ci_95_lower, i.ci_95_upper from summary s left join intervals i using (fault_type, metric_name)",
     "a17_summary": O.SUMMARY + " select * from summary",
     "a11_a12_core": O.SUMMARY + " select " + ", ".join(c for c in stats.CORE if not c.startswith("ci_95")) + " from summary where expected_direction <> 'unspecified'",
     "a15_agreement_summary": "with " + _NAMED + " select count(*) as total, count(*) filter (kind = 'exact') as exact_matches, count(*) filter (kind = 'partial') as partial_matches, count(*) filter (kind = 'mismatch') as mismatches, round(count(*) filter (kind = 'exact') / count(*), 6) as accuracy, round(count(*) filter (kind <> 'mismatch') / count(*), 6) as partial_accuracy from k",

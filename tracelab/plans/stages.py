@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, context, generation, retrieval
 from ..operators.context import once
 from ..sources import jsonl
+from ..sources.storage import stored
 
 EVIDENCE = "struct<document_id:string,sentence_index:int,gold_text:string,char_start:int,char_end:int,covering_chunk_ids:array<string>,is_preserved:boolean,locate_ok:boolean>"
 FOUND = "struct<chunk_id:string,document_id:string,rank:int,score:double,text:string>"
@@ -52,12 +53,18 @@ def read(spark: SparkSession, path: str, fields: dict[str, str], limit: int | No
     return rows.select("line", F.from_json("value", kind).alias("r")).select("line", "r.*")
 
 
+def numbered(samples: DataFrame) -> DataFrame:
+    """Samples, stored, with a number of the row in _row: joins back to them go by it, since ids may repeat or lack."""
+    return stored(samples.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def chunk(samples: DataFrame, size: int = 400, overlap: int = 80, counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
-    """Samples with the chunks of their documents, and gold evidence located in them."""
-    docs = samples.select("sample_id", F.posexplode("source_documents").alias("ordinal", "d")).select("sample_id", "ordinal", "d.document_id", "d.text")
+    """Samples with the chunks of their documents, and gold evidence located in them. Samples that share an id stay apart."""
+    samples = numbered(samples)
+    docs = samples.select("_row", F.posexplode("source_documents").alias("ordinal", "d")).select("_row", "ordinal", "d.document_id", "d.text")
     made = chunking.with_chunks(docs, size, overlap, counter)
-    made = made.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "document_id", "text", "chunks"))).alias("docs"))
-    rows = samples.drop("chunks").join(made, "sample_id", "left")
+    made = made.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("ordinal", "document_id", "text", "chunks"))).alias("docs"))
+    rows = samples.drop("chunks").join(made, "_row", "left").drop("_row")
 
     def located(g: Column) -> Column:
         def of(d: Column) -> Column:
@@ -78,19 +85,30 @@ def chunk(samples: DataFrame, size: int = 400, overlap: int = 80, counter: Calla
     return rows.drop("gold_evidence", "docs").withColumnRenamed("_gold", "gold_evidence")
 
 
-def retrieve(samples: DataFrame, method: str = "bm25", top: int = 5) -> DataFrame:
-    """Samples with the best chunks of their own pool. Dense retrieval needs vectors: see retrieval.encoded and retrieval.dense."""
+def retrieve(samples: DataFrame, method: str = "bm25", top: int = 5, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> DataFrame:
+    """Samples with the best chunks of their own pool. Dense retrieval takes an encoder (see retrieval.encoded): questions and
+    chunks become vectors once each, in rows that hold no more than one text, and are joined by the sample's row."""
     if method not in retrieval.METHODS:
         raise ValueError(f"unknown retrieval method: {method}")
-    if method != "bm25":
-        raise ValueError("dense retrieval needs an encoder: use retrieval.encoded and retrieval.dense")
-    rows = retrieval.with_bm25(samples.drop("retrieval"), "question", "chunks", top)
+    if method == "dense" and encoder is None:
+        raise ValueError("dense retrieval needs an encoder")
+    rows = samples.drop("retrieval")
+    if method == "bm25":
+        rows = retrieval.with_bm25(rows, "question", "chunks", top)
+    else:
+        rows = numbered(rows)
+        asked = retrieval.encoded(rows.select(F.col("_row").alias("sample_id"), "question"), encoder, "question").select("sample_id", "vector")
+        pool = rows.select(F.col("_row").alias("sample_id"), F.posexplode("chunks").alias("ordinal", "c")).select("sample_id", "ordinal", F.col("ordinal").alias("chunk_id"), "c.text")
+        found = retrieval.dense(asked, retrieval.encoded(pool, encoder).drop("text"), top)
+        best = found.groupBy(F.col("sample_id").alias("_row")).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("chunk_id").alias("at"), "score"))).alias("ranked"))
+        rows = rows.join(best, "_row", "left").drop("_row")
 
     def shown(r: Column) -> Column:
         c = F.get(F.col("chunks"), r["at"])
         return F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), r["rank"].alias("rank"), r["score"].alias("score"), c["text"].alias("text"))
 
-    found = F.struct(F.lit(method).alias("method"), F.lit(top).alias("top_k"), F.transform("ranked", shown).alias("retrieved_chunks"))
+    ranked = F.coalesce("ranked", F.array().cast("array<struct<rank:int,at:int,score:double>>"))
+    found = F.struct(F.lit(method).alias("method"), F.lit(top).alias("top_k"), F.transform(ranked, shown).alias("retrieved_chunks"))
     return rows.withColumn("retrieval", found).drop("ranked")
 
 
@@ -112,9 +130,9 @@ def contexts(samples: DataFrame, budget: int = 3000, deduplicate: bool = True) -
 
 
 def generate(samples: DataFrame, pipeline_id: str, run_id: str, backend: str = "dry-run", version: str = "grounded_v1", done: DataFrame | None = None) -> DataFrame:
-    """Full traces. Samples with a successful trace in `done` aren't asked again."""
-    rows = samples if done is None else generation.pending(samples, done, pipeline_id)
-    asked = rows.select("sample_id", generation.prompt(F.col("question"), F.col("context_construction.final_context"), version).alias("final_prompt"))
+    """Full traces, one for each row of samples. Samples with a successful trace in `done` aren't asked again."""
+    rows = numbered(samples if done is None else generation.pending(samples, done, pipeline_id))
+    asked = rows.select(F.col("_row").cast("string").alias("sample_id"), generation.prompt(F.col("question"), F.col("context_construction.final_context"), version).alias("final_prompt"))
     fields = [x.split()[0] for x in generation.GENERATION.split(", ")]
-    answers = generation.generate(asked, generation.backend(backend)).select("sample_id", F.struct(*fields).alias("generation"))
-    return generation.assemble(rows.join(answers, "sample_id"), pipeline_id, run_id, version)
+    answers = generation.generate(asked, generation.backend(backend)).select(F.col("sample_id").cast("long").alias("_row"), F.struct(*fields).alias("generation"))
+    return generation.assemble(rows.join(answers, "_row").drop("_row"), pipeline_id, run_id, version)

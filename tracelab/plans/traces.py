@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, generation, metrics, retrieval
-from ..sources.storage import stored
+from ..operators import chunking, context, faults, generation, metrics, quality, retrieval, stats
+from ..sources.storage import Stage, files_key, stage, stored
 
 PIPELINE = "documents_bm25_v1"
 
@@ -36,10 +38,11 @@ def build(docs: DataFrame, top: int = 5, budget: int = 3000, run_id: str = "run"
     """Full traces: chunks, located gold, BM25 top chunks, context, a dry-run answer.
 
     Everything of a document is worked out in its row and stored; then the document with the next id, if there is one, lends
-    its chunks to the pool. That join is the only shuffle: a pool is an array, the chunks of two documents.
+    its chunks to the pool. That join is the only shuffle: a pool is an array, the chunks of two documents. A row of docs is
+    one trace at most; rows that share an id make traces that share theirs.
     """
     own = stored(samples(docs), "samples")
-    lent = own.where(F.size("chunks") > 0).select((F.col("doc_id") - 1).alias("doc_id"), F.col("chunks").alias("lent"))
+    lent = own.where(F.size("chunks") > 0).groupBy((F.col("doc_id") - 1).alias("doc_id")).agg(F.min_by("chunks", F.struct(F.md5(F.array_join("chunks.text", "").cast("binary")), F.size("chunks"))).alias("lent"))
     rows = own.join(lent, "doc_id", "left")
     none = F.array().cast(f"array<{chunking.CHUNK}>")
     rows = rows.withColumn("pool", F.concat("chunks", F.coalesce("lent", none))).drop("chunks", "lent", "doc_id")
@@ -70,32 +73,59 @@ def scored(traces: DataFrame) -> DataFrame:
 
 def paired(traces: DataFrame, count: int = 20, language: str = "any") -> tuple[DataFrame, DataFrame]:
     """Healthy traces, every fault injected, both sides scored and paired: deltas, and ids without a partner."""
-    from functools import reduce
-
-    from ..operators import faults, stats
-
-    good = stored(faults.healthy(traces), "healthy")
-    wrapped = reduce(DataFrame.unionByName, [faulty_lines(faults.inject(good, f, count, language)) for f in faults.INJECTORS])
+    good = faults.healthy(traces)
+    wrapped = reduce(DataFrame.unionByName, [faulty_lines(w) for w in faults.inject_all(good, None, count, language).values()])
     wrapped = stored(wrapped, "faulty").withColumn("trace", F.parse_json("trace"))
-    ids = wrapped.select("original_trace_id").distinct()
+    # count for each fault at most
+    ids = F.broadcast(wrapped.select("original_trace_id").distinct())
     healthy = stored(scored(good.join(ids, F.col("trace_id") == F.col("original_trace_id"), "left_semi")), "healthy-scores")
     faulty = stored(metrics.score(wrapped.select(F.col("n").alias("line"), "trace")), "faulty-scores")
     labelled = faulty.join(wrapped.select(F.col("n").alias("line"), "original_trace_id", "fault_type"), "line")
     return stats.pair(healthy, labelled)
 
 
-def controlled_failures(traces: DataFrame, count: int = 20, language: str = "any", retriever: str = "bm25", rounds: int = 2000) -> DataFrame:
+def controlled_failures(traces: DataFrame, count: int = 20, language: str = "any", retriever: str = "bm25", rounds: int = 2000, draws: str = "hashed") -> DataFrame:
     """The orchestrated analysis: pairs of healthy and faulty traces, summarised."""
-    from ..operators import stats
-
-    return stats.summarise(paired(traces, count, language)[0], retriever, rounds)
+    return stats.summarise(paired(traces, count, language)[0], retriever, rounds, draws=draws)
 
 
 def faulty_lines(wrappers: DataFrame) -> DataFrame:
     """n, original_trace_id, fault_type and the faulty trace as JSON."""
-    number = F.xxhash64("injected_fault", "original_trace_id")
-    return wrappers.select(number.alias("n"), "original_trace_id", F.col("injected_fault").alias("fault_type"), F.to_json("trace", {"ignoreNullFields": "false"}).alias("trace"))
+    whole = F.to_json("trace", {"ignoreNullFields": "false"})
+    return wrappers.select(F.xxhash64("injected_fault", "original_trace_id", whole).alias("n"), "original_trace_id", F.col("injected_fault").alias("fault_type"), whole.alias("trace"))
+
+
+def kept(spark: SparkSession, sf_dir: str, top: int = 5, budget: int = 3000, run_id: str = "run") -> Stage:
+    """build() of the documents in a folder, as a stage: made once for the same files, parameters and code."""
+    path = f"{sf_dir}/documents.parquet"
+    made_from = {"documents": files_key(spark, path), "top": top, "budget": budget, "run_id": run_id}
+    return stage(spark, "traces", made_from, lambda: build(spark.read.parquet(path), top, budget, run_id))
+
+
+def kept_scores(spark: SparkSession, sf_dir: str) -> Stage:
+    """Metric results of the kept traces."""
+    own = kept(spark, sf_dir)
+    return stage(spark, "scores", {"traces": own.key}, lambda: scored(own.rows))
+
+
+def kept_quality(spark: SparkSession, sf_dir: str) -> Stage:
+    """Quality checks of the kept traces."""
+    own = kept(spark, sf_dir)
+    return stage(spark, "quality", {"traces": own.key}, lambda: quality.check(own.rows.withColumn("line", F.monotonically_increasing_id())))
+
+
+def kept_deltas(spark: SparkSession, sf_dir: str, count: int = 20, language: str = "any") -> Stage:
+    """Deltas of the kept traces (see paired)."""
+    own = kept(spark, sf_dir)
+    return stage(spark, "deltas", {"traces": own.key, "count": count, "language": language}, lambda: paired(own.rows, count, language)[0])
+
+
+def kept_summary(spark: SparkSession, sf_dir: str, retriever: str = "bm25", rounds: int = 2000) -> Stage:
+    """The summary of the kept deltas."""
+    own = kept_deltas(spark, sf_dir)
+    return stage(spark, "summary", {"deltas": own.key, "retriever": retriever, "rounds": rounds}, lambda: stats.summarise(own.rows, retriever, rounds))
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The kept traces of the documents in a folder."""
+    return kept(spark, sf_dir).rows

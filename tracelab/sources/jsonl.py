@@ -6,12 +6,13 @@ import csv
 import io
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import variants as V
 from ..operators.metrics import DEFAULTS, merged
+from .records import MOST_SPLITS, records
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     before = lambda w: F.sum("n").over(w) - F.col("n")
     # one row for each split
     splits = splits.withColumns({"in_file": before(Window.partitionBy("path").orderBy("at")), "in_all": before(Window.orderBy("source_file", "path", "at"))}).drop("n", "source_file")
-    rows = text.join(splits, ["path", "at"])
+    rows = text.join(F.broadcast(splits) if splits.count() <= MOST_SPLITS else splits, ["path", "at"])
     place = F.col("id") - F.col("first") + 1
     return rows.select((F.col("in_all") + place).alias("line"), (F.col("in_file") + place).alias("number"), "source_file", "value").where(F.regexp_replace("value", r"(?U)\s", "") != "")
 
@@ -63,14 +64,20 @@ def first(rows: DataFrame, limit: int | None) -> DataFrame:
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """An annotation CSV with a header; a byte-order mark is dropped, the last row of a trace_id counts, a confidence that
-    isn't digits is 0. Lines that are quoted as a whole are unquoted first (see unquoted())."""
-    text = unquoted(spark.read.text(path))
-    header = next(csv.reader([text.orderBy("n").first().value.lstrip("﻿")]))
-    body = text.where(F.regexp_replace("value", "^﻿", "") != F.lit(",".join(header)))
-    fields = F.from_csv("value", F.lit(", ".join(f"`{h}` string" for h in header)))
-    rows = body.select("n", fields.alias("r")).select("n", "r.*").where("trace_id is not null")
-    last = rows.groupBy("trace_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "trace_id"]), "n").alias("r")).select("trace_id", "r.*").drop("n")
+    """An annotation CSV with a header; a byte-order mark is dropped, values are stripped, the last row of a trace_id counts, a
+    confidence that isn't digits is 0. Quoted fields may hold line breaks (see records.records); a record that is quoted as a
+    whole, so that it is one field with commas, is read once more from that field. Missing fields are null, further ones
+    are left out."""
+    rows = records(spark, path)
+    head = rows.orderBy("source_file", "path", "record").first()
+    header = [h.strip() for h in head.fields] if head else ["trace_id"]
+    again = (F.size("fields") == 1) & F.col("fields")[0].contains(",")
+    inner = F.from_csv(F.col("fields")[0], F.lit(", ".join(f"`{h}` string" for h in header)), {"escape": '"', "multiLine": "true"})
+    fields = F.when(again, F.array(*[inner[h] for h in header])).otherwise(F.col("fields"))
+    body = rows.where(F.col("record") > 0).select("path", "record", fields.alias("f"))
+    body = body.select("path", "record", *[F.regexp_replace(F.get("f", F.lit(i)), r"(?U)^\s+|\s+$", "").alias(h) for i, h in enumerate(header)]).where("trace_id <> ''")
+    own = [c for c in header if c != "trace_id"]
+    last = body.groupBy("trace_id").agg(F.max_by(F.struct(*own, F.lit(0).alias("_")), F.struct("path", "record")).alias("r")).select("trace_id", "r.*").drop("_")
     if "confidence" in header:
         last = last.withColumn("confidence", F.when(F.col("confidence").rlike(r"^\d+$"), F.col("confidence").cast("int")).otherwise(0))
     return last
@@ -101,12 +108,20 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_results(results: DataFrame, path: str) -> dict[str, int]:
-    """Metric results as JSON lines; returns the run's counters."""
-    from ..operators.metrics import as_lines, counters
+def write_results(results: DataFrame, path: str, metric: str = "retrieval.hit_at_k") -> dict[str, int]:
+    """Metric results as JSON lines; returns the run's counters (see metrics.counters).
 
-    as_lines(results).write.mode("overwrite").text(path)
-    return counters(results).first().asDict()
+    The counters are observed while the rows are written, so the metrics are worked out once. `metric` is one that every trace
+    has a result of: those results are the traces.
+    """
+    from ..operators.metrics import as_lines
+
+    seen, n = Observation(), F.count_if
+    own = results.observe(
+        seen, n(F.col("metric_name") == metric).alias("input_traces"), F.count(F.lit(1)).alias("results"), n(F.col("status") == "skipped").alias("skipped_metrics"), n(F.col("status") == "error").alias("errors")
+    )
+    as_lines(own).write.mode("overwrite").text(path)
+    return seen.get
 
 
 def report(df: DataFrame, fields: list[str]) -> tuple[str, str]:
