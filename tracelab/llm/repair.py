@@ -318,8 +318,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     the same part before the shard), n_tokens, doc_ids and image. Spark's writer commits whole files, so a lost executor
     leaves no half shard. Texts move once, into ranges of ids; a task holds one batch and one open shard.
 
-    A null text counts as empty and gives end_id only. Null ids come first; repeated ids stay beside each other, ordered by
-    text. Nonterminals begin after the tokenizer's last id, or after end_id. Other columns are not carried.
+    A null text counts as empty and gives end_id only. Null ids come first; rows of one id stay beside each other, ordered by
+    their texts' XXH64. Ranges are cut by id, that hash and a number of the row, so rows without ids, of one id or equal
+    altogether are spread over ranges like any others. Nonterminals begin after the tokenizer's last id, or after end_id. Other columns are not carried.
     """
     kind = docs.schema[id_col].dataType
 
@@ -351,7 +352,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         if names:
             yield close()
 
-    ordered = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keys = ["id", "hash", "row"]
+    ordered = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
     schema = f"part int, seq int, part_start long, n_tokens long, doc_ids array<{kind.simpleString()}>, image binary"
     ordered.mapInArrow(encode, schema).write.option("compression", "lz4").parquet(path)
     return docs.sparkSession.read.parquet(path)
