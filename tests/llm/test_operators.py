@@ -38,7 +38,9 @@ def empty(spark):
 
 
 def ordered():
-    return sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    """In order of id, then of the text's XXH64 (as a signed number)."""
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64
+    return sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
 
 
 def test_token_output_round_trip(docs):
@@ -153,6 +155,37 @@ def test_next_in_small_ranges(spark, docs, monkeypatch):
         assert Counter((r.text, r.next_text) for r in merkle.with_next(frame, "doc_id", "text").collect()) == want
 
 
+@pytest.mark.parametrize(("of", "ranges"), [("id", 40), ("text", 40), ("row", 40)])
+def test_no_range_holds_most_rows(spark, monkeypatch, of, ranges):
+    """A third of all rows without ids, of one id, or equal: no task of op1 or op4 has much more than the median."""
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 100)
+    n = 4000
+    rows = [(None if of == "id" else 77, f"text {i}" if of != "row" else "same") if i % 3 == 0 else (1000 + i, f"own {i}") for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = merkle.with_next(frame, "doc_id", "text").collect()
+    own = sorted(((i is not None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows))
+    assert Counter((r.text, r.next_text) for r in got) == Counter((a[3], b[3]) for a, b in zip(own, [*own[1:], own[0]], strict=True))
+    seen = []
+    real = merkle._followed
+    monkeypatch.setattr(merkle, "_followed", lambda rows, bounds, kind: seen.append((rows, bounds)) or real(rows, bounds, kind))
+    merkle.with_next(frame, "doc_id", "text")
+    ((used, bounds),) = seen
+    keys = sorted((r.key.id is not None, r.key.id or 0, r.key.m) for r in used.select("key").collect())
+    cuts = [(b.id is not None, b.id or 0, b.m) for b in bounds]
+    sizes = Counter(sum(c <= k for c in cuts) for k in keys)
+    assert len(sizes) > ranges / 2 and max(sizes.values()) <= 6 * np.median(list(sizes.values()))
+    # op1's ranges
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = repair.write_shards(frame, repair.shared_path(spark, "hot"), public_tokenizers.path("byte_bpe_50k.json"))
+        sizes = [r.n for r in shards.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == n and len(sizes) > 8 and max(sizes) <= 2 * np.median(sizes)
+
+
 def test_merkle_locates_edits(spark):
     text = "".join(f"Sentence number {i} says {i * i}.\n" for i in range(200))
     both = spark.createDataFrame([(text, text.replace("number 150 says", "number 150 said"))], "a string, b string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
@@ -64,27 +66,52 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text; after the last row, that of the first.
 
     Rows are cut into ranges of about RANGE_ROWS rows of that order, at bounds from a sample of it; so neither rows without
-    ids nor those of one id meet in one range, unless their texts are equal as well. Each range is one window, and its first
-    row also goes to the range before it as a guard. Texts are shuffled once and no task sees more than a few ranges.
+    ids nor those of one id meet in one range, unless their texts are equal as well. Rows equal in id and text that would
+    fill ranges of their own are counted where they are: one of them takes part, the others are each other's next. Each
+    range is one window, sorted and read through once, and its first row also goes to the range before it as a guard. Texts
+    are shuffled once. Beyond MOST_RANGES * RANGE_ROWS rows ranges are larger, not more: their bounds are literals of the plan.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.struct("id", F.md5(F.col("text").cast("binary")).alias("m")))
-    keys = rows.select("key")
+    rows = rows.withColumn("key", F.struct("id", F.md5(F.col("text").cast("binary")).alias("m"))).withColumn("times", F.lit(1).cast("long"))
+    kind = ArrayType(rows.schema["key"].dataType)
     n = docs.count()
     ranges = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    # about SAMPLED keys of each range
-    some = keys.where(F.pmod(F.xxhash64("key.id", "key.m"), F.lit(max(1, n // (SAMPLED * ranges)))) == 0).distinct().orderBy("key").limit(4 * SAMPLED * ranges).collect() if ranges > 1 else []
-    bounds = [some[i * len(some) // ranges].key for i in range(1, ranges)] if len(some) >= ranges else []
-    kind = ArrayType(rows.schema["key"].dataType)
-    array = lambda xs: F.lit(xs).cast(kind) if not xs else F.from_json(F.lit(spark.createDataFrame([(xs,)], StructType([StructField("a", kind)])).select(F.to_json("a").alias("j")).first().j), kind)
+    # about SAMPLED rows of each range
+    some = [r.key for r in rows.select("key").where(F.rand(7) < SAMPLED * ranges / n).orderBy("key").limit(4 * SAMPLED * ranges).collect()] if ranges > 1 else []
+    often = [k for k, times in Counter(some).items() if times > 2 * SAMPLED]
+    if often:
+        own = F.array_contains(literal(docs.sparkSession, often, kind), F.col("key"))
+        alone = rows.where(own).groupBy("key").agg(F.first("key.id").alias("id"), F.first("text").alias("text"), F.sum("times").alias("times"))
+        rows = rows.where(~own).unionByName(alone)
+        some = sorted({*some} - {*often}, key=some.index)
+    ranges = min(ranges, len(some))
+    bounds = [some[i * len(some) // ranges] for i in range(1, ranges)]
+    out = _followed(rows, bounds, kind)
+    if not often:
+        return out.select("id", "text", "next_text")
+    # RANGE_ROWS copies of a row at a time, dealt out anew
+    last = out.withColumn("copies", F.col("times") - 1)
+    whole = last.where("copies > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {RANGE_ROWS}")))).repartition("key", "part")
+    copies = whole.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RANGE_ROWS), F.col("copies") - F.col("part") * RANGE_ROWS))))
+    return out.select("id", "text", "next_text").unionByName(copies.select("id", "text", F.col("text").alias("next_text")))
+
+
+def literal(spark: SparkSession, keys: list, kind: ArrayType) -> Column:
+    """An array of keys as a literal of the plan."""
+    if not keys:
+        return F.array().cast(kind)
+    return F.from_json(F.lit(spark.createDataFrame([(keys,)], StructType([StructField("a", kind)])).select(F.to_json("a").alias("j")).first().j), kind)
+
+
+def _followed(rows: DataFrame, bounds: list, kind: ArrayType) -> DataFrame:
+    """rows (id, text, key, times) in ranges between bounds (ascending keys), with next_text."""
+    spark, key = rows.sparkSession, F.col("key")
     # two levels, so that a row looks at about twice the root of the number of bounds
     step = max(1, int(len(bounds) ** 0.5))
-    key = F.col("key")
     bucket = F.lit(0)
     if bounds:
-        coarse = F.size(F.filter(array(bounds[step - 1 :: step]), lambda x: x <= key)) * step
-        bucket = coarse + F.size(F.filter(F.slice(array(bounds), coarse + 1, step), lambda x: x <= key))
+        coarse = F.size(F.filter(literal(spark, bounds[step - 1 :: step], kind), lambda x: x <= key)) * step
+        bucket = coarse + F.size(F.filter(F.slice(literal(spark, bounds, kind), coarse + 1, step), lambda x: x <= key))
     rows = rows.withColumn("bucket", bucket.cast("int"))
     # one key for each range at most
     firsts = {r.bucket: r.first for r in rows.groupBy("bucket").agg(F.min("key").alias("first")).collect()}
@@ -93,13 +120,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = F.array(F.struct("bucket", F.lit(0).alias("guard")))
     if names:
         every = range(max(names) + 1)
-        first = F.element_at(array([firsts.get(i) for i in every]), F.col("bucket") + 1)
+        first = F.element_at(literal(spark, [firsts.get(i) for i in every], kind), F.col("bucket") + 1)
         lent = F.element_at(F.lit([before.get(i, 0) for i in every]), F.col("bucket") + 1)
         guard = F.when(first.eqNullSafe(key), F.array(F.struct(lent.cast("int").alias("bucket"), F.lit(1).alias("guard"))))
         places = F.concat(places, F.coalesce(guard, F.array().cast("array<struct<bucket:int,guard:int>>")))
-    placed = rows.withColumn("place", F.explode(places)).select("id", "text", "key", "place.*")
+    placed = rows.withColumn("place", F.explode(places)).select("id", "text", "key", "times", "place.*")
     order = Window.partitionBy("bucket").orderBy("guard", "key")
-    return placed.withColumn("next_text", F.lead("text").over(order)).where("guard = 0").select("id", "text", "next_text")
+    return placed.withColumn("next_text", F.lead("text").over(order)).where("guard = 0").drop("guard", "bucket")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
