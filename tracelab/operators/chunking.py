@@ -112,18 +112,27 @@ def locate(gold: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumns({"gold_start": start, "gold_end": end}).drop("body")
 
 
-def cover(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+def cover(gold: DataFrame, chunks: DataFrame, bin_chars: int = 20_000) -> DataFrame:
     """Located gold joined to the chunks that it overlaps, by document and interval: covering_chunk_ids in chunk order,
-    is_preserved (one chunk holds all of it) and locate_ok."""
-    c = chunks.select("document_id", "chunk_id", "chunk_index", "start_char", "end_char")
-    on = (gold["document_id"] == c["document_id"]) & (c["start_char"] < gold["gold_end"]) & (gold["gold_start"] < c["end_char"])
-    holds = F.coalesce((F.col("start_char") <= F.col("gold_start")) & (F.col("gold_end") <= F.col("end_char")), F.lit(False))
-    keys = [F.col(x) for x in ("sample_id", "ordinal")]
-    joined = gold.join(c, on, "left").drop(c["document_id"])
-    found = joined.groupBy(*keys, "document_id", "gold_text", "gold_start", "gold_end").agg(
-        F.array_sort(F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_index", "chunk_id")))).alias("c"), F.max(holds).alias("is_preserved")
-    )
-    return found.withColumn("covering_chunk_ids", F.col("c.chunk_id")).withColumn("locate_ok", F.col("gold_start").isNotNull()).drop("c")
+    is_preserved (one chunk holds all of it) and locate_ok.
+
+    Gold and chunks are dealt into bins of bin_chars characters of their document, by every bin that they reach into; they
+    meet by document and bin, where the later of their two starts lies, so a pair is found once. A document of any length
+    is spread over as many tasks as it has bins.
+    """
+    reach = lambda a, b: F.sequence(F.floor(F.col(a) / bin_chars), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / bin_chars))
+    c = chunks.select("document_id", "chunk_id", "chunk_index", "start_char", "end_char").where("start_char < end_char")
+    c = c.withColumn("bin", F.explode(reach("start_char", "end_char"))).withColumnRenamed("document_id", "of_document")
+    keys = ["sample_id", "ordinal", "document_id", "gold_text", "gold_start", "gold_end"]
+    found = gold.select(*keys).where("gold_start < gold_end").withColumn("of_bin", F.explode(reach("gold_start", "gold_end")))
+    on = (F.col("document_id") == F.col("of_document")) & (F.col("bin") == F.col("of_bin")) & (F.col("start_char") < F.col("gold_end")) & (F.col("gold_start") < F.col("end_char"))
+    once = F.floor(F.greatest("start_char", "gold_start") / bin_chars) == F.col("bin")
+    holds = (F.col("start_char") <= F.col("gold_start")) & (F.col("gold_end") <= F.col("end_char"))
+    hits = found.join(c, on & once).select(*keys, F.struct("chunk_index", "chunk_id").alias("c"), holds.alias("holds"))
+    # gold without any chunk keeps its row
+    every = hits.unionByName(gold.select(*keys, F.lit(None).cast(hits.schema["c"].dataType).alias("c"), F.lit(False).alias("holds")))
+    out = every.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("c"), F.max("holds").alias("is_preserved"))
+    return out.withColumn("covering_chunk_ids", F.col("c.chunk_id")).withColumn("locate_ok", F.col("gold_start").isNotNull()).drop("c")
 
 
 def covering(chunks: Column, start: Column, end: Column) -> tuple[Column, Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,11 +71,27 @@ def transitions(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
-def manifest(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows and an order-insensitive SHA-256 digest of a table's rows."""
-    row = F.sha2(F.to_json(F.struct(*(columns or sorted(table.columns)))), 256)
-    part: Column = F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)"))
-    return table.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.coalesce(part, F.lit(0).cast("decimal(38,0)")).cast("string"), 256).alias("sha256"))
+def manifest(table: DataFrame, columns: list[str] | None = None, by: list[str] | None = None, parts: int = 4096) -> DataFrame:
+    """Rows and a SHA-256 of a table's rows in any order, of the whole table or of each group in `by`.
+
+    Rows are hashed, and dealt into `parts` by the first digits of their hashes (a power of 16); a part's hash is that of its rows' hashes in
+    ascending order, and the result that of the parts' hashes in order. So a row that is added, lost, changed or
+    repeated changes it, and no task holds more than one part's hashes.
+    """
+    by, digits = by or [], round(math.log(parts, 16))
+    row = F.sha2(F.to_json(F.struct(*(columns or sorted(table.columns))), {"ignoreNullFields": "false"}), 256)
+    rows = table.select(*by, row.alias("_row")).withColumn("_part", F.substring("_row", 1, digits))
+    of_part = F.sha2(F.array_join(F.array_sort(F.collect_list("_row")), ""), 256)
+    held = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), of_part.alias("_hash"))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_hash"))), lambda p: p["_hash"]), "")
+    return held.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("rows"), F.sha2(in_order, 256).alias("sha256"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and SHA-256 of every file at a path (files of 2 GB at most; Spark lists no empty ones), read
+    where Spark reads them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

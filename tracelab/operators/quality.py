@@ -236,12 +236,22 @@ def issues(own: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, told))
 
 
+COLUMNS = ["line", "trace_id", "pipeline_id", "quality_tags", "severity", "usable", "has_issues", "n_gold_chunks", "n_present_chunks", "gold_present_any", "gold_present_all", "warnings", "issues"]
+
+
 def check(traces: DataFrame) -> DataFrame:
     """A row per trace: line, trace_id, pipeline_id, quality_tags, severity, usable, has_issues, gold counts, warnings and
     issues (messages by key). traces: line and trace (VARIANT), or line and the columns of typed traces.
 
-    The second and later rows of a trace_id get the tag duplicate_trace_id; it changes neither severity nor usable.
+    The second and later rows of a trace_id, in order of line, get the tag duplicate_trace_id; it changes neither severity nor usable.
     """
+    firsts = traces.select(F.coalesce(V.string(F.col("trace"), "$.trace_id") if "trace" in traces.columns else F.col("trace_id"), F.lit("unknown")).alias("id"), "line").groupBy("id").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("times"))
+    rows = check_alone(traces).join(firsts.where("times > 1").drop("times"), F.col("trace_id") == F.col("id"), "left")
+    return tagged(rows, F.col("line") > F.col("first"))
+
+
+def check_alone(traces: DataFrame) -> DataFrame:
+    """check() of each trace by itself, without the tag of later rows of an id: no shuffle, no state."""
     view = of_variant(F.col("trace")) if "trace" in traces.columns else of_columns(traces)
     own = traces.select("line", view.alias("q")).select("line", "q", rules(F.col("q")).alias("rules"))
     n, held = F.size("q.gold_ids"), F.size(F.array_intersect("q.gold_ids", "q.selected"))
@@ -260,9 +270,12 @@ def check(traces: DataFrame) -> DataFrame:
             "has_issues": F.size("quality_tags") > 0,
         }
     )
-    firsts = traces.select(F.coalesce(V.string(F.col("trace"), "$.trace_id") if "trace" in traces.columns else F.col("trace_id"), F.lit("unknown")).alias("id"), "line").groupBy("id").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("times"))
-    rows = rows.join(firsts.where("times > 1").drop("times"), F.col("trace_id") == F.col("id"), "left")
-    again, name = F.col("line") > F.col("first"), "duplicate_trace_id"
+    return rows
+
+
+def tagged(rows: DataFrame, again: Column) -> DataFrame:
+    """Rows of check_alone() with the tag of those for which `again` holds."""
+    name = "duplicate_trace_id"
     rows = rows.withColumns(
         {
             "quality_tags": F.when(again, F.array_append("quality_tags", F.lit(name))).otherwise(F.col("quality_tags")),
@@ -270,7 +283,7 @@ def check(traces: DataFrame) -> DataFrame:
             "issues": F.when(again, F.map_concat(F.map_filter("issues", lambda k, _: k != "trace_id"), F.create_map(F.lit("trace_id"), F.array(F.lit("duplicate trace_id found"))))).otherwise(F.col("issues")),
         }
     )
-    return rows.select("line", "trace_id", "pipeline_id", "quality_tags", "severity", "usable", "has_issues", "n_gold_chunks", "n_present_chunks", "gold_present_any", "gold_present_all", "warnings", "issues")
+    return rows.select(*COLUMNS)
 
 
 def tag_counts(checked: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import chunking, context, faults, generation, human, metrics, normalize, quality, retrieval, stats
-from ..sources import jsonl
+from ..sources import jsonl, records
 from ..sources.storage import fresh_path
 from . import oracles as O
 from . import traces
@@ -92,7 +92,7 @@ def r3_dense(spark, sf):
 
 
 def _gold(spark, sf):
-    """The ten least ids of each label."""
+    """The ten least ids of each label, as the gold that a test run needs: made input, not a limit on a result."""
     v = _t(spark, sf, "embeddings").where("label is not null").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     return v.select(F.col("label").alias("sample_id"), F.transform(F.slice("ids", 1, 10), lambda x: x.cast("string")).alias("gold_ids"))
 
@@ -256,34 +256,71 @@ def a16_stratified(spark, sf):
     return stats.stratified(rows, 30)
 
 
-def _record(spark, sf, record: Column) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", record.alias("record"))
+def _sentences(spark, sf) -> DataFrame:
+    return _t(spark, sf, "documents").withColumn("s", T.sentences(F.col("text")))
 
 
 def n1_n4_english(spark, sf):
-    """Documents as multi-hop records: three titled parts (the third repeats a title), facts known, unknown and out of range."""
-    part = lambda a, n: F.substring("text", a, n)
+    """Documents as multi-hop records: their sentences dealt to three titled parts (the third repeats a title), facts known,
+    unknown and, where a part is short, out of range."""
+    part = lambda k: F.filter("s", lambda x, i: i % 3 == k)
     record = _json(
         id=F.col("doc_id").cast("string"),
-        question=part(1, 30),
+        question=F.coalesce(F.get("s", F.lit(0)), F.lit("")),
         answer=F.array(F.array(F.col("lang"), F.lit("")), F.array(F.col("source"), F.col("lang"))),
-        context=F.struct(F.array("lang", "source", "lang").alias("title"), F.array(F.array(part(1, 20), part(21, 20)), F.array(part(41, 10)), F.array(part(51, 5))).alias("sentences")),
+        context=F.struct(F.array("lang", "source", "lang").alias("title"), F.array(part(0), part(1), part(2)).alias("sentences")),
         supporting_facts=F.struct(F.array(F.col("source"), F.lit("nobody"), F.col("lang"), F.col("lang")).alias("title"), F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(7)).alias("sent_id")),
     )
-    good, _ = normalize.english(_record(spark, sf, record))
+    good, _ = normalize.english(_sentences(spark, sf).select("doc_id", record.alias("record")))
     show = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws("=", *[x[f].cast("string") for f in fields])), "|")
-    return good.select("sample_id", "question", "reference_answer", F.md5(show("source_documents", "document_id", "title", "text").cast("binary")).alias("documents"), show("gold_evidence", "document_id", "sentence_index", "gold_text").alias("gold"))
+    return good.select("sample_id", F.md5(F.col("question").cast("binary")).alias("question"), "reference_answer", F.md5(show("source_documents", "document_id", "title", "text").cast("binary")).alias("documents"), F.md5(show("gold_evidence", "document_id", "sentence_index", "gold_text").cast("binary")).alias("gold"))
 
 
 def n5_n6_russian(spark, sf):
-    """Documents as single-context records; every seventh line is bad, and every third text isn't in its context."""
-    part = F.when(F.col("doc_id") % 3 == 0, F.lit("\u0000none")).otherwise(F.substring("text", 11, 15))
-    record = F.when(F.col("doc_id") % 7 != 0, _json(text=part, q=F.col("lang"), a=F.col("source"), context=F.substring("text", 1, 60)))
-    rows = normalize.russian(_record(spark, sf, record).withColumnRenamed("doc_id", "line"))
+    """Documents as single-context records whose text is their middle sentence; every seventh line is bad, and every third
+    text isn't in its context."""
+    middle = F.coalesce(F.get("s", F.floor(F.size("s") / 2).cast("int")), F.lit(""))
+    part = F.when(F.col("doc_id") % 3 == 0, F.lit("\u0000none")).otherwise(middle)
+    record = F.when(F.col("doc_id") % 7 != 0, _json(text=part, q=F.col("lang"), a=F.col("source"), context=F.col("text")))
+    rows = normalize.russian(_sentences(spark, sf).select(F.col("doc_id").alias("line"), record.alias("record")))
     gold = F.get("gold_evidence", F.lit(0))
     return rows.select("sample_id", "question", "reference_answer", gold["document_id"].alias("document_id"), gold["char_start"].alias("char_start"), gold["char_end"].alias("char_end"))
 
 
+def s8_csv_records(spark, sf):
+    """Documents as CSV files, one for each language, with every text quoted, its line breaks in it: read as records again."""
+    quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = _t(spark, sf, "documents").where("text is not null").select(F.coalesce("lang", F.lit("none")).alias("kind"), "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(","), quoted, F.lit(","), F.coalesce("source", F.lit(""))).alias("value"))
+    path = fresh_path(spark, "csv")
+    rows.repartition("kind").sortWithinPartitions("kind", "doc_id").drop("doc_id").write.partitionBy("kind").text(path)
+    f = F.col("fields")
+    return records.records(spark, path).select(f[0].cast("long").alias("doc_id"), F.md5(f[1].cast("binary")).alias("digest"), f[2].alias("source"), F.size("fields").alias("n_fields"))
+
+
+def q4_duplicates(spark, sf):
+    """Traces, then those of an even document once more: the second rows are tagged, and nothing else about them changes."""
+    own = traces.read(spark, sf)
+    even = F.regexp_extract("source_record_id", r"(\d+)$", 1).cast("long") % 2 == 0
+    twice = own.withColumn("copy", F.lit(0)).unionByName(own.where(even).withColumn("copy", F.lit(1)))
+    n = F.regexp_extract("source_record_id", r"(\d+)$", 1).cast("long")
+    checked = quality.check(twice.withColumn("line", n * 2 + F.col("copy")).drop("copy"))
+    return checked.select("trace_id", (F.col("line") % 2).cast("int").alias("copy"), F.array_join("quality_tags", ",").alias("tags"), "severity", "usable")
+
+
+def d7_manifest(spark, sf):
+    """Rows and digests of the documents of each source, whatever their order."""
+    docs = _t(spark, sf, "documents").select("source", "doc_id", "n_chars", "lang")
+    return human.manifest(docs, ["doc_id", "lang", "n_chars"], ["source"])
+
+
+def d7_files(spark, sf):
+    """The labels as a file for each quality, and those files' digests."""
+    rows = _t(spark, sf, "labels").select("quality", "doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), F.col("toxic").cast("string")).alias("value"))
+    path = fresh_path(spark, "files")
+    rows.repartition("quality").sortWithinPartitions("quality", "doc_id").drop("doc_id").write.partitionBy("quality").text(path)
+    return human.file_digests(spark, path).select(F.regexp_extract("path", r"quality=(\d+)/", 1).alias("quality"), "length", "sha256")
+
+
 def _lines(spark, sf) -> DataFrame:
     """A file of JSON lines for each language: blank, broken and other lines among the good ones, in order of doc_id."""
     m, name = F.col("doc_id") % 10, F.col("doc_id").cast("string")
@@ -332,6 +369,7 @@ def d5_review_queue(spark, sf):
 
 
 def _natural(spark, sf) -> DataFrame:
+    """Two runs on records that partly differ: the right one is made without a third of the documents, so that some have no partner."""
     left = _t(spark, sf, "labels").select(F.col("doc_id").alias("source_record_id"), F.col("quality").cast("string").alias("diagnosis"), (F.col("quality") == 1).alias("hit"))
     right = _t(spark, sf, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("source_record_id"), F.col("lang").alias("diagnosis"), (F.col("lang") == "en").alias("hit"))
     return human.natural_pairs(left, right)
@@ -350,11 +388,15 @@ def d7_difference(spark, sf):
     return human.difference(docs, docs.where("lang <> 'de'").unionByName(docs.where("lang = 'fr'")))
 
 
+def _total(steps: int) -> Column:
+    """The sum of a vector's components, each rounded to so many steps a unit: exact in any order."""
+    return F.aggregate("embedding", F.lit(0).cast("long"), lambda a, c: a + F.floor(c.cast("double") * steps + 0.5)) / steps
+
+
 def _deltas(spark, sf):
-    """The first components of each label's vectors as score differences, in steps of a tenth."""
-    v = _t(spark, sf, "embeddings").where("embedding is not null")
-    delta = F.round(F.col("embedding")[0].cast("double"), 1)
-    return v.select(F.col("label").cast("string").alias("fault_type"), F.lit("context.noise_ratio").alias("metric_name"), F.col("vec_id").alias("line"), F.lit("ok").alias("state"), F.lit(0.0).alias("h_score"), delta.alias("score"), delta.alias("delta"))
+    """The sums of each label's vectors as score differences."""
+    v = _t(spark, sf, "embeddings").where("embedding is not null").withColumn("delta", _total(8))
+    return v.select(F.col("label").cast("string").alias("fault_type"), F.lit("context.noise_ratio").alias("metric_name"), F.col("vec_id").alias("line"), F.lit("ok").alias("state"), F.lit(0.0).alias("h_score"), F.col("delta").alias("score"), "delta")
 
 
 def a4_group_summary(spark, sf):
@@ -368,8 +410,8 @@ def a9_rank_biserial(spark, sf):
 
 
 def a13_compare_runs(spark, sf):
-    run = lambda step: _t(spark, sf, "embeddings").select(F.col("vec_id").alias("line"), F.col("vec_id").cast("string").alias("trace_id"), F.lit("m").alias("metric_name"), F.round(F.col("embedding")[0].cast("double"), step).alias("score"), F.lit("ok").alias("status"), F.col("label").cast("string").alias("label"))
-    out, _ = stats.compare_runs([run(2), run(1)])
+    run = lambda steps: _t(spark, sf, "embeddings").select(F.col("vec_id").alias("line"), F.col("vec_id").cast("string").alias("trace_id"), F.lit("m").alias("metric_name"), _total(steps).alias("score"), F.lit("ok").alias("status"), F.col("label").cast("string").alias("label"))
+    out, _ = stats.compare_runs([run(64), run(8)])
     return out.withColumn("exact_match_rate", F.round("exact_match_rate", 6)).withColumn("mean_absolute_score_delta", F.round("mean_absolute_score_delta", 6))
 
 
@@ -422,7 +464,7 @@ _DENSE = (
 )
 _EVAL = "select sample_id, len(list_intersect(ids, got)) / len(ids) as recall, (len(list_intersect(ids, got)) > 0)::int as hit, len(ids) as n from found"
 _TURNS = "t as (select conv_id, turn, role, text, lead(role) over w as next_role, lead(text) over w as answer from conversations window w as (partition by conv_id order by turn))"
-_DELTAS = "d as (select label::varchar as fault_type, round(embedding[1]::double, 1) as delta from embeddings where embedding is not null)"
+_DELTAS = "d as (select label::varchar as fault_type, list_sum([floor(8 * c::double + 0.5)::bigint for c in embedding]) / 8.0::double as delta from embeddings where embedding is not null)"
 
 SQL = {
     "t1_metric_tokens": "with w as (select doc_id, case when lang = 'en' then list_filter(" + _WORDS.format("text") + ", lambda w: not list_contains(" + _STOP + ", w)) else " + _WORDS.format("text") + " end as w from documents) select doc_id, len(w) as n, md5(array_to_string(w, ' ')) as digest from w",
@@ -459,7 +501,7 @@ SQL = {
  else case when score >= 0.8 then 'supported' when score >= 0.5 then 'partially_supported' else 'unsupported' end end as label, case when score is null then 'skipped' else 'ok' end as status from r""",
     "a4_group_summary": "with " + _DELTAS + " select fault_type, count(*) as sample_count, round(avg(delta), 6) + 0.0 as mean_delta, round(median(delta), 6) + 0.0 as median_delta, round(stddev_pop(delta), 6) as std_delta, count(*) filter (delta < 0) as improved_count, count(*) filter (delta > 0) as degraded_count, count(*) filter (delta = 0) as unchanged_count, round(-avg(delta), 6) + 0.0 as quality_mean_delta, round(avg(delta) / nullif(stddev_pop(delta), 0), 6) as standardized_effect from d group by 1",
     "a9_rank_biserial": "with " + _DELTAS + ", r as (select fault_type, delta, rank() over (partition by fault_type order by abs(delta)) + (count(*) over (partition by fault_type, abs(delta)) - 1) / 2 as r from d where delta <> 0) select fault_type, round(sum(case when delta > 0 then r else -r end) / sum(r), 6) as rank_biserial_effect from r group by 1",
-    "a13_compare_runs": "with r as (select round(embedding[1]::double, 2) as a, round(embedding[1]::double, 1) as b from embeddings) select 2 as run_count, count(*) as result_count, count(*) filter (a = b) as exact_matches, round(count(*) filter (a = b) / count(*), 6) as exact_match_rate, round(round(avg(abs(a - b)), 12), 6) as mean_absolute_score_delta from r",
+    "a13_compare_runs": "with r as (select list_sum([floor(64 * c::double + 0.5)::bigint for c in embedding]) / 64.0::double as a, list_sum([floor(8 * c::double + 0.5)::bigint for c in embedding]) / 8.0::double as b from embeddings) select 2 as run_count, count(*) as result_count, count(*) filter (a = b) as exact_matches, round(count(*) filter (a = b) / count(*), 6) as exact_match_rate, round(round(avg(abs(a - b)), 12), 6) as mean_absolute_score_delta from r",
     "a14_label_accuracy": "select count(*) as total, count(*) filter (quality = toxic) as correct, round(count(*) filter (quality = toxic) / count(*), 6) as accuracy, 0::bigint as missing from labels",
     "a15_human_agreement": "select case when quality = 1 then 'retrieval' else 'chunking' end as expected, case when toxic = 1 then 'retrieval' else 'chunking' end as human, case when quality = toxic then 'exact' else 'partial' end as kind, count(*) as n from labels group by all",
     "d4_confusion": "select e as expected, g as got, count(quality) as n from (select unnest(['0', '1', '2']) as e) cross join (select unnest(['0', '1', '2']) as g) left join labels on quality::varchar = e and toxic::varchar = g group by all",
@@ -516,11 +558,17 @@ SQL |= {
     "a15_agreement_by_class": "with " + _NAMED + " select expected, count(*) as total, count(*) filter (kind = 'exact') as correct from k group by 1",
     "a16_stratified": "with r as (select quality || '/' || toxic as f, doc_id::varchar as d from labels), h as (select *, md5('42|' || f || '|' || d) as h from r), k as (select *, row_number() over (partition by f order by h, d) as k, count(*) over () as total from h), e as (select greatest(1, 30 // count(distinct f)) as each from r)"
     " select f as injected_fault, d as original_trace_id from k, e order by case when k <= each then 0 else 1 end, h, d limit 30",
-    "n1_n4_english": "select 'en__hotpot__' || doc_id as sample_id, substr(text, 1, 30) as question, array_to_string(list_filter(case when lang = source then [lang] else [lang, source] end, lambda x: x <> ''), ' | ') as reference_answer,"
-    " md5('en__hotpot__' || doc_id || '__doc_000=' || lang || '=' || substr(text, 1, 40) || '|en__hotpot__' || doc_id || '__doc_001=' || source || '=' || substr(text, 41, 10) || '|en__hotpot__' || doc_id || '__doc_002=' || lang || '=' || substr(text, 51, 5)) as documents,"
-    " 'en__hotpot__' || doc_id || '__doc_001=0=' || substr(text, 41, 10) || '|en__hotpot__' || doc_id || '__doc_000=1=' || substr(text, 21, 20) || '|en__hotpot__' || doc_id || '__doc_000=7=' as gold from documents",
-    "n5_n6_russian": "with r as (select *, row_number() over (order by doc_id) as n, substr(text, 11, 15) as part, substr(text, 1, 60) as c from documents), g as (select *, case when doc_id % 3 = 0 then null else nullif(instr(c, part), 0) - 1 end as a from r)"
+    "n1_n4_english": "with s as (select doc_id, lang, source, " + _SENTENCES.format("text") + " as s from documents), p as (select *, 'en__hotpot__' || doc_id as id, list_filter(s, lambda x, i: i % 3 = 1) as a, list_filter(s, lambda x, i: i % 3 = 2) as b, list_filter(s, lambda x, i: i % 3 = 0) as c from s)"
+    " select id as sample_id, md5(coalesce(s[1], '')) as question, array_to_string(list_filter(case when lang = source then [lang] else [lang, source] end, lambda x: x <> ''), ' | ') as reference_answer,"
+    " md5(id || '__doc_000=' || lang || '=' || array_to_string(a, '') || '|' || id || '__doc_001=' || source || '=' || array_to_string(b, '') || '|' || id || '__doc_002=' || lang || '=' || array_to_string(c, '')) as documents,"
+    " md5(id || '__doc_001=0=' || coalesce(b[1], '') || '|' || id || '__doc_000=1=' || coalesce(a[2], '') || '|' || id || '__doc_000=7=' || coalesce(a[8], '')) as gold from p",
+    "n5_n6_russian": "with s as (select *, row_number() over (order by doc_id) as n, " + _SENTENCES.format("text") + " as s from documents), r as (select *, coalesce(s[len(s) // 2 + 1], '') as part from s), g as (select *, case when doc_id % 3 = 0 then null else nullif(instr(text, part), 0) - 1 end as a from r)"
     " select printf('ru__retrieval_dataset__%06d', n) as sample_id, lang as question, source as reference_answer, case when doc_id % 3 = 0 or part <> '' then printf('ru__retrieval_dataset__%06d', n) || '__doc_000' end as document_id, case when part <> '' then a end::int as char_start, case when part <> '' then a + length(part) end::int as char_end from g where doc_id % 7 <> 0",
+    "s8_csv_records": "select doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) as digest, coalesce(source, '') as source, 3 as n_fields from documents where text is not null",
+    "q4_duplicates": _QUALITY + ", c as (select *, unnest(case when sample % 2 = 0 then [0, 1] else [0] end) as copy from graded) select trace_id, copy, array_to_string(case when copy = 1 then list_append(tags, 'duplicate_trace_id') else tags end, ',') as tags, severity, severity <> 'high' as usable from c",
+    "d7_manifest": "with r as (select source, sha256('{\"doc_id\":' || doc_id || ',\"lang\":' || coalesce('\"' || lang || '\"', 'null') || ',\"n_chars\":' || n_chars || '}') as h from documents), p as (select source, substr(h, 1, 3) as part, count(*) as n, sha256(string_agg(h, '' order by h)) as h from r group by all)"
+    " select source, sum(n)::bigint as rows, sha256(string_agg(h, '' order by part)) as sha256 from p group by source",
+    "d7_files": "with f as (select quality, string_agg(doc_id || ',' || toxic || chr(10), '' order by doc_id) as body from labels group by quality) select quality::varchar as quality, length(body)::bigint as length, sha256(body) as sha256 from f",
     "s1_s2_lines": "with " + _LINES + " select number, case when m = 7 then '{bad ' || doc_id when m = 9 then '[' || doc_id || ']' else '{\"trace_id\": \"t' || doc_id || '\"}' end as value, m not in (7, 9) as good, case m when 7 then 'not valid JSON' when 9 then 'trace must be a JSON object' end as message from l where m <> 3",
     "s3_metric_scan": "with " + _LINES + " select 'line-' || number as trace_id, case m when 7 then 'not valid JSON' else 'trace must be a JSON object' end as message, 11 * count(*) as n from l where m in (7, 9) group by 1, 2",
     "d1_unquoted": "select conv_id, turn, case when turn % 2 = 0 then conv_id || ',\"' || role || '\"' else conv_id || ',' || turn || ',' || role end as value, turn % 2 = 0 as recovered from conversations",
@@ -538,10 +586,10 @@ SQL |= {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        s1_s2_lines, s3_metric_scan, n1_n4_english, n5_n6_russian, t1_metric_tokens, r1_words, t2_sentences, t3_normal_form, t4_text_checks, c1_c6_chunks, c7_gold_locate, c8_gold_cover,
+        s1_s2_lines, s3_metric_scan, s8_csv_records, n1_n4_english, n5_n6_russian, t1_metric_tokens, r1_words, t2_sentences, t3_normal_form, t4_text_checks, c1_c6_chunks, c7_gold_locate, c8_gold_cover,
         r2_bm25, r3_dense, r6_retrieval_eval, r7_run_summary, x_context, x3_token_budget, x5_gold_in_context, g_traces, g2_generate,
-        m0_counters, m0e_extractors, m1_m4_retrieval_metrics, m10_m11_generation_metrics, m5_m9_trace_metrics, m_variant_metrics, q_quality, q_variant_quality, q5_tag_counts, q5_severities, q5_top_tags, q6_problems,
+        m0_counters, m0e_extractors, m1_m4_retrieval_metrics, m10_m11_generation_metrics, m5_m9_trace_metrics, m_variant_metrics, q_quality, q_variant_quality, q5_tag_counts, q5_severities, q5_top_tags, q6_problems, q4_duplicates,
         h1_healthy, f_fault_injection, a_controlled_failures, a3_deltas, a17_summary, a11_a12_core, a4_group_summary, a9_rank_biserial, a13_compare_runs, a14_label_accuracy,
-        a15_human_agreement, a15_agreement_summary, a15_agreement_by_class, a16_stratified, d1_unquoted, d2_diagnoses, d3_rates, d4_confusion, d5_review_queue, d6_natural_pairs, d6_transitions, d7_difference,
+        a15_human_agreement, a15_agreement_summary, a15_agreement_by_class, a16_stratified, d1_unquoted, d2_diagnoses, d3_rates, d4_confusion, d5_review_queue, d6_natural_pairs, d6_transitions, d7_difference, d7_manifest, d7_files,
     ]
     return {f.__name__: f for f in own}
