@@ -43,9 +43,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def metric_words(text: Column) -> Column:
+    """Lower-cased tokens of a text, stop words among them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(METRIC_WORD), F.lit(0))
+
+
 def metric_tokens(text: Column, language: Column) -> Column:
     """Lower-cased tokens of a text without its language's stop words; other or null languages have none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(METRIC_WORD), F.lit(0))
+    found = metric_words(text)
     without = lambda stop: F.filter(found, lambda w: ~w.isin(stop))
     kept = {code: without(stop) for code, stop in STOP_WORDS.items()}
     return F.when(language == "en", kept["en"]).when(language == "ru", kept["ru"]).otherwise(found)
@@ -59,7 +64,7 @@ def sentences(text: Column) -> Column:
 
 def distinct_tokens(text: Column, language: Column) -> Column:
     """The different metric_tokens() of a text."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(METRIC_WORD), F.lit(0))
+    found = metric_words(text)
     kept = {code: F.array_except(found, F.lit(stop)) for code, stop in STOP_WORDS.items()}
     return F.when(language == "en", kept["en"]).when(language == "ru", kept["ru"]).otherwise(F.array_distinct(found))
 
@@ -68,14 +73,14 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 
 
-def _split(text: Column) -> Column:
+def runs(text: Column) -> Column:
     """The runs of other characters than white space. Plain splitting at one sign: patterns of so many signs are slow."""
     return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
 def normal_form(text: Column) -> Column:
     """Lower case, stripped, white space collapsed: the key of equal contents."""
-    return F.array_join(_split(F.lower(F.coalesce(text, F.lit("")))), " ")
+    return F.array_join(runs(F.lower(F.coalesce(text, F.lit("")))), " ")
 
 
 def blank(text: Column) -> Column:
@@ -90,7 +95,7 @@ def ends_marked(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """The fallback token counter: runs of non-space characters, one at least."""
-    return F.greatest(F.lit(1), F.size(_split(F.coalesce(text, F.lit("")))))
+    return F.greatest(F.lit(1), F.size(runs(F.coalesce(text, F.lit("")))))
 
 
 def readable(text: Column) -> Column:

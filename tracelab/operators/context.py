@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_form, word_count
+from ..functions.text import runs, word_count
 
 CHUNKS = "array<struct<chunk_id:string,document_id:string,rank:int,text:string>>"
 STATE = "struct<seen:array<string>,parts:array<string>,selected:array<string>,dropped:array<string>,repeated:array<string>,tokens:bigint>"
@@ -27,7 +27,9 @@ def build(chunks: Column, budget: int = 3000, deduplicate: bool = True, keep_ran
     """
     needed = lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), c["rank"].cast("int").alias("rank"), c["text"].alias("text"))
     own = F.transform(F.transform(chunks, needed).cast(CHUNKS), lambda c, i: F.struct(F.coalesce(c["rank"].cast("double"), F.lit(1e9)).alias("r"), i.alias("i"), c.alias("c")))
-    ordered = F.transform(F.array_sort(own) if keep_rank_order else own, lambda x: F.struct(x["c"]["chunk_id"].alias("chunk_id"), x["c"]["document_id"].alias("document_id"), F.coalesce(x["c"]["text"], F.lit("")).alias("text"), normal_form(x["c"]["text"]).alias("key")))
+    # a text is taken apart once, for its normal form and for its words
+    read = lambda c: once(runs(F.lower(F.coalesce(c["text"], F.lit("")))), lambda w: F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), F.coalesce(c["text"], F.lit("")).alias("text"), F.array_join(w, " ").alias("key"), F.size(w).alias("words")))
+    ordered = F.transform(F.array_sort(own) if keep_rank_order else own, lambda x: read(x["c"]))
     start = F.from_json(F.lit('{"seen":[],"parts":[],"selected":[],"dropped":[],"repeated":[],"tokens":0}'), STATE)
 
     def step(s: Column, c: Column) -> Column:
@@ -40,8 +42,10 @@ def build(chunks: Column, budget: int = 3000, deduplicate: bool = True, keep_ran
             taken = state(seen=seen, parts=F.array_append(s["parts"], p["piece"]), selected=F.array_append(s["selected"], c["chunk_id"]), tokens=s["tokens"] + p["cost"])
             return F.when(over, state(seen=seen, dropped=F.array_append(s["dropped"], c["chunk_id"]))).otherwise(taken)
 
-        piece = F.concat(F.lit("["), (F.size(s["selected"]) + 1).cast("string"), F.lit("] (source: "), F.coalesce(c["document_id"], F.lit("?")), F.lit(")\n"), c["text"])
-        told = once(piece, lambda x: F.struct(x.alias("piece"), count(x).cast("bigint").alias("cost")))
+        head = F.concat(F.lit("["), (F.size(s["selected"]) + 1).cast("string"), F.lit("] (source: "), F.coalesce(c["document_id"], F.lit("?")), F.lit(")\n"))
+        # white space ends the head: its words and those of the text add up
+        cost = lambda h, x: count(h) + c["words"] if count is word_count else count(x)
+        told = once(head, lambda h: once(F.concat(h, c["text"]), lambda x: F.struct(x.alias("piece"), cost(h, x).cast("bigint").alias("cost"))))
         again = F.lit(deduplicate) & F.array_contains(s["seen"], c["key"])
         return F.when(again, state(repeated=F.array_append(s["repeated"], c["chunk_id"]))).otherwise(once(told, costed))
 
@@ -53,7 +57,7 @@ def build(chunks: Column, budget: int = 3000, deduplicate: bool = True, keep_ran
             s["selected"].alias("selected_chunk_ids"),
             s["dropped"].alias("dropped_chunk_ids"),
             s["repeated"].alias("deduplicated_chunk_ids"),
-            F.when(text == "", 0).otherwise(count(text)).cast("int").alias("context_token_count"),
+            F.when(text == "", 0).otherwise(s["tokens"] if count is word_count else count(text)).cast("int").alias("context_token_count"),
             (F.size(s["dropped"]) > 0).alias("truncated"),
             text.alias("final_context"),
         )

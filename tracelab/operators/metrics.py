@@ -413,7 +413,8 @@ def faithfulness(t: Column, config: dict) -> Column:
             own = as_json(sentence_support_threshold=support, supported_threshold=high, partial_threshold=part, method="lexical_support", **RULE)
             return F.when(total == 0, skipped("no_answer_sentences")).otherwise(result(score, label, evidence=as_json(sentence_count=total, supported_sentence_count=n, sentences=told), config=own))
 
-        return once(tokens(context), lambda have: once(F.transform(T.sentences(answer), lambda s: told(s, have)), good))
+        # sentences' tokens hold no stop words, so those of the context needn't go
+        return once(T.metric_words(context), lambda have: once(F.transform(T.sentences(answer), lambda s: told(s, have)), good))
 
     usable = with_numbers(config, {"sentence_support_threshold": 0.5, "faithfulness_supported": 0.8, "faithfulness_partial": 0.5}, of)
     return F.when(T.blank(context) | T.blank(answer), skipped("empty_context_or_answer")).otherwise(usable)
