@@ -75,7 +75,8 @@ def pack(
 
     Result: id, row (a number of the input row, as repeated ids are rows of their own), piece (from 0), piece_start (tokens
     of the text before it), n_tokens, shard, bin (unique within the shard), bin_size, bin_offset. Null and empty texts have
-    one token (the end). An empty table gives an empty result. Other columns are not carried.
+    one token (the end). An empty table gives an empty result. Other columns are not carried. Rows are numbered by the task
+    that reads them, so shards and bins also depend on how the table is split; what they hold in sum doesn't.
     """
     lengths = tuple(sorted(lengths))
     most, kind = lengths[-1], docs.schema[id_col].dataType.simpleString()
