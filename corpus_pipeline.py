@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again as the next one's input."""
+    """All stages over documents; each is written to the shared folder and read again as the next one's input.
+
+    A null text counts as empty: it has no letter, so language ID rejects it. Rows without ids and repeated rows are rows of
+    their own until the near-duplicate stage keeps one of each group of like texts; null langs and sources are values like
+    others (no label is learnt from a null lang). Further columns pass through all stages but the last. Empty tables pass
+    through every stage: without labels nothing is toxic, without languages every document is rejected.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
