@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import words
+from ..sources.storage import stored
 
 #: Fixed values of the Okapi variant: saturation, length weight, and the share of the mean IDF that negative ones get.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -30,29 +31,28 @@ def bm25(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
 
     queries: sample_id, question. chunks: sample_id, ordinal, chunk_id, text. Statistics are those of the sample's pool;
     empty chunks count in its size, and pools without a token give nothing. Query tokens count as often as they occur. Scores
-    may be negative and aren't filtered. Equal scores (to nine digits) keep the chunks' order. All work is keyed by sample:
-    pools never meet each other. Per chunk only the terms that its sample asks for are counted.
+    may be negative and aren't filtered. Equal scores (to nine digits) keep the chunks' order.
+
+    Texts are read once, into a stored row for each chunk and different term. What follows are joins and sums by sample and
+    term, or by chunk: no pool's words meet in one row or task, however large it is.
     """
-    own = chunks.select("sample_id", "ordinal", "chunk_id", words(F.col("text")).alias("w"))
-    pool = own.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")).where("avgdl > 0")
-    df = own.select("sample_id", F.explode(F.array_distinct("w")).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("sample_id", F.explode(words(F.col("question"))).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    own = chunks.select(F.monotonically_increasing_id().alias("row"), "sample_id", "ordinal", "chunk_id", words(F.col("text")).alias("w"))
+    chunk = ["row", "sample_id", "ordinal", "chunk_id", "dl"]
+    tf = stored(own.select("row", "sample_id", "ordinal", "chunk_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy(*chunk, "term").agg(F.count("term").alias("tf")), "terms")
+    every = tf.select(*chunk).distinct()
+    pool = every.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).where("avgdl > 0")
+    df = tf.where("term is not null").groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    known = df.join(pool, "sample_id").join(asked, ["sample_id", "term"], "left").withColumn("raw", raw)
-    # a row for each sample: the mean over its vocabulary, and those of its terms that are asked for
-    found = F.collect_list(F.when(F.col("times").isNotNull(), F.struct("term", "times", "raw")))
-    terms = known.groupBy("sample_id").agg(F.avg("raw").alias("mean"), F.first("avgdl").alias("avgdl"), F.array_sort(found).alias("found"))
-    weight = lambda t: t["times"] * F.when(t["raw"] < 0, EPSILON * F.col("mean")).otherwise(t["raw"])
-    terms = terms.select("sample_id", "avgdl", F.transform("found", lambda t: F.struct(t["term"].alias("term"), weight(t).alias("weight"))).alias("terms"), F.transform("found", lambda t: t["term"]).alias("names"))
-    every = own.join(terms, "sample_id").join(queries.select("sample_id"), "sample_id")
-    every = every.select("sample_id", "ordinal", "chunk_id", "terms", "avgdl", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains("names", x)).alias("hits"))
-
-    def part(t: Column) -> Column:
-        # two uses of hits: with a single one, Spark would work hits out anew for each term
-        tf = F.size("hits") - F.size(F.array_remove("hits", t["term"]))
-        return t["weight"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-    return _ranked(every.select("sample_id", "ordinal", "chunk_id", F.aggregate("terms", F.lit(0.0), lambda a, t: a + part(t)).alias("score")), top)
+    asked = queries.select("sample_id", F.explode(words(F.col("question"))).alias("term")).groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    known = df.join(pool, "sample_id").withColumn("raw", raw)
+    mean = known.groupBy("sample_id").agg(F.avg("raw").alias("mean"))
+    weight = F.col("times") * F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    weights = known.join(asked, ["sample_id", "term"]).join(mean, "sample_id").select("sample_id", "term", "avgdl", weight.alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = tf.join(weights, ["sample_id", "term"]).groupBy("row").agg(F.sum(part).alias("score"))
+    asking = queries.select("sample_id").join(pool.select("sample_id"), "sample_id", "left_semi")
+    scored = every.join(asking, "sample_id").join(found, "row", "left").select("sample_id", "ordinal", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return _ranked(scored, top)
 
 
 def _okapi(question: str, texts: list[str], top: int) -> list[tuple[int, int, float]]:
