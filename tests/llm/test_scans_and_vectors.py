@@ -87,6 +87,7 @@ def test_license_scan_of_other_templates(spark):
     assert got == {"a": (2, 2, 6, "use,x11"), "b": (0, None, None, "")}
     with pytest.raises(ValueError, match="at least"):
         licenses.scan(frame, "name", "body", [("one", "one")])
+    assert licenses.scan(frame.limit(0), "name", "body").collect() == []
 
 
 def whitened_plainly(vectors, top):
