@@ -478,6 +478,30 @@ def test_neighbours_recall(spark):
     assert hits >= 0.93 * 20 * (ids % 20 == 0).sum() and all(len(v) == 20 for v in got.values())
 
 
+@pytest.mark.parametrize("kind", ["tails", "clusters", "shift"])
+def test_neighbours_of_any_rows(spark, monkeypatch, kind):
+    """All of the nearest are found where few rows have most of the length, lie close together, or one component decides; the
+    sample is smaller than the table."""
+    monkeypatch.setattr(ivfpq, "SAMPLE", 600)
+    monkeypatch.setattr(ivfpq, "BLOCK", 512)
+    rng = np.random.default_rng(8)
+    n, d = 3000, 32
+    x = rng.normal(size=(n, d))
+    if kind == "tails":
+        x *= np.abs(rng.standard_cauchy((n, 1)))
+    elif kind == "clusters":
+        x = x[rng.integers(0, 100, n)] + 0.01 * x
+    else:
+        x = 0.1 * x + 100 * np.eye(d)[0]
+    got = defaultdict(list)
+    for r in ivfpq.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    for k in range(0, n, 20):
+        scores = x @ x[k]
+        scores[k] = -np.inf
+        assert [i for _, i in sorted(got[k])] == np.argsort(-scores, kind="stable")[:20].tolist()
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(2)
     syllables = ["ba", "ko", "ri", "tu", "mel", "san", "dor"]

@@ -1,8 +1,8 @@
-"""Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking."""
+"""Nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking, and bounds that prove it whole."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +17,12 @@ from .common import fitted, written
 SAMPLE, ROUNDS = 16_384, 8
 #: Coarse centroids are the root of the number of vectors, within these bounds; parts of a vector, centroids of a part.
 CELLS, PARTS, CODES = (16, 1024), 16, 256
-#: Probed cells are as many as find this share of the sample's own true neighbours.
-TARGET = 0.97
-#: Candidates that a block reranks exactly for a query, rows of a block, and queries that are compared with it together.
+#: Numbers of the sample whose vectors give each query a floor under its nearest ones' scores.
+KEPT = 2**20
+#: Candidates that a block reranks first for a query, rows of a block, and queries that are compared with it together.
 RERANK, BLOCK, ASKED = 60, 4096, 256
+#: What rounding may add to a bound, as a share of the norms' product.
+SLACK = 1e-9
 FOUND = "query_id long, query_row long, vec_id long, score double"
 
 
@@ -42,62 +44,61 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1) if len(x) else np.zeros(0, np.int64)
 
 
+def slack(q: np.ndarray, norms: np.ndarray | float) -> np.ndarray:
+    """What rounding may make of inner products of the queries with vectors of such norms."""
+    own = np.sqrt((q * q).sum(1))
+    return SLACK * (own * norms if np.ndim(norms) == 0 else own[:, None] * norms)
+
+
+def floors_of(q: np.ndarray, sample: np.ndarray, top: int) -> np.ndarray:
+    """Per query a score that its `top` nearest reach: the one that so many of the sample and itself reach (-inf: too few)."""
+    if len(sample) <= top:
+        return np.full(len(q), -np.inf)
+    return np.partition(q @ sample.T, len(sample) - 1 - top, axis=1)[:, -1 - top] - slack(q, np.sqrt((sample**2).sum(1).max()))
+
+
 @dataclass
 class Index:
-    """Coarse centroids, a codebook for each part, and how many cells a query probes."""
+    """Coarse centroids and a codebook for each part."""
 
     cells: np.ndarray
     books: list[np.ndarray]
-    probes: int
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and codes of each vector."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell and codes of each vector, its distance to the cell's centroid and to what its codes stand for."""
         cell = nearest(x, self.cells)
         residual = x - self.cells[cell]
-        codes = np.stack([nearest(part, book) for part, book in zip(np.array_split(residual, len(self.books), axis=1), self.books, strict=True)], axis=1)
-        return cell, codes.astype(np.uint8)
-
-    def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-        """Which cells each query probes: the nearest `probes`, and more until they hold `least` vectors (sizes: of the cells)."""
-        order = np.argsort(-(q @ self.cells.T), axis=1, kind="stable")
-        enough = np.cumsum(sizes[order], axis=1) - sizes[order] >= least
-        taken = ~enough
-        taken[:, : self.probes] = True
-        mask = np.zeros_like(taken)
-        np.put_along_axis(mask, order, taken, axis=1)
-        return mask
+        parts = np.array_split(residual, len(self.books), axis=1)
+        codes = [nearest(part, book) for part, book in zip(parts, self.books, strict=True)]
+        lost = np.concatenate([part - book[c] for part, book, c in zip(parts, self.books, codes, strict=True)], axis=1)
+        return cell, np.stack(codes, axis=1).astype(np.uint8), np.sqrt((residual**2).sum(1)), np.sqrt((lost**2).sum(1))
+
+    def probed(self, q: np.ndarray, radii: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """Which cells each query probes: those that may hold a vector that reaches its floor, by their radii (-1: empty)."""
+        norms = np.sqrt((q * q).sum(1))[:, None]
+        most = q @ self.cells.T + norms * radii + slack(q, np.sqrt((self.cells**2).sum(1)) + np.abs(radii))
+        return (most >= floors[:, None]) & (radii >= 0)
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Asymmetric tables: for each part, the inner products of the queries' parts with the part's codebook."""
         return [part @ book.T for part, book in zip(np.array_split(q, len(self.books), axis=1), self.books, strict=True)]
 
 
-def fit(rows: Iterable[tuple[list[float]]], cells: int, top: int = 20, seed: int = 11) -> Index:
-    """Centroids and codebooks of a sample; probes by the sample's own neighbours, found exactly."""
+def fit(rows: Iterable[tuple[list[float]]], cells: int, seed: int = 11) -> tuple[Index, np.ndarray]:
+    """Centroids and codebooks of a sample, and some of its vectors."""
     rng = np.random.default_rng(seed)
     sample = np.array([v for (v,) in rows], np.float64)
     coarse = kmeans(sample, cells, rng)
-    cell = nearest(sample, coarse)
-    residual = sample - coarse[cell]
+    residual = sample - coarse[nearest(sample, coarse)]
     books = [kmeans(part, CODES, rng) for part in np.array_split(residual, min(PARTS, sample.shape[1]), axis=1)]
-    asked = rng.choice(len(sample), min(400, len(sample)), replace=False)
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    k = min(top, len(sample) - 1)
-    if k < 1:
-        return Index(coarse, books, len(coarse))
-    found = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(sample[asked] @ coarse.T), axis=1), axis=1)
-    places = np.take_along_axis(place, cell[found], axis=1).ravel()
-    probes = int(np.quantile(places, TARGET, method="higher")) + 1
-    return Index(coarse, books, min(probes, len(coarse)))
+    return Index(coarse, books), sample[: max(1, KEPT // sample.shape[1])]
 
 
 class Block:
     """The stored vectors of a block, sorted by cell and id: equal ones count as one candidate."""
 
-    def __init__(self, index: Index, rows: pa.Table, probed: Callable[[np.ndarray], np.ndarray]):
-        self.index, self.probed = index, probed
+    def __init__(self, index: Index, rows: pa.Table, radii: np.ndarray, top: int):
+        self.index, self.radii, self.top = index, radii, top
         cells, self.rows, self.ids = (rows.column(c).to_numpy() for c in ("cell", "row", "id"))
         raw = rows.column("v").to_pylist()
         _, first, of = np.unique(np.array(raw, dtype=np.dtype((np.void, len(raw[0])))), return_index=True, return_inverse=True)
@@ -109,15 +110,21 @@ class Block:
         self.vectors = np.frombuffer(b"".join(raw[i] for i in first.tolist()), np.float64).reshape(len(first), -1)
         codes = rows.column("codes").to_pylist()
         self.codes = np.frombuffer(b"".join(codes[i] for i in first.tolist()), np.uint8).reshape(len(first), -1)
+        self.lost = rows.column("lost").to_numpy()[first]
+        self.norms = np.sqrt((self.vectors**2).sum(1))
         cells = cells[first]
         begins = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]).tolist()
         self.runs = list(zip(cells[begins].tolist(), begins, [*begins[1:], len(cells)], strict=True))
 
-    def candidates(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per query the vectors of its probed cells that are nearest by the tables, and their exact inner products (-inf
-        where there are fewer)."""
+    def candidates(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """Per query the exact inner products of the block's vectors that may be among its `top` nearest (others: -inf).
+
+        The vectors of probed cells that are nearest by the tables are reranked first. Their scores raise the query's floor; a
+        vector can only reach it if its estimate and the query's norm times what its codes lose do. Those that can are
+        compared with the query itself, so nothing that is near enough is missed, whatever the sample was.
+        """
         index, count = self.index, len(self.vectors)
-        probed = self.probed(q)
+        probed = index.probed(q, self.radii, floors)
         tables, near = index.tables(q), np.full((len(q), count), -np.inf)
         for cell, a, b in self.runs:
             asked = np.flatnonzero(probed[:, cell])
@@ -128,23 +135,38 @@ class Block:
                 near[asked, a:b] = own
         keep = min(RERANK, count)
         best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        exact = (q[:, None, :] * self.vectors[best]).sum(2)
-        exact[np.take_along_axis(near, best, axis=1) == -np.inf] = -np.inf
-        return best, exact
-
-    def answer(self, asked: pa.RecordBatch, top: int) -> pa.RecordBatch:
-        """The block's `top` nearest of each query."""
+        some = (q[:, None, :] * self.vectors[best]).sum(2)
+        some[np.take_along_axis(near, best, axis=1) == -np.inf] = -np.inf
+        error = slack(q, self.norms)
+        if keep > self.top:
+            # one of these may be the query itself
+            floors = np.maximum(floors, np.partition(some, keep - 1 - self.top, axis=1)[:, keep - 1 - self.top] - error.max(axis=1))
+        near += np.sqrt((q * q).sum(1))[:, None] * self.lost + error
+        reach = near >= floors[:, None]
+        reach &= near > -np.inf
+        exact = np.full(near.shape, -np.inf)
+        own = np.flatnonzero(reach.any(axis=0))
+        close = reach[:, own] & (q @ self.vectors[own].T + error[:, own] >= floors[:, None])
+        at, place = np.nonzero(close)
+        for i in range(0, len(at), 50_000):
+            k, v = at[i : i + 50_000], own[place[i : i + 50_000]]
+            exact[k, v] = (q[k] * self.vectors[v]).sum(1)
+        return exact
+
+    def answer(self, asked: pa.RecordBatch) -> pa.RecordBatch:
+        """The block's `top` nearest of each query, as far as they may be among all vectors' nearest."""
+        top = self.top
         q = np.frombuffer(b"".join(asked.column("v").to_pylist()), np.float64).reshape(asked.num_rows, -1)
-        best, exact = self.candidates(q)
+        exact = self.candidates(q, asked.column("floor").to_numpy())
+        last = max(0, exact.shape[1] - 1 - top)
+        least = np.partition(exact, last, axis=1)[:, last]
         queries, found, scores = [], [], []
         for k, row in enumerate(asked.column("row").to_pylist()):
             pairs = []
-            for i in np.argsort(-exact[k], kind="stable")[: top + 1].tolist():
-                if exact[k, i] == -np.inf:
-                    break
-                c = best[k, i]
+            # equal scores: all of them, the smaller ids are told below
+            for c in np.flatnonzero((exact[k] >= least[k]) & (exact[k] > -np.inf)).tolist():
                 members = self.members[self.begins[c] : self.begins[c] + min(self.sizes[c], top + 1)]
-                pairs += [(-exact[k, i], self.ids[j], j) for j in members.tolist() if self.rows[j] != row]
+                pairs += [(-exact[k, c], self.ids[j], j) for j in members.tolist() if self.rows[j] != row]
             pairs = sorted(pairs)[:top]
             queries += [k] * len(pairs)
             found += [j for *_, j in pairs]
@@ -157,8 +179,10 @@ def search(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "ve
     """For each row whose id is divisible by `every`: its `top` nearest other rows by inner product.
 
     Result: query_id, rank (from 1), vec_id, score (the inner product of the original vectors in double precision), nearest
-    first, ties to the smaller id, and query_row, a number of the asking row. Every vector is in the index and can be found;
-    how many cells a query probes follows from the sample. Cells are stored in blocks of about BLOCK rows: small cells share
+    first, ties to the smaller id, and query_row, a number of the asking row. Every vector is in the index, and all that are
+    near enough are found: a query probes every cell that may hold a vector as near as its `top` nearest of the sample, by
+    the cell's radius, and in a block compares all that may be by what their codes lose. A sample that is unlike the rest
+    costs time, not neighbours. Cells are stored in blocks of about BLOCK rows: small cells share
     a block, one that holds a third of all vectors has many. A stored vector moves once; a query moves once to each block
     that has a cell that it probes, and queries stream past the block, so a task holds one block and one batch. In a block,
     equal vectors count as one candidate, which then stands for its smallest ids.
@@ -182,21 +206,22 @@ def neighbours(rows: DataFrame, dim: int, count: int, top: int, every: int) -> D
     """Columns of FOUND: the nearest of each query in each block; rows (id, v) have `count` vectors of dimension dim."""
     sample = rows.orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).select("v")
     cells = min(CELLS[1], max(CELLS[0], 2 ** round(np.log2(count) / 2)))
-    index = fitted(sample, lambda own: fit(own, cells, top))
+    index, some_vectors = fitted(sample, lambda own: fit(own, cells))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(2).flatten()).reshape(-1, dim)
-                cell, codes = index.encode(x)
-                own = [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["row", "id", "cell", "codes", "v"])
+                cell, codes, far, lost = index.encode(x)
+                own = [pa.array(cell.astype(np.int32)), pa.array(far), pa.array(lost), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["row", "id", "cell", "far", "lost", "codes", "v"])
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "v")
-    stored = written(numbered.mapInArrow(encode, "row long, id long, cell int, codes binary, v binary"), "ivf-index")
+    stored = written(numbered.mapInArrow(encode, "row long, id long, cell int, far double, lost double, codes binary, v binary"), "ivf-index")
+    radii = np.full(len(index.cells), -1.0)
     sizes = np.zeros(len(index.cells), np.int64)
-    for r in stored.groupBy("cell").count().collect():  # one row for each cell
-        sizes[r["cell"]] = r["count"]
+    for r in stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # one row for each cell
+        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["far"]
     # large cells have blocks of their own, small ones fill blocks in turn
     blocks = np.maximum(1, -(-sizes // BLOCK))
     first, at, held = np.zeros(len(sizes), np.int64), -1, BLOCK
@@ -207,17 +232,15 @@ def neighbours(rows: DataFrame, dim: int, count: int, top: int, every: int) -> D
         else:
             first[c], held = at, held + n
 
-    def probed(q: np.ndarray) -> np.ndarray:
-        return index.probed(q, sizes, 2 * top)
-
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, ASKED):
                 some = batch.slice(i, ASKED)
                 q = np.frombuffer(b"".join(some.column(2).to_pylist()), np.float64).reshape(-1, dim)
-                own = [np.unique(gathered(first[c], blocks[c])) for c in probed(q)]
+                floors = floors_of(q, some_vectors, top)
+                own = [np.unique(gathered(first[c], blocks[c])) for c in index.probed(q, radii, floors)]
                 take = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in own]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(c.take(take) for c in some.columns)], ["block", "row", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(c.take(take) for c in (*some.columns, pa.array(floors)))], ["block", "row", "id", "v", "floor"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block = None, [], None
@@ -230,16 +253,16 @@ def neighbours(rows: DataFrame, dim: int, count: int, top: int, every: int) -> D
                 if not asks[a]:
                     held.append(batch.slice(a, b - a))
                 elif held:
-                    block = block or Block(index, pa.Table.from_batches(held), probed)
+                    block = block or Block(index, pa.Table.from_batches(held), radii, top)
                     for i in range(a, b, ASKED):
-                        yield block.answer(batch.slice(i, min(ASKED, b - i)), top)
+                        yield block.answer(batch.slice(i, min(ASKED, b - i)))
 
     array = lambda xs: F.lit([int(x) for x in xs])
     of = lambda xs: F.element_at(array(xs), F.col("cell") + 1).cast("long")
-    left = stored.withColumn("block", of(first) + F.pmod(F.xxhash64("row"), of(blocks))).withColumn("asks", F.lit(0))
-    right = stored.where(F.col("id") % every == 0).select("row", "id", "v").mapInArrow(probe, "block long, row long, id long, v binary")
-    right = right.withColumns({"asks": F.lit(1), "cell": F.lit(-1), "codes": F.lit(None).cast("binary")})
-    columns = ["block", "asks", "cell", "id", "row", "codes", "v"]
+    left = stored.withColumn("block", of(first) + F.pmod(F.xxhash64("row"), of(blocks))).withColumns({"asks": F.lit(0), "floor": F.lit(None).cast("double")})
+    right = stored.where(F.col("id") % every == 0).select("row", "id", "v").mapInArrow(probe, "block long, row long, id long, v binary, floor double")
+    right = right.withColumns({"asks": F.lit(1), "cell": F.lit(-1), "lost": F.lit(None).cast("double"), "codes": F.lit(None).cast("binary")})
+    columns = ["block", "asks", "cell", "id", "row", "lost", "floor", "codes", "v"]
     both = left.select(columns).unionByName(right.select(columns)).repartition("block").sortWithinPartitions("block", "asks", "cell", "id", "row")
     return both.mapInArrow(compare, FOUND)
 
