@@ -413,6 +413,19 @@ def test_mixing_to_an_entropy(spark, target):
     assert found == pytest.approx(weights(high), abs=1e-6) and (high > 1) == (target < 1.2)
 
 
+def test_mixing_uses_every_document(spark, tmp_path):
+    """The query: one source of most rows stands once, small ones are raised up to twice, and no document is left out."""
+    own = [(i, "w " * 9, "large" if i < 700 else "middle" if i < 900 else None) for i in range(1000)]
+    spark.createDataFrame(own, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_temperature_mixing(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(1000))
+    uses = Counter(r.source for r in got)
+    middle = 3.5 ** (np.log(2) / np.log(7))
+    assert uses["large"] == 700 and uses[None] == 200 and uses["middle"] == np.ceil(200 * middle)
+    weights = {r.source: r.weight for r in got}
+    assert weights == pytest.approx({"large": 700 / (900 + 200 * middle), "middle": 200 * middle / (900 + 200 * middle), None: 200 / (900 + 200 * middle)}, abs=1e-6)
+
+
 def test_mixing_out_of_reach(spark):
     frame = spark.createDataFrame([(0, "a b", "x"), (1, "a b", "y"), (2, "a b c d e", "z")], "doc_id long, text string, source string")
     for how in ({"target_entropy": 1.2}, {"target_entropy": -0.1}, {"max_repeats": 1.5, "budget": 1000}):

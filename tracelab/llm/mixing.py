@@ -14,17 +14,19 @@ HALVINGS, LEVELS = 49, 7
 MOST = 1024
 
 
-def mixture(shares: DataFrame, budget: float, exponents: list[float]) -> DataFrame:
-    """Per exponent: entropy (nats) of the weights share ** exponent, normalised, and the most repetitions of a source.
+def mixture(shares: DataFrame, budget: float | None, exponents: list[float]) -> DataFrame:
+    """Per exponent: entropy (nats) of the weights share ** exponent, normalised, and the most repetitions of a source. Without
+    a budget it is the least that uses every source whole.
 
     The column relative is the share of the largest: so large exponents don't underflow to no weight at all.
     """
     grid = shares.withColumn("a", F.explode(F.lit(exponents))).withColumn("lp", F.col("a") * F.log("relative")).withColumn("p", F.exp("lp"))
-    sums = grid.groupBy("a").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.col("lp")).alias("plp"), F.max(F.col("p") / F.col("tokens")).alias("most"))
-    return sums.select("a", (F.log("z") - F.col("plp") / F.col("z")).alias("entropy"), (F.lit(float(budget)) * F.col("most") / F.col("z")).alias("repeats"))
+    sums = grid.groupBy("a").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.col("lp")).alias("plp"), F.max(F.col("p") / F.col("tokens")).alias("most"), F.min(F.col("p") / F.col("tokens")).alias("least"))
+    repeats = F.col("most") / F.col("least") if budget is None else F.lit(float(budget)) * F.col("most") / F.col("z")
+    return sums.select("a", (F.log("z") - F.col("plp") / F.col("z")).alias("entropy"), repeats.alias("repeats"))
 
 
-def solve_exponent(shares: DataFrame, budget: float, target_entropy: float | None, max_repeats: float | None) -> float:
+def solve_exponent(shares: DataFrame, budget: float | None, target_entropy: float | None, max_repeats: float | None) -> float:
     """The exponent by bisection: entropy falls from the uniform weights' at 0 towards that of the largest sources alone.
 
     With target_entropy, the exponent from 0 to MOST at which the weights have that entropy. With max_repeats, the least
@@ -71,6 +73,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    whole: bool = False,
 ) -> DataFrame:
     """The mixed stream: a row for each time that a document is used, with its place in its source's stream.
 
@@ -79,11 +82,12 @@ def mix(
     (default: all tokens of the input). A source's documents are dealt into blocks of about block_rows by hash. Each pass
     over a source permutes its blocks and the documents in them anew; full passes use all documents, the last pass ends
     with the document at which the source's budget is reached. A target that no exponent meets is a ValueError; a limit of
-    repetitions of 1 or more can be met whenever the budget is the tokens of the input.
+    repetitions of 1 or more can be met whenever the budget is the tokens of the input. With whole, the budget is the least
+    that uses every document: the source that is raised least is used once, all others as often as their weights ask.
 
     Result: id, source, n_tokens, weight, repeat (pass, from 0), block, start_token (tokens of the source's stream before it)
     and order_key, start_token as a share of the source's budget: ascending order_key interleaves the sources evenly. The
-    documents that a source's budget doesn't reach are left out of the stream, as the mixing asks.
+    documents that a source's budget doesn't reach are left out of the stream, as the mixing asks; with whole there are none.
 
     Prefix sums run over superblocks, over blocks within a superblock and over documents within a block, about the cube root
     of a source's documents at each level in turn, so a source with a third of all rows is spread over many tasks.
@@ -92,26 +96,34 @@ def mix(
     on how the table is split into tasks. A null source is a source of its own; null and empty texts have one token; repeated rows are rows of their own. An empty
     table gives an empty stream. Texts are read once and never shuffled; other columns are not carried.
     """
-    how = {"target_entropy": target_entropy, "max_repeats": max_repeats, "budget": budget, "block_rows": block_rows, "seed": seed}
+    how = {"target_entropy": target_entropy, "max_repeats": max_repeats, "budget": budget, "block_rows": block_rows, "seed": seed, "whole": whole}
     return _mixed(docs, id_col, source_col, text_col, **how)[0].drop("uid")
 
 
-def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, target_entropy: float | None, max_repeats: float | None, budget: int | None, block_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, target_entropy: float | None, max_repeats: float | None, budget: int | None, block_rows: int, seed: int, whole: bool) -> tuple[DataFrame, DataFrame]:
     """The stream of mix() with uid, a number of the input row, and the written table of input rows: uid, id, digest."""
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give target_entropy or max_repeats")
+    if whole and budget is not None:
+        raise ValueError("whole sets the budget")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (n_words(F.col(text_col)) + 1).cast("long").alias("n_tokens"), digest(text_col).alias("digest"))
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "id", "digest"))
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
     by_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total = by_source.agg(F.sum("tokens")).first()[0] or 0
-    budget = budget or total
+    budget = None if whole else budget or total
     most = by_source.agg(F.max("tokens")).first()[0] or 1
     shares = written(by_source.withColumn("relative", F.col("tokens") / F.lit(most)), "mix-sources")
     exponent = solve_exponent(shares, budget, target_entropy, max_repeats)
     raised = F.pow("relative", F.lit(exponent))
-    weight = raised / F.lit(shares.agg(F.sum(raised)).first()[0] or 1.0)
-    plan = shares.select(F.col("source").alias("of"), "tokens", "rows", weight.alias("weight"), (weight * F.lit(float(budget))).alias("goal"))
+    sums = shares.agg(F.sum(raised).alias("z"), F.min(raised / F.col("tokens")).alias("least")).first()
+    weight = raised / F.lit(sums.z or 1.0)
+    if whole:
+        times = F.greatest(raised / F.col("tokens") / F.lit(sums.least or 1.0), F.lit(1.0))
+        goal = F.col("tokens") * (times if max_repeats is None else F.least(times, F.lit(float(max_repeats))))
+    else:
+        goal = weight * F.lit(float(budget))
+    plan = shares.select(F.col("source").alias("of"), "tokens", "rows", weight.alias("weight"), goal.alias("goal"))
     plan = plan.withColumn("blocks", F.ceil(F.col("rows") / block_rows)).withColumn("supers", F.ceil(F.sqrt("blocks")))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of", "rows")
     # identical rows (same id and text, or no id) have the same key: uid tells them apart, so they fall into many blocks
@@ -159,6 +171,7 @@ def mixed_documents(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    whole: bool = False,
 ) -> DataFrame:
     """docs with each row as often as the mixed stream uses it (not at all, once, or repeatedly), all columns kept.
 
@@ -166,7 +179,7 @@ def mixed_documents(
     tasks' counts, so that a text that stands in a third of all rows under one id, or none, is numbered by many tasks. Other
     arguments as in mix().
     """
-    stream, own = _mixed(docs, id_col, source_col, text_col, target_entropy, max_repeats, budget, block_rows, seed)
+    stream, own = _mixed(docs, id_col, source_col, text_col, target_entropy, max_repeats, budget, block_rows, seed, whole)
     used = stream.groupBy("uid").agg(F.count(F.lit(1)).alias("uses"))
     groups = own.select("uid", "id", "digest").join(used, "uid", "left").groupBy(F.col("id").alias("of"), F.col("digest").alias("of_digest"))
     groups = written(groups.agg(F.sum(F.coalesce("uses", F.lit(0))).alias("uses"), F.count(F.lit(1)).alias("n")).where("uses > 0"), "mix-uses")

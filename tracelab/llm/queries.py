@@ -41,7 +41,8 @@ def op6_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=1.05)
+    """The flattest mixture that uses every document and none of a source more than twice as often as those of another."""
+    return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=2.0, whole=True)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
