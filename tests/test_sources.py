@@ -88,6 +88,28 @@ def test_kept_traces(spark, tmp_path, monkeypatch):
     assert builds == [(5, 3000, "run"), (5, 10, "run")]
 
 
+def test_kept_traces_are_small(spark, tmp_path):
+    """Texts are kept once, and read as they were built; every text is shuffled once. Ids below zero, at the ends of ranges and far apart."""
+    ids = [*range(-70, 140), 2**63 - 1, -(2**63), 2**62, 2**62 + 1]
+    docs = [(i, " ".join(f"Word{(i * 31 + k * k) % 997} of {i} says {k}." for k in range(abs(i) % 300)), "en") for i in ids]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    text = lambda df: sorted(r.t for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("t")).collect())
+    built, kept = traces.build(frame), traces.kept(spark, str(tmp_path)).rows
+    assert [(f.name, f.dataType.simpleString()) for f in built.schema] == [(f.name, f.dataType.simpleString()) for f in kept.schema]
+    assert text(built) == text(kept)
+    lent = {int(r.source_record_id[7:]): {int(c.document_id[4:]) for c in r.chunks} for r in kept.where("chunks is not null").collect()}
+    texts = {i for i, t, _ in docs if t}
+    assert lent == {i: {i, i + 1} & texts for i in texts}
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    whole, small = f"{tmp_path}/whole", f"{tmp_path}/small"
+    built.write.parquet(whole)
+    traces.packed(built).write.parquet(small)
+    size = lambda path: storage._size(spark, path)[1]
+    assert size(small) < 0.5 * size(whole)
+
+
 def test_repeated_ids_make_no_more_traces(spark):
     """A third of the rows without, or of one, id; ids that all repeat; equal rows."""
     docs = [(i // 5, f"Row {i} is here. It has a second sentence.", "en") for i in range(50)] + [(3, "Row 15 is here. It has a second sentence.", "en")] * 25
