@@ -1,6 +1,7 @@
 """Stages that later runs find, CSV records over splits, rows that share ids."""
 
 import csv
+import hashlib
 import io
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelab.operators import faults, generation, metrics, retrieval, stats
-from tracelab.plans import oracles, stages, traces
+from tracelab.plans import oracles, queries, stages, traces
 from tracelab.sources import jsonl, records, storage
 
 
@@ -110,6 +111,31 @@ def test_kept_traces_are_small(spark, tmp_path):
     assert size(small) < 0.5 * size(whole)
 
 
+def test_csv_of_one_language(spark, tmp_path, monkeypatch):
+    """A language is several files, written by several tasks, and all of its rows come back."""
+    docs = [(i, f'Text "{i}",\nof more lines' if i % 3 else "", "en", f"s{i % 4}") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "fresh_path", lambda *_: f"{tmp_path}/csv")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.doc_id, r.digest, r.source, r.n_fields) for r in queries.s8_csv_records(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(i, hashlib.md5(t.encode()).hexdigest(), s, 3) for i, t, _, s in docs}
+    assert len(list((tmp_path / "csv" / "kind=en").glob("part-*"))) > 1
+
+
+def test_bm25_shuffles_no_texts(spark):
+    """Terms are counted where they are read, and joined to questions before anything else."""
+    pool = spark.createDataFrame([(i % 2, i, i, f"word{i} same same" if i else None) for i in range(30)], "sample_id long, ordinal long, chunk_id long, text string")
+    terms = retrieval._terms(pool.select("sample_id", "ordinal", F.split(F.coalesce("text", F.lit("")), " ").alias("w")).withColumn("w", F.array_remove("w", "")))
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.ordinal, r.term): r.tf for r in terms.collect()}
+    assert rows == {(0, None): 0} | {(i, "same"): 2 for i in range(1, 30)} | {(i, f"word{i}"): 1 for i in range(1, 30)}
+    found = retrieval.bm25(spark.createDataFrame([(0, "word4 same"), (1, "nothing")], "sample_id long, question string"), pool, 2).collect()
+    assert [(r.sample_id, r.rank, r.chunk_id) for r in sorted(found)] == [(0, 1, 4), (0, 2, 2), (1, 1, 1), (1, 2, 3)]
+
+
 def test_repeated_ids_make_no_more_traces(spark):
     """A third of the rows without, or of one, id; ids that all repeat; equal rows."""
     docs = [(i // 5, f"Row {i} is here. It has a second sentence.", "en") for i in range(50)] + [(3, "Row 15 is here. It has a second sentence.", "en")] * 25
