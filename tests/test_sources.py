@@ -136,6 +136,13 @@ def test_bm25_shuffles_no_texts(spark):
     assert [(r.sample_id, r.rank, r.chunk_id) for r in sorted(found)] == [(0, 1, 4), (0, 2, 2), (1, 1, 1), (1, 2, 3)]
 
 
+def test_records_are_made_once(spark):
+    """The filter on good records reads them, and doesn't make them again."""
+    own = queries.n1_n4_english(spark, "/root/testdata/sf0.001")
+    filters = [x for x in own._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("split(" in x for x in filters)
+
+
 def test_repeated_ids_make_no_more_traces(spark):
     """A third of the rows without, or of one, id; ids that all repeat; equal rows."""
     docs = [(i // 5, f"Row {i} is here. It has a second sentence.", "en") for i in range(50)] + [(3, "Row 15 is here. It has a second sentence.", "en")] * 25

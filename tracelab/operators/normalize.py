@@ -68,7 +68,8 @@ def english(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     sample = F.concat(F.lit("en__hotpot__"), V.string(r, "$.id"))
     docs = F.try_variant_get(r, "$.context", "struct<title:array<string>,sentences:array<array<string>>>")
     facts = F.try_variant_get(r, "$.supporting_facts", "struct<title:array<string>,sent_id:array<int>>")
-    rows = records.withColumns({"sample_id": sample, "_c": docs, "_f": facts})
+    # exploded, so that a record isn't made again where good and bad rows are told apart
+    rows = records.withColumn("record", F.explode(F.array("record"))).withColumns({"sample_id": sample, "_c": docs, "_f": facts})
     n = F.least(F.size("_c.title"), F.size("_c.sentences"))
     doc = lambda i: F.struct(
         F.concat(F.col("sample_id"), F.lit("__doc_"), F.lpad(i.cast("string"), 3, "0")).alias("document_id"),
