@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
+#: Arrow batches of texts on their way to Python hold about so many bytes at most: Spark's 10,000 rows or 64 MB, twice a task in
+#: the JVM and once in Python, are most of what a task holds.
+BATCH_BYTES = 4 << 20
+#: Words whose n-grams are hashed at once; one word takes about 2 KB while it is hashed.
+WORDS_AT_ONCE = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, read through Spark (any store that Spark reads)."""
@@ -70,10 +76,23 @@ def fitted(sample: DataFrame, fit: Callable[[Iterable[tuple]], Any]) -> Any:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
     # an empty table may have no partition at all
-    row = sample.repartition(1).sortWithinPartitions(*sample.columns).mapInArrow(run, "model binary").first()
+    row = sample.repartition(1).sortWithinPartitions(*sample.columns)
+    row = arrow_map(row, run, "model binary").first()
     return pickle.loads(row.model) if row else fit(())
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES, however long the rows are.
+
+    Spark has this limit for a session alone and reads it when it plans, which may be after this call: so the session keeps it.
+    A lower limit that the session has stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the value's text modulo mod (null stays null)."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
@@ -84,7 +103,7 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The batches in slices: word frequencies of a slice's texts are all that is held at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -104,7 +123,7 @@ def keep_rows(docs: DataFrame, text_col: str, accept: Callable[[], Callable[[lis
         for batch in small(batches):
             yield batch.filter(pa.array(good([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 class WordTable:
@@ -125,7 +144,9 @@ class WordTable:
         if new:
             if held + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((held + len(new), self.rows.shape[1]))])
-            self.rows[held : held + len(new)] = np.reshape(self.compute(new), (len(new), -1))
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                some = new[at : at + WORDS_AT_ONCE]
+                self.rows[held + at : held + at + len(some)] = np.reshape(self.compute(some), (len(some), -1))
             places.update(zip(new, range(held, held + len(new)), strict=True))
         sizes = np.fromiter(map(len, freqs), np.int64, len(freqs))
         at = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(freqs)), np.int64, sizes.sum())
@@ -171,3 +192,15 @@ def ngram_ids(words: Sequence[str], sizes: Sequence[int], buckets: int, whole: b
     key *= np.uint64(0xFF51AFD7ED558CCD)
     key ^= key >> np.uint64(29)
     return (key % np.uint64(buckets)).astype(np.int64), np.concatenate(of)
+
+
+def word_ngrams(words: Sequence[str], sizes: Sequence[int], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As ngram_ids, word after word and with the number of each word's n-grams; WORDS_AT_ONCE words are hashed at once, so
+    what is held beside the result doesn't grow with the words."""
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        some = words[at : at + WORDS_AT_ONCE]
+        own, owner = ngram_ids(some, sizes, buckets, whole)
+        ids.append(own[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(some)))
+    return np.concatenate(ids), np.concatenate(counts)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, fitted, keep_rows, ngram_ids, small
+from .common import WordTable, arrow_map, crc_mod, fitted, keep_rows, ngram_ids, small
 
 SIZES, BUCKETS = (1, 2, 3), 1 << 15
 #: The fitting sample: about so many documents of each language; with many languages fewer of each, so that the sample has
@@ -176,7 +176,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = arrow_map(rows, run, f"id {kind}, lang_pred string, score double")
     held = F.coalesce(crc_mod(F.col("id"), 5) == 0, F.lit(False))
     return rows.select(F.col("id").alias(id_col), held.alias("held_out"), "lang_pred", "score")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, small, written
+from .common import arrow_map, sized, small, written
 
 #: Most differing bits of a link; the fingerprint's segments. Chains of k segments may differ in k * DISTANCE // SEGMENTS bits.
 DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
@@ -59,12 +59,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     """Columns id and fp (the fingerprint as a signed 64-bit number) of every row; a null text counts as empty."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint_of(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(compute, f"id {kind}, fp long")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return arrow_map(texts, compute, f"id {kind}, fp long")
 
 
 def in_budget(a: np.ndarray, b: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def links(distinct: DataFrame) -> DataFrame:
         u, v = link_runs(keys, fps)
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    found = keyed.mapInArrow(link, "u long, v long")
+    found = arrow_map(keyed, link, "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
@@ -200,7 +201,7 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
 
     some = texts.where(F.pmod("digest", F.lit(HOT_SAMPLE)) == 0).dropDuplicates(["digest", "more"]).select("text")
-    hot = some.mapInArrow(spread, "key long").groupBy("key").count().where(F.col("count") >= HOT_TEXTS)
+    hot = arrow_map(some, spread, "key long").groupBy("key").count().where(F.col("count") >= HOT_TEXTS)
     return np.sort(np.array([r.key for r in hot.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
 
@@ -214,7 +215,7 @@ def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     hot = frequent_shingles(texts, shingle)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 500):
+        for batch in small(batches):
             fps, sizes, keys, rests = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, shingle)
@@ -229,7 +230,7 @@ def heads(texts: DataFrame, shingle: int, least: float) -> DataFrame:
             flat = [pa.array(np.concatenate([*rests, np.zeros(0, np.int32)])), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))]
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns), *flat], ["digest", "fp", "n", "rest", "key"])
 
-    return texts.dropDuplicates(["digest", "more"]).select("digest", "text").mapInArrow(compute, "digest long, fp long, n int, rest int, key long")
+    return arrow_map(texts.dropDuplicates(["digest", "more"]).select("digest", "text"), compute, "digest long, fp long, n int, rest int, key long")
 
 
 def similar_runs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, rests: np.ndarray, roots: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +320,7 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             yield from pairs(held)
 
     placed = rows.select(*columns).repartition("key").sortWithinPartitions("key", "n", "digest")
-    return placed.mapInArrow(find, "a long, b long, u long, v long, key long, n int, rest int")
+    return arrow_map(placed, find, "a long, b long, u long, v long, key long, n int, rest int")
 
 
 def parities(own: np.ndarray) -> bytes:
@@ -370,7 +371,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 500):
+        for batch in small(batches):
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             values = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(values, ["n", "odd"])], ["digest", "value"])
@@ -394,13 +395,13 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     pairs = written(pairs.where("b is not null").select("a", "b", "u", "v").distinct(), "similar-candidates")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "similar-sketched")
     own = texts.join(sized(asked), "digest", "left_semi").dropDuplicates(["digest", "more"]).select("digest", "text")
-    sketches = written(own.mapInArrow(sketched, "digest long, value struct<n:int,odd:binary>"), "similar-parities")
+    sketches = written(arrow_map(own, sketched, "digest long, value struct<n:int,odd:binary>"), "similar-parities")
     columns = ["a", "b", "u", "v"]
-    pairs = beside(pairs, sketches).select(*columns, "value_a", "value_b").mapInArrow(likely, ", ".join(f"{c} long" for c in columns))
+    pairs = arrow_map(beside(pairs, sketches).select(*columns, "value_a", "value_b"), likely, ", ".join(f"{c} long" for c in columns))
     pairs = written(pairs.distinct(), "similar-likely")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "similar-read")
     own = texts.join(sized(asked), "digest", "left_semi").dropDuplicates(["digest", "more"]).select("digest", F.col("text").alias("value"))
-    found = beside(pairs, own).select("u", "v", "value_a", "value_b").mapInArrow(check, "u long, v long")
+    found = arrow_map(beside(pairs, own).select("u", "v", "value_a", "value_b"), check, "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, fitted, keep_rows, ngram_ids, small
+from .common import WordTable, arrow_map, crc_mod, fitted, keep_rows, ngram_ids, small, word_ngrams
 
 #: Character n-grams of a word, buckets of their embeddings, dimensions.
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 18, 8
@@ -68,9 +68,7 @@ def fit(rows: Iterable[tuple[str, int]], seed: int = 5) -> Model:
         docs.append((np.fromiter(freq.keys(), np.int64, len(freq)), np.fromiter(freq.values(), float, len(freq))))
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.int32), np.zeros((1, DIM)), np.zeros(DIM), 0.0 if not labels else (6.0 if labels[0] else -6.0))
-    ids, owner = ngram_ids(list(numbers), SIZES, BUCKETS, whole=True)
-    order = np.argsort(owner, kind="stable")
-    ids, per_word = ids[order], np.bincount(owner, minlength=len(numbers))
+    ids, per_word = word_ngrams(list(numbers), SIZES, BUCKETS, whole=True)
     begins = np.cumsum(per_word) - per_word
     spread = np.zeros(BUCKETS, np.int64)
     toxic = np.zeros(BUCKETS, np.int64)
@@ -105,14 +103,16 @@ def fit(rows: Iterable[tuple[str, int]], seed: int = 5) -> Model:
             n = per_word[words]
             sub_of = np.repeat(np.arange(len(words)), n)
             sub = ids[np.repeat(begins[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            columns = lambda index, values, size: np.stack([np.bincount(index, values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
-            vectors = columns(sub_of, table[sub], len(words)) / sizes[words][:, None]
-            pooled = columns(doc, vectors[where] * share[:, None], len(batch))
+            # a dimension at a time: the n-grams' rows of all dimensions would take eight times as much
+            columns = lambda index, values, size: np.stack([np.bincount(index, values(k), minlength=size) for k in range(DIM)], axis=1)
+            vectors = columns(sub_of, lambda k: table[sub, k], len(words)) / sizes[words][:, None]
+            pooled = columns(doc, lambda k: vectors[where, k] * share, len(batch))
             logits = pooled @ weights + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             g = (p / p.sum(1, keepdims=True) - target[batch]) * weight[batch, None] / len(batch)
-            to_words = columns(where, (g @ weights.T)[doc] * share[:, None], len(words)) / sizes[words][:, None]
-            grads = [columns(sub, to_words[sub_of], len(table)), pooled.T @ g, g.sum(0)]
+            to_docs = g @ weights.T
+            to_words = columns(where, lambda k: to_docs[doc, k] * share, len(words)) / sizes[words][:, None]
+            grads = [columns(sub, lambda k: to_words[sub_of, k], len(table)), pooled.T @ g, g.sum(0)]
             step += 1
             for q, dq, m, v, rate, decay in zip(params, grads, first, second, RATES, DECAYS, strict=True):
                 m += 0.1 * (dq - m)
@@ -165,7 +165,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own(batch.column(1).to_pylist()))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = arrow_map(rows, run, f"id {kind}, score double")
     held = F.coalesce(crc_mod(F.col("id"), 3) == 1, F.lit(False))
     return rows.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
